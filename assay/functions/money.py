@@ -19,17 +19,23 @@ def request_cost(input_tokens, output_tokens, input_per_million, output_per_mill
 
 
 def usd_exact(cost) -> Column:
-    """A request cost (<= 8 decimals) as an exact DECIMAL(38,8), so sums do not depend on order."""
-    return _c(cost).cast("decimal(38,8)")
+    """A request cost (<= 8 decimals) as exact integer units of 1e-8 USD, so sums are order-free."""
+    return F.round(_c(cost) * F.lit(100_000_000.0)).cast("bigint")
 
 
-def usd_sum(cost, digits: int = 6) -> Column:
-    """Exact sum of request costs, rounded half-up to ``digits`` and returned as DOUBLE."""
-    return usd_round(F.sum(usd_exact(cost)), digits)
+def usd_round(total_units, digits: int = 6) -> Column:
+    """Integer 1e-8 units -> USD rounded half-up (away from zero) to ``digits`` places, as DOUBLE."""
+    step = 10 ** (8 - digits)
+    t = _c(total_units)
+    half = F.lit(step // 2)
+    mag = F.abs(t) + half
+    q = ((mag - F.pmod(mag, F.lit(step))) / F.lit(step)).cast("bigint")  # exact integer division
+    return (F.signum(t) * q).cast("double") / F.lit(float(10 ** digits))
 
 
-def usd_round(total, digits: int = 6) -> Column:
-    return F.round(_c(total), digits).cast("double")
+def usd_sum(cost, digits: int = 6) -> Column:
+    """Exact sum of request costs, rounded half-up to ``digits`` places, as DOUBLE."""
+    return usd_round(F.sum(usd_exact(cost)), digits)
 
 
 def clamp_invert(score, invert) -> Column:

@@ -147,8 +147,8 @@ def cumulative_spend(costed: DataFrame, budget: Budget, ts_col: str = "request_t
         id_col, "provider", ts_col, "cost_usd",
         usd_round("_p").alias("provider_spend_usd"),
         usd_round("_g").alias("global_spend_usd"),
-        F.coalesce(F.col("_p") > budget.cap_of("provider"), F.lit(False)).alias("provider_breach"),
-        (F.col("_g") > F.lit(budget.effective_global_cap)).alias("global_breach"),
+        F.coalesce(F.col("_p") > budget.cap_of("provider") * F.lit(1e8), F.lit(False)).alias("provider_breach"),
+        (F.col("_g") > F.lit(budget.effective_global_cap * 1e8)).alias("global_breach"),
     )
 
 

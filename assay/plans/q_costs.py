@@ -40,7 +40,7 @@ def _costed_completed(fx):
 @register("leaderboard_cost", oracle(["executions"], """
 SELECT provider, configured_model AS model_name, count(*) AS total_execs,
  round(avg(latency_ms), 6) AS avg_latency_ms, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
- CAST(round(sum(CAST(cost AS DECIMAL(38,8))), 6) AS DOUBLE) AS total_cost
+ (CAST((sum(CAST(round(cost * 100000000.0) AS BIGINT)) + 50) // 100 AS DOUBLE) / 1000000.0) AS total_cost
 FROM costed WHERE status = 'completed' GROUP BY provider, configured_model
 ORDER BY total_execs DESC, provider, model_name""", PRICE_CTE))
 def q_leaderboard_cost(fx):
@@ -81,7 +81,7 @@ def q_executions_with_models(fx):
 
 @register("reprice_executions", oracle(["executions"], """
 SELECT run_id, count(*) AS rows_evaluated, count(*) FILTER (WHERE old_cost <> new_cost) AS rows_changed,
- CAST(round(sum(CAST(old_cost AS DECIMAL(38,8))), 6) AS DOUBLE) AS old_total_usd, CAST(round(sum(CAST(new_cost AS DECIMAL(38,8))), 6) AS DOUBLE) AS new_total_usd,
+ (CAST((sum(CAST(round(old_cost * 100000000.0) AS BIGINT)) + 50) // 100 AS DOUBLE) / 1000000.0) AS old_total_usd, (CAST((sum(CAST(round(new_cost * 100000000.0) AS BIGINT)) + 50) // 100 AS DOUBLE) / 1000000.0) AS new_total_usd,
  coalesce(array_to_string(list_sort(list_distinct(list(CASE WHEN old_cost <> new_cost AND new_cost = 0.0 THEN returned_model END))), ','), '') AS unmatched_models
 FROM (SELECT x.run_id, x.returned_model,
   round(CAST(x.input_tokens AS DOUBLE) / 1000000.0 * coalesce(o.pin, 0.0) + CAST(x.output_tokens AS DOUBLE) / 1000000.0 * coalesce(o.pout, 0.0), 8) AS old_cost,
@@ -109,10 +109,10 @@ def q_preflight_estimate(fx):
 
 
 @register("spend_summary", oracle(["executions"], """
-SELECT 'provider' AS scope, c.provider, CAST(round(sum(CAST(c.cost AS DECIMAL(38,8))), 6) AS DOUBLE) AS spend_usd, b.cap_usd, b.cap_usd AS effective_cap_usd
+SELECT 'provider' AS scope, c.provider, (CAST((sum(CAST(round(c.cost * 100000000.0) AS BIGINT)) + 50) // 100 AS DOUBLE) / 1000000.0) AS spend_usd, b.cap_usd, b.cap_usd AS effective_cap_usd
 FROM costed c LEFT JOIN budgets b ON b.provider = c.provider WHERE c.status = 'completed' GROUP BY c.provider, b.cap_usd
 UNION ALL
-SELECT 'global', NULL, CAST(round(sum(CAST(cost AS DECIMAL(38,8))), 6) AS DOUBLE), CAST(35.0 AS DOUBLE), CAST(30.0 AS DOUBLE) FROM costed WHERE status = 'completed'
+SELECT 'global', NULL, (CAST((sum(CAST(round(cost * 100000000.0) AS BIGINT)) + 50) // 100 AS DOUBLE) / 1000000.0), CAST(35.0 AS DOUBLE), CAST(30.0 AS DOUBLE) FROM costed WHERE status = 'completed'
 """, PRICE_CTE + "," + BUDGET_CTE))
 def q_spend_summary(fx):
     """Spend per provider + global (rollup), caps and effective cap."""
@@ -121,10 +121,10 @@ def q_spend_summary(fx):
 
 @register("cumulative_spend", oracle(["executions"], """
 SELECT execution_id, provider, cost AS cost_usd,
- CAST(round(CAST(sum(CAST(cost AS DECIMAL(38,8))) OVER (PARTITION BY provider ORDER BY request_ts, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(38,8)), 6) AS DOUBLE) AS provider_spend_usd,
- CAST(round(CAST(sum(CAST(cost AS DECIMAL(38,8))) OVER (ORDER BY request_ts, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(38,8)), 6) AS DOUBLE) AS global_spend_usd,
- sum(CAST(cost AS DECIMAL(38,8))) OVER (PARTITION BY provider ORDER BY request_ts, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 8.0 AS provider_breach,
- sum(CAST(cost AS DECIMAL(38,8))) OVER (ORDER BY request_ts, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 30.0 AS global_breach
+ (CAST((sum(CAST(round(cost * 100000000.0) AS BIGINT)) OVER (PARTITION BY provider ORDER BY request_ts, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 50) // 100 AS DOUBLE) / 1000000.0) AS provider_spend_usd,
+ (CAST((sum(CAST(round(cost * 100000000.0) AS BIGINT)) OVER (ORDER BY request_ts, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 50) // 100 AS DOUBLE) / 1000000.0) AS global_spend_usd,
+ sum(CAST(round(cost * 100000000.0) AS BIGINT)) OVER (PARTITION BY provider ORDER BY request_ts, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 800000000 AS provider_breach,
+ sum(CAST(round(cost * 100000000.0) AS BIGINT)) OVER (ORDER BY request_ts, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 3000000000 AS global_breach
 FROM costed WHERE status = 'completed'""", PRICE_CTE))
 def q_cumulative_spend(fx):
     """Running spend per provider and global with breach flags (sliced prefix sums)."""
