@@ -1 +1,324 @@
-"""placeholder"""
+"""Verdict and run-accounting queries: J1, J6, J8, A2-A6, A16-A19, W6, W7, W9, W10, L1, L2, L4, P5, P7."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assay.operators import costs, metrics, verdicts
+from assay.plans.catalog import register
+from assay.plans.fixtures import oracle
+from assay.plans.q_costs import PRICE_CTE
+from assay.sources import dims
+
+# Oracle: A6 verdicts over the scores fixture (faithful polarity).
+VERDICT_CTE = """
+sq AS (SELECT s.execution_id, s.category, s.score_pos, s.metric_name, s.passed, s.confidence,
+  coalesce(r.weight, CAST(1.0 AS DOUBLE)) AS w,
+  CASE WHEN coalesce(r.invert, FALSE) THEN CAST(1.0 AS DOUBLE) - least(greatest(s.numeric_score, 0.0), 1.0)
+       ELSE least(greatest(s.numeric_score, 0.0), 1.0) END AS q
+ FROM scores s LEFT JOIN metric_rules r ON r.category = s.category AND r.metric_name = s.metric_name),
+sagg AS (SELECT execution_id, sum(q * w) AS wsum, sum(w) AS wt, avg(confidence) AS conf,
+  arg_min(metric_name, score_pos) FILTER (WHERE NOT passed) AS first_failed, any_value(category) AS category
+ FROM sq GROUP BY execution_id),
+verdicts AS (SELECT x.execution_id,
+  CASE WHEN a.wt IS NULL THEN 'inconclusive'
+   WHEN a.category IN ('context_isolation', 'tool_use_boundaries') AND a.first_failed IS NOT NULL THEN 'fail'
+   WHEN (CASE WHEN a.wt <> 0 THEN a.wsum / a.wt ELSE 0.0 END) >= 0.75 THEN 'pass'
+   WHEN (CASE WHEN a.wt <> 0 THEN a.wsum / a.wt ELSE 0.0 END) >= 0.60 THEN 'warn' ELSE 'fail' END AS status,
+  'low' AS severity,
+  CASE WHEN a.wt IS NULL THEN CAST(0.0 AS DOUBLE) ELSE round(a.conf, 3) END AS confidence,
+  CASE WHEN a.wt IS NULL THEN TRUE ELSE a.conf < 0.70 END AS requires_human_review,
+  CASE WHEN a.wt IS NOT NULL AND a.category IN ('context_isolation', 'tool_use_boundaries') THEN a.first_failed END AS blocking_metric,
+  CASE WHEN a.wt IS NOT NULL THEN round(CASE WHEN a.wt <> 0 THEN a.wsum / a.wt ELSE 0.0 END, 6) END AS overall_quality
+ FROM executions x LEFT JOIN sagg a ON a.execution_id = x.execution_id WHERE x.status = 'completed'),
+ev AS (SELECT x.*, coalesce(v.status, 'unknown') AS verdict FROM executions x LEFT JOIN verdicts v ON v.execution_id = x.execution_id)
+"""
+V = ["executions", "scores", "metric_rules"]
+
+
+def verdicts_of(fx):
+    done = fx.executions.where(F.col("status") == "completed")
+    return verdicts.decide_verdict(fx.scores, fx.metric_rules, done)
+
+
+def exec_verdicts(fx):
+    return verdicts.execution_with_verdict(fx.executions, verdicts_of(fx))
+
+
+def costed(fx):
+    return costs.with_cost(fx.executions, dims.pricing_from_models(fx.models))
+
+
+@register("decide_verdict", oracle(V, "SELECT * FROM verdicts", VERDICT_CTE))
+def q_decide_verdict(fx):
+    """A6 + J6 + W9 + SCL-16: one verdict per completed execution (INCONCLUSIVE when unscored)."""
+    return verdicts_of(fx)
+
+
+@register("score_with_rule", oracle(V, """
+SELECT s.execution_id, s.metric_name, coalesce(r.weight, CAST(1.0 AS DOUBLE)) AS weight, coalesce(r.invert, FALSE) AS invert,
+ CASE WHEN coalesce(r.invert, FALSE) THEN CAST(1.0 AS DOUBLE) - least(greatest(s.numeric_score, 0.0), 1.0)
+      ELSE least(greatest(s.numeric_score, 0.0), 1.0) END AS quality
+FROM scores s LEFT JOIN metric_rules r ON r.category = s.category AND r.metric_name = s.metric_name"""))
+def q_score_with_rule(fx):
+    """J6 + SCL-16: weight / invert per score, default 1.0 / false, and the normalised quality."""
+    from assay.functions.money import clamp_invert
+    s = verdicts.score_with_rule(fx.scores, fx.metric_rules)
+    return s.select("execution_id", "metric_name", "weight", "invert",
+                    clamp_invert("numeric_score", "invert").alias("quality"))
+
+
+@register("first_blocking_metric", oracle(V, """
+SELECT execution_id, blocking_metric FROM verdicts WHERE blocking_metric IS NOT NULL""", VERDICT_CTE))
+def q_first_blocking_metric(fx):
+    """The first failed score (score order) of executions in blocking categories."""
+    return verdicts_of(fx).where(F.col("blocking_metric").isNotNull()).select("execution_id", "blocking_metric")
+
+
+@register("execution_with_verdict", oracle(V, """
+SELECT execution_id, run_id, provider, configured_model, status, verdict FROM ev""", VERDICT_CTE))
+def q_execution_with_verdict(fx):
+    """J8 + W10: every execution with its latest verdict, default 'unknown'."""
+    return exec_verdicts(fx).select("execution_id", "run_id", "provider", "configured_model", "status", "verdict")
+
+
+@register("run_scores_view", oracle(V, """
+SELECT x.execution_id, x.run_id, x.provider, x.configured_model AS model_name, s.metric_name, s.numeric_score, s.passed,
+ v.status AS verdict_status
+FROM executions x JOIN scores s ON s.execution_id = x.execution_id LEFT JOIN verdicts v ON v.execution_id = x.execution_id""",
+                                          VERDICT_CTE))
+def q_run_scores_view(fx):
+    """Executions JOIN scores LEFT JOIN verdicts."""
+    return verdicts.run_scores_view(fx.executions, fx.scores, verdicts_of(fx))
+
+
+@register("run_result", oracle(V, """
+SELECT x.run_id, count(*) AS total, count(*) FILTER (WHERE v.status = 'pass') AS passed,
+ count(*) FILTER (WHERE v.status = 'fail') AS failed, count(*) FILTER (WHERE x.status <> 'completed') AS errored,
+ CASE WHEN count(*) FILTER (WHERE x.status <> 'completed') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS run_status
+FROM executions x LEFT JOIN verdicts v ON v.execution_id = x.execution_id GROUP BY x.run_id""", VERDICT_CTE))
+def q_run_result(fx):
+    """A5: run totals and final run status."""
+    return verdicts.run_result(fx.executions, verdicts_of(fx))
+
+
+LEADER_SQL = """
+SELECT model, provider, total, pass_count, fail_count, round(pass_count / total * 100.0, 1) AS pass_rate_pct,
+ CAST(round(lat) AS BIGINT) AS avg_latency_ms, CAST(coalesce(tok, 0) AS BIGINT) AS tokens,
+ CAST(row_number() OVER (ORDER BY pass_count / total DESC, model) AS BIGINT) AS rank
+FROM (SELECT configured_model AS model, min(provider) AS provider, count(*) AS total,
+  count(*) FILTER (WHERE verdict = 'pass') AS pass_count, count(*) FILTER (WHERE verdict <> 'pass') AS fail_count,
+  avg(CASE WHEN latency_ms > 0 THEN latency_ms END) AS lat,
+  sum(CASE WHEN coalesce(input_tokens, 0) <> 0 THEN input_tokens + coalesce(output_tokens, 0) END) AS tok
+ FROM ev WHERE configured_model IS NOT NULL GROUP BY configured_model) t"""
+
+
+@register("leaderboard_quality", oracle(V, LEADER_SQL, VERDICT_CTE))
+def q_leaderboard_quality(fx):
+    """A2 + W6 + L4: the dashboard leaderboard by model, ranked by pass rate."""
+    return metrics.leaderboard_quality(exec_verdicts(fx))
+
+
+@register("rank_models", oracle(V, f"SELECT model, rank FROM ({LEADER_SQL}) r", VERDICT_CTE))
+def q_rank_models(fx):
+    """#1.. by pass rate (tie-break: model name)."""
+    return metrics.leaderboard_quality(exec_verdicts(fx)).select("model", "rank")
+
+
+@register("rank_percentile", oracle(["executions"], """
+SELECT provider, min(latency_ms) FILTER (WHERE rn = floor(n * CAST(0.95 AS DOUBLE)) + 1) AS p95_latency_ms,
+ min(latency_ms) FILTER (WHERE rn = floor(n * CAST(0.5 AS DOUBLE)) + 1) AS p50_latency_ms
+FROM (SELECT provider, latency_ms, row_number() OVER (PARTITION BY provider ORDER BY latency_ms) AS rn,
+  count(*) OVER (PARTITION BY provider) AS n FROM executions WHERE status = 'completed') t GROUP BY provider"""))
+def q_rank_percentile(fx):
+    """Rank-pick p50 / p95 latency per provider (exact, via value histograms)."""
+    done = fx.executions.where(F.col("status") == "completed")
+    p95 = metrics.rank_percentile(done, ["provider"], "latency_ms", 0.95, "p95_latency_ms")
+    p50 = metrics.rank_percentile(done, ["provider"], "latency_ms", 0.5, "p50_latency_ms")
+    return p95.join(p50, "provider")
+
+
+RUN_METRICS_SQL = """
+SELECT b.run_id, b.success_count, b.error_count, b.total_tokens, b.total_cost_usd,
+ coalesce(p.p50, 0) AS p50_latency_ms, coalesce(p.p95, 0) AS p95_latency_ms, coalesce(e.errs, '') AS provider_errors
+FROM (SELECT run_id, count(*) FILTER (WHERE status = 'completed') AS success_count,
+   count(*) FILTER (WHERE status <> 'completed') AS error_count,
+   CAST(sum(CASE WHEN status = 'completed' THEN input_tokens + output_tokens ELSE 0 END) AS BIGINT) AS total_tokens,
+   (CAST((sum(CAST(round(CASE WHEN status = 'completed' THEN cost ELSE 0.0 END * 100000000.0) AS BIGINT)) + 50) // 100 AS DOUBLE) / 1000000.0) AS total_cost_usd
+  FROM costed GROUP BY run_id) b
+LEFT JOIN (SELECT run_id, min(latency_ms) FILTER (WHERE rn = floor(n * CAST(0.5 AS DOUBLE)) + 1) AS p50,
+   min(latency_ms) FILTER (WHERE rn = floor(n * CAST(0.95 AS DOUBLE)) + 1) AS p95
+  FROM (SELECT run_id, latency_ms, row_number() OVER (PARTITION BY run_id ORDER BY latency_ms) AS rn,
+    count(*) OVER (PARTITION BY run_id) AS n FROM executions WHERE status = 'completed') t GROUP BY run_id) p ON p.run_id = b.run_id
+LEFT JOIN (SELECT run_id, string_agg(k, ',' ORDER BY k) AS errs FROM (
+   SELECT run_id, concat_ws('.', provider, error_type) || ':' || CAST(count(*) AS VARCHAR) AS k
+   FROM executions WHERE status <> 'completed' GROUP BY run_id, concat_ws('.', provider, error_type)) g GROUP BY run_id) e ON e.run_id = b.run_id"""
+
+
+@register("run_metrics", oracle(["executions"], RUN_METRICS_SQL, PRICE_CTE))
+def q_run_metrics(fx):
+    """A4 + W7: per-run success/error counts, tokens, cost, p50/p95 and the error map."""
+    return metrics.run_metrics(fx.executions, costed(fx))
+
+
+@register("run_kpis", oracle(V, f"""
+SELECT v.run_id, v.pass_count, v.fail_count, v.warn_count, v.total_verdicts,
+ CASE WHEN v.total_verdicts > 0 THEN round(v.pass_count / v.total_verdicts * 100.0, 1) ELSE 0.0 END AS pass_rate_pct,
+ m.total_tokens, m.total_cost_usd, m.p50_latency_ms
+FROM (SELECT x.run_id, count(*) FILTER (WHERE v.status = 'pass') AS pass_count, count(*) FILTER (WHERE v.status = 'fail') AS fail_count,
+  count(*) FILTER (WHERE v.status = 'warn') AS warn_count, count(v.status) AS total_verdicts
+  FROM executions x JOIN verdicts v ON v.execution_id = x.execution_id GROUP BY x.run_id) v
+LEFT JOIN ({RUN_METRICS_SQL}) m ON m.run_id = v.run_id""", PRICE_CTE + "," + VERDICT_CTE))
+def q_run_kpis(fx):
+    """A3: dashboard KPIs per run."""
+    v = verdicts_of(fx).join(fx.executions.select("execution_id", "run_id"), "execution_id")
+    return metrics.run_kpis(v, metrics.run_metrics(fx.executions, costed(fx)))
+
+
+def _request_events(fx):
+    x = costed(fx)
+    status = (F.when(F.col("status") == "completed", F.lit("success"))
+              .when(F.col("error_type") == "ProviderTimeoutError", F.lit("timeout")).otherwise(F.col("status")))
+    reason = (F.when(F.col("error_type") == "RateLimitError", F.lit("rate_limit"))
+              .when(F.col("error_type") == "ProviderTimeoutError", F.lit("timeout")))
+    return x.select("provider", F.col("configured_model").alias("model"), status.alias("status"),
+                    reason.alias("retry_reason"), "input_tokens", "output_tokens", "cost_usd")
+
+
+EV2_CTE = PRICE_CTE + """,
+ev2 AS (SELECT provider, configured_model AS model,
+  CASE WHEN status = 'completed' THEN 'success' WHEN error_type = 'ProviderTimeoutError' THEN 'timeout' ELSE status END AS st,
+  CASE WHEN error_type = 'RateLimitError' THEN 'rate_limit' WHEN error_type = 'ProviderTimeoutError' THEN 'timeout' END AS rr,
+  input_tokens, output_tokens, cost FROM costed)"""
+
+
+@register("request_counters", oracle(["executions"], """
+SELECT provider, model, 'requests' AS metric,
+ CASE WHEN st IN ('success','failed','errored','timeout','cancelled') THEN st ELSE 'errored' END AS label, CAST(count(*) AS DOUBLE) AS value
+ FROM ev2 GROUP BY ALL
+UNION ALL SELECT provider, model, 'retries', CASE WHEN rr IN ('rate_limit','connection','timeout','server_error') THEN rr ELSE 'other' END, CAST(count(*) AS DOUBLE)
+ FROM ev2 WHERE rr IS NOT NULL GROUP BY ALL
+UNION ALL SELECT provider, model, 'tokens', 'input', CAST(sum(greatest(input_tokens, 0)) AS DOUBLE) FROM ev2 GROUP BY ALL
+UNION ALL SELECT provider, model, 'tokens', 'output', CAST(sum(greatest(output_tokens, 0)) AS DOUBLE) FROM ev2 GROUP BY ALL
+UNION ALL SELECT provider, model, 'cost', 'usd', (CAST((sum(CAST(round(greatest(cost, 0.0) * 100000000.0) AS BIGINT)) + 50) // 100 AS DOUBLE) / 1000000.0)
+ FROM ev2 GROUP BY ALL""", EV2_CTE))
+def q_request_counters(fx):
+    """A16 + P5: request / retry / token / cost counters per provider and model, long form."""
+    return metrics.request_counters(_request_events(fx))
+
+
+@register("normalise_labels", oracle([], """
+SELECT raw_status, CASE WHEN raw_status IN ('success','failed','errored','timeout','cancelled') THEN raw_status ELSE 'errored' END AS status,
+ raw_reason, CASE WHEN raw_reason IN ('rate_limit','connection','timeout','server_error') THEN raw_reason ELSE 'other' END AS reason,
+ count(*) AS n
+FROM (SELECT CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'timeout' ELSE event_type END AS raw_status,
+  CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'click' THEN 'connection' WHEN 'view' THEN 'server_error' ELSE 'dns_failure' END AS raw_reason
+  FROM events) t GROUP BY ALL"""))
+def q_normalise_labels(fx):
+    """P5: telemetry label normalisation over raw status / retry-reason labels."""
+    e = fx.events.select(
+        F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed")
+        .when(F.col("event_type") == "view", "timeout").otherwise(F.col("event_type")).alias("raw_status"),
+        F.when(F.col("event_type") == "error", "rate_limit").when(F.col("event_type") == "click", "connection")
+        .when(F.col("event_type") == "view", "server_error").otherwise(F.lit("dns_failure")).alias("raw_reason"))
+    st, rr = metrics.normalise_labels(F.col("raw_status"), F.col("raw_reason"))
+    return e.groupBy("raw_status", st.alias("status"), "raw_reason", rr.alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+HIST_LABELS = ["0.1", "0.25", "0.5", "1.0", "2.0", "5.0", "10.0", "20.0", "60.0"]
+
+
+@register("latency_histogram", oracle(["executions"], " UNION ALL ".join(
+    [f"SELECT provider, configured_model AS model, '{lab}' AS le, count(*) FILTER (WHERE CAST(latency_ms AS DOUBLE) / 1000.0 <= CAST({lab} AS DOUBLE)) AS bucket_count FROM executions GROUP BY ALL"
+     for lab in HIST_LABELS]
+    + ["SELECT provider, configured_model AS model, '+Inf' AS le, count(*) AS bucket_count FROM executions GROUP BY ALL"])))
+def q_latency_histogram(fx):
+    """Cumulative latency buckets per provider and model."""
+    e = fx.executions.select("provider", F.col("configured_model").alias("model"), "latency_ms")
+    return metrics.latency_histogram(e)
+
+
+@register("models_per_provider", oracle(["executions"], """
+SELECT provider, count(DISTINCT configured_model) AS model_count FROM executions GROUP BY provider"""))
+def q_models_per_provider(fx):
+    """Models seen per provider."""
+    return metrics.models_per_provider(fx.executions)
+
+
+@register("recent_runs", oracle(["executions"], """
+SELECT run_id, strftime(min(request_ts), '%Y-%m-%d %H:%M:%S.%f') AS started_at, count(*) AS executions
+FROM executions GROUP BY run_id ORDER BY min(request_ts) DESC, run_id LIMIT 50"""))
+def q_recent_runs(fx):
+    """L1: newest runs first, top 50."""
+    r = metrics.recent_runs(fx.executions, 50)
+    return r.withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@register("recent_executions", oracle(V, """
+SELECT execution_id, category, provider, configured_model AS model, latency_ms, verdict FROM ev
+ORDER BY request_ts, execution_id LIMIT 10""", VERDICT_CTE))
+def q_recent_executions(fx):
+    """L2: first 10 executions with their verdict."""
+    return metrics.recent_executions(exec_verdicts(fx), 10).select(
+        "execution_id", "category", "provider", F.col("configured_model").alias("model"), "latency_ms", "verdict")
+
+
+@register("run_explorer", oracle(V, """
+SELECT execution_id, category, provider, configured_model AS model, status, verdict FROM ev
+WHERE contains(lower(concat_ws(' ', execution_id, category, provider, configured_model, status)), 'gpt-4o-mini')
+ AND verdict = 'fail' AND provider = 'openai'""", VERDICT_CTE))
+def q_run_explorer(fx):
+    """Free-text + verdict + provider filter over executions with verdicts."""
+    from assay.operators.requests import run_explorer
+    return run_explorer(exec_verdicts(fx), text="gpt-4o-mini", verdict="fail", provider="openai").select(
+        "execution_id", "category", "provider", F.col("configured_model").alias("model"), "status", "verdict")
+
+
+@register("panel_verdicts_by_category", oracle(V, """
+SELECT category, verdict, count(*) AS n FROM ev GROUP BY category, verdict""", VERDICT_CTE))
+def q_panel_verdicts_by_category(fx):
+    """Verdict counts per category."""
+    return exec_verdicts(fx).groupBy("category", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+PROVIDERS = ["anthropic", "google", "openai", "xai"]
+
+
+@register("panel_failures_pivot", oracle(V, "SELECT category, " + ", ".join(
+    f"count(*) FILTER (WHERE verdict = 'fail' AND provider = '{p}') AS {p}" for p in PROVIDERS)
+    + " FROM ev GROUP BY category", VERDICT_CTE))
+def q_panel_failures_pivot(fx):
+    """Failures category x provider (pivot with the configured provider list - no extra job)."""
+    pv = exec_verdicts(fx).groupBy("category").pivot("provider", PROVIDERS).agg(
+        F.count_if(F.col("verdict") == "fail"))
+    return pv.select("category", *[F.coalesce(F.col(p), F.lit(0)).alias(p) for p in PROVIDERS])
+
+
+@register("panel_provider_summary", oracle(V, """
+SELECT provider, round(count(*) FILTER (WHERE verdict = 'pass') / count(*) * 100.0, 1) AS pass_rate_pct,
+ round(avg(latency_ms), 6) AS avg_latency_ms, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens,
+ (CAST((sum(CAST(round(cost * 100000000.0) AS BIGINT)) FILTER (WHERE status = 'completed') + 50) // 100 AS DOUBLE) / 1000000.0) AS spend_usd
+FROM (SELECT e.*, c.cost FROM ev e JOIN costed c ON c.execution_id = e.execution_id) t GROUP BY provider""",
+                                                PRICE_CTE + "," + VERDICT_CTE))
+def q_panel_provider_summary(fx):
+    """Pass rate, mean latency, tokens and spend per provider."""
+    from assay.functions.money import usd_sum
+    ev = exec_verdicts(fx).join(costed(fx).select("execution_id", "cost_usd"), "execution_id")
+    return ev.groupBy("provider").agg(
+        F.round(F.count_if(F.col("verdict") == "pass") / F.count(F.lit(1)) * F.lit(100.0), 1).alias("pass_rate_pct"),
+        F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"),
+        F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"),
+        usd_sum(F.when(F.col("status") == "completed", F.col("cost_usd"))).alias("spend_usd"))
+
+
+@register("panel_score_trend", oracle(V, """
+SELECT strftime(date_trunc('day', x.request_ts), '%Y-%m-%d') AS day, count(*) AS verdicts,
+ round(avg(v.overall_quality), 6) AS avg_quality
+FROM executions x JOIN verdicts v ON v.execution_id = x.execution_id GROUP BY 1""", VERDICT_CTE))
+def q_panel_score_trend(fx):
+    """Daily verdict count and mean overall quality."""
+    v = verdicts_of(fx).join(fx.executions.select("execution_id", "request_ts"), "execution_id")
+    return v.groupBy(F.date_format(F.date_trunc("day", F.col("request_ts").cast("timestamp")), "yyyy-MM-dd")
+                     .alias("day")).agg(F.count(F.lit(1)).alias("verdicts"),
+                                        F.round(F.avg("overall_quality"), 6).alias("avg_quality"))
