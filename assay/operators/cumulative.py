@@ -2,8 +2,8 @@
 
 ``sum(x) OVER (PARTITION BY provider ORDER BY ts)`` puts every row of a provider into a
 single task; with four providers that is four tasks for the whole table.  Here the order
-column is cut into slices of about equal global size (quantile bounds from one small
-sketch, applied by a deterministic ``Bucketizer``), each (key, slice) computes its local
+key is cut into range slices of about equal global size (bounds from a small seeded
+sample, applied by a deterministic comparison tree), each (key, slice) computes its local
 running sum in its own window group, and the per-(key, slice) totals - a table with at
 most ``keys x slices`` rows - are prefix-summed and added back.  Because the slice of a
 row is a pure function of its order value, every recomputation (or a lost executor)
@@ -14,41 +14,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _numeric_order(df: DataFrame, col: str) -> Column:
-    dtype = df.schema[col].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    return F.col(col).cast("double")
+def slice_by_sample(df: DataFrame, cols: Sequence[str], slices: int, out: str = "_slice",
+                    per_slice: int = 20, seed: int = 17) -> DataFrame:
+    """Add ``out`` = index of the range slice holding the composite key ``cols``.
 
-
-def slice_by_quantiles(df: DataFrame, order_col: str, slices: int, out: str = "_slice") -> DataFrame:
-    """Add ``out`` = index of the global quantile slice holding ``order_col`` (ties share a slice)."""
-    staged = df.withColumn("_o", _numeric_order(df, order_col))
+    Bounds come from a seeded sample of about ``per_slice * slices`` keys (the same thing
+    range partitioning does internally; the sample is bounded by ``slices``, not by the
+    data), and are applied with a balanced tree of struct comparisons - O(log slices)
+    per row, codegen'd, and a pure function of the row, so recomputation is stable.
+    """
+    cols = list(cols)
     if slices <= 1:
-        return staged.withColumn(out, F.lit(0.0)).drop("_o")
-    probs = [i / slices for i in range(1, slices)]
-    bounds = sorted({q for q in staged.approxQuantile("_o", probs, 1.0 / (10 * slices)) if q is not None})
-    splits = [float("-inf"), *bounds, float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_o", outputCol=out, handleInvalid="keep")
-    return b.transform(staged).drop("_o")
+        return df.withColumn(out, F.lit(0))
+    key = F.struct(*[F.col(c).alias(c) for c in cols])
+    total = df.count()
+    if total == 0:
+        return df.withColumn(out, F.lit(0))
+    frac = min(1.0, per_slice * slices / total)
+    sample = [r[0] for r in df.select(key.alias("_k")).sample(False, frac, seed).orderBy("_k").collect()]
+    step = len(sample) / slices
+    picks = []
+    for i in range(1, slices):
+        row = sample[min(int(i * step), len(sample) - 1)] if sample else None
+        if row is not None and (not picks or tuple(row) != tuple(picks[-1])):
+            picks.append(row)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    bounds = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, row)]) for row in picks]
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return df.withColumn(out, tree(0, len(bounds)))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
                 slices: int | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` per ``keys`` in ``order`` (rows up to and including the current).
 
-    ``order`` must be a total order within a key (end it with a unique column); its first
-    column must be numeric, a date or a timestamp.
+    ``order`` must be a total order within a key (end it with a unique column).
     """
     keys, order = list(keys), list(order)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = slice_by_quantiles(df, order[0], n)
+    sliced = slice_by_sample(df, [*keys, *order], n)
     w_local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumn("_local", F.sum(value).over(w_local))
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_tot"))

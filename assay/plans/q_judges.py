@@ -1 +1,140 @@
-"""placeholder"""
+"""Judge queries: SCL-4, SCL-10, SCL-11, SET-4, J7, A7, A8, A9, A10, L7."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assay.functions import judge as J
+from assay.functions import text as T
+from assay.operators import judges, stats
+from assay.plans.catalog import register
+from assay.plans.fixtures import oracle
+
+JUDGE_WEIGHTS = {"quality": 2.0, "toxicity": 1.0, "length": 1.0}
+B = 1000
+
+PARSE_CTE = """
+jp AS (SELECT doc_id, raw,
+  CASE WHEN raw IS NULL OR raw <> trim(raw) OR raw = '' OR contains(raw, '```') OR NOT coalesce(json_valid(raw), FALSE) THEN FALSE
+  ELSE (json_type(raw) = 'OBJECT'
+   AND list_sort(json_keys(raw)) = ['reason', 'schema_version', 'score']
+   AND json_type(raw, '$.schema_version') = 'VARCHAR' AND json_extract_string(raw, '$.schema_version') = '1.0'
+   AND json_type(raw, '$.score') IN ('DOUBLE', 'UBIGINT', 'BIGINT')
+   AND CAST(json_extract(raw, '$.score') AS DOUBLE) BETWEEN 0.0 AND 1.0
+   AND json_type(raw, '$.reason') = 'VARCHAR' AND trim(json_extract_string(raw, '$.reason')) <> ''
+   AND length(json_extract_string(raw, '$.reason')) <= 2000) END AS valid
+ FROM judge_raw)
+"""
+
+
+@register("judge_parse", oracle(["judge_raw"], """
+SELECT doc_id, valid, CASE WHEN valid THEN CAST(json_extract(raw, '$.score') AS DOUBLE) END AS score,
+ CASE WHEN valid THEN json_extract_string(raw, '$.reason') END AS reason,
+ CASE WHEN valid THEN CAST(json_extract(raw, '$.score') AS DOUBLE) >= 0.8 END AS passed
+FROM jp""", PARSE_CTE))
+def q_judge_parse(fx):
+    """SCL-10 + SCL-11: strict judge-output parsing, fail closed; pass = score >= 0.8."""
+    p = fx.judge_raw.select("doc_id", J.parse_judge_output("raw").alias("p"))
+    return p.select("doc_id", F.col("p.valid").alias("valid"), F.col("p.score").alias("score"),
+                    F.col("p.reason").alias("reason"), J.judge_passed(F.col("p.score")).alias("passed"))
+
+
+@register("judge_key_set_diff", oracle(["judge_raw"], """
+SELECT doc_id, array_to_string(list_sort(list_filter(json_keys(raw), lambda k: NOT list_contains(['reason', 'schema_version', 'score'], k))), ',') AS unknown_fields,
+ array_to_string(list_sort(list_filter(['reason', 'schema_version', 'score'], lambda k: NOT list_contains(json_keys(raw), k))), ',') AS missing_fields
+FROM judge_raw WHERE CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' AND len(json_keys(raw)) = len(list_distinct(json_keys(raw))) ELSE FALSE END"""))
+def q_judge_key_set_diff(fx):
+    """SET-4: unknown and missing fields of judge objects (sorted, distinct)."""
+    keys = J.top_level_keys("raw")
+    d = fx.judge_raw.select("doc_id", keys.alias("k")).where(F.col("k").isNotNull())
+    diff = J.key_set_diff("k")
+    return d.select("doc_id", F.array_join(diff["unknown"], ",").alias("unknown_fields"),
+                    F.array_join(diff["missing"], ",").alias("missing_fields"))
+
+
+@register("extract_json_block", oracle(["judge_raw"], """
+SELECT doc_id, regexp_replace(coalesce(nullif(regexp_extract(raw, '(?s)```(?:json)?\\s*(\\{.*?\\}|\\[.*?\\])\\s*```', 1), ''),
+  nullif(regexp_extract(raw, '(?s)(\\{.*\\}|\\[.*\\])', 1), '')), '^\\s+|\\s+$', '', 'g') AS block FROM judge_raw"""))
+def q_extract_json_block(fx):
+    """SCL-4: fenced JSON block first, else the greedy brace span."""
+    return fx.judge_raw.select("doc_id", T.extract_json_block("raw").alias("block"))
+
+
+ENSEMBLE_SQL = """
+SELECT d.doc_id AS subject_id,
+ CASE WHEN a.n IS NULL THEN FALSE WHEN a.pw > a.tw / 2.0 THEN TRUE WHEN a.pw < a.tw / 2.0 THEN FALSE ELSE a.fs >= 0.5 END AS passed,
+ CASE WHEN a.n IS NULL THEN 0.0 ELSE round(a.fs, 6) END AS final_score, 'weighted_majority' AS strategy,
+ CASE WHEN a.n IS NULL THEN 0.0 ELSE round(greatest(a.p, a.n - a.p) / a.n, 6) END AS agreement_ratio,
+ CASE WHEN a.n IS NULL THEN TRUE ELSE a.p > 0 AND a.p < a.n END AS disagreement_reported,
+ coalesce(a.pw = a.tw / 2.0, FALSE) AS tie_broken, coalesce(a.n, 0) AS total_judges,
+ coalesce(round(a.pw, 6), 0.0) AS passed_weight, coalesce(round(a.tw, 6), 0.0) AS total_weight
+FROM documents d LEFT JOIN (
+ SELECT subject_id, count(*) AS n, count(*) FILTER (WHERE passed) AS p,
+  sum(CASE judge_id WHEN 'quality' THEN CAST(2.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) AS tw,
+  sum(CASE WHEN passed THEN (CASE judge_id WHEN 'quality' THEN CAST(2.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END) ELSE CAST(0.0 AS DOUBLE) END) AS pw, avg(score) AS fs
+ FROM judge_results GROUP BY subject_id) a ON a.subject_id = d.doc_id"""
+
+
+@register("ensemble_consolidate", oracle(["judge_results"], ENSEMBLE_SQL))
+def q_ensemble_consolidate(fx):
+    """A7 + J7: weighted-majority ensemble per document; unjudged documents fail closed."""
+    subjects = fx.documents.select(F.col("doc_id").alias("subject_id"))
+    return judges.ensemble_consolidate(fx.judge_results, subjects, JUDGE_WEIGHTS)
+
+
+@register("ensemble_unanimous", oracle(["judge_results"], """
+SELECT subject_id, count(*) FILTER (WHERE passed) = count(*) AS passed, round(avg(score), 6) AS final_score
+FROM judge_results GROUP BY subject_id"""))
+def q_ensemble_unanimous(fx):
+    """Unanimous strategy (every judge must pass)."""
+    return judges.ensemble_consolidate(fx.judge_results, None, None, "unanimous").select(
+        "subject_id", "passed", "final_score")
+
+
+@register("summary_stats", oracle(["judge_results"], """
+SELECT judge_id, count(*) AS count, round(avg(score), 6) AS mean, round(median(score), 6) AS median,
+ round(coalesce(var_samp(score), 0.0), 6) AS variance, round(sqrt(coalesce(var_samp(score), 0.0)), 6) AS std_dev
+FROM judge_results GROUP BY judge_id"""))
+def q_summary_stats(fx):
+    """Count, mean, interpolated median, sample variance and std dev per judge."""
+    return stats.summary_stats(fx.judge_results, ["judge_id"], "score")
+
+
+def _draws_sql(source: str, tag: str | None, sfx: str = "") -> str:
+    label = "g" if tag is None else f"'{tag}'"
+    return f"""
+ ranked{sfx} AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v, id) - 1 AS idx FROM {source}),
+ sizes{sfx} AS (SELECT g, count(*) AS n FROM {source} GROUP BY g),
+ draws{sfx} AS (SELECT s.g, b.b, (('0x' || substr(md5(concat_ws(':', '42', {label}, CAST(b.b AS VARCHAR), CAST(j.j AS VARCHAR))), 1, 8))::BIGINT) % s.n AS idx
+   FROM sizes{sfx} s, range(0, {B}) b(b), range(0, s.n) j(j)),
+ means{sfx} AS (SELECT d.g, d.b, avg(r.v) AS m FROM draws{sfx} d JOIN ranked{sfx} r ON r.g = d.g AND r.idx = d.idx GROUP BY d.g, d.b)"""
+
+
+@register("bootstrap_ci", oracle(["judge_results"], f"""
+SELECT s.g AS judge_id, s.n AS sample_size, round(s.mean, 6) AS mean,
+ round(CASE WHEN s.n = 1 THEN s.only ELSE e.ms[{int((0.05 / 2.0) * B) + 1}] END, 6) AS ci_lower,
+ round(CASE WHEN s.n = 1 THEN s.only ELSE e.ms[{min(int((1.0 - 0.05 / 2.0) * B), B - 1) + 1}] END, 6) AS ci_upper,
+ CAST(0.95 AS DOUBLE) AS confidence_level, round(CASE WHEN s.n = 1 THEN 0.0 ELSE coalesce(s.sd, 0.0) END, 6) AS std_dev,
+ CASE WHEN s.n < 10 THEN 'Small sample size (' || s.n || ' < 10); confidence intervals may be wide or unstable.' ELSE '' END AS warning,
+ 'hash' AS mode
+FROM (SELECT g, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, any_value(v) AS only FROM vals GROUP BY g) s
+LEFT JOIN (SELECT g, list_sort(list(m)) AS ms FROM means GROUP BY g) e ON e.g = s.g""",
+    "vals AS (SELECT judge_id AS g, score AS v, subject_id AS id FROM judge_results)," + _draws_sql("vals", None)))
+def q_bootstrap_ci(fx):
+    """A9 + L7: hash-seeded percentile bootstrap of the mean score per judge (B = 1000)."""
+    return stats.bootstrap_ci(fx.judge_results, "judge_id", "score", "subject_id", 0.95, B, 42, "hash")
+
+
+@register("pairwise_delta_ci", oracle(["judge_results"], f"""
+SELECT 'quality' AS sample_a, 'toxicity' AS sample_b,
+ round((SELECT avg(score) FROM judge_results WHERE judge_id = 'quality')
+  - (SELECT avg(score) FROM judge_results WHERE judge_id = 'toxicity'), 6) AS delta_mean,
+ round(d.ds[{int((0.05 / 2.0) * B) + 1}], 6) AS ci_lower, round(d.ds[{min(int((1.0 - 0.05 / 2.0) * B), B - 1) + 1}], 6) AS ci_upper
+FROM (SELECT list_sort(list(a.m - b.m)) AS ds FROM means_a a JOIN means_b b ON a.b = b.b) d""",
+    "va AS (SELECT judge_id AS g, score AS v, subject_id AS id FROM judge_results WHERE judge_id = 'quality'),"
+    "vb AS (SELECT judge_id AS g, score AS v, subject_id AS id FROM judge_results WHERE judge_id = 'toxicity'),"
+    + _draws_sql("va", "a", "_a") + "," + _draws_sql("vb", "b", "_b")))
+def q_pairwise_delta_ci(fx):
+    """A10: bootstrap interval of mean(quality) - mean(toxicity)."""
+    return stats.pairwise_delta_ci(fx.judge_results, "judge_id", "score", "subject_id", "quality", "toxicity",
+                                   0.95, B, 42)
