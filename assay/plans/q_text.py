@@ -1 +1,94 @@
-"""placeholder"""
+"""Text-hygiene queries over whole documents: SCL-2, SCL-3, SCL-5, SCL-6, SCL-7, SCL-8, SCL-17, SCL-18."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from assay.functions import text as T
+from assay.plans.catalog import register
+from assay.plans.fixtures import oracle
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _redact_sql(expr: str) -> str:
+    out = expr
+    for _n, p, r in T.REDACTION_RULES:
+        out = f"regexp_replace({out}, {_q(p)}, {_q(r)}, 'g')"
+    return out
+
+
+CTRL = _q(T.CONTROL_CHARS)
+
+
+@register("redact_text", oracle([], f"SELECT doc_id, {_redact_sql('text')} AS redacted FROM documents"))
+def q_redact_text(fx):
+    """SCL-5: ordered secret / PII redaction of whole documents."""
+    return fx.documents.select("doc_id", T.redact_text("text").alias("redacted"))
+
+
+@register("first_secret", oracle([], "SELECT doc_id, CASE " + " ".join(
+    f"WHEN regexp_matches(text, {_q(p)}) THEN '{n}'" for n, p, _ in T.REDACTION_RULES)
+    + " END AS first_secret, NOT (" + " OR ".join(f"regexp_matches(text, {_q(p)})" for _, p, _ in T.REDACTION_RULES)
+    + ") AS is_clean FROM documents"))
+def q_first_secret(fx):
+    """SCL-6: first matching secret pattern per document, and the clean flag."""
+    return fx.documents.select("doc_id", T.first_secret("text").alias("first_secret"), T.is_clean("text").alias("is_clean"))
+
+
+@register("secret_guard", oracle([], f"SELECT doc_id, regexp_matches(text, {_q(T.SECRET_GUARD_PATTERN)}) AS has_secret FROM documents"))
+def q_secret_guard(fx):
+    """SCL-8: documents holding a secret that must never enter a decision record."""
+    return fx.documents.select("doc_id", T.secret_guard("text").alias("has_secret"))
+
+
+@register("normalise_text", oracle([], f"""
+SELECT doc_id, md5(t) AS text_md5, length(t) AS n_chars FROM (
+ SELECT doc_id, CASE WHEN length(c) > 64000 THEN left(c, 64000) || chr(10) || chr(10) || '[RESPONSE TRUNCATED]' ELSE c END AS t
+ FROM (SELECT doc_id, regexp_replace(nfc_normalize(text), {CTRL}, '', 'g') AS c FROM documents) a) b"""))
+def q_normalise_text(fx):
+    """SCL-2: NFC, control characters removed, cut to 64 000 characters + marker (whole texts)."""
+    t = T.normalise_text("text")
+    return fx.documents.select("doc_id", t.alias("_t")).select(
+        "doc_id", F.md5("_t").alias("text_md5"), F.length("_t").cast("bigint").alias("n_chars"))
+
+
+@register("sanitize_output", oracle([], f"""
+SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (
+ SELECT page_id, CASE WHEN length(c) > 4000 THEN left(c, 4000) || chr(10) || chr(10) || '[TRUNCATED]' ELSE c END AS t
+ FROM (SELECT page_id, regexp_replace(nfc_normalize(html), {CTRL}, '', 'g') AS c FROM pages) a) b"""))
+def q_sanitize_output(fx):
+    """SCL-3: the output sanitizer on raw pages (max_chars = 4000, so long pages are cut)."""
+    t = T.sanitize_output("html", max_chars=4000)
+    return fx.pages.select("page_id", t.alias("_t")).select(
+        "page_id", F.md5("_t").alias("text_md5"), F.length("_t").cast("bigint").alias("n_chars"))
+
+
+@register("text_preview", oracle([], "SELECT doc_id, left(text, 500) AS preview FROM documents"))
+def q_text_preview(fx):
+    """SCL-17: first 500 characters."""
+    return fx.documents.select("doc_id", T.text_preview("text").alias("preview"))
+
+
+@register("tag_values", oracle(["test_cases"], """
+SELECT id, array_to_string(list_transform(list_filter(string_split(tags_csv, ','), lambda t: starts_with(t, 'denied-tool:')),
+ lambda t: replace(t, 'denied-tool:', '')), ',') AS denied_tools FROM test_cases"""))
+def q_tag_values(fx):
+    """SCL-18: values of the ``denied-tool:`` tags per case."""
+    return fx.test_cases.select("id", F.array_join(T.tag_values(F.split("tags_csv", ","), "denied-tool:"), ",")
+                                .alias("denied_tools"))
+
+
+@register("redact_fields", oracle([], f"""
+SELECT event_id, '[REDACTED]' AS api_key, {_redact_sql("concat('contact ', 'user', event_id % 40, '@example.org ', props)")} AS note,
+ event_type AS kind FROM events"""))
+def q_redact_fields(fx):
+    """SCL-7: sensitive keys of an attribute map replaced, other values pattern-redacted."""
+    m = F.create_map(F.lit("API_Key"), F.concat(F.lit("sk-"), F.md5(F.col("event_id").cast("string"))),
+                     F.lit("note"), F.concat(F.lit("contact user"), F.col("event_id") % 40, F.lit("@example.org "),
+                                             F.col("props")),
+                     F.lit("kind"), F.col("event_type"))
+    r = T.redact_map(m)
+    return fx.events.select("event_id", r["API_Key"].alias("api_key"), r["note"].alias("note"), r["kind"].alias("kind"))
