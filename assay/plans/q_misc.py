@@ -154,7 +154,7 @@ def provider_requests(fx):
 
 
 @register("normalise_providers", oracle([], f"""
-SELECT DISTINCT concat('run-', user_id % 20) AS run_id, array_to_string(list_distinct_ordered, ',') AS providers
+SELECT DISTINCT concat('run-', user_id % 20) AS run_id, coalesce(array_to_string(list_distinct_ordered, ','), '') AS providers
 FROM (SELECT user_id, (SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (
    SELECT CASE WHEN lower(trim(s)) = 'gemini' THEN 'google' ELSE lower(trim(s)) END AS x, i
    FROM (SELECT unnest(string_split({PROVIDER_CSV_SQL}, ',')) AS s, generate_subscripts(string_split({PROVIDER_CSV_SQL}, ','), 1) AS i)
