@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.money import request_cost, usd_exact, usd_round, usd_sum
-from assay.operators.cumulative import running_sum
+from assay.operators.cumulative import running_sums
 from assay.sources.dims import Budget
 
 
@@ -141,8 +141,7 @@ def cumulative_spend(costed: DataFrame, budget: Budget, ts_col: str = "request_t
     Sums are exact decimals; the running sums use quantile slices (no single-task window per provider).
     """
     exact = costed.withColumn("_usd", usd_exact("cost_usd"))
-    per_p = running_sum(exact, ["provider"], [ts_col, id_col], "_usd", "_p")
-    both = running_sum(per_p, [], [ts_col, id_col], "_usd", "_g")
+    both = running_sums(exact, [ts_col, id_col], [(["provider"], "_usd", "_p"), ([], "_usd", "_g")])
     return both.select(
         id_col, "provider", ts_col, "cost_usd",
         usd_round("_p").alias("provider_spend_usd"),

@@ -60,15 +60,28 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
     ``order`` must be a total order within a key (end it with a unique column).
     """
-    keys, order = list(keys), list(order)
+    return running_sums(df, order, [(keys, value, out)], slices)
+
+
+def running_sums(df: DataFrame, order: Sequence[str], specs: Sequence[tuple[Sequence[str], str, str]],
+                 slices: int | None = None) -> DataFrame:
+    """Several running sums over one ordering; ``specs`` = [(keys, value, out), ...].
+
+    The rows are sliced once on ``order`` alone (global time / order ranges); that is valid for
+    any partition keys - each (key, slice) group is a contiguous piece of that key's order - and
+    it keeps every group no larger than one slice, however hot the key.
+    """
+    order = list(order)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = slice_by_sample(df, [*keys, *order], n)
-    w_local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = sliced.withColumn("_local", F.sum(value).over(w_local))
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_tot"))
-    w_off = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_slice", F.sum("_tot").over(w_off).alias("_off"))
-    joined = local.join(offsets, [*keys, "_slice"], "left")
-    zero = F.lit(0).cast(df.schema[value].dataType)
-    return joined.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), zero)).drop(
-        "_local", "_off", "_slice")
+    cur = slice_by_sample(df, order, n)
+    for keys, value, out in specs:
+        keys = list(keys)
+        w_local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        local = cur.withColumn("_local", F.sum(value).over(w_local))
+        totals = cur.groupBy(*keys, "_slice").agg(F.sum(value).alias("_tot"))
+        w_off = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(*keys, "_slice", F.sum("_tot").over(w_off).alias("_off"))
+        zero = F.lit(0).cast(df.schema[value].dataType)
+        cur = local.join(offsets, [*keys, "_slice"], "left").withColumn(
+            out, F.col("_local") + F.coalesce(F.col("_off"), zero)).drop("_local", "_off")
+    return cur.drop("_slice")
