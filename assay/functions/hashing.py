@@ -15,6 +15,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Decision-record contract.
 SCHEMA_VERSION = "1.0.0"
@@ -93,13 +94,13 @@ def verify_records(df: DataFrame, keys: DataFrame) -> DataFrame:
     return j.withColumn("record_error", err).drop("_ipad", "_opad")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json_text(s: pd.Series) -> pd.Series:
     """SCL-9 for free-form JSON text with byte parity: sorted keys, compact, non-ASCII escaped."""
     return s.map(lambda v: None if v is None else json.dumps(json.loads(v), sort_keys=True, separators=(",", ":")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def config_hash(s: pd.Series) -> pd.Series:
     """SCL-19: SHA-256 of sorted-key JSON with the default (spaced) separators."""
     return s.map(lambda v: None if v is None else hashlib.sha256(
@@ -111,7 +112,7 @@ def scenario_fingerprint(json_text) -> Column:
     return F.sha2(canonical_json_text(_drop_fingerprint(_c(json_text))), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _drop_fingerprint(s: pd.Series) -> pd.Series:
     def one(v):
         if v is None:

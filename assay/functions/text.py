@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Control characters removed from model text (tab, LF, CR are kept).
 CONTROL_CHARS = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
@@ -59,7 +60,7 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC (Arrow batch; ASCII values pass through untouched)."""
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
@@ -171,7 +172,7 @@ def _redact_value(v):
     return v
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redact_json(s: pd.Series) -> pd.Series:
     """SCL-7 on free-form JSON text, any depth (Arrow batch); unparsable text is pattern-redacted."""
     def one(v):
