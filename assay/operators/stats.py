@@ -101,7 +101,7 @@ def bootstrap_ci(df: DataFrame, group: str, value: str, id_col: str, confidence:
     else:
         raise ValueError(f"unknown bootstrap mode {mode!r}")
     ends = means.groupBy("_g").agg(F.array_sort(F.collect_list("_mean")).alias("_m")).select(
-        F.col("_g").alias(group), F.element_at("_m", lo + 1).alias("_lo"), F.element_at("_m", hi + 1).alias("_hi"))
+        F.col("_g").alias(group), F.try_element_at("_m", F.lit(lo + 1)).alias("_lo"), F.try_element_at("_m", F.lit(hi + 1)).alias("_hi"))
     summ = df.where(F.col(value).isNotNull()).groupBy(group).agg(
         F.count(F.lit(1)).alias("sample_size"), F.avg(value).alias("_mean"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_sd"), F.first(value).alias("_only"))
@@ -201,6 +201,7 @@ def poisson_means(df: DataFrame, group: str, value: str, id_col: str, iterations
     part = vals.mapInPandas(_poisson_fn(iterations, seed), schema)
     exploded = part.select("_g", F.posexplode(F.arrays_zip("_sw", "_swv")).alias("_b", "_z"))
     sums = exploded.groupBy("_g", "_b").agg(F.sum("_z._sw").alias("_sw"), F.sum("_z._swv").alias("_swv"))
-    out = sums.select("_g", "_b", (F.col("_swv") / F.col("_sw")).alias("_mean"))
+    # an all-zero-weight resample is empty: its mean is undefined and skipped
+    out = sums.select("_g", "_b", F.try_divide(F.col("_swv"), F.col("_sw")).alias("_mean"))
     # restore the caller's group type for the join in bootstrap_ci
     return out.withColumn("_g", F.col("_g").cast(df.schema[group].dataType))
