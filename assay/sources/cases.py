@@ -1,6 +1,6 @@
 """SRC-1 case files (JSONL per category) and P1 case-file validation.
 
-Case files are small configuration files; each is read whole (``wholetext``) so line
+Case files are small configuration files; each is read whole (``binaryFile``) so line
 numbers are exact, then split into lines with ``posexplode`` - parsing and validation
 are JSON functions in the JVM.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.sources.tables import read_whole_files
+
 CASE_SCHEMA = (
     "id string, version int, category string, subcategory string, description string, "
     "messages array<struct<role:string,content:string>>, "
@@ -22,8 +24,8 @@ REQUIRED_FIELDS = ("category", "expected", "id", "messages", "subcategory", "ver
 
 def case_lines(spark: SparkSession, root: str, pattern: str = "*/*.jsonl") -> DataFrame:
     """(category_dir, file_name, line_no, line) for every non-blank, non-comment line, in load order."""
-    files = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/{pattern}").select(
-        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"), "value")
+    files = read_whole_files(spark, f"{root.rstrip('/')}/{pattern}").select(
+        "file_path", F.regexp_extract("file_path", r"([^/]+)$", 1).alias("file_name"), "value")
     lines = files.select("file_path", "file_name", F.posexplode(F.split("value", "\n")).alias("_i", "raw"))
     out = lines.select(
         F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1).alias("category_dir"), "file_name",

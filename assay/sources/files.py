@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import text as T
 from assay.operators.requests import map_finish_reason
+from assay.sources.tables import read_whole_files
 
 REPORT_SCHEMA = ("schema_version string, generated_at string, suite string, total bigint, passed bigint, "
                  "failed bigint, resistance_score double, cases array<struct<case_id:string,passed:boolean>>, "
@@ -20,8 +21,7 @@ SCAN_EXTENSIONS = (".json", ".jsonl", ".yaml", ".yml", ".txt", ".log", ".md", ".
 def scan_integrity_reports(spark: SparkSession, path: str) -> DataFrame:
     """SRC-10: report files, each read whole; malformed or schema-mismatched ones fail closed
     (``status`` = malformed / schema_mismatch) instead of failing the job."""
-    files = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("file_path"), "value")
+    files = read_whole_files(spark, path).select("file_path", "value")
     v = F.try_parse_json("value")
     keys = F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
     parsed = files.select("file_path", v.alias("_v"), keys.alias("_keys"),
@@ -86,7 +86,7 @@ def normalise_raw_responses(raw: DataFrame) -> DataFrame:
     choices is an error.  Each family is a ``from_json`` with its schema, then ``unionByName``.
     """
     chat = raw.where(F.col("provider").isin("openai", "xai")).withColumn("p", F.from_json("payload", OPENAI_SCHEMA))
-    first = F.element_at("p.choices", 1)
+    first = F.try_element_at("p.choices", F.lit(1))
     calls = F.transform(F.coalesce(first["message"]["tool_calls"], F.array().cast(
         "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>")),
         lambda t: F.struct(t["id"].alias("id"), t["type"].alias("type"), t["function"]["name"].alias("name"),
@@ -118,7 +118,7 @@ def normalise_raw_responses(raw: DataFrame) -> DataFrame:
 
     gm = raw.where(F.col("provider") == "google")
     choices = F.try_variant_get(F.try_parse_json("payload"), "$.choices", "array<variant>")
-    first_g = F.element_at(choices, 1)
+    first_g = F.try_element_at(choices, F.lit(1))
     gm_out = gm.select(
         "payload_id", "provider", F.try_variant_get(F.try_parse_json("payload"), "$.model", "string").alias("model"),
         structured_text(F.to_json(F.try_variant_get(first_g, "$.message.content", "variant"))).alias("text"),

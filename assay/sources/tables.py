@@ -41,6 +41,19 @@ def recent(df: DataFrame, ts_col: str, n: int = 50, tie: str | None = None) -> D
     return df.orderBy(*order).limit(n)
 
 
+def read_whole_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(file_path, file_size, value): one row per file with its whole UTF-8 text (``binaryFile`` source).
+
+    For small configuration-like files (cases, scenarios, reports) where a record can span
+    lines or line numbers matter; each file is one task's worth of bytes.
+    """
+    r = spark.read.format("binaryFile")
+    if recursive:
+        r = r.option("recursiveFileLookup", True)
+    return r.load(path).select(F.col("path").alias("file_path"), F.col("length").alias("file_size"),
+                               F.decode("content", "UTF-8").alias("value"))
+
+
 def scan_decision_stream(decisions: DataFrame, stream_id: str | None = None,
                          order_col: str = "stream_sequence") -> DataFrame:
     """SRC-12 / L5: the decisions of one stream (partition-filtered) in sequence order.

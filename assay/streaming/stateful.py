@@ -108,19 +108,27 @@ def append_decisions(records: DataFrame, watermark_col: str | None = None, water
         _append_fn, APPEND_OUT, APPEND_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, source: DataFrame, build, name: str, files_per_trigger: int = 1) -> DataFrame:
+def run_available(spark: SparkSession, source: DataFrame, build, name: str, files_per_trigger: int = 1,
+                  output_mode: str = "append") -> DataFrame:
     """Run ``build(stream_df)`` over ``source`` as a Structured Streaming job to completion.
 
     The source rows are written as parquet files under the shared checkpoint folder, read
     back with ``readStream`` (``maxFilesPerTrigger`` -> several micro-batches), processed with
     ``trigger(availableNow=True)`` into a parquet sink (exactly-once with the checkpoint), and
-    the sink is returned as a batch DataFrame.
+    the sink is returned as a batch DataFrame.  ``output_mode="complete"`` (aggregations) uses the
+    memory sink and returns the final result table.
     """
     base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
     src, sink, ckpt = (os.path.join(base, p) for p in ("source", "sink", "checkpoint"))
     source.write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
+    if output_mode == "complete":
+        table = f"assay_{name}_{uuid.uuid4().hex[:8]}"
+        q = (build(stream).writeStream.format("memory").queryName(table).option("checkpointLocation", ckpt)
+             .outputMode("complete").trigger(availableNow=True).start())
+        q.awaitTermination()
+        return spark.table(table)
     q = (build(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start())
+         .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink)
