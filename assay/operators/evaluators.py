@@ -271,23 +271,33 @@ def needle_matches(haystack: DataFrame, needles: DataFrame, hay_id: str, hay_tex
     for g in sorted(tiers):
         tier = F.when(F.length("_nt") >= F.lit(2 * g - 1), F.lit(g)).otherwise(tier)
     nd = nd.withColumn("_tier", tier)
+    # Only tiers some needle needs are built (at most len(tiers) values come back): a short
+    # needle tier explodes every document far more than the 32-character tier does.
+    present = {r[0] for r in nd.select("_tier").distinct().collect()}
     out = None
-    for g in tiers:
+    for g in [t for t in tiers if t in present]:
         part = _tier_matches(docs, nd.where(F.col("_tier") == g), g)
         out = part if out is None else out.unionByName(part)
+    if out is None:  # no needles at all
+        schema = "_hid " + haystack.schema[hay_id].dataType.simpleString() + ", _nid " + \
+            needles.schema[needle_id].dataType.simpleString()
+        out = haystack.sparkSession.createDataFrame([], schema)
     return out.distinct().withColumnRenamed("_hid", hay_id).withColumnRenamed("_nid", needle_id)
 
 
 def _tier_matches(docs: DataFrame, nd: DataFrame, g: int) -> DataFrame:
-    n_grams = nd.select("_nid", "_nt", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("_off")).where(
-        F.col("_off") + F.lit(g) <= F.length("_nt")).select(
-        "_nid", "_nt", "_off", F.col("_nt").substr(F.col("_off") + 1, F.lit(g)).alias("_gram"))
-    last = F.floor((F.length("_ht") - F.lit(g)) / F.lit(g)).cast("int")
-    d_grams = docs.where(F.length("_ht") >= F.lit(g)).select(
-        "_hid", "_ht", F.explode(F.sequence(F.lit(0), last)).alias("_k")).select(
-        "_hid", (F.col("_k") * F.lit(g)).alias("_q"),
-        F.col("_ht").substr(F.col("_k") * F.lit(g) + 1, F.lit(g)).alias("_gram"))
+    # Grams are cut inside the array (``transform``) before exploding, so the exploded rows carry
+    # only (offset, gram) - never a copy of the whole text per row.
+    n_grams = nd.select("_nid", "_nt", F.explode(F.transform(
+        F.sequence(F.lit(0), F.least(F.lit(g - 1), F.length("_nt") - F.lit(g))),
+        lambda o: F.struct(o.alias("_off"), F.col("_nt").substr(o + 1, F.lit(g)).alias("_gram")))).alias("_x")
+    ).select("_nid", "_nt", "_x._off", "_x._gram")
+    # Aligned document grams in one linear regex pass: consecutive g-character chunks
+    # (``substr`` at a character offset re-walks UTF-8 from the start - quadratic in text length).
+    chunks = F.regexp_extract_all(F.col("_ht"), F.lit(f"(?s).{{1,{g}}}"), 0)
+    d_grams = docs.select("_hid", F.posexplode(chunks).alias("_k", "_gram")).where(
+        F.length("_gram") == F.lit(g)).select("_hid", (F.col("_k") * F.lit(g)).alias("_q"), "_gram")
     cand = d_grams.join(n_grams, "_gram").select("_hid", "_nid", "_nt", (F.col("_q") - F.col("_off")).alias("_p"))
-    cand = cand.where(F.col("_p") >= 0).dropDuplicates(["_hid", "_nid", "_p"])
+    cand = cand.where(F.col("_p") >= 0).distinct()
     checked = cand.join(docs, "_hid").where(F.col("_ht").substr(F.col("_p") + 1, F.length("_nt")) == F.col("_nt"))
     return checked.select("_hid", "_nid")

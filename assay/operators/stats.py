@@ -65,24 +65,34 @@ def _draw_index(seed: int, tag: Column, b: Column, j: Column, n: Column) -> Colu
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), n)
 
 
+BROADCAST_MAX_ROWS = 2_000_000
+
+
 def bootstrap_means(df: DataFrame, group: str, value: str, id_col: str, iterations: int = 1000,
                     seed: int = 42, tag: str | None = None) -> DataFrame:
     """Hash-mode resampling: per (group, iteration) the mean of n draws, draw j of iteration b taking
     the value at rank ``md5(seed:group:b:j)[:8] mod n``.  Deterministic and reproducible in any
-    engine; work is n * B draws, generated from (group, iteration) rows spread over tasks."""
+    engine; work is n * B draws, generated from (group, iteration) rows spread over tasks.
+
+    The ranked values are broadcast only when their row count - counted first - is at most
+    ``BROADCAST_MAX_ROWS``; beyond that the draws are joined to them by a shuffle join.
+    """
     vals = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"),
                                                      F.col(id_col).alias("_id"))
-    idx = dense_index(vals, ["_g"], ["_v", "_id"], "_idx")
+    idx = dense_index(vals, ["_g"], ["_v", "_id"], "_idx").select("_g", "_idx", "_v")
     sizes = vals.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     iters = sizes.select("_g", "_n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_b"))
-    iters = iters.repartition("_g", "_b")
+    # Tiny table, huge fan-out: an explicit partition count (AQE does not coalesce it) spreads the
+    # n draws per (group, iteration) over all task slots.
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    iters = iters.repartition(parts, "_g", "_b")
     label = F.col("_g").cast("string") if tag is None else F.lit(tag)
     draws = iters.select("_g", "_b", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j")).select(
         "_g", "_b", _draw_index(seed, label, F.col("_b"), F.col("_j"), F.col("_n")).alias("_idx"))
-    picked = draws.groupBy("_g", "_b", "_idx").agg(F.count(F.lit(1)).alias("_k"))
-    joined = picked.join(idx.select("_g", "_idx", "_v"), ["_g", "_idx"])
-    return joined.groupBy("_g", "_b").agg(
-        (F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("_mean"))
+    small = vals.count() <= BROADCAST_MAX_ROWS
+    joined = draws.join(F.broadcast(idx) if small else idx, ["_g", "_idx"])
+    return joined.groupBy("_g", "_b").agg(F.avg("_v").alias("_mean"))
 
 
 def bootstrap_ci(df: DataFrame, group: str, value: str, id_col: str, confidence: float = 0.95,
