@@ -13,6 +13,9 @@ from assay.operators.cumulative import running_sums
 from assay.sources.dims import Budget
 
 
+PRICE_MAP_BROADCAST_MAX = 1_000_000
+
+
 def price_by_longest_prefix(df: DataFrame, model_col: str, pricing: DataFrame,
                             prefix: str = "") -> DataFrame:
     """Attach the prices of the longest registered model name that prefixes ``model_col``.
@@ -37,7 +40,11 @@ def price_by_longest_prefix(df: DataFrame, model_col: str, pricing: DataFrame,
         F.col("_p.input_per_million").alias(f"{prefix}input_per_million"),
         F.col("_p.output_per_million").alias(f"{prefix}output_per_million"),
     )
-    return df.join(resolved, df[model_col] == resolved["_name"], "left").drop("_name")
+    # The name -> price map has one row per distinct model name; broadcast it only when the
+    # counted size proves it small, otherwise fall back to a shuffle join.
+    small = resolved.count() <= PRICE_MAP_BROADCAST_MAX
+    side = F.broadcast(resolved) if small else resolved
+    return df.join(side, df[model_col] == side["_name"], "left").drop("_name")
 
 
 def with_cost(executions: DataFrame, pricing: DataFrame, model_col: str = "returned_model",
