@@ -30,8 +30,14 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS rk,
 """
 
 
+def decisions(fx):
+    """The decisions fixture with BIGINT positions (Spark's row_number is INT)."""
+    return fx.decisions.withColumn("pos", F.col("pos").cast("bigint")).withColumn(
+        "stream_sequence", F.col("stream_sequence").cast("bigint"))
+
+
 def ranked(fx):
-    return audit.with_rank(fx.decisions, "pos")
+    return audit.with_rank(decisions(fx), "pos")
 
 
 @register("chain_link_check", oracle(D, """
@@ -59,7 +65,7 @@ SELECT stream_id, arg_max(stream_sequence, pos) AS head_sequence, arg_max(curren
 FROM decisions GROUP BY stream_id"""))
 def q_stream_head(fx):
     """The head (last record) of each stream."""
-    return audit.stream_head(fx.decisions, "pos")
+    return audit.stream_head(decisions(fx), "pos")
 
 
 FAIL_CTE = RANK_CTE + """,
@@ -73,7 +79,7 @@ SELECT stream_id, count(*) AS records, min(rk) FILTER (WHERE reason IS NOT NULL)
 FROM f GROUP BY stream_id""", FAIL_CTE))
 def q_verify_chain(fx):
     """STR-10 (link, sequence and duplicate parts): first failure per stream."""
-    return audit.verify_chain(fx.decisions, "pos").select("stream_id", "records", "first_failure_rank", "reason", "valid")
+    return audit.verify_chain(decisions(fx), "pos").select("stream_id", "records", "first_failure_rank", "reason", "valid")
 
 
 @register("scan_decision_stream", oracle(D, """
@@ -81,12 +87,12 @@ SELECT pos, stream_sequence, decision_id, current_record_digest FROM decisions W
 ORDER BY pos"""))
 def q_scan_decision_stream(fx):
     """SRC-12 / L5: one stream's records in order (pushed-down stream filter)."""
-    return scan_decision_stream(fx.decisions, "stream-3", "pos").select(
+    return scan_decision_stream(decisions(fx), "stream-3", "pos").select(
         "pos", "stream_sequence", "decision_id", "current_record_digest")
 
 
 def decision_records(fx):
-    d = fx.decisions
+    d = decisions(fx)
     return d.select(
         "stream_id", "pos",
         F.lit("READ").alias("action"), F.lit("HMAC-SHA256").alias("algorithm"),

@@ -79,7 +79,7 @@ def q_cost_24h(fx):
 
 @register("active_executions", oracle(X, """
 SELECT provider, execution_id, kind,
- sum(delta) OVER (PARTITION BY provider ORDER BY t, delta, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active
+ CAST(sum(delta) OVER (PARTITION BY provider ORDER BY t, delta, execution_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS active
 FROM (SELECT provider, execution_id, request_ts AS t, CAST(1 AS BIGINT) AS delta, 'start' AS kind FROM executions
  UNION ALL SELECT provider, execution_id, request_ts + to_milliseconds(latency_ms), CAST(-1 AS BIGINT), 'end' FROM executions) e"""))
 def q_active_executions(fx):
