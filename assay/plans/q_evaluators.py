@@ -218,3 +218,72 @@ SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d
 def q_needle_matches(fx):
     """J11 / E7 over a shared needle list: benchmark passages found verbatim in whole documents."""
     return ev.needle_matches(fx.documents, fx.benchmark, "doc_id", "text", "item_id", "text")
+
+
+def raw_payloads(fx):
+    """Raw provider payloads (three families) built from the responses fixture."""
+    r = fx.responses
+    k = F.col("conv_id") % 3
+    provider = F.when(k == 0, "openai").when(k == 1, "anthropic").otherwise("google")
+    names = F.filter(F.split("tool_calls_csv", ","), lambda x: x != "")
+    n_chars = F.length("text").cast("bigint")
+    turn = F.col("turn").cast("bigint")
+    openai = F.to_json(F.struct(
+        F.col("execution_id").alias("id"), F.lit("gpt-4o").alias("model"),
+        F.array(F.struct(F.struct(F.when(F.col("turn") % 7 != 0, F.col("text")).alias("content"),
+                                  F.transform(names, lambda n: F.struct(n.alias("id"), F.lit("function").alias("type"),
+                                              F.struct(n.alias("name"), F.lit("{}").alias("arguments")).alias("function")))
+                                  .alias("tool_calls")).alias("message"),
+                         F.lit("stop").alias("finish_reason"))).alias("choices"),
+        F.when(F.col("turn") % 4 != 0, F.struct(n_chars.alias("prompt_tokens"), turn.alias("completion_tokens"),
+                                                (n_chars + turn).alias("total_tokens"))).alias("usage")))
+    stop = F.element_at(F.array(F.lit("end_turn"), F.lit("max_tokens"), F.lit("tool_use")), (F.col("turn") % 3 + 1).cast("int"))
+    block = "struct<type:string,text:string,id:string,name:string,input:map<string,string>>"
+    anthropic = F.to_json(F.struct(
+        F.col("execution_id").alias("id"), F.lit("claude").alias("model"),
+        F.concat(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("id"),
+                                  F.lit(None).cast("string").alias("name"), F.lit(None).cast("map<string,string>").alias("input"))),
+                 F.transform(names, lambda n: F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"),
+                                                       n.alias("id"), n.alias("name"), F.create_map().cast("map<string,string>").alias("input"))),
+                 F.array(F.struct(F.lit("text").alias("type"), F.lit("(end)").alias("text"), F.lit(None).cast("string").alias("id"),
+                                  F.lit(None).cast("string").alias("name"), F.lit(None).cast("map<string,string>").alias("input")))
+                 ).cast(f"array<{block}>").alias("content"),
+        stop.alias("stop_reason"), F.struct(n_chars.alias("input_tokens"), turn.alias("output_tokens")).alias("usage")))
+    parts = F.array(F.struct(F.left("text", F.lit(10)).alias("text")), F.struct(F.expr("substr(text, 11)").alias("text")))
+    usage = F.struct(n_chars.alias("prompt_tokens"), turn.alias("completion_tokens"), (n_chars + turn).alias("total_tokens"))
+
+    def gemini(content):
+        choice = F.array(F.struct(F.struct(content.alias("content")).alias("message"), F.lit("stop").alias("finish_reason")))
+        choices = F.when(F.col("turn") % 9 == 0, F.filter(choice, lambda _: F.lit(False))).otherwise(choice)
+        return F.to_json(F.struct(F.lit("gemini").alias("model"), choices.alias("choices"), usage.alias("usage")))
+
+    # list-of-parts content on even turns, plain string content on odd turns
+    google = F.when(F.col("turn") % 2 == 0, gemini(parts)).otherwise(gemini(F.col("text")))
+    payload = F.when(k == 0, openai).when(k == 1, anthropic).otherwise(google)
+    return r.select(F.col("execution_id").alias("payload_id"), provider.alias("provider"), payload.alias("payload"),
+                    (F.col("turn") * 100).cast("bigint").alias("latency_ms"))
+
+
+@register("normalise_raw_responses", oracle(["responses"], """
+SELECT execution_id AS payload_id, provider,
+ CASE WHEN provider = 'openai' THEN (CASE WHEN turn % 7 <> 0 THEN text ELSE '' END)
+      WHEN provider = 'anthropic' THEN text || chr(10) || '(end)'
+      WHEN turn % 9 = 0 THEN '' ELSE text END AS text,
+ CASE WHEN provider = 'anthropic' THEN (CASE turn % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'length' ELSE 'tool_calls' END)
+      WHEN provider = 'google' AND turn % 9 = 0 THEN NULL ELSE 'stop' END AS finish_reason,
+ CASE WHEN provider = 'google' THEN '' ELSE array_to_string(list_filter(string_split(tool_calls_csv, ','), lambda x: x <> ''), ',') END AS tool_names,
+ CAST(CASE WHEN provider = 'openai' AND turn % 4 = 0 THEN 0 ELSE length(text) END AS BIGINT) AS input_tokens,
+ CAST(CASE WHEN provider = 'openai' AND turn % 4 = 0 THEN 0 ELSE turn END AS BIGINT) AS output_tokens,
+ CAST(CASE WHEN provider = 'openai' AND turn % 4 = 0 THEN 0 ELSE length(text) + turn END AS BIGINT) AS total_tokens,
+ CASE WHEN provider = 'google' AND turn % 9 = 0 THEN 'no choices' END AS error
+FROM (SELECT *, CASE conv_id % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE 'google' END AS provider FROM responses) r"""))
+def q_normalise_raw_responses(fx):
+    """SRC-13 + SCL-20 + P9: raw OpenAI / Anthropic / Gemini payloads normalised to one response shape."""
+    from assay.sources.files import normalise_raw_responses
+
+    n = normalise_raw_responses(raw_payloads(fx))
+    return n.select("payload_id", "provider", "text", "finish_reason",
+                    F.array_join(F.transform("tool_calls", lambda t: t["name"]), ",").alias("tool_names"),
+                    F.col("input_tokens").cast("bigint").alias("input_tokens"),
+                    F.col("output_tokens").cast("bigint").alias("output_tokens"),
+                    F.col("total_tokens").cast("bigint").alias("total_tokens"), "error")

@@ -138,3 +138,27 @@ def q_pairwise_delta_ci(fx):
     """A10: bootstrap interval of mean(quality) - mean(toxicity)."""
     return stats.pairwise_delta_ci(fx.judge_results, "judge_id", "score", "subject_id", "quality", "toxicity",
                                    0.95, B, 42)
+
+
+@register("bootstrap_ci_poisson")
+def q_bootstrap_ci_poisson(fx):
+    """A9 at scale: Poisson-weighted bootstrap (B running sums per partition, no n * B explosion)."""
+    return stats.bootstrap_ci(fx.judge_results, "judge_id", "score", "subject_id", 0.95, B, 42, "poisson")
+
+
+@register("structured_output", oracle(["judge_raw"], """
+SELECT CAST(doc_id AS VARCHAR) AS execution_id,
+ CAST(CASE WHEN kind = 'container' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS numeric_score, coalesce(kind = 'container', FALSE) AS passed,
+ CAST(CASE WHEN kind IS NULL THEN 1.0 ELSE 0.9 END AS DOUBLE) AS confidence
+FROM (SELECT doc_id, CASE WHEN NOT coalesce(json_valid(raw), FALSE) THEN NULL
+  WHEN json_type(raw) IN ('OBJECT', 'ARRAY') THEN 'container' ELSE 'scalar' END AS kind FROM judge_raw) j"""))
+def q_structured_output(fx):
+    """Structured-output validity of raw judge texts (cases that carry a JSON schema)."""
+    from assay.operators import evaluators as ev
+
+    empty = F.array().cast("array<string>")
+    rc = fx.judge_raw.select(F.col("doc_id").cast("string").alias("execution_id"), F.col("raw").alias("text"),
+                             empty.alias("tags"), empty.alias("must_contain"), empty.alias("must_not_contain"),
+                             empty.alias("tool_calls"), F.lit(True).alias("has_json_schema"))
+    s = ev.content_integrity(rc).where(F.col("metric_name") == "structured_output_validity")
+    return s.select("execution_id", "numeric_score", "passed", "confidence")
