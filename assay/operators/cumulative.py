@@ -2,8 +2,8 @@
 
 ``sum(x) OVER (PARTITION BY provider ORDER BY ts)`` puts every row of a provider into a
 single task; with four providers that is four tasks for the whole table.  Here the order
-key is cut into range slices of about equal global size (bounds from a small seeded
-sample, applied by a deterministic comparison tree), each (key, slice) computes its local
+key is cut into range slices of about equal global size (bounds from one pass of
+per-partition reservoir samples, applied by a deterministic comparison tree), each (key, slice) computes its local
 running sum in its own window group, and the per-(key, slice) totals - a table with at
 most ``keys x slices`` rows - are prefix-summed and added back.  Because the slice of a
 row is a pure function of its order value, every recomputation (or a lost executor)
@@ -14,35 +14,70 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _reservoir(per_partition: int, seed: int):
+    """Uniform sample of ``per_partition`` rows of one partition, each with weight rows / kept."""
+
+    def fn(batches):
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        rng = np.random.default_rng(seed * 1_000_003 + (ctx.partitionId() if ctx else 0))
+        kept, n = None, 0
+        for pdf in batches:
+            n += len(pdf)
+            pdf = pdf.assign(_p=rng.random(len(pdf)))
+            kept = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+            if len(kept) > per_partition:
+                kept = kept.nsmallest(per_partition, "_p")
+        if kept is not None and len(kept):
+            yield kept.drop(columns="_p").assign(_w=float(n) / len(kept))
+
+    return fn
 
 
 def slice_by_sample(df: DataFrame, cols: Sequence[str], slices: int, out: str = "_slice",
                     per_slice: int = 20, seed: int = 17) -> DataFrame:
     """Add ``out`` = index of the range slice holding the composite key ``cols``.
 
-    Bounds come from a seeded sample of about ``per_slice * slices`` keys (the same thing
-    range partitioning does internally; the sample is bounded by ``slices``, not by the
-    data), and are applied with a balanced tree of struct comparisons - O(log slices)
-    per row, codegen'd, and a pure function of the row, so recomputation is stable.
+    Bounds come from one pass of per-partition reservoir samples (about ``3 * per_slice *
+    slices`` keys in total, weighted by partition size - what range partitioning does
+    internally), sorted by Spark itself, and are applied with a balanced tree of struct
+    comparisons: O(log slices) per row, codegen'd, and a pure function of the row, so any
+    recomputation assigns the same slice.
     """
     cols = list(cols)
     if slices <= 1:
         return df.withColumn(out, F.lit(0))
-    key = F.struct(*[F.col(c).alias(c) for c in cols])
-    total = df.count()
-    if total == 0:
+    spark = df.sparkSession
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. no RDD access; only sizes the sample
+        parts = spark.sparkContext.defaultParallelism
+    per = max(1, -(-3 * per_slice * slices // max(parts, 1)))
+    keyed = df.select(*cols)
+    schema = T.StructType(keyed.schema.fields + [T.StructField("_w", T.DoubleType())])
+    sample = keyed.mapInPandas(_reservoir(per, seed), schema).collect()
+    if not sample:
         return df.withColumn(out, F.lit(0))
-    frac = min(1.0, per_slice * slices / total)
-    sample = [r[0] for r in df.select(key.alias("_k")).sample(False, frac, seed).orderBy("_k").collect()]
-    step = len(sample) / slices
-    picks = []
-    for i in range(1, slices):
-        row = sample[min(int(i * step), len(sample) - 1)] if sample else None
-        if row is not None and (not picks or tuple(row) != tuple(picks[-1])):
-            picks.append(row)
+    ordered = spark.createDataFrame(sample, schema).orderBy(*cols).collect()
+    total = sum(r["_w"] for r in ordered)
+    picks, acc, k = [], 0.0, 1
+    for r in ordered:
+        acc += r["_w"]
+        while k < slices and acc >= k * total / slices:
+            key = tuple(r[c] for c in cols)
+            if not picks or key != picks[-1]:
+                picks.append(key)
+            k += 1
     types = {f.name: f.dataType for f in df.schema.fields}
+    key = F.struct(*[F.col(c).alias(c) for c in cols])
     bounds = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, row)]) for row in picks]
 
     def tree(lo: int, hi: int) -> Column:
