@@ -37,4 +37,5 @@ def register(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the query modules so they register themselves."""
-    from assay.plans import q_audit, q_costs, q_evaluators, q_judges, q_metrics, q_misc, q_streaming, q_text  # noqa: F401
+    from assay.plans import (  # noqa: F401
+        q_audit, q_costs, q_evaluators, q_judges, q_keys, q_metrics, q_misc, q_streaming, q_text)
