@@ -87,6 +87,19 @@ def sanitize_output(text, max_chars: int = MAX_CHARS, unicode_nfc: bool = True)
     return _truncate(strip_control(t), max_chars, SANITIZE_TRUNCATED)
 
 
+NON_ASCII = "[^\\x00-\\x7F]"
+
+
+def normalised_column(df, col: str, out: str, max_chars: int = MAX_CHARS, marker: str = RESPONSE_TRUNCATED):
+    """SCL-2 / SCL-3 as a DataFrame step: only rows holding non-ASCII characters go through the
+    NFC Arrow UDF; ASCII rows (NFC is the identity for them) stay in codegen'd JVM expressions."""
+    needs = F.col(col).rlike(NON_ASCII)
+    native = df.where(~needs | F.col(col).isNull()).withColumn(
+        out, _truncate(strip_control(F.col(col)), max_chars, marker))
+    python = df.where(needs).withColumn(out, _truncate(strip_control(nfc(F.col(col))), max_chars, marker))
+    return native.unionByName(python)
+
+
 def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

@@ -50,8 +50,8 @@ SELECT doc_id, md5(t) AS text_md5, length(t) AS n_chars FROM (
  FROM (SELECT doc_id, regexp_replace(nfc_normalize(text), {CTRL}, '', 'g') AS c FROM documents) a) b"""))
 def q_normalise_text(fx):
     """SCL-2: NFC, control characters removed, cut to 64 000 characters + marker (whole texts)."""
-    t = T.normalise_text("text")
-    return fx.documents.select("doc_id", t.alias("_t")).select(
+    d = T.normalised_column(fx.documents.select("doc_id", "text"), "text", "_t")
+    return d.select(
         "doc_id", F.md5("_t").alias("text_md5"), F.length("_t").cast("bigint").alias("n_chars"))
 
 
@@ -61,8 +61,8 @@ SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (
  FROM (SELECT page_id, regexp_replace(nfc_normalize(html), {CTRL}, '', 'g') AS c FROM pages) a) b"""))
 def q_sanitize_output(fx):
     """SCL-3: the output sanitizer on raw pages (max_chars = 4000, so long pages are cut)."""
-    t = T.sanitize_output("html", max_chars=4000)
-    return fx.pages.select("page_id", t.alias("_t")).select(
+    p = T.normalised_column(fx.pages.select("page_id", "html"), "html", "_t", 4000, T.SANITIZE_TRUNCATED)
+    return p.select(
         "page_id", F.md5("_t").alias("text_md5"), F.length("_t").cast("bigint").alias("n_chars"))
 
 
