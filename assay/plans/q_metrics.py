@@ -322,3 +322,15 @@ def q_panel_score_trend(fx):
     return v.groupBy(F.date_format(F.date_trunc("day", F.col("request_ts").cast("timestamp")), "yyyy-MM-dd")
                      .alias("day")).agg(F.count(F.lit(1)).alias("verdicts"),
                                         F.round(F.avg("overall_quality"), 6).alias("avg_quality"))
+
+
+@register("run_report", oracle(V, """
+SELECT x.run_id, count(*) AS total, count(*) FILTER (WHERE verdict = 'pass') AS passed,
+ count(*) FILTER (WHERE verdict = 'fail') AS failed, count(*) FILTER (WHERE status <> 'completed') AS errored,
+ CASE WHEN count(*) FILTER (WHERE status <> 'completed') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS run_status
+FROM ev x GROUP BY x.run_id""", VERDICT_CTE))
+def q_run_report(fx):
+    """A5 via the run report: roll-ups over a checkpointed executions-with-verdicts table (lineage cut)."""
+    from assay.plans.report import run_report
+
+    return run_report(fx.executions, fx.scores, fx.metric_rules)["result"]
