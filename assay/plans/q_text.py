@@ -57,11 +57,11 @@ def q_normalise_text(fx):
 
 @register("sanitize_output", oracle([], f"""
 SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (
- SELECT page_id, CASE WHEN length(c) > 4000 THEN left(c, 4000) || chr(10) || chr(10) || '[TRUNCATED]' ELSE c END AS t
+ SELECT page_id, CASE WHEN length(c) > 64000 THEN left(c, 64000) || chr(10) || chr(10) || '[TRUNCATED]' ELSE c END AS t
  FROM (SELECT page_id, regexp_replace(nfc_normalize(html), {CTRL}, '', 'g') AS c FROM pages) a) b"""))
 def q_sanitize_output(fx):
-    """SCL-3: the output sanitizer on raw pages (max_chars = 4000, so long pages are cut)."""
-    p = T.normalised_column(fx.pages.select("page_id", "html"), "html", "_t", 4000, T.SANITIZE_TRUNCATED)
+    """SCL-3: the output sanitizer (NFC, control characters, 64 000-character cap) on whole raw pages."""
+    p = T.normalised_column(fx.pages.select("page_id", "html"), "html", "_t", T.MAX_CHARS, T.SANITIZE_TRUNCATED)
     return p.select(
         "page_id", F.md5("_t").alias("text_md5"), F.length("_t").cast("bigint").alias("n_chars"))
 
