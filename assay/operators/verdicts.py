@@ -52,12 +52,15 @@ def decide_verdict(scores: DataFrame, rules: DataFrame, executions: DataFrame,
     if polarity == "corrected":
         invert = invert & ~F.col("metric_name").isin("unauthorized_call_rate", "unsupported_claim_rate")
     s = s.withColumn("_q", clamp_invert("numeric_score", invert))
-    agg = s.groupBy("execution_id").agg(
+    # category is a property of the execution, so it is a grouping key; the first failed metric
+    # comes from the (small) per-execution list of failed (position, name) pairs.  No string
+    # aggregation buffers, so Spark can aggregate by hashing instead of sorting all scores.
+    failed = F.when(~F.col("passed"), F.struct(F.col("score_pos").alias("p"), F.col("metric_name").alias("m")))
+    agg = s.groupBy("execution_id", F.col("category").alias("_category")).agg(
         F.sum(F.col("_q") * F.col("weight")).alias("_wsum"),
         F.sum("weight").alias("_w"),
         F.avg("confidence").alias("_conf"),
-        F.min_by("metric_name", F.when(~F.col("passed"), F.col("score_pos"))).alias("_first_failed"),
-        F.first("category").alias("_category"),
+        F.array_min(F.collect_list(failed)).getField("m").alias("_first_failed"),
     )
     sev = F.col(severity_col) if severity_col else F.lit("low")
     base = executions.select("execution_id", sev.alias("_sev"))
