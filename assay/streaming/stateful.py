@@ -132,3 +132,27 @@ def run_available(spark: SparkSession, source: DataFrame, build, name: str, file
          .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+GAUGE_OUT = "provider string, execution_id string, kind string, active bigint"
+GAUGE_STATE = "active bigint"
+
+
+def _gauge_fn(key, pdfs, state):
+    active = int(state.get[0]) if state.exists else 0
+    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "delta", "execution_id"], kind="stable")
+    out = []
+    for r in rows.itertuples(index=False):
+        active += int(r.delta)
+        out.append((key[0], r.execution_id, r.kind, active))
+    state.update((active,))
+    yield pd.DataFrame(out, columns=["provider", "execution_id", "kind", "active"])
+
+
+def active_executions_stream(events: DataFrame) -> DataFrame:
+    """STR-5 online: the in-flight gauge per provider from start (+1) / end (-1) events arriving in
+    time order; state is one counter per provider.  Within a micro-batch events are applied in
+    (time, ends before starts, id) order."""
+    df = events.select("provider", "execution_id", "kind", F.col("delta").cast("bigint"), F.col("_t").cast("timestamp"))
+    return df.groupBy("provider").applyInPandasWithState(_gauge_fn, GAUGE_OUT, GAUGE_STATE, "append",
+                                                         GroupStateTimeout.NoTimeout)

@@ -113,11 +113,16 @@ def active_executions(df: DataFrame, start: str = "request_ts", latency_ms: str
     At equal times ends are applied before starts.  The running sum uses range slices, so
     a provider with a third of all traffic is still spread over many tasks.
     """
+    ev = gauge_events(df, start, latency_ms, key, id_col)
+    out = running_sum(ev, [key], ["_t", "delta", id_col], "delta", "active")
+    return out.select(key, id_col, "kind", "active")
+
+
+def gauge_events(df: DataFrame, start: str = "request_ts", latency_ms: str = "latency_ms",
+                 key: str = "provider", id_col: str = "execution_id") -> DataFrame:
+    """+1 at each execution's start, -1 at its end (start + latency), as event rows."""
     t0 = F.col(start).cast("timestamp")
     starts = df.select(key, id_col, t0.alias("_t"), F.lit(1).cast("bigint").alias("delta"), F.lit("start").alias("kind"))
     t1 = F.timestamp_micros(F.unix_micros(t0) + F.col(latency_ms).cast("bigint") * 1000)
-    ends = df.select(key, id_col, t1.alias("_t"),
-                     F.lit(-1).cast("bigint").alias("delta"), F.lit("end").alias("kind"))
-    ev = starts.unionByName(ends)
-    out = running_sum(ev, [key], ["_t", "delta", id_col], "delta", "active")
-    return out.select(key, id_col, "kind", "active")
+    ends = df.select(key, id_col, t1.alias("_t"), F.lit(-1).cast("bigint").alias("delta"), F.lit("end").alias("kind"))
+    return starts.unionByName(ends)

@@ -178,3 +178,11 @@ def test_append_decisions_branches(spark):
     assert out["d3"]["reason"] == "sequence_gap" and out["d4"]["reason"] == "broken_link"
     assert out["d5"]["accepted"]  # d3 / d4 were rejected, so the head is still d2
     assert len([d for d in out if d == "d9"]) == 1 and len(out) == 6  # duplicate id kept once
+
+
+def test_gauge_stream_equals_batch(spark):
+    src = spark.createDataFrame(_exec_rows(300), SCHEMA).select("provider", "execution_id", "request_ts", "latency_ms")
+    batch = sorted(tuple(r) for r in windows.active_executions(src).collect())
+    ev = windows.gauge_events(src).orderBy("_t", "delta", "execution_id").coalesce(1)
+    streamed = stateful.run_available(spark, ev, stateful.active_executions_stream, "gauge", files_per_trigger=1)
+    assert sorted(tuple(r) for r in streamed.collect()) == batch
