@@ -32,8 +32,10 @@ def price_by_longest_prefix(df: DataFrame, model_col: str, pricing: DataFrame,
     ).select("_name", "_len", F.col("_name").substr(F.lit(1), F.col("_len")).alias("model_name"))
     # Pricing is a configuration dimension (bounded), safe to broadcast.
     hits = prefixes.join(F.broadcast(pricing), "model_name")
-    best = hits.groupBy("_name").agg(
-        F.max_by(F.struct("model_name", "input_per_million", "output_per_million"), F.col("_len")).alias("_p"))
+    # hits per name are bounded by the name length: pick the longest from the small list
+    # (hash aggregation; a max_by over a struct would force a sort-based aggregate)
+    best = hits.groupBy("_name").agg(F.array_max(F.collect_list(
+        F.struct("_len", "model_name", "input_per_million", "output_per_million"))).alias("_p"))
     resolved = best.select(
         F.col("_name"),
         F.col("_p.model_name").alias(f"{prefix}priced_as"),

@@ -90,9 +90,12 @@ def leaderboard_quality(exec_verdicts: DataFrame) -> DataFrame:
     model catalogue), tie-broken by model name.
     """
     is_pass = F.col("verdict") == "pass"
-    agg = exec_verdicts.where(F.col("configured_model").isNotNull()).groupBy(
-        F.col("configured_model").alias("model")).agg(
-        F.min_by("provider", F.struct("request_ts", "execution_id")).alias("provider"),
+    ev = exec_verdicts.where(F.col("configured_model").isNotNull()).withColumnRenamed("configured_model", "model")
+    # provider = the one seen first for the model: earliest time per (model, provider) with a hash
+    # aggregate, then the pick on that small table (ties on time go to the smaller provider name)
+    first_seen = ev.groupBy("model", "provider").agg(F.min("request_ts").alias("_t")).groupBy("model").agg(
+        F.min_by("provider", F.struct("_t", "provider")).alias("provider"))
+    agg = ev.groupBy("model").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(is_pass).alias("pass_count"),
         F.count_if(~is_pass).alias("fail_count"),
@@ -101,7 +104,7 @@ def leaderboard_quality(exec_verdicts: DataFrame) -> DataFrame:
                      F.col("input_tokens") + F.coalesce(F.col("output_tokens"), F.lit(0)))).alias("_tok"),
     )
     rate = F.col("pass_count") / F.col("total")
-    out = agg.select(
+    out = agg.join(first_seen, "model").select(
         "model", "provider", "total", "pass_count", "fail_count",
         F.round(rate * F.lit(100.0), 1).alias("pass_rate_pct"),
         F.round("_lat").cast("bigint").alias("avg_latency_ms"),
