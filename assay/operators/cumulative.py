@@ -46,9 +46,9 @@ def slice_by_sample(df: DataFrame, cols: Sequence[str], slices: int, out: str =
                     per_slice: int = 20, seed: int = 17) -> DataFrame:
     """Add ``out`` = index of the range slice holding the composite key ``cols``.
 
-    Bounds come from one pass of per-partition reservoir samples (about ``3 * per_slice *
-    slices`` keys in total, weighted by partition size - what range partitioning does
-    internally), sorted by Spark itself, and are applied with a balanced tree of struct
+    Bounds come from one pass of per-partition reservoir samples, weighted by partition size
+    (what range partitioning does internally) and thinned to about ``3 * per_slice * slices``
+    keys before they reach the driver; Spark itself sorts them, and are applied with a balanced tree of struct
     comparisons: O(log slices) per row, codegen'd, and a pure function of the row, so any
     recomputation assigns the same slice.
     """
@@ -56,14 +56,23 @@ def slice_by_sample(df: DataFrame, cols: Sequence[str], slices: int, out: str =
     if slices <= 1:
         return df.withColumn(out, F.lit(0))
     spark = df.sparkSession
-    try:
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. no RDD access; only sizes the sample
-        parts = spark.sparkContext.defaultParallelism
-    per = max(1, -(-3 * per_slice * slices // max(parts, 1)))
+    # The input partition count is estimated from the session: asking the DataFrame for it
+    # would make AQE run the upstream shuffles once more just to plan this sample.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    target = 3 * per_slice * slices
+    per = max(1, -(-target // parts))
     keyed = df.select(*cols)
     schema = T.StructType(keyed.schema.fields + [T.StructField("_w", T.DoubleType())])
-    sample = keyed.mapInPandas(_reservoir(per, seed), schema).collect()
+    sampled = keyed.mapInPandas(_reservoir(per, seed), schema).cache()
+    try:
+        kept = sampled.count()  # the one pass over the input
+        if kept == 0:
+            return df.withColumn(out, F.lit(0))
+        frac = min(1.0, target / kept)  # bound what reaches the driver, whatever the partition count
+        thin = sampled if frac >= 1.0 else sampled.where(F.rand(seed) < frac)
+        sample = thin.withColumn("_w", F.col("_w") / F.lit(frac)).collect()
+    finally:
+        sampled.unpersist()
     if not sample:
         return df.withColumn(out, F.lit(0))
     ordered = spark.createDataFrame(sample, schema).orderBy(*cols).collect()
