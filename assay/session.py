@@ -42,14 +42,34 @@ def local_session(cores: int | str = "*", app: str = "assay", shuffle_partitions
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the required SQL settings to an existing session (idempotent)."""
+    """Apply the required SQL settings to an existing session and ship the package to the
+    executors' Python workers (idempotent)."""
     for k, v in REQUIRED_CONF.items():
         if k != "spark.sql.execution.arrow.pyspark.enabled":
             spark.conf.set(k, v)
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``assay`` importable on every executor (UDFs and ``mapInPandas`` functions refer to it).
+
+    The package is zipped once per session into the shared checkpoint folder and added with
+    ``addPyFile``, Spark's own code-distribution path.
+    """
+    if spark.conf.get("spark.assay.shipped", "false") == "true":
+        return
+    import shutil
+    import uuid
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(checkpoint_dir(spark), f"assay-code-{uuid.uuid4().hex}")
+    archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="assay")
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("spark.assay.shipped", "true")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
