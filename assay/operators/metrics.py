@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.money import usd_sum
+from assay.operators.cumulative import running_sum
 
 # Telemetry label sets and latency histogram bounds (seconds).
 ALLOWED_STATUSES = ("success", "failed", "errored", "timeout", "cancelled")
@@ -17,21 +18,34 @@ ALLOWED_RETRY_REASONS = ("rate_limit", "connection", "timeout", "server_error")
 LATENCY_BUCKETS_S = (0.1, 0.25, 0.5, 1, 2, 5, 10, 20, 60)
 
 
+def cumulative_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(group..., value, _c, _cum, _n): per distinct value its count, the running count in value
+    order, and the group size.  The counts are a partial aggregate (a hot group shrinks to its
+    distinct values before the shuffle) and the running count uses range slices, so neither
+    a hot group nor one with very many distinct values lands in a single task."""
+    g = list(group)
+    if not g:  # one global group: a constant key keeps the size lookup an equi-join
+        df, g = df.withColumn("_all", F.lit(0)), ["_all"]
+    hist = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sum(hist, g, [value], "_c", "_cum")
+    sizes = hist.groupBy(*g).agg(F.sum("_c").alias("_n"))
+    out = cum.join(sizes, g)
+    return out.drop("_all") if "_all" in g else out
+
+
 def rank_percentile(df: DataFrame, group: Sequence[str], value: str, p: float, out: str) -> DataFrame:
-    """The k-th order statistic, k = floor(n * p) (zero-based), no interpolation.
+    """The k-th order statistic, k = floor(n * p) (zero-based), no interpolation."""
+    return rank_percentiles(df, group, value, {out: p})
 
-    Exact and skew-proof: values are first counted per (group, value) - a partial
-    aggregate, so a hot group shrinks to its distinct values before any shuffle - then a
-    running count over the distinct values finds the first value whose cumulative count
-    exceeds k.  Only the distinct values of a group meet in one task.
-    """
+
+def rank_percentiles(df: DataFrame, group: Sequence[str], value: str, outs: dict[str, float]) -> DataFrame:
+    """W7 for several p at once: for each, the first value whose running count exceeds
+    floor(n * p), read from one set of cumulative value counts (exact, skew-proof)."""
     g = list(group)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
-    w_run = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*g)
-    ranked = hist.select(*g, value, F.sum("_c").over(w_run).alias("_cum"), F.sum("_c").over(w_all).alias("_n"))
-    k = F.floor(F.col("_n").cast("double") * F.lit(float(p)))
-    return ranked.where(F.col("_cum") > k).groupBy(*g).agg(F.min(value).alias(out))
+    ranked = cumulative_counts(df, g, value)
+    aggs = [F.min(F.when(F.col("_cum") > F.floor(F.col("_n").cast("double") * F.lit(float(p))), F.col(value)))
+            .alias(name) for name, p in outs.items()]
+    return ranked.groupBy(*g).agg(*aggs) if g else ranked.agg(*aggs)
 
 
 def run_metrics(executions: DataFrame, costed: DataFrame | None = None) -> DataFrame:
@@ -49,12 +63,11 @@ def run_metrics(executions: DataFrame, costed: DataFrame | None = None) -> DataF
         usd_sum(F.when(ok, F.col("cost_usd")).otherwise(F.lit(0.0))).alias("total_cost_usd"),
     )
     done = src.where(ok)
-    p50 = rank_percentile(done, ["run_id"], "latency_ms", 0.5, "p50_latency_ms")
-    p95 = rank_percentile(done, ["run_id"], "latency_ms", 0.95, "p95_latency_ms")
+    pct = rank_percentiles(done, ["run_id"], "latency_ms", {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95})
     errs = run_error_counts(src).groupBy("run_id").agg(
         F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "error_key", F.col("n").cast("string")))))
         .alias("provider_errors"))
-    return (base.join(p50, "run_id", "left").join(p95, "run_id", "left").join(errs, "run_id", "left")
+    return (base.join(pct, "run_id", "left").join(errs, "run_id", "left")
             .select("run_id", "success_count", "error_count", "total_tokens", "total_cost_usd",
                     F.coalesce("p50_latency_ms", F.lit(0)).alias("p50_latency_ms"),
                     F.coalesce("p95_latency_ms", F.lit(0)).alias("p95_latency_ms"),

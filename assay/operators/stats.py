@@ -20,12 +20,11 @@ from assay.operators.cumulative import running_sum
 
 
 def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """Interpolated median (mean of the two middle order statistics) from per-value counts."""
+    """Interpolated median (mean of the two middle order statistics) from cumulative value counts."""
+    from assay.operators.metrics import cumulative_counts
+
     g = list(group)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_c"))
-    w_run = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    h = hist.select(*g, value, "_c", F.sum("_c").over(w_run).alias("_cum"),
-                    F.sum("_c").over(Window.partitionBy(*g)).alias("_n"))
+    h = cumulative_counts(df, g, value)
     lo = F.floor((F.col("_n") - 1) / 2)
     hi = F.ceil((F.col("_n") - 1) / 2)
     # value at 0-based rank k is the one whose [cum - c, cum) range holds k
@@ -95,15 +94,22 @@ def bootstrap_means(df: DataFrame, group: str, value: str, id_col: str, iteratio
     return joined.groupBy("_g", "_b").agg(F.avg("_v").alias("_mean"))
 
 
+AUTO_HASH_MAX_ROWS = 200_000
+
+
 def bootstrap_ci(df: DataFrame, group: str, value: str, id_col: str, confidence: float = 0.95,
-                 iterations: int = 1000, seed: int = 42, mode: str = "hash") -> DataFrame:
+                 iterations: int = 1000, seed: int = 42, mode: str = "auto") -> DataFrame:
     """A9 (+L7): percentile bootstrap interval of the mean per group.
 
+    ``mode="auto"`` (default) - ``hash`` while the row count (counted) is at most
+    ``AUTO_HASH_MAX_ROWS``, else ``poisson``;
     ``mode="hash"`` - exact hash-seeded multinomial resampling (matches the SQL oracle);
     ``mode="poisson"`` - Poisson(1) weights per row, B running sums per partition, for groups
     too large for n * B draws.  n = 1 gives a point interval; n < 10 adds a warning.
     """
     lo, hi = quantile_index(confidence, iterations)
+    if mode == "auto":  # exact resampling only while n * B stays bounded
+        mode = "hash" if df.where(F.col(value).isNotNull()).count() <= AUTO_HASH_MAX_ROWS else "poisson"
     if mode == "hash":
         means = bootstrap_means(df, group, value, id_col, iterations, seed)
     elif mode == "poisson":

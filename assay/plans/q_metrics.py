@@ -133,9 +133,8 @@ FROM (SELECT provider, latency_ms, row_number() OVER (PARTITION BY provider ORDE
 def q_rank_percentile(fx):
     """Rank-pick p50 / p95 latency per provider (exact, via value histograms)."""
     done = fx.executions.where(F.col("status") == "completed")
-    p95 = metrics.rank_percentile(done, ["provider"], "latency_ms", 0.95, "p95_latency_ms")
-    p50 = metrics.rank_percentile(done, ["provider"], "latency_ms", 0.5, "p50_latency_ms")
-    return p95.join(p50, "provider")
+    return metrics.rank_percentiles(done, ["provider"], "latency_ms",
+                                    {"p95_latency_ms": 0.95, "p50_latency_ms": 0.5})
 
 
 RUN_METRICS_SQL = """
