@@ -42,8 +42,11 @@ def _reservoir(per_partition: int, seed: int):
     return fn
 
 
+SINGLE_SLICE_MAX_ROWS = 2_000_000
+
+
 def slice_by_sample(df: DataFrame, cols: Sequence[str], slices: int, out: str = "_slice",
-                    per_slice: int = 20, seed: int = 17) -> DataFrame:
+                    per_slice: int = 20, seed: int = 17, single_slice_max_rows: int | None = None) -> DataFrame:
     """Add ``out`` = index of the range slice holding the composite key ``cols``.
 
     Bounds come from one pass of per-partition reservoir samples, weighted by partition size
@@ -65,9 +68,11 @@ def slice_by_sample(df: DataFrame, cols: Sequence[str], slices: int, out: str =
     schema = T.StructType(keyed.schema.fields + [T.StructField("_w", T.DoubleType())])
     sampled = keyed.mapInPandas(_reservoir(per, seed), schema).cache()
     try:
-        kept = sampled.count()  # the one pass over the input
-        if kept == 0:
-            return df.withColumn(out, F.lit(0))
+        # the one pass over the input: kept sample rows and, from their weights, the input size
+        kept, rows = sampled.agg(F.count(F.lit(1)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
+        small = SINGLE_SLICE_MAX_ROWS if single_slice_max_rows is None else single_slice_max_rows
+        if kept == 0 or rows <= small:
+            return df.withColumn(out, F.lit(0))  # the whole input is provably small: one slice
         frac = min(1.0, target / kept)  # bound what reaches the driver, whatever the partition count
         thin = sampled if frac >= 1.0 else sampled.where(F.rand(seed) < frac)
         sample = thin.withColumn("_w", F.col("_w") / F.lit(frac)).collect()
@@ -99,16 +104,16 @@ def slice_by_sample(df: DataFrame, cols: Sequence[str], slices: int, out: str =
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                slices: int | None = None) -> DataFrame:
+                slices: int | None = None, single_slice_max_rows: int | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` per ``keys`` in ``order`` (rows up to and including the current).
 
     ``order`` must be a total order within a key (end it with a unique column).
     """
-    return running_sums(df, order, [(keys, value, out)], slices)
+    return running_sums(df, order, [(keys, value, out)], slices, single_slice_max_rows)
 
 
 def running_sums(df: DataFrame, order: Sequence[str], specs: Sequence[tuple[Sequence[str], str, str]],
-                 slices: int | None = None) -> DataFrame:
+                 slices: int | None = None, single_slice_max_rows: int | None = None) -> DataFrame:
     """Several running sums over one ordering; ``specs`` = [(keys, value, out), ...].
 
     The rows are sliced once on ``order`` alone (global time / order ranges); that is valid for
@@ -117,7 +122,7 @@ def running_sums(df: DataFrame, order: Sequence[str], specs: Sequence[tuple[Sequ
     """
     order = list(order)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cur = slice_by_sample(df, order, n)
+    cur = slice_by_sample(df, order, n, single_slice_max_rows=single_slice_max_rows)
     for keys, value, out in specs:
         keys = list(keys)
         w_local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -134,7 +134,7 @@ def test_budget_admission_fold(spark):
 def test_running_sum_hot_key_matches_window(spark):
     rows = [("hot" if i % 3 else f"k{i % 7}", i, float(i % 5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, t long, v double")
-    got = running_sum(df, ["k"], ["t"], "v", "rs", slices=16)
+    got = running_sum(df, ["k"], ["t"], "v", "rs", slices=16, single_slice_max_rows=0)
     w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("rs2", F.sum("v").over(w))
     j = got.join(want, ["k", "t"])

@@ -20,7 +20,7 @@ SETTINGS = dict(max_examples=8, deadline=None, suppress_health_check=list(Health
 def test_running_sum_equals_window(spark, rows):
     data = [(k, i, v) for i, (k, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "k string, t long, v long")
-    got = {(r["k"], r["t"]): r["rs"] for r in running_sum(df, ["k"], ["t"], "v", "rs", slices=5).collect()}
+    got = {(r["k"], r["t"]): r["rs"] for r in running_sum(df, ["k"], ["t"], "v", "rs", slices=5, single_slice_max_rows=0).collect()}
     w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     want = {(r["k"], r["t"]): r["rs"] for r in df.withColumn("rs", F.sum("v").over(w)).collect()}
     assert got == want
