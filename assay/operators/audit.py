@@ -22,10 +22,23 @@ from assay.operators.stats import dense_index
 GENESIS = "GENESIS"
 
 
-def with_rank(decisions: DataFrame, order_col: str = "stream_sequence", tie: str | None = None) -> DataFrame:
-    """1-based position of each record within its stream in (order_col, tie) order."""
+def with_rank(decisions: DataFrame, order_col: str = "stream_sequence", tie: str | None = None,
+              materialize: bool = False) -> DataFrame:
+    """1-based position of each record within its stream in (order_col, tie) order.
+
+    ``materialize=True`` writes the ranked table once as a reliable checkpoint (in the shared
+    ``spark.checkpoint.dir``): the chain checks read it several times (self-join, duplicate
+    aggregate, verification), and without the cut each read would recompute the input and
+    the ranking.
+    """
     order = [order_col] + ([tie] if tie else [])
-    return dense_index(decisions, ["stream_id"], order, "_rk0").withColumn("rank", F.col("_rk0") + 1).drop("_rk0")
+    ranked = dense_index(decisions, ["stream_id"], order, "_rk0").withColumn("rank", F.col("_rk0") + 1).drop("_rk0")
+    if materialize:
+        from assay.session import checkpoint_dir
+
+        checkpoint_dir(ranked.sparkSession)
+        ranked = ranked.checkpoint(eager=True)
+    return ranked
 
 
 def chain_link_check(ranked: DataFrame) -> DataFrame:
@@ -73,7 +86,7 @@ def verify_chain(decisions: DataFrame, order_col: str = "stream_sequence", tie:
     digest, HMAC - when ``keys`` is given), duplicate id, sequence break, broken link.
     ``streams`` (stream_id list) reports empty streams as errors.
     """
-    ranked = with_rank(decisions, order_col, tie)
+    ranked = with_rank(decisions, order_col, tie, materialize=True)
     if keys is not None:
         ranked = H.verify_records(ranked, keys)
     else:

@@ -37,7 +37,7 @@ def decisions(fx):
 
 
 def ranked(fx):
-    return audit.with_rank(decisions(fx), "pos")
+    return audit.with_rank(decisions(fx), "pos", materialize=True)
 
 
 @register("chain_link_check", oracle(D, """
