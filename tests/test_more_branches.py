@@ -58,3 +58,30 @@ def test_bootstrap_auto_mode(spark, monkeypatch):
     assert stats.bootstrap_ci(df, "g", "v", "id", iterations=50).first()["mode"] == "hash"
     monkeypatch.setattr(stats, "AUTO_HASH_MAX_ROWS", 10)
     assert stats.bootstrap_ci(df, "g", "v", "id", iterations=50).first()["mode"] == "poisson"
+
+
+def test_report_files_end_to_end(spark, scratch):
+    import json
+    import os
+
+    from assay.sources import files as FS
+
+    def write(name, doc):
+        os.makedirs(f"{scratch}/reports", exist_ok=True)
+        with open(f"{scratch}/reports/{name}", "w", encoding="utf-8") as fh:
+            fh.write(json.dumps(doc))
+
+    base = {"schema_version": "1.0", "generated_at": "2026-01-01T11:00:00Z", "suite": "evaluation_integrity",
+            "total": 2, "passed": 2, "failed": 0, "resistance_score": 1.0,
+            "cases": [{"case_id": "a", "passed": True}, {"case_id": "b", "passed": True}]}
+    write("good.json", base)
+    write("tampered.json", dict(base, cases=[{"case_id": "a", "passed": True}, {"case_id": "b", "passed": False}]))
+    write("dups.json", dict(base, cases=[{"case_id": "a", "passed": True}, {"case_id": "a", "passed": True}]))
+    reports = FS.scan_integrity_reports(spark, f"{scratch}/reports").where("status = 'ok'").withColumnRenamed(
+        "file_path", "report_id")
+    cases = FS.report_cases(reports.withColumnRenamed("report_id", "file_path"))
+    out = {os.path.basename(r["report_id"]): r["reason"]
+           for r in audit.reconcile_report(reports, cases, "2026-01-01T12:00:00Z").collect()}
+    assert out == {"good.json": None, "tampered.json": "case_results_mismatch", "dups.json": "duplicate_case_ids"}
+    dup = [(os.path.basename(r["report_id"]), r["case_id"], r["copies"]) for r in audit.duplicate_case_ids(cases).collect()]
+    assert dup == [("dups.json", "a", 2)]
