@@ -55,18 +55,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def ship_package(spark: SparkSession) -> None:
     """Make ``assay`` importable on every executor (UDFs and ``mapInPandas`` functions refer to it).
 
-    The package is zipped once per session into the shared checkpoint folder and added with
-    ``addPyFile``, Spark's own code-distribution path.
+    The package is zipped on the driver once per session and added with ``addPyFile``: Spark's
+    own file server hands it to the executors, so no shared folder or URI is involved.
     """
     if spark.conf.get("spark.assay.shipped", "false") == "true":
         return
     import shutil
-    import uuid
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(checkpoint_dir(spark), f"assay-code-{uuid.uuid4().hex}")
-    archive = shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="assay")
-    spark.sparkContext.addPyFile(archive)
+    target = os.path.join(tempfile.mkdtemp(prefix="assay-code-"), "assay")
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="assay"))
     spark.conf.set("spark.assay.shipped", "true")
 
 
@@ -74,12 +72,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared, durable folder there).
-    Only when it is unset - local tests - do we create a scratch folder ourselves.
+    Only when it is unset and the master is local - tests - do we create a scratch folder
+    ourselves; on a cluster an unset folder is an error, since executors share no local disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="assay-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if not spark.sparkContext.getCheckpointDir():
