@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.llm.common import column, extended
+
 TOKENIZER = "byte_bpe_50k.json"
 # Fixed value: the public byte-level pre-token pattern.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -286,15 +288,12 @@ def encode_documents(df: DataFrame, text_col: str = "text", ids_col: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_col))
-            ids = [tool.encode(t.as_py()) for t in texts]
+            ids = [tool.encode(t.as_py()) for t in column(batch, text_col)]
             offsets = np.zeros(len(ids) + 1, "i4")
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, "i4"), pa.int32())
             kept = [n for n in batch.schema.names if n not in (text_col, ids_col)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.names.index(n)) for n in kept),
-                 pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*kept, ids_col])
+            yield extended(batch, kept, {ids_col: pa.ListArray.from_arrays(pa.array(offsets), flat)})
 
     return df.mapInArrow(run, _replaced(df, text_col, ids_col, T.ArrayType(T.IntegerType())))
 
@@ -307,13 +306,10 @@ def decode_documents(df: DataFrame, ids_col: str = "ids", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            lists = batch.column(batch.schema.names.index(ids_col))
             none = np.zeros(0, "i4")
-            texts = [tool.decode(none if x.values is None else x.values.to_numpy()) for x in lists]
+            texts = [tool.decode(none if x.values is None else x.values.to_numpy()) for x in column(batch, ids_col)]
             kept = [n for n in batch.schema.names if n not in (text_col, ids_col)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.names.index(n)) for n in kept), pa.array(texts, pa.string())],
-                names=[*kept, text_col])
+            yield extended(batch, kept, {text_col: pa.array(texts, pa.string())})
 
     return df.mapInArrow(run, _replaced(df, ids_col, text_col, T.StringType()))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +53,12 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def words(col: Column) -> Column:
     """Words of a text as an array; empty for texts without words."""
     return F.filter(F.split(col, SPACE_CLASS + "+"), lambda w: w != "")
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.names.index(name))
+
+
+def extended(batch: pa.RecordBatch, keep: list[str], added: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The named columns of a batch, untouched (nulls and all), and new ones after them."""
+    return pa.RecordBatch.from_arrays([*(column(batch, n) for n in keep), *added.values()], names=[*keep, *added])

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, packing, sharding
+from assay.llm import bpe, packing, pii, quality, secrets, sharding, toxicity
 from assay.llm.common import prepare, table
 
 
+def op1_entity_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(table(prepare(spark), sf_dir, "documents"))
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(prepare(spark), sf_dir, "documents"))
 
@@ -22,6 +26,20 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(prepare(spark), sf_dir, "documents"))
 
 
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rows(table(prepare(spark), sf_dir, "documents"))
+
+
+def op8_folded_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_rendezvous_sharding, op4_tier_packing, op5_bpe_transducer)}
+    f.__name__: f for f in (op1_entity_disclosure, op2_rendezvous_sharding, op4_tier_packing, op5_bpe_transducer, op7_line_frequency,
+                               op8_folded_lexicon, op10_credential_linking)}
 ORACLES: dict[str, str] = {}

@@ -17,14 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.common import text_or_empty, written
+from assay.llm.common import column, extended, text_or_empty, written
 
 SHARDS = 24
 ROW_OVERHEAD = 8
@@ -49,15 +49,17 @@ def number_slots(df: DataFrame, shard_col: str = "shard", slot_col: str = "slot"
     fields = [f for f in df.schema.fields if f.name not in (slot_col, "_task")]
     schema = T.StructType([*fields, T.StructField("_task", T.IntegerType()), T.StructField(slot_col, T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, counts = TaskContext.get().partitionId(), {}
         for batch in batches:
-            at = batch.groupby(shard_col).cumcount() + batch[shard_col].map(lambda s: counts.get(s, 0))
-            for s, n in batch[shard_col].value_counts().items():
+            shards = pd.Series(column(batch, shard_col).to_numpy(zero_copy_only=False))
+            at = shards.groupby(shards).cumcount() + shards.map(counts).fillna(0).astype("int64")
+            for s, n in shards.value_counts().items():
                 counts[s] = counts.get(s, 0) + n
-            yield batch.assign(_task=np.int32(task), **{slot_col: at.astype("int64")})
+            yield extended(batch, [f.name for f in fields], {
+                "_task": pa.array([task] * len(shards), pa.int32()), slot_col: pa.array(at.to_numpy(), pa.int64())})
 
-    own = written(df.select(*(f.name for f in fields)).mapInPandas(run, schema), "shards")
+    own = written(df.select(*(f.name for f in fields)).mapInArrow(run, schema), "shards")
     counts = own.groupBy(shard_col, "_task").agg((F.max(slot_col) + 1).alias("_n"))
     before = Window.partitionBy(shard_col).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(shard_col, "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
