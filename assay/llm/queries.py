@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, packing, pii, quality, secrets, sharding, toxicity
+from assay.llm import bpe, mtree, packing, pii, quality, secrets, sharding, toxicity
 from assay.llm.common import prepare, table
 
 
@@ -35,11 +35,15 @@ def op8_folded_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_rows(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(prepare(spark), sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_entity_disclosure, op2_rendezvous_sharding, op4_tier_packing, op5_bpe_transducer, op7_line_frequency,
-                               op8_folded_lexicon, op10_credential_linking)}
+                               op8_folded_lexicon, op9_mtree_search, op10_credential_linking)}
 ORACLES: dict[str, str] = {}
