@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, mtree, packing, pii, quality, secrets, sharding, toxicity
+from assay.llm import bpe, mtree, packing, partenum, pii, quality, secrets, sharding, toxicity
 from assay.llm.common import prepare, table
 
 
@@ -26,6 +26,10 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(prepare(spark), sf_dir, "documents"))
 
 
+def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.linked_rows(table(prepare(spark), sf_dir, "documents"))
+
+
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rows(table(prepare(spark), sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_entity_disclosure, op2_rendezvous_sharding, op4_tier_packing, op5_bpe_transducer, op7_line_frequency,
+    f.__name__: f for f in (op1_entity_disclosure, op2_rendezvous_sharding, op4_tier_packing, op5_bpe_transducer, op6_partenum_join, op7_line_frequency,
                                op8_folded_lexicon, op9_mtree_search, op10_credential_linking)}
 ORACLES: dict[str, str] = {}
