@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, mtree, packing, partenum, pii, quality, secrets, sharding, toxicity
+from assay.llm import bpe, chat, mtree, packing, partenum, pii, quality, secrets, sharding, toxicity
 from assay.llm.common import prepare, table
 
 
@@ -18,6 +18,10 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(prepare(spark), sf_dir, "documents"))
 
 
+def op3_schema_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_rows(table(prepare(spark), sf_dir, "conversations"))
+
+
 def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(prepare(spark), sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_entity_disclosure, op2_rendezvous_sharding, op4_tier_packing, op5_bpe_transducer, op6_partenum_join, op7_line_frequency,
+    f.__name__: f for f in (op1_entity_disclosure, op2_rendezvous_sharding, op3_schema_fingerprint_chat, op4_tier_packing, op5_bpe_transducer, op6_partenum_join, op7_line_frequency,
                                op8_folded_lexicon, op9_mtree_search, op10_credential_linking)}
 ORACLES: dict[str, str] = {}
