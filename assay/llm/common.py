@@ -62,3 +62,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def extended(batch: pa.RecordBatch, keep: list[str], added: dict[str, pa.Array]) -> pa.RecordBatch:
     """The named columns of a batch, untouched (nulls and all), and new ones after them."""
     return pa.RecordBatch.from_arrays([*(column(batch, n) for n in keep), *added.values()], names=[*keep, *added])
+
+
+def held(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, so that no name can clash with a helper column."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def unfolded(df: DataFrame, docs: DataFrame, struct: str, changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``docs`` again from their struct, some of them changed."""
+    changed = changed or {}
+    return df.select(*(changed.get(c, F.col(struct)[c]).alias(c) for c in docs.columns))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import column, text_or_empty, written
+from assay.llm.common import column, held, text_or_empty, unfolded, written
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -297,9 +297,27 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     least = rooted.filter("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = rooted.join(least, "root", "left")
     alone = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("size").alias("n_shingles"), alone.alias("component_id"), "text_key")
+    return joined.select("doc_id", F.col("size").alias("n_shingles"), alone.alias("component_id"), "text_key", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The documents without those linked to one of smaller id (or text key, where ids are equal or null)."""
+    rows = linked(docs, id_col, text_col, threshold).filter("n_shingles > 0")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    chosen = rows.groupBy("root").agg(F.min(name).alias("first"))
+    placed = rows.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")).join(chosen, "root")
+    stays = (F.col("first")["text_key"] == F.col("text_key")) & F.col("first")["doc_id"].eqNullSafe(F.col("doc_id"))
+    acts = written(placed.select("doc_id", "text_key", stays.alias("stays"), "n").filter(~F.col("stays") | (F.col("n") > 1)),
+                   "duplicates")
+    own = docs.select(held(docs).alias("doc"), F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"))
+    joined = own.join(acts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    kept = joined.filter(F.col("stays").isNull()).select("doc")
+    if not acts.filter("stays").isEmpty():  # equal rows: one of them
+        repeated = joined.filter(F.col("stays")).groupBy("id", "key").agg(F.first("doc").alias("doc"))
+        kept = kept.unionByName(repeated.select("doc"))
+    return unfolded(kept, docs, "doc")
 
 
 def linked_rows(docs: DataFrame) -> DataFrame:
     """The contract's rows."""
-    return linked(docs).drop("text_key")
+    return linked(docs).drop("text_key", "root")

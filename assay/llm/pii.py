@@ -18,7 +18,7 @@ counted, after map-side aggregation.
 
 Cases: null and empty texts have no spans and stay as they are; null ids are kept; repeated
 rows are sanitised each for itself; an empty table gives no rows; other columns of
-``sanitise`` are passed through, helper columns carry a leading underscore.
+``sanitise`` are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm import spans as S
-from assay.llm.common import text_or_empty, words, written
+from assay.llm.common import held, text_or_empty, unfolded, words, written
 
 KINDS = ["email", "ip", "card", "phone", "generalised", "removed"]
 EMAIL, IP, CARD, PHONE, GENERALISED, REMOVED = range(6)
@@ -146,13 +146,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thre
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """The documents with base spans replaced by their kind and disclosing words by ``[TERM]`` or nothing."""
     hits = scan(docs, id_col, text_col, **thresholds).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.concat("base", "extra").alias("_spans"))
-    hits = hits.filter(F.size("_spans") > 0).groupBy("_id", "_hash").agg(F.first("_spans").alias("_spans"))
-    clean = S.replaced(F.col(text_col), F.col("_spans"), F.array(*map(F.lit, LABELS)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_hash"))
-    joined = docs.join(hits, same, "left")
-    return joined.select(*(F.when(F.col("_spans").isNull(), F.col(c)).otherwise(clean).alias(c) if c == text_col else F.col(c)
-                           for c in docs.columns))
+        "doc_id", "text_hash", F.concat("base", "extra").alias("spans"))
+    hits = hits.filter(F.size("spans") > 0).groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
+    own = docs.select(held(docs).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("hash"))
+    joined = own.join(hits, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    text = F.col("doc")[text_col]
+    clean = S.replaced(text, F.col("spans"), F.array(*map(F.lit, LABELS)))
+    return unfolded(joined, docs, "doc", {text_col: F.when(F.col("spans").isNull(), text).otherwise(clean)})
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:

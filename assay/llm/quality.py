@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import SPACE_CLASS, text_or_empty, words, written
+from assay.llm.common import SPACE_CLASS, held, text_or_empty, unfolded, words, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -117,14 +117,13 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents that stay, without their lines above the limit (a length column is not touched)."""
     verdicts = judged(docs, id_col, text_col, host_col, **limits)
     acts = verdicts.filter(~F.col("kept") | F.col("removed").isNotNull()).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept"),
-        F.col("removed").alias("_removed")).dropDuplicates(["_id", "_hash"])
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_hash"))
-    joined = docs.join(acts, same, "left").filter(F.col("_kept").isNull() | F.col("_kept"))
-    stays = lambda x: ~F.array_contains("_removed", line_hash(x))
-    cleaned = F.array_join(F.filter(F.split(text_col, "\n"), stays), "\n")
-    return joined.select(*(F.when(F.col("_removed").isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text_col
-                           else F.col(c) for c in docs.columns))
+        "doc_id", "text_hash", "kept", "removed").dropDuplicates(["doc_id", "text_hash"])
+    own = docs.select(held(docs).alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("hash"))
+    joined = own.join(acts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    text = F.col("doc")[text_col]
+    stays = lambda x: ~F.array_contains("removed", line_hash(x))
+    cleaned = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
+    return unfolded(joined.filter(F.col("kept").isNull() | F.col("kept")), docs, "doc", {text_col: cleaned})
 
 
 def quality_rows(docs: DataFrame) -> DataFrame:
