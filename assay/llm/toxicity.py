@@ -29,7 +29,6 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,16 +142,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def counted(sample: DataFrame, of_text, name: str) -> DataFrame:
     """(entry, clean, toxic): documents of either kind that hold an entry."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(batch["text"], batch["toxic"]):
-                counts[int(toxic > 0)].update(of_text(text))
+            for text, toxic in zip(column(batch, "text"), column(batch, "toxic").to_pylist()):
+                counts[int(toxic > 0)].update(of_text(text.as_py()))
             entries = list(counts[0] | counts[1])
-            yield pd.DataFrame({name: entries, "clean": [counts[0][e] for e in entries],
-                                "toxic": [counts[1][e] for e in entries]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(entries, pa.string()), *(pa.array([c[e] for e in entries], pa.int64()) for c in counts)],
+                names=[name, "clean", "toxic"])
 
-    parts = sample.mapInPandas(run, f"{name} string, clean long, toxic long")
+    parts = sample.mapInArrow(run, f"{name} string, clean long, toxic long")
     return parts.groupBy(name).agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
