@@ -13,40 +13,23 @@ from assay.operators.cumulative import running_sums
 from assay.sources.dims import Budget
 
 
-PRICE_MAP_BROADCAST_MAX = 1_000_000
-
-
 def price_by_longest_prefix(df: DataFrame, model_col: str, pricing: DataFrame,
                             prefix: str = "") -> DataFrame:
     """Attach the prices of the longest registered model name that prefixes ``model_col``.
 
     An exact name is its own longest prefix, so one rule covers both steps of the
-    reference lookup; no match prices at 0.  Work is done on the *distinct* model names:
-    each name expands to one row per prefix length (bounded by the name length) and is
-    equi-joined to the pricing table - a hash join, no nested loop - then the longest
-    hit wins (``max_by``).  The name -> price map is joined back on the model column.
+    reference lookup; no match prices at 0.  The price table is a configuration dimension: it
+    is folded into one array (a scalar subquery, run once with the query) and each row picks
+    its longest prefix from it, so there is one scan of ``df`` and no join or extra job.
     """
-    names = df.select(F.col(model_col).alias("_name")).where(F.col("_name").isNotNull()).distinct()
-    prefixes = names.select(
-        "_name", F.explode(F.sequence(F.lit(1), F.length("_name"))).alias("_len")
-    ).select("_name", "_len", F.col("_name").substr(F.lit(1), F.col("_len")).alias("model_name"))
-    # Pricing is a configuration dimension (bounded), safe to broadcast.
-    hits = prefixes.join(F.broadcast(pricing), "model_name")
-    # hits per name are bounded by the name length: pick the longest from the small list
-    # (hash aggregation; a max_by over a struct would force a sort-based aggregate)
-    best = hits.groupBy("_name").agg(F.array_max(F.collect_list(
-        F.struct("_len", "model_name", "input_per_million", "output_per_million"))).alias("_p"))
-    resolved = best.select(
-        F.col("_name"),
-        F.col("_p.model_name").alias(f"{prefix}priced_as"),
-        F.col("_p.input_per_million").alias(f"{prefix}input_per_million"),
-        F.col("_p.output_per_million").alias(f"{prefix}output_per_million"),
-    )
-    # The name -> price map has one row per distinct model name; broadcast it only when the
-    # counted size proves it small, otherwise fall back to a shuffle join.
-    small = resolved.count() <= PRICE_MAP_BROADCAST_MAX
-    side = F.broadcast(resolved) if small else resolved
-    return df.join(side, df[model_col] == side["_name"], "left").drop("_name")
+    entry = F.struct(F.length("model_name").alias("size"), "model_name", "input_per_million", "output_per_million")
+    entries = pricing.where(F.col("model_name").isNotNull()).agg(F.collect_list(entry).alias("entries")).scalar()
+    fitting = F.filter("_entries", lambda e: F.startswith(F.col(model_col), e["model_name"]))
+    priced = df.withColumn("_entries", entries).withColumn("_price", F.array_max(fitting))
+    return priced.withColumns({
+        f"{prefix}priced_as": F.col("_price.model_name"),
+        f"{prefix}input_per_million": F.col("_price.input_per_million"),
+        f"{prefix}output_per_million": F.col("_price.output_per_million")}).drop("_price", "_entries")
 
 
 def with_cost(executions: DataFrame, pricing: DataFrame, model_col: str = "returned_model",

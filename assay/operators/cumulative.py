@@ -1,119 +1,45 @@
 """Running totals that do not funnel a hot key into one task.
 
 ``sum(x) OVER (PARTITION BY provider ORDER BY ts)`` puts every row of a provider into a
-single task; with four providers that is four tasks for the whole table.  Here the order
-key is cut into range slices of about equal global size (bounds from one pass of
-per-partition reservoir samples, applied by a deterministic comparison tree), each (key, slice) computes its local
-running sum in its own window group, and the per-(key, slice) totals - a table with at
-most ``keys x slices`` rows - are prefix-summed and added back.  Because the slice of a
-row is a pure function of its order value, every recomputation (or a lost executor)
-assigns the same slice.
+single task; with four providers that is four tasks for the whole table.  Here Spark
+range-partitions the rows on the order key alone and the number of a row's partition becomes
+its slice; the sliced rows are written to the shared folder, so a slice is a stored value and
+the same for every later read.  Each (key, slice) computes its local running sum in its own
+window group, and the per-(key, slice) totals - a table with at most ``keys x slices`` rows -
+are prefix-summed and added back.  One path at every size.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from assay.session import checkpoint_dir
 
-def _reservoir(per_partition: int, seed: int):
-    """Uniform sample of ``per_partition`` rows of one partition, each with weight rows / kept."""
 
-    def fn(batches):
-        from pyspark import TaskContext
-
-        ctx = TaskContext.get()
-        rng = np.random.default_rng(seed * 1_000_003 + (ctx.partitionId() if ctx else 0))
-        kept, n = None, 0
-        for pdf in batches:
-            n += len(pdf)
-            pdf = pdf.assign(_p=rng.random(len(pdf)))
-            kept = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            if len(kept) > per_partition:
-                kept = kept.nsmallest(per_partition, "_p")
-        if kept is not None and len(kept):
-            yield kept.drop(columns="_p").assign(_w=float(n) / len(kept))
-
-    return fn
-
-
-SINGLE_SLICE_MAX_ROWS = 2_000_000
-
-
-def slice_by_sample(df: DataFrame, cols: Sequence[str], slices: int, out: str = "_slice",
-                    per_slice: int = 20, seed: int = 17, single_slice_max_rows: int | None = None) -> DataFrame:
-    """Add ``out`` = index of the range slice holding the composite key ``cols``.
-
-    Bounds come from one pass of per-partition reservoir samples, weighted by partition size
-    (what range partitioning does internally) and thinned to about ``3 * per_slice * slices``
-    keys before they reach the driver; Spark itself sorts them, and are applied with a balanced tree of struct
-    comparisons: O(log slices) per row, codegen'd, and a pure function of the row, so any
-    recomputation assigns the same slice.
-    """
-    cols = list(cols)
-    if slices <= 1:
-        return df.withColumn(out, F.lit(0))
-    spark = df.sparkSession
-    # The input partition count is estimated from the session: asking the DataFrame for it
-    # would make AQE run the upstream shuffles once more just to plan this sample.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    target = 3 * per_slice * slices
-    per = max(1, -(-target // parts))
-    keyed = df.select(*cols)
-    schema = T.StructType(keyed.schema.fields + [T.StructField("_w", T.DoubleType())])
-    sampled = keyed.mapInPandas(_reservoir(per, seed), schema).cache()
-    try:
-        # the one pass over the input: kept sample rows and, from their weights, the input size
-        kept, rows = sampled.agg(F.count(F.lit(1)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
-        small = SINGLE_SLICE_MAX_ROWS if single_slice_max_rows is None else single_slice_max_rows
-        if kept == 0 or rows <= small:
-            return df.withColumn(out, F.lit(0))  # the whole input is provably small: one slice
-        frac = min(1.0, target / kept)  # bound what reaches the driver, whatever the partition count
-        thin = sampled if frac >= 1.0 else sampled.where(F.rand(seed) < frac)
-        sample = thin.withColumn("_w", F.col("_w") / F.lit(frac)).collect()
-    finally:
-        sampled.unpersist()
-    if not sample:
-        return df.withColumn(out, F.lit(0))
-    ordered = spark.createDataFrame(sample, schema).orderBy(*cols).collect()
-    total = sum(r["_w"] for r in ordered)
-    picks, acc, k = [], 0.0, 1
-    for r in ordered:
-        acc += r["_w"]
-        while k < slices and acc >= k * total / slices:
-            key = tuple(r[c] for c in cols)
-            if not picks or key != picks[-1]:
-                picks.append(key)
-            k += 1
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(c).alias(c) for c in cols])
-    bounds = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, row)]) for row in picks]
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return df.withColumn(out, tree(0, len(bounds)))
+def slice_by_order(df: DataFrame, cols: Sequence[str], slices: int, out: str = "_slice") -> DataFrame:
+    """Add ``out`` = number of the range partition that holds the composite order key ``cols``."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"slices-{uuid.uuid4().hex}")
+    sliced = df.repartitionByRange(max(1, slices), *cols).withColumn(out, F.spark_partition_id())
+    sliced.write.parquet(path)
+    return df.sparkSession.read.schema(sliced.schema).parquet(path)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
-                slices: int | None = None, single_slice_max_rows: int | None = None) -> DataFrame:
+                slices: int | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` per ``keys`` in ``order`` (rows up to and including the current).
 
     ``order`` must be a total order within a key (end it with a unique column).
     """
-    return running_sums(df, order, [(keys, value, out)], slices, single_slice_max_rows)
+    return running_sums(df, order, [(keys, value, out)], slices)
 
 
 def running_sums(df: DataFrame, order: Sequence[str], specs: Sequence[tuple[Sequence[str], str, str]],
-                 slices: int | None = None, single_slice_max_rows: int | None = None) -> DataFrame:
+                 slices: int | None = None) -> DataFrame:
     """Several running sums over one ordering; ``specs`` = [(keys, value, out), ...].
 
     The rows are sliced once on ``order`` alone (global time / order ranges); that is valid for
@@ -122,7 +48,7 @@ def running_sums(df: DataFrame, order: Sequence[str], specs: Sequence[tuple[Sequ
     """
     order = list(order)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cur = slice_by_sample(df, order, n, single_slice_max_rows=single_slice_max_rows)
+    cur = slice_by_order(df, order, n)
     for keys, value, out in specs:
         keys = list(keys)
         w_local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

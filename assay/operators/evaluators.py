@@ -296,7 +296,6 @@ def phrase_matches(rc: DataFrame) -> DataFrame:
 
 
 NEEDLE_TIERS = (32, 8, 2, 1)
-CANDIDATE_BROADCAST_MAX = 1_000_000
 
 
 def needle_matches(haystack: DataFrame, needles: DataFrame, hay_id: str, hay_text: str,
@@ -345,12 +344,11 @@ def _tier_matches(docs: DataFrame, nd: DataFrame, g: int) -> DataFrame:
     d_grams = docs.select("_hid", F.posexplode(chunks).alias("_k", "_gram")).where(
         F.length("_gram") == F.lit(g)).select("_hid", (F.col("_k") * F.lit(g)).alias("_q"), "_gram")
     cand = d_grams.join(n_grams.drop("_nt"), "_gram").select("_hid", "_nid", (F.col("_q") - F.col("_off")).alias("_p"))
-    cand = cand.where(F.col("_p") >= 0).distinct().cache()
+    cand = cand.where(F.col("_p") >= 0).distinct()
     # Verification needs the document text at each candidate.  Candidates are few when needles
-    # are specific: counted, they are broadcast and the documents stream past them with no
-    # shuffle of the text; beyond the bound it is a shuffle join.
-    small = cand.count() <= CANDIDATE_BROADCAST_MAX
-    located = docs.join(F.broadcast(cand) if small else cand, "_hid")
+    # are specific: Spark then broadcasts them by their measured size and the documents stream
+    # past them with no shuffle of the text.
+    located = docs.join(cand, "_hid")
     with_text = located.join(nd.select("_nid", "_nt"), "_nid")
     checked = with_text.where(F.col("_ht").substr(F.col("_p") + 1, F.length("_nt")) == F.col("_nt"))
     return checked.select("_hid", "_nid")

@@ -158,7 +158,7 @@ def normalise_providers(csv: Column) -> Column:
 
 
 def safe_attributes(attrs: Column) -> Column:
-    """Drop entries whose lower-cased key contains a forbidden name; cut values to 256; drop nulls."""
+    """Drop entries whose lower-cased key contains a forbidden name; drop nulls; string values stay whole."""
     def forbidden(k):
         low = F.lower(k)
         cond = F.lit(False)
@@ -166,8 +166,7 @@ def safe_attributes(attrs: Column) -> Column:
             cond = cond | low.contains(name)
         return cond
 
-    kept = F.map_filter(attrs, lambda k, v: ~forbidden(k) & v.isNotNull())
-    return F.transform_values(kept, lambda k, v: F.left(v, F.lit(256)))
+    return F.map_filter(attrs, lambda k, v: ~forbidden(k) & v.isNotNull())
 
 
 def scrub_secret_keys(m: Column) -> Column:

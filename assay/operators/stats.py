@@ -64,17 +64,11 @@ def _draw_index(seed: int, tag: Column, b: Column, j: Column, n: Column) -> Colu
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), n)
 
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
 def bootstrap_means(df: DataFrame, group: str, value: str, id_col: str, iterations: int = 1000,
                     seed: int = 42, tag: str | None = None) -> DataFrame:
     """Hash-mode resampling: per (group, iteration) the mean of n draws, draw j of iteration b taking
     the value at rank ``md5(seed:group:b:j)[:8] mod n``.  Deterministic and reproducible in any
     engine; work is n * B draws, generated from (group, iteration) rows spread over tasks.
-
-    The ranked values are broadcast only when their row count - counted first - is at most
-    ``BROADCAST_MAX_ROWS``; beyond that the draws are joined to them by a shuffle join.
     """
     vals = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"),
                                                      F.col(id_col).alias("_id"))
@@ -89,27 +83,19 @@ def bootstrap_means(df: DataFrame, group: str, value: str, id_col: str, iteratio
     label = F.col("_g").cast("string") if tag is None else F.lit(tag)
     draws = iters.select("_g", "_b", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j")).select(
         "_g", "_b", _draw_index(seed, label, F.col("_b"), F.col("_j"), F.col("_n")).alias("_idx"))
-    small = vals.count() <= BROADCAST_MAX_ROWS
-    joined = draws.join(F.broadcast(idx) if small else idx, ["_g", "_idx"])
+    joined = draws.join(idx, ["_g", "_idx"])
     return joined.groupBy("_g", "_b").agg(F.avg("_v").alias("_mean"))
 
 
-AUTO_HASH_MAX_ROWS = 200_000
-
-
 def bootstrap_ci(df: DataFrame, group: str, value: str, id_col: str, confidence: float = 0.95,
-                 iterations: int = 1000, seed: int = 42, mode: str = "auto") -> DataFrame:
+                 iterations: int = 1000, seed: int = 42, mode: str = "hash") -> DataFrame:
     """A9 (+L7): percentile bootstrap interval of the mean per group.
 
-    ``mode="auto"`` (default) - ``hash`` while the row count (counted) is at most
-    ``AUTO_HASH_MAX_ROWS``, else ``poisson``;
-    ``mode="hash"`` - exact hash-seeded multinomial resampling (matches the SQL oracle);
+    ``mode="hash"`` (default, at every size) - exact hash-seeded multinomial resampling (matches the SQL oracle);
     ``mode="poisson"`` - Poisson(1) weights per row, B running sums per partition, for groups
     too large for n * B draws.  n = 1 gives a point interval; n < 10 adds a warning.
     """
     lo, hi = quantile_index(confidence, iterations)
-    if mode == "auto":  # exact resampling only while n * B stays bounded
-        mode = "hash" if df.where(F.col(value).isNotNull()).count() <= AUTO_HASH_MAX_ROWS else "poisson"
     if mode == "hash":
         means = bootstrap_means(df, group, value, id_col, iterations, seed)
     elif mode == "poisson":

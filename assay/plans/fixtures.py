@@ -55,8 +55,8 @@ SELECT concat('case-',item_id) AS id,
  CASE WHEN item_id % 3 = 0 THEN 'refusal' WHEN item_id % 3 = 1 THEN 'benign,baseline' ELSE 'tool-use,denied-tool:send_email' END AS tags_csv FROM {benchmark}
 """,
     "case_phrases": """
-SELECT concat('case-',item_id) AS test_case_id, 'must_contain' AS kind, substr(text,1,4) AS phrase FROM {benchmark} WHERE item_id % 5 <> 4
- UNION ALL SELECT concat('case-',item_id), 'must_not_contain', 'i CANNOT' FROM {benchmark} WHERE item_id % 2 = 0
+SELECT concat('case-',item_id) AS test_case_id, 'must_contain' AS kind, CASE WHEN item_id % 3 = 0 THEN text ELSE split_part(text,' ',2) END AS phrase FROM {benchmark} WHERE item_id % 5 <> 4
+ UNION ALL SELECT concat('case-',item_id), 'must_not_contain', CASE WHEN item_id % 4 = 0 THEN 'i CANNOT' ELSE upper(split_part(text,' ',3)) END FROM {benchmark} WHERE item_id % 2 = 0
 """,
     "metric_rules": """
 SELECT * FROM (VALUES
@@ -87,12 +87,11 @@ SELECT doc_id, CASE doc_id % 8
  ELSE '{{"schema_version":"1.0","score":0.1,"reason":"x","passed":true}}' END AS raw FROM {labels}
 """,
     "decisions": """
-SELECT stream_id, pos, event_id, pos + CASE WHEN event_id % 499 = 0 THEN 1 ELSE 0 END AS stream_sequence,
+SELECT concat('stream-',event_id % 10) AS stream_id, CAST(floor(event_id / 10) AS BIGINT) + 1 AS pos, event_id,
+ CAST(floor(event_id / 10) AS BIGINT) + 1 + CASE WHEN event_id % 499 = 0 THEN 1 ELSE 0 END AS stream_sequence,
  concat('dec-', CASE WHEN event_id % 251 = 0 AND event_id > 10 THEN event_id - 10 ELSE event_id END) AS decision_id,
- CASE WHEN event_id % 307 = 0 THEN 'broken' ELSE coalesce(lag(digest) OVER (PARTITION BY stream_id ORDER BY pos),'GENESIS') END AS previous_record_digest,
- digest AS current_record_digest
- FROM (SELECT concat('stream-',user_id % 10) AS stream_id, event_id, md5(concat('d',event_id)) AS digest,
-  row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS pos FROM {events}) d
+ CASE WHEN event_id % 307 = 0 THEN 'broken' WHEN event_id < 10 THEN 'GENESIS' ELSE md5(concat('d',event_id - 10)) END AS previous_record_digest,
+ md5(concat('d',event_id)) AS current_record_digest FROM {events}
 """,
     "access_requests": """
 SELECT event_id AS request_id, concat('t',user_id % 5) AS identity_tenant, concat('u',user_id) AS identity_user, user_id % 17 = 0 AS is_admin,

@@ -228,12 +228,12 @@ def raw_payloads(fx):
     names = F.filter(F.split("tool_calls_csv", ","), lambda x: x != "")
     n_chars = F.length("text").cast("bigint")
     turn = F.col("turn").cast("bigint")
+    calls = F.transform(names, lambda n: F.struct(n.alias("id"), F.lit("function").alias("type"),
+                                                  F.struct(n.alias("name"), F.lit("{}").alias("arguments")).alias("function")))
     openai = F.to_json(F.struct(
         F.col("execution_id").alias("id"), F.lit("gpt-4o").alias("model"),
         F.array(F.struct(F.struct(F.when(F.col("turn") % 7 != 0, F.col("text")).alias("content"),
-                                  F.transform(names, lambda n: F.struct(n.alias("id"), F.lit("function").alias("type"),
-                                              F.struct(n.alias("name"), F.lit("{}").alias("arguments")).alias("function")))
-                                  .alias("tool_calls")).alias("message"),
+                                  calls.alias("tool_calls")).alias("message"),
                          F.lit("stop").alias("finish_reason"))).alias("choices"),
         F.when(F.col("turn") % 4 != 0, F.struct(n_chars.alias("prompt_tokens"), turn.alias("completion_tokens"),
                                                 (n_chars + turn).alias("total_tokens"))).alias("usage")))
@@ -253,7 +253,8 @@ def raw_payloads(fx):
     usage = F.struct(n_chars.alias("prompt_tokens"), turn.alias("completion_tokens"), (n_chars + turn).alias("total_tokens"))
 
     def gemini(content):
-        choice = F.array(F.struct(F.struct(content.alias("content")).alias("message"), F.lit("stop").alias("finish_reason")))
+        choice = F.array(F.struct(F.struct(content.alias("content"), calls.alias("tool_calls")).alias("message"),
+                                  F.lit("stop").alias("finish_reason")))
         choices = F.when(F.col("turn") % 9 == 0, F.filter(choice, lambda _: F.lit(False))).otherwise(choice)
         return F.to_json(F.struct(F.lit("gemini").alias("model"), choices.alias("choices"), usage.alias("usage")))
 
@@ -271,7 +272,7 @@ SELECT execution_id AS payload_id, provider,
       WHEN turn % 9 = 0 THEN '' ELSE text END AS text,
  CASE WHEN provider = 'anthropic' THEN (CASE turn % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'length' ELSE 'tool_calls' END)
       WHEN provider = 'google' AND turn % 9 = 0 THEN NULL ELSE 'stop' END AS finish_reason,
- CASE WHEN provider = 'google' THEN '' ELSE array_to_string(list_filter(string_split(tool_calls_csv, ','), lambda x: x <> ''), ',') END AS tool_names,
+ CASE WHEN provider = 'google' AND turn % 9 = 0 THEN '' ELSE array_to_string(list_filter(string_split(tool_calls_csv, ','), lambda x: x <> ''), ',') END AS tool_names,
  CAST(CASE WHEN provider = 'openai' AND turn % 4 = 0 THEN 0 ELSE length(text) END AS BIGINT) AS input_tokens,
  CAST(CASE WHEN provider = 'openai' AND turn % 4 = 0 THEN 0 ELSE turn END AS BIGINT) AS output_tokens,
  CAST(CASE WHEN provider = 'openai' AND turn % 4 = 0 THEN 0 ELSE length(text) + turn END AS BIGINT) AS total_tokens,

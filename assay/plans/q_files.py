@@ -27,7 +27,8 @@ def _case_records(fx):
     category = F.element_at(F.array(*[F.lit(c) for c in (
         "tool_use_boundaries", "prompt_robustness", "context_isolation", "long_context_behavior",
         "content_integrity", "guardrail_consistency")]), (k % 6 + 1).cast("int"))
-    expected = F.struct(F.array(F.substring("text", 1, 4)).alias("must_contain"),
+    expected = F.struct(F.array(F.when(k % 3 == 0, F.col("text")).otherwise(F.split_part("text", F.lit(" "), F.lit(2))))
+                        .alias("must_contain"),
                         F.when(k % 2 == 0, F.array(F.lit("i CANNOT"))).alias("must_not_contain"))
     rec = F.struct(
         F.concat(F.lit("case-"), k).alias("id"), F.when(k % 3 != 0, F.lit(2)).alias("version"),
@@ -40,7 +41,7 @@ def _case_records(fx):
 
 @register("scan_cases_jsonl", oracle([], f"""
 SELECT concat('case-', item_id) AS id, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 2 END AS version, {CATEGORY_SQL} AS category,
- 'sub' AS subcategory, substr(text, 1, 4) AS must_contain,
+ 'sub' AS subcategory, CASE WHEN item_id % 3 = 0 THEN text ELSE split_part(text, ' ', 2) END AS must_contain,
  CASE WHEN item_id % 2 = 0 THEN 'i CANNOT' ELSE '' END AS must_not_contain,
  CASE WHEN item_id % 4 = 0 THEN '' ELSE 't1,t2' END AS tags, CASE WHEN item_id % 5 = 0 THEN 'high' ELSE 'low' END AS risk_level,
  CAST(length(text) AS BIGINT) AS first_message_chars

@@ -206,9 +206,9 @@ SELECT event_id, array_to_string(list_sort(list_filter(['provider', 'Authorizati
   OR contains(lower(k), 'refresh_token') OR contains(lower(k), 'secret') OR contains(lower(k), 'password') OR contains(lower(k), 'prompt')
   OR contains(lower(k), 'response') OR contains(lower(k), 'raw_response') OR contains(lower(k), 'thought_signature'))
   AND (k <> 'model' OR event_id % 3 <> 0))), ',') AS kept_keys,
- left(props || repeat('x', 300), 256) AS provider_value FROM events"""))
+ props || repeat('x', 300) AS provider_value FROM events"""))
 def q_safe_attributes(fx):
-    """Telemetry attributes without forbidden keys (substring, case-insensitive), values cut to 256, nulls dropped."""
+    """Telemetry attributes without forbidden keys (substring, case-insensitive), nulls dropped, long strings whole."""
     vals = {"provider": F.concat(F.col("props"), F.lit("x" * 300)), "Authorization": F.lit("Bearer abc"),
             "prompt_tokens": F.col("event_id").cast("string"), "user_secret_hint": F.lit("h"),
             "latency_ms": F.col("value").cast("string"),

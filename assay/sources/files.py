@@ -44,7 +44,7 @@ def scan_artifacts(spark: SparkSession, directory: str, extensions=SCAN_EXTENSIO
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
              .select("path", "content"))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))  # bad bytes become U+FFFD
     hits = files.where(ext.isin(*extensions)).select("path", T.first_secret(text).alias("pattern"))
     return hits.where(F.col("pattern").isNotNull())
 
@@ -117,13 +117,20 @@ def normalise_raw_responses(raw: DataFrame) -> DataFrame:
         "latency_ms", F.lit(None).cast("string").alias("error"))
 
     gm = raw.where(F.col("provider") == "google")
+
+    def gemini_call(call):
+        part = lambda path: F.try_variant_get(call, path, "string")
+        return F.struct(part("$.id").alias("id"), part("$.type").alias("type"), part("$.function.name").alias("name"),
+                        part("$.function.arguments").alias("arguments"))
+
     choices = F.try_variant_get(F.try_parse_json("payload"), "$.choices", "array<variant>")
     first_g = F.try_element_at(choices, F.lit(1))
     gm_out = gm.select(
         "payload_id", "provider", F.try_variant_get(F.try_parse_json("payload"), "$.model", "string").alias("model"),
         structured_text(F.to_json(F.try_variant_get(first_g, "$.message.content", "variant"))).alias("text"),
         F.try_variant_get(first_g, "$.finish_reason", "string").alias("finish_reason"),
-        F.array().cast(CALLS).alias("tool_calls"),
+        F.coalesce(F.transform(F.try_variant_get(first_g, "$.message.tool_calls", "array<variant>"), gemini_call),
+                   F.array().cast(CALLS)).alias("tool_calls"),
         F.coalesce(F.try_variant_get(F.try_parse_json("payload"), "$.usage.prompt_tokens", "bigint"), F.lit(0))
         .alias("input_tokens"),
         F.coalesce(F.try_variant_get(F.try_parse_json("payload"), "$.usage.completion_tokens", "bigint"), F.lit(0))

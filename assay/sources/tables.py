@@ -51,7 +51,7 @@ def read_whole_files(spark: SparkSession, path: str, recursive: bool = False) ->
     if recursive:
         r = r.option("recursiveFileLookup", True)
     return r.load(path).select(F.col("path").alias("file_path"), F.col("length").alias("file_size"),
-                               F.decode("content", "UTF-8").alias("value"))
+                               F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
 
 
 def scan_decision_stream(decisions: DataFrame, stream_id: str | None = None,

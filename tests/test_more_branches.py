@@ -53,11 +53,10 @@ def test_insert_if_absent_and_orphans(spark):
     assert r["relation"] == "child->parent" and r["orphans"] == 2
 
 
-def test_bootstrap_auto_mode(spark, monkeypatch):
+def test_bootstrap_has_one_method_unless_asked(spark):
     df = spark.createDataFrame([("g", i, float(i % 4)) for i in range(40)], "g string, id long, v double")
     assert stats.bootstrap_ci(df, "g", "v", "id", iterations=50).first()["mode"] == "hash"
-    monkeypatch.setattr(stats, "AUTO_HASH_MAX_ROWS", 10)
-    assert stats.bootstrap_ci(df, "g", "v", "id", iterations=50).first()["mode"] == "poisson"
+    assert stats.bootstrap_ci(df, "g", "v", "id", iterations=50, mode="poisson").first()["mode"] == "poisson"
 
 
 def test_report_files_end_to_end(spark, scratch):

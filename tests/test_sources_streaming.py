@@ -1,6 +1,7 @@
 """File sources, sinks, raw payload normalisation, plug-in contracts and streaming equivalence."""
 
 import datetime as dt
+import hashlib
 import json
 import os
 
@@ -43,23 +44,40 @@ def test_case_files_and_validation(spark, scratch):
 
 def test_scenarios_and_legacy(spark, scratch):
     d = os.path.join(scratch, "scen")
-    good = {"id": "s1", "version": "1.0", "title": "T", "category": "c",
-            "steps": [{"role": "user", "content": "x", "assertions": [{"type": "contains", "value": "y"}]}]}
-    _write(f"{d}/good.json", json.dumps(good))
-    _write(f"{d}/good.yaml", "id: s2\nversion: 1.0.0\ntitle: Y\ncategory: c\nsteps:\n  - role: user\n    content: hi\n")
-    _write(f"{d}/badver.json", json.dumps(dict(good, version="2.0")))
-    _write(f"{d}/nostep.json", json.dumps({k: v for k, v in good.items() if k != "steps"}))
-    _write(f"{d}/other.txt", "x")
+    base = {"id": "greet-7", "version": "1.0", "title": "Greeting", "category": "tone", "metadata": {"lang": "sv"},
+            "steps": [{"role": "user", "content": "hej", "assertions": [{"type": "regex", "value": ["a", 1]}, {"type": "len", "target": "log"}]},
+                      {"role": "assistant", "content": 5}]}
+    without = lambda *names: {k: v for k, v in base.items() if k not in names}
+    files = {
+        "ok.json": json.dumps(base), "marked.json": json.dumps(dict(base, fingerprint="old")),
+        "plain.yaml": "id: 3\nversion: 1.0.0\ntitle: Y\ncategory: c\nsteps:\n- {role: user, content: hi}\n",
+        "broken.yml": "id: [", "broken.json": "{", "list.json": "[1]", "version.json": json.dumps(dict(base, version="3")),
+        "untitled.json": json.dumps(without("title")), "stepless.json": json.dumps(without("steps")),
+        "mute.json": json.dumps(dict(base, steps=[{"role": "user"}])), "steps.json": json.dumps(dict(base, steps="none")),
+        "check.json": json.dumps(dict(base, steps=[dict(base["steps"][0], assertions=[{"value": 1}])])), "notes.txt": "x"}
+    for name, text in files.items():
+        _write(f"{d}/{name}", text)
     out = {os.path.basename(r["file_path"]): r for r in S.scan_scenarios(spark, d).collect()}
-    assert out["good.json"]["error"] is None and out["good.json"]["fingerprint"] == S.fingerprint(good)
-    assert out["good.json"]["steps"][0]["assertions"][0]["target"] == "output"
-    assert out["good.yaml"]["error"] is None and out["good.yaml"]["version"] == "1.0.0"
-    assert "Unsupported Benchmark DSL version" in out["badver.json"]["error"]
-    assert "'steps'" in out["nostep.json"]["error"] and "Unsupported file format" in out["other.txt"]["error"]
-    _write(f"{scratch}/legacy.jsonl", json.dumps({"id": "L1", "prompt": "p", "expected": "e", "extra": 1}) + "\n")
-    leg = S.adapt_legacy_jsonl(spark, f"{scratch}/legacy.jsonl").first()
-    assert leg["title"] == "L1" and leg["steps"][0]["assertions"][0]["type"] == "contains"
-    assert json.loads(leg["metadata"]) == {"extra": 1}
+    errors = {n: r["error"] for n, r in out.items()}
+    assert errors == {
+        "ok.json": None, "marked.json": None, "plain.yaml": None, "broken.yml": "undecodable", "broken.json": "undecodable",
+        "list.json": "not_an_object", "version.json": "unknown_version", "untitled.json": "missing_title",
+        "stepless.json": "missing_steps", "mute.json": "bad_step", "steps.json": "bad_step", "check.json": "bad_assertion",
+        "notes.txt": "unknown_suffix"}
+    canonical = json.dumps(base, sort_keys=True, separators=(",", ":"))
+    assert out["ok.json"]["fingerprint"] == out["marked.json"]["fingerprint"] == hashlib.sha256(canonical.encode()).hexdigest()
+    first, second = out["ok.json"]["steps"]
+    assert [tuple(a) for a in first["assertions"]] == [("regex", "output", '["a",1]'), ("len", "log", None)]
+    assert second["content"] == "5" and second["assertions"] == [] and json.loads(out["ok.json"]["metadata"]) == {"lang": "sv"}
+    assert out["plain.yaml"]["id"] == "3" and out["plain.yaml"]["metadata"] == "{}"
+    records = [{"id": "q9", "prompt": "2+2?", "expected": 4, "level": "easy"}, {"name": "N", "category": "c"}, {}]
+    _write(f"{scratch}/legacy.jsonl", "\n".join([*map(json.dumps, records), "", "nonsense"]) + "\n")
+    rows = S.adapt_legacy_jsonl(spark, f"{scratch}/legacy.jsonl").collect()
+    assert [(r["id"], r["title"], r["category"], r["error"]) for r in rows] == [
+        ("q9", "q9", "general", None), ("legacy_case", "N", "c", None), ("legacy_case", "Legacy Benchmark", "general", None),
+        (None, None, None, "undecodable")]
+    assert [tuple(a) for a in rows[0]["steps"][0]["assertions"]] == [("contains", "output", "4")]
+    assert json.loads(rows[0]["metadata"]) == {"level": "easy"} and rows[1]["steps"][0]["content"] == ""
 
 
 def test_reports_and_artifacts(spark, scratch):
