@@ -22,8 +22,7 @@ SANITIZE_TRUNCATED = "\n\n[TRUNCATED]"
 MAX_CHARS = 64_000
 
 # Ordered secret redaction rules (pattern, replacement).  Order matters:
-# the Anthropic key rule must run before the generic "sk-" rule.  The last rule is ours
-# (a second live pattern in the driver's documents).
+# the Anthropic key rule must run before the generic "sk-" rule.
 REDACTION_RULES = [
     ("anthropic_key", r"sk-ant-[A-Za-z0-9_-]{20,}", "[ANTHROPIC-KEY-REDACTED]"),
     ("openai_key", r"sk-[A-Za-z0-9_-]{20,}", "[OPENAI-KEY-REDACTED]"),
@@ -31,8 +30,12 @@ REDACTION_RULES = [
     ("bearer_token", r"Bearer\s+[A-Za-z0-9._-]{20,}", "Bearer [TOKEN-REDACTED]"),
     ("hex_token", r"[0-9a-fA-F]{64}", "[HEX-TOKEN-REDACTED]"),
     ("email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL-REDACTED]"),
-    ("token_assignment", r'token\s*=\s*"[0-9a-f]{40}"', "[TOKEN-REDACTED]"),
 ]
+# A rule of our own that callers may append.
+TOKEN_ASSIGNMENT_RULE = ("token_assignment", r'token\s*=\s*"[0-9a-f]{40}"', "[TOKEN-REDACTED]")
+# What a text must contain for a rule to be able to match: a plain search that spares most texts the regex.
+RULE_MARKS = {"anthropic_key": "sk-ant-", "openai_key": "sk-", "google_key": "AIza", "bearer_token": "Bearer", "email": "@",
+              "token_assignment": "token"}
 # Keys whose values are always replaced (case-insensitive key match).
 SENSITIVE_FIELD_NAMES = (
     "api_key", "apikey", "api-key", "x-api-key", "authorization", "bearer", "token", "secret",
@@ -113,17 +116,23 @@ def extract_json_block(text) -> Column:
 
 
 def redact_text(text, rules=REDACTION_RULES) -> Column:
-    """SCL-5: ordered left fold of ``regexp_replace`` over the rule table (one codegen'd expression)."""
-    out = _c(text)
-    for _name, pattern, replacement in rules:
+    """SCL-5: ordered left fold of ``regexp_replace`` over the rule table, for texts that some rule may match."""
+    t = out = _c(text)
+    touched = F.lit(False)
+    for name, pattern, replacement in rules:
         out = F.regexp_replace(out, pattern, replacement.replace("\\", "\\\\").replace("$", "\\$"))
-    return out
+        touched = touched | (_may_match(t, name) if name in RULE_MARKS else t.rlike(pattern))
+    return F.when(touched, out).otherwise(t)
+
+
+def _may_match(text: Column, rule: str) -> Column:
+    return F.contains(text, F.lit(RULE_MARKS[rule])) if rule in RULE_MARKS else F.lit(True)
 
 
 def first_secret(text, rules=REDACTION_RULES) -> Column:
     """SCL-6: name of the first rule (in rule order) that matches, else NULL."""
     t = _c(text)
-    return F.coalesce(*[F.when(t.rlike(p), F.lit(n)) for n, p, _ in rules], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(_may_match(t, n) & t.rlike(p), F.lit(n)) for n, p, _ in rules], F.lit(None).cast("string"))
 
 
 def is_clean(text, rules=REDACTION_RULES) -> Column:

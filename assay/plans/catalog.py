@@ -38,4 +38,5 @@ def register(key: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the query modules so they register themselves."""
     from assay.plans import (  # noqa: F401
-        q_audit, q_costs, q_evaluators, q_files, q_judges, q_keys, q_metrics, q_misc, q_streaming, q_text)
+        q_audit, q_costs, q_evaluators, q_files, q_judges, q_keys, q_metrics, q_misc, q_sources,
+        q_streaming, q_text)
