@@ -46,7 +46,8 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 SAFE_CUT = r"(?<=\S) (?=\S)"
 BLOCK_CHARS = 1 << 16
 MEMO_PIECE_CHARS = 64
-MEMO_ENTRIES = 1 << 19
+MEMO_ENTRIES = 1 << 20
+MEMO_PRETOKENS = 1 << 16
 SHORT_BYTES = 64
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
@@ -191,12 +192,26 @@ class _Memo(dict):
         return ids
 
 
+class _Pretokens(dict):
+    """Pre-tokens that are no word after a space: bounded too."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, pretoken: str) -> bytes:
+        if len(self) >= MEMO_PRETOKENS:
+            self.clear()
+        ids = self[pretoken] = self.codec.pack(self.codec.table.merge(pretoken.encode()))
+        return ids
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file; one per worker process."""
 
     def __init__(self, path: str):
         self.table = MergeTable(path)
-        self.memo = _Memo(self)
+        self.memo, self.others = _Memo(self), _Pretokens(self)
         self.pretoken, self.cut = regex.compile(PRETOKEN), regex.compile(SAFE_CUT)
         self.special = regex.compile("|".join(map(regex.escape, self.table.special))) if self.table.special else None
 
@@ -206,17 +221,23 @@ class Codec:
 
     def pretokens(self, text: str) -> bytes:
         """Packed ids of a text, one pre-token after the other."""
-        out: list[int] = []
+        out = []
         for m in self.pretoken.finditer(text):
             start, end = m.span()
-            if end - start <= MEMO_PIECE_CHARS:
-                out += self.table.merge(m.group().encode())
-                continue
-            stream = Transducer(self.table)
-            for at in range(start, end, BLOCK_CHARS):
-                out.extend(stream.feed(text[at:min(end, at + BLOCK_CHARS)].encode()))
-            out.extend(stream.flush())
-        return self.pack(out)
+            if end - start > MEMO_PIECE_CHARS:
+                out.append(self._long(text, start, end))
+            elif (piece := m.group())[0] == " " and piece[1:].isalpha():
+                out.append(self.memo[piece[1:]])
+            else:
+                out.append(self.others[piece])
+        return b"".join(out)
+
+    def _long(self, text: str, start: int, end: int) -> bytes:
+        """Packed ids of one long pre-token, emitted as they get stable."""
+        stream, out = Transducer(self.table), []
+        for at in range(start, end, BLOCK_CHARS):
+            out += stream.feed(text[at:min(end, at + BLOCK_CHARS)].encode())
+        return self.pack([*out, *stream.flush()])
 
     def _block(self, block: str) -> bytes:
         first, *rest = block.split(" ")
