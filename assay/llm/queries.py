@@ -54,4 +54,44 @@ def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_entity_disclosure, op2_rendezvous_sharding, op3_schema_fingerprint_chat, op4_tier_packing, op5_bpe_transducer, op6_partenum_join, op7_line_frequency,
                                op8_folded_lexicon, op9_mtree_search, op10_credential_linking)}
-ORACLES: dict[str, str] = {}
+
+
+def _escaped_sql(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+ORACLES: dict[str, str] = {
+    "op3_schema_fingerprint_chat": f"""
+WITH c AS (
+ SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+ CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+ CAST(sum({len(chat.TURN_OPEN) + len(chat.TURN_CLOSE) + 2} + length(r) + length({_escaped_sql('t')})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+    "op6_partenum_join": f"""
+WITH RECURSIVE w AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_hold AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s GROUP BY 1, 2),
+links AS (SELECT x, y FROM both_hold JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= {partenum.THRESHOLD} * (a.n + b.n - i)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+least_id AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least_id ON x = w.doc_id""",
+    "op9_mtree_search": f"""
+WITH v AS (
+ SELECT vec_id, list_transform(embedding, lambda x: floor({mtree.SCALE} * CAST(x AS DOUBLE))) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER best AS INTEGER) AS rank, c.vec_id AS vec_id,
+ CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+WINDOW best AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) QUALIFY row_number() OVER best <= {mtree.TOP}""",
+}
