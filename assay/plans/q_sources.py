@@ -1,5 +1,5 @@
 """Sources, sinks, plug-in contracts and record hashes over data that Spark derives from the driver tables:
-SRC-2, SRC-3, SRC-6, SRC-8, SRC-9, SRC-10, SRC-14, SCL-9, SCL-12, SCL-19, SCL-20, UDF-1..4."""
+SRC-2, SRC-3, SRC-4, SRC-6, SRC-8, SRC-9, SRC-10, SRC-11, SRC-14, SCL-9, SCL-12, SCL-19, SCL-20, UDF-1..4."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ import os
 from pyspark.sql import functions as F
 
 from assay.functions import hashing as H
+from assay.functions import text as T
 from assay.operators import contracts, evaluators
 from assay.plans.catalog import register
 from assay.plans.fixtures import oracle
 from assay.plans.q_files import _scratch
-from assay.sources import files, scenarios, sinks
+from assay.sources import dims, files, scenarios, sinks
 
 # One scenario per document: id, two steps whose contents are digests of the whole text, every
 # seventh without a category, every eleventh of another version.
@@ -80,12 +81,21 @@ def q_scenario_fingerprint(fx):
 
 
 @register("canonical_json", oracle([], """
-SELECT doc_id, '{"a":{"m":null,"z":[' || doc_id || ',true]},"b":"' || md5(text) || '"}' AS canonical,
- sha256('{"a": {"m": null, "z": [' || doc_id || ', true]}, "b": "' || md5(text) || '"}') AS config_hash FROM documents"""))
+SELECT doc_id, '{"a":{"m":null,"z":[' || doc_id || ',true]},"b":"' || md5(text) || '"}' AS canonical FROM documents"""))
 def q_canonical_json(fx):
-    """SCL-9 and SCL-19 on free-form JSON: spaced, unsorted text in, sorted compact text and spaced hash out."""
-    raw = F.concat(F.lit('{ "b" : "'), F.md5("text"), F.lit('", "a": {"z":[ '), F.col("doc_id").cast("string"), F.lit(', true ], "m":null} }'))
-    return fx.documents.select("doc_id", H.canonical_json_text(raw).alias("canonical"), H.config_hash(raw).alias("config_hash"))
+    """SCL-9 on free-form JSON: spaced, unsorted text in, sorted compact text out."""
+    return fx.documents.select("doc_id", H.canonical_json_text(_loose_json()).alias("canonical"))
+
+
+def _loose_json():
+    return F.concat(F.lit('{ "b" : "'), F.md5("text"), F.lit('", "a": {"z":[ '), F.col("doc_id").cast("string"), F.lit(', true ], "m":null} }'))
+
+
+@register("config_hash", oracle([], """
+SELECT doc_id, sha256('{"a": {"m": null, "z": [' || doc_id || ', true]}, "b": "' || md5(text) || '"}') AS config_hash FROM documents"""))
+def q_config_hash(fx):
+    """SCL-19: SHA-256 of sorted JSON with spaces after its separators."""
+    return fx.documents.select("doc_id", H.config_hash(_loose_json()).alias("config_hash"))
 
 
 @register("structured_text", oracle([], """
@@ -162,6 +172,29 @@ def q_scan_integrity_reports(fx):
     return found.select(F.regexp_extract("file_path", "/s=([^/]+)/", 1).alias("source"), "status", "total", "passed")
 
 
+ANY_RULE = " OR ".join("regexp_matches(text, '" + p.replace("'", "''") + "')" for _, p, _ in T.REDACTION_RULES)
+
+
+@register("scan_artifacts", oracle([], f"SELECT DISTINCT source FROM documents WHERE {ANY_RULE}"))
+def q_scan_artifacts(fx):
+    """SRC-11: artifact files with a secret; whole documents written as text files below a folder per source."""
+    root = _scratch(fx.spark, "artifacts")
+    fx.documents.select(F.col("source").alias("s"), F.col("text").alias("value")).write.partitionBy("s").text(root)
+    found = files.scan_artifacts(fx.spark, root)
+    return found.select(F.regexp_extract("path", "/s=([^/]+)/", 1).alias("source")).distinct()
+
+
+@register("load_dims", oracle(["executions"], """
+SELECT x.provider, d.cap_usd, CAST(30.0 AS DOUBLE) AS effective_global_cap_usd, d.rpm_limit, count(*) AS requests FROM executions x
+JOIN (VALUES ('openai', CAST(8.0 AS DOUBLE), 60), ('anthropic', 8.0, 50), ('google', 8.0, 60), ('xai', 8.0, 30)) d(provider, cap_usd, rpm_limit)
+ ON d.provider = x.provider GROUP BY x.provider, d.cap_usd, d.rpm_limit"""))
+def q_load_dims(fx):
+    """SRC-4: the budget and request-limit dimensions beside the requests of each provider."""
+    caps = dims.budgets(fx.spark).join(dims.rpm_limits(fx.spark), "provider")
+    asked = fx.executions.groupBy("provider").agg(F.count("*").alias("requests"))
+    return asked.join(caps, "provider").select("provider", "cap_usd", "effective_global_cap_usd", F.col("rpm_limit").cast("int"), "requests")
+
+
 @register("execution_event_source", oracle(["executions"], """
 SELECT provider, status, count(*) AS requests, sum(latency_ms) AS latency_ms, sum(input_tokens) AS input_tokens
 FROM executions GROUP BY provider, status"""))
