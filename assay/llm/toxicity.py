@@ -22,6 +22,7 @@ are passed through, a column named like an output is replaced.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -47,6 +48,7 @@ MIN_EXCEPTION_DOCS = 3
 
 # Signs that stand for letters, and look-alike letters of other scripts.
 SIGNS = dict(zip("013457@$!", "oieastasi"))
+PUNCTUATION = re.compile(r"[@$!]+(?![^\W_])")
 LOOKALIKES = dict(zip("абеорсухікмнтвѕјԁɡαβεηικνορτυχωı", "abeopcyxikmhtbsjdgabenikvoptuxwi"))
 
 
@@ -71,8 +73,12 @@ FOLDING = Folding()
 
 
 def fold(text: str | None) -> str:
-    """Folded text between two spaces; words are what stands between spaces."""
-    return f" {(text or '').lower().translate(FOLDING)} "
+    """Folded text between two spaces; words are what stands between spaces.  Signs that no
+    letter or digit follows are punctuation."""
+    plain = (text or "").lower()
+    if "!" in plain or "$" in plain or "@" in plain:
+        plain = PUNCTUATION.sub(" ", plain)
+    return f" {plain.translate(FOLDING)} "
 
 
 def features(text: str | None) -> set[str]:
