@@ -4,18 +4,19 @@ Sizes a <= b with ``100 * |A & B| >= T * |A | B|`` differ in at most
 ``d(a, b) = floor((a + b) * (100 - T) / (100 + T))`` elements.  Sizes fall into bands that
 double; a band has a fixed partitioning of the hash domain, and each partition's content is
 a signature.  Two sets that differ in d elements differ in at most d partitions, so in any
-global order of signatures each set's first d + 1 hold one that both share (subset
-enumeration with all second-level parts kept; empty partitions come last and are only a
-signature where a set has too few others).  A set signs in its own band with d for the
+global order of signatures each set's first d + 1 hold one that both share (empty
+partitions come last and are only a signature where a set has too few others).  A set signs in its own band with d for the
 largest partner it can have, and in the band below if it can have partners there.  The order
 puts signatures of shingles that are frequent in a bounded sample of documents last: any
 order gives the same result, this one avoids buckets of unrelated documents that share a
 passage.
 
 Equal sets are one node.  Sharing a signature makes candidates; first the neighbours in each
-bucket are compared exactly and linked sets are merged into components, then every pair of a
-bucket that is still in different components.  A pair inside one component needs no check,
-so nothing is lost and no bucket of copies is expanded into pairs.  Components come from
+bucket, in a few orders, are compared exactly and linked sets are merged into components,
+then every pair of a
+bucket that is still in different components and whose sizes and parity sketches allow
+similarity.  A pair inside one component needs no check, so nothing is lost and no bucket of
+copies is expanded into pairs.  Components come from
 alternating large-star and small-star steps, with a written table between them.
 
 Cases: null and empty texts and texts of white space have an empty set, size 0 and stand
@@ -41,14 +42,16 @@ SHINGLE = 5
 THRESHOLD = 75
 # Documents whose shingles tell frequent ones; how often in the sample makes one frequent,
 # and how many of these are told to the tasks.  None of them changes a result.
-SAMPLE = 4096
-FREQUENT = 3
-FREQUENT_ENTRIES = 1 << 16
-# Below this size a band's partitions hold single shingles.
-SMALL = 32
+SAMPLE = 8192
+FREQUENT = 2
+FREQUENT_ENTRIES = 1 << 17
+# Words of a set's parity sketch; see ``sketch``.
+SKETCH_WORDS = 8
 # Texts of candidates are found by a bitmap of so many slots, which bounds the broadcast.
 SLOTS = 1 << 20
 HELD_SETS = 256
+# Orders in which the neighbours of a bucket are compared before all its pairs are.
+ORDERS = 16
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,8 +87,24 @@ def band_of(size: int) -> int:
 
 
 def partitions_of(band: int) -> int:
-    """Partitions of a band of sizes 2**band to 2**(band+1) - 1."""
-    return 1 << band if 1 << band >= SMALL else 16 << (band + 1)
+    """Partitions of a band of sizes 2**band to 2**(band+1) - 1: fine enough that a set may leave
+    out more than half of its content, such as passages that many documents share."""
+    return max(4 << band, 1 << 10)
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """Parities of the set's counts in 64 * SKETCH_WORDS cells.  An element of one set alone
+    flips one bit, so two sketches differ in at most as many bits as the sets in elements."""
+    bits = np.bincount((mixed(hashes + MIX) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_be_similar(a: str, b: str, threshold: int):
+    """Whether sizes and sketches of two sets (columns ``size_x`` and ``sketch_x``) allow similarity."""
+    size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
+    apart = sum((F.bit_count(F.col(f"sketch_{a}")[i].bitwiseXOR(F.col(f"sketch_{b}")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    return (100 * F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b)) & (
+        apart * (100 + threshold) <= (size_a + size_b) * (100 - threshold))
 
 
 class Signer:
@@ -131,7 +150,7 @@ def text_key(text_col: str):
 
 
 def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, size, node, set_key) of every document; equal sets share node and set_key."""
+    """(doc_id, text_key, size, sketch, node, set_key) of every document; equal sets share node and set_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,12 +158,12 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             keys = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), column(batch, "text_key"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([node_name(k) for k in keys], pa.int64()), pa.array(keys, pa.binary())],
-                names=["doc_id", "text_key", "size", "node", "set_key"])
+                 pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([node_name(k) for k in keys], pa.int64()), pa.array(keys, pa.binary())],
+                names=["doc_id", "text_key", "size", "sketch", "node", "set_key"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"),
                        F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(run, "doc_id long, text_key binary, size long, node long, set_key binary"), "nodes")
+    return written(rows.mapInArrow(run, "doc_id long, text_key binary, size long, sketch array<bigint>, node long, set_key binary"), "nodes")
 
 
 def node_name(set_key: bytes) -> int:
@@ -212,13 +231,17 @@ def candidate_texts(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFr
         F.first("text").alias("text"))
 
 
+def distinct_sets(nodes: DataFrame) -> DataFrame:
+    """(node, text_key, size, sketch): one row per set."""
+    return nodes.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+
+
 def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, threshold: int = THRESHOLD) -> DataFrame:
     """The (a, b) whose sets are similar, by exact comparison of their shingle sets."""
-    one = nodes.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"))
-    sized = lambda n: one.select(F.col("node").alias(n), F.col("text_key").alias(f"key_{n}"), F.col("size").alias(f"size_{n}"))
-    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    checked = written(pairs.join(sized("a"), "a").join(sized("b"), "b").filter(100 * small >= threshold * large).select(
-        "a", "b", "key_a", "key_b"), "pairs")
+    one = distinct_sets(nodes)
+    named = lambda n: one.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("text_key", "size", "sketch")))
+    checked = written(pairs.join(named("a"), "a").join(named("b"), "b").filter(may_be_similar("a", "b", threshold)).select(
+        "a", "b", F.col("text_key_a").alias("key_a"), F.col("text_key_b").alias("key_b")), "pairs")
     needed = checked.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()
     texts = written(candidate_texts(docs, needed, text_col), "texts")
     of = lambda n: texts.select(F.col("text_key").alias(f"key_{n}"), F.col("text").alias(f"text_{n}"))
@@ -252,6 +275,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node that has a link."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = written(edges, "edges")
+    before = digest(edges)
     while True:
         # large star: larger neighbours go to the smallest of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -261,15 +285,40 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = written(small, "edges")
-        if not changed(edges, after):
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = after
+        edges = written(small, "edges")
+        if (now := digest(edges)) == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = now
+
+
+def digest(edges: DataFrame) -> tuple:
+    """Number and hash sum of a set of edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def changed(a: DataFrame, b: DataFrame) -> bool:
-    digest = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    return digest(a) != digest(b)
+def open_buckets(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sig, node, root, size, sketch) of the buckets with nodes of different components."""
+    placed = members.select("sig", "node").distinct().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed_up = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
+    return written(placed.join(mixed_up, "sig", "left_semi").join(distinct_sets(nodes).drop("text_key"), "node"), "open")
+
+
+def neighbours(rows: DataFrame, threshold: int) -> DataFrame:
+    """Pairs next to each other in one of ORDERS orders, by signature."""
+    order = Window.partitionBy("sig").orderBy(F.xxhash64("node", F.pmod("sig", F.lit(ORDERS))), "node")
+    cells = F.struct("node", "root", "size", "sketch")
+    pairs = rows.select(cells.alias("y"), F.lag(cells).over(order).alias("x")).filter("x is not null")
+    sided = pairs.select(*(F.col(f"{s}.{c}").alias(n) for s, t in (("x", "a"), ("y", "b"))
+                           for c, n in (("node", t), ("root", f"root_{t}"), ("size", f"size_{t}"), ("sketch", f"sketch_{t}"))))
+    fitting = sided.filter((F.col("root_a") != F.col("root_b")) & may_be_similar("a", "b", threshold))
+    return fitting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def all_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """Every pair of a bucket whose components differ and whose sizes and sketches fit."""
+    side = lambda n: rows.select("sig", F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("root", "size", "sketch")))
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    return side("a").join(side("b"), "sig").filter(apart & may_be_similar("a", "b", threshold)).select("a", "b").distinct()
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -282,17 +331,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     near = members.filter("before is not null").select(F.col("before").alias("a"), F.col("node").alias("b")).distinct()
     links = similar_pairs(near, nodes, docs, text_col, threshold)
     found = components(links)
-    # pairs of a bucket that are in different components still
-    placed = members.select("sig", "node").distinct().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_up = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    open_rows = written(placed.join(mixed_up, "sig", "left_semi"), "open")
-    left = open_rows.select("sig", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    right = open_rows.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    cross = left.join(right, "sig").filter("a < b and root_a <> root_b").select("a", "b").distinct()
-    rest = cross.join(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = similar_pairs(rest, nodes, docs, text_col, threshold)
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    # buckets that hold different components still: neighbours in several other orders, then all pairs
+    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for pairs_of in (neighbours, all_pairs):
+        pairs = pairs_of(open_buckets(members, found, nodes), threshold)
+        more = similar_pairs(pairs.join(tried, ["a", "b"], "left_anti"), nodes, docs, text_col, threshold)
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.filter("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = rooted.join(least, "root", "left")
