@@ -5,11 +5,15 @@ windows.  The cross-document rule hashes normalised lines (lower case, single sp
 counts, per host, the distinct documents that hold a line.  Lines above the host's limit are
 boilerplate and are removed; a document of which too little is left is rejected.
 
-Copies of a document aren't independent evidence: documents are told apart by the smallest
-hash among their five-word windows, which two texts share as often as their windows agree,
-so copies and near copies of one text count about once.
-
-The distinct count is two-stage (host, line, document) then (host, line), so a line that a
+Copies of a document aren't independent evidence, so copies and near copies count about once.
+Lines that enough distinct texts of a host hold are common; the rest of a document, its own
+part, tells it apart by the smallest hash of five-word windows inside the own lines, which two
+texts share as often as those windows agree.  Shared lines have no say in that, however much
+of a document they make up.  Only where the own part is less than ``OWN_SHARE`` of what stands
+beside the longest common line (two such texts have 75 % of their windows in common, which
+links them in the Jaccard join too), documents with the same common lines are near copies.
+
+The distinct counts are two-stage (host, line, document) then (host, line), so a line that a
 third of all documents hold is spread over many tasks before it is summed up.  Whole texts
 are read once; what is passed on is one row of counts and line hashes per document.
 
@@ -34,6 +38,8 @@ SPACES = " \t\n\x0b\f\r"
 # and at least this share of the host's documents.
 MIN_LINE_DOCS = 10
 MAX_LINE_SHARE = 0.05
+# Own parts below this share are those of near copies: (1 - s) / (1 + s) = 0.75.
+OWN_SHARE = 1 / 7
 # A document is depleted when less than this share of its words is left.
 MIN_LEFT_SHARE = 0.3
 
@@ -63,7 +69,7 @@ def line_hash(line: Column) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row per document: base counts, identity and (hash, words) of its lines; fixed."""
+    """One row per document: base counts and (hash, words, smallest window hash) of its lines; fixed."""
     text = text_or_empty(text_col)
     split = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"),
                         F.xxhash64(text).alias("text_hash"), text.alias("t"), words(text).alias("w"))
@@ -72,7 +78,9 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     apart = hashed.withColumn("lines", lines).withColumn("n_distinct", F.size(F.array_distinct("h")))
     repeats = F.when(F.col("n_distinct") < F.size("h"), repeated_words(F.col("h"))).otherwise(F.lit(0))
     length = F.length("t")
-    of_line = lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words"))
+    in_words = lambda x: F.struct(F.xxhash64(x).alias("line"), F.split(x, " ").alias("w"))
+    of_line = lambda x: F.struct(x["line"], F.size(x["w"]).alias("words"), F.coalesce(
+        F.array_min(window_hashes(x["w"])), x["line"]).alias("least"))
     rows = apart.select(
         "doc_id", "host", "text_hash", F.monotonically_increasing_id().alias("row"),
         F.size("w").cast("long").alias("n_words"),
@@ -80,15 +88,34 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         (length - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeats.cast("long").alias("n_repeat_words"),
-        F.coalesce(F.array_min("h"), F.col("text_hash")).alias("identity"),
-        F.transform(F.transform("lines", normalised), of_line).alias("lines"))
+        F.transform(F.transform(F.transform("lines", normalised), in_words), of_line).alias("lines"))
     return written(rows, "quality")
 
 
+def told_apart(rows: DataFrame, min_docs: int = MIN_LINE_DOCS) -> DataFrame:
+    """(host, identity, common lines) of every document; fixed."""
+    lines = rows.select("row", "host", "text_hash", F.explode(F.array_distinct("lines")).alias("l")).select(
+        "row", "host", "text_hash", "l.*")
+    common = lines.groupBy("host", "line").agg(F.countDistinct("text_hash").alias("texts")).filter(
+        F.col("texts") >= min_docs).select("host", "line")
+    shared = lines.join(common, ["host", "line"]).groupBy("row").agg(
+        F.sum("words").alias("shared_words"), F.max("words").alias("longest"), F.sort_array(F.collect_list("line")).alias("common"),
+        F.collect_list("least").alias("shared_least"))
+    all_words = F.aggregate(F.array_distinct("lines"), F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    own_words = F.col("all_words") - F.coalesce("shared_words", F.lit(0))
+    least = F.transform("lines", lambda x: x["least"])
+    own = F.array_min(F.when(F.col("common").isNull(), least).otherwise(F.array_except(least, F.col("shared_least"))))
+    near = own_words < OWN_SHARE * (F.col("all_words") - F.coalesce("longest", F.lit(0)))
+    alike = F.when(F.col("common").isNotNull(), F.xxhash64("common"))
+    identity = F.coalesce(F.when(~near, own), alike, "text_hash")
+    joined = rows.select("row", "host", "text_hash", "lines", all_words.alias("all_words")).join(shared, "row", "left")
+    return written(joined.select("host", identity.alias("identity"), "common"), "quality-identities")
+
+
 def frequent_lines(rows: DataFrame, min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE) -> DataFrame:
     """(host, line, line_docs): lines above their host's limit."""
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    lines = rows.select("host", "identity", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    lines = told_apart(rows, min_docs).select("host", "identity", F.explode("common").alias("line"))
     counts = lines.groupBy("host", "line").agg(F.countDistinct("identity").alias("line_docs"))
     counts = counts.filter(F.col("line_docs") >= min_docs)
     return counts.join(hosts, "host").filter(F.col("line_docs") >= max_share * F.col("host_docs")).drop("host_docs")
@@ -101,7 +128,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
     gone = lines.join(frequent_lines(rows, min_docs, max_share), ["host", "line"]).groupBy("row").agg(
         F.count("*").alias("removed_lines"), F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
-    all_rows = rows.drop("lines", "identity").join(gone, "row", "left")
+    all_rows = rows.drop("lines").join(gone, "row", "left")
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = left < min_left * F.col("n_words")

@@ -64,6 +64,29 @@ def test_frequent_lines_go_and_depleted_documents_fail(spark):
     assert all(r["removed_lines"] == 0 for r in quality.judged(other).collect())
 
 
+def test_a_line_that_makes_up_most_of_its_documents_is_counted_in_each(spark):
+    prepare(spark)
+    rng = random.Random(12)
+    banner, footer = filler(rng, 60), filler(rng, 40)
+    depleted = [f"{banner}\n{filler(rng, 20)}" for _ in range(45)]
+    short = [f"{footer}\nitem {i}" for i in range(45)]
+    plain = [filler(rng, 30) for _ in range(510)]
+    rows = quality.measured(documents(spark, depleted + short + plain), "doc_id", "text", "source")
+    assert sorted(r["line_docs"] for r in quality.frequent_lines(rows).collect()) == [45, 45]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judged(documents(spark, depleted + short + plain)).collect()}
+    assert not any(kept[i] for i in range(90)) and all(kept[i] for i in range(90, 600))
+
+
+def test_two_lines_in_the_same_documents_do_not_hide_each_other(spark):
+    prepare(spark)
+    rng = random.Random(13)
+    head, foot = filler(rng, 60), filler(rng, 60)
+    both = [f"{head}\n{filler(rng, 20)}\n{foot}" for _ in range(60)]
+    rows = quality.measured(documents(spark, both + [filler(rng, 30) for _ in range(540)]), "doc_id", "text", "source")
+    counts = [r["line_docs"] for r in quality.frequent_lines(rows).collect()]
+    assert counts == [60, 60]
+
+
 @pytest.mark.parametrize("weights", [[1.0] * 5, [1.0, 1.0, 4.0]])
 def test_rendezvous_follows_weights_and_moves_little(spark, weights):
     keys = spark.range(20_000)
