@@ -35,9 +35,11 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 # A line is above the limit when at least so many distinct documents of its host hold it,
-# and at least this share of the host's documents.
+# and at least this share of the host's distinct documents or, whatever the host's size,
+# MANY_LINE_DOCS of them.
 MIN_LINE_DOCS = 10
 MAX_LINE_SHARE = 0.05
+MANY_LINE_DOCS = 10_000
 # Own parts below this share are those of near copies: (1 - s) / (1 + s) = 0.75.
 OWN_SHARE = 1 / 7
 # A document is depleted when less than this share of its words is left.
@@ -78,9 +80,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     apart = hashed.withColumn("lines", lines).withColumn("n_distinct", F.size(F.array_distinct("h")))
     repeats = F.when(F.col("n_distinct") < F.size("h"), repeated_words(F.col("h"))).otherwise(F.lit(0))
     length = F.length("t")
-    in_words = lambda x: F.struct(F.xxhash64(x).alias("line"), F.split(x, " ").alias("w"))
-    of_line = lambda x: F.struct(x["line"], F.size(x["w"]).alias("words"), F.coalesce(
-        F.array_min(window_hashes(x["w"])), x["line"]).alias("least"))
+    of_line = lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words"))
+    apart = apart.withColumn("bare", F.transform(F.transform("lines", normalised), of_line))
+    # where each line's first word stands among the words of the text
+    apart = apart.withColumn("of_word", F.flatten(F.transform("bare", lambda x, i: F.array_repeat(i, x["words"]))))
+    at = F.filter(F.sequence(F.lit(0), F.size("of_word") - 1), lambda p: (p == 0) | (F.get("of_word", p) != F.get("of_word", p - 1)))
+    apart = apart.withColumn("at", F.when(F.size("of_word") > 0, at))
+    windows = lambda x, i: F.slice("h", F.get("at", i) + 1, F.greatest(x["words"] - WINDOW + 1, F.lit(0)))
+    placed = lambda x, i: F.struct(x["line"], x["words"], F.coalesce(F.array_min(windows(x, i)), x["line"]).alias("least"))
     rows = apart.select(
         "doc_id", "host", "text_hash", F.monotonically_increasing_id().alias("row"),
         F.size("w").cast("long").alias("n_words"),
@@ -88,7 +95,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         (length - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeats.cast("long").alias("n_repeat_words"),
-        F.transform(F.transform(F.transform("lines", normalised), in_words), of_line).alias("lines"))
+        F.transform("bare", placed).alias("lines"))
     return written(rows, "quality")
 
 
@@ -99,7 +106,7 @@ def told_apart(rows: DataFrame, min_docs: int = MIN_LINE_DOCS) -> DataFrame:
     common = lines.groupBy("host", "line").agg(F.countDistinct("text_hash").alias("texts")).filter(
         F.col("texts") >= min_docs).select("host", "line")
     shared = lines.join(common, ["host", "line"]).groupBy("row").agg(
-        F.sum("words").alias("shared_words"), F.max("words").alias("longest"), F.sort_array(F.collect_list("line")).alias("common"),
+        F.sum("words").alias("shared_words"), F.max("words").alias("longest"), F.sort_array(F.collect_set("line")).alias("common"),
         F.collect_list("least").alias("shared_least"))
     all_words = F.aggregate(F.array_distinct("lines"), F.lit(0).cast("long"), lambda n, x: n + x["words"])
     own_words = F.col("all_words") - F.coalesce("shared_words", F.lit(0))
@@ -112,21 +119,25 @@ def told_apart(rows: DataFrame, min_docs: int = MIN_LINE_DOCS) -> DataFrame:
     return written(joined.select("host", identity.alias("identity"), "common"), "quality-identities")
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE) -> DataFrame:
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE,
+                   many_docs: int = MANY_LINE_DOCS) -> DataFrame:
     """(host, line, line_docs): lines above their host's limit."""
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    lines = told_apart(rows, min_docs).select("host", "identity", F.explode("common").alias("line"))
+    told = told_apart(rows, min_docs)
+    hosts = told.groupBy("host").agg(F.countDistinct("identity").alias("host_docs"))
+    lines = told.select("host", "identity", F.explode("common").alias("line"))
     counts = lines.groupBy("host", "line").agg(F.countDistinct("identity").alias("line_docs"))
     counts = counts.filter(F.col("line_docs") >= min_docs)
-    return counts.join(hosts, "host").filter(F.col("line_docs") >= max_share * F.col("host_docs")).drop("host_docs")
+    above = (F.col("line_docs") >= max_share * F.col("host_docs")) | (F.col("line_docs") >= many_docs)
+    return counts.join(hosts, "host").filter(above).drop("host_docs")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-           min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE, min_left: float = MIN_LEFT_SHARE) -> DataFrame:
+           min_docs: int = MIN_LINE_DOCS, max_share: float = MAX_LINE_SHARE, min_left: float = MIN_LEFT_SHARE,
+           many_docs: int = MANY_LINE_DOCS) -> DataFrame:
     """One row per document: base counts, removed lines and words, verdicts."""
     rows = measured(docs, id_col, text_col, host_col)
     lines = rows.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
-    gone = lines.join(frequent_lines(rows, min_docs, max_share), ["host", "line"]).groupBy("row").agg(
+    gone = lines.join(frequent_lines(rows, min_docs, max_share, many_docs), ["host", "line"]).groupBy("row").agg(
         F.count("*").alias("removed_lines"), F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
     all_rows = rows.drop("lines").join(gone, "row", "left")
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))

@@ -87,6 +87,18 @@ def test_two_lines_in_the_same_documents_do_not_hide_each_other(spark):
     assert counts == [60, 60]
 
 
+def test_shares_and_limits_count_distinct_documents(spark):
+    prepare(spark)
+    rng = random.Random(14)
+    line, copied = filler(rng, 12), filler(rng, 50)
+    holding = [f"{filler(rng, 30)}\n{line}" for _ in range(40)]
+    among_copies = quality.measured(documents(spark, holding + [copied] * 1000), "doc_id", "text", "source")
+    assert [r["line_docs"] for r in quality.frequent_lines(among_copies).collect()] == [40]
+    large = quality.measured(documents(spark, holding + [filler(rng, 12) for _ in range(1000)]), "doc_id", "text", "source")
+    assert quality.frequent_lines(large).count() == 0
+    assert [r["line_docs"] for r in quality.frequent_lines(large, many_docs=40).collect()] == [40]
+
+
 @pytest.mark.parametrize("weights", [[1.0] * 5, [1.0, 1.0, 4.0]])
 def test_rendezvous_follows_weights_and_moves_little(spark, weights):
     keys = spark.range(20_000)
