@@ -10,9 +10,10 @@ their kinds differ in role and no more than ``SCOPE`` code points lie between th
 * an identifier when a secret (assignment, hex or bare token) is,
 * an endpoint when both an identifier and a secret are.
 
-The join is an equi-join on (document row, scope cell): a part stands in its own cell and
-the partner side also in the neighbouring ones, so a cell holds what fits into a few hundred
-code points and no document, however long, is one group.
+The join is an equi-join on (document row, scope cell): a partner stands in the cells of its
+start and of its stop, one of which is near whatever its length, and a weak part also in the
+neighbouring cells, so a cell holds what fits into a few hundred code points and no document,
+however long, is one group.
 
 Cases: null and empty texts have no spans; null ids are kept; repeated rows are scanned each
 for itself; an empty table gives no rows; other columns are ignored.
@@ -60,12 +61,13 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak parts (row, kind, start, stop) that complementary parts of the same row support."""
     role = F.when(F.col("kind").isin(ACCESS, IDENTIFIER), "identifier").when(F.col("kind") == ENDPOINT, "endpoint") \
         .otherwise("secret")
-    own = parts.withColumn("role", role).withColumn("cell", F.floor(F.col("start") / scope))
+    own = parts.withColumn("role", role)
+    ends = F.array_distinct(F.array(F.floor(F.col("start") / scope), F.floor(F.col("stop") / scope)))
     # a part reaches from the cell before its start to the cell after its end
     reach = F.sequence(F.floor(F.col("start") / scope) - 1, F.floor(F.col("stop") / scope) + 1)
     weak = own.filter(F.col("kind") >= TOKEN).select("row", "kind", "start", "stop", "role", F.explode(reach).alias("cell"))
     other = own.filter(F.col("role") != "endpoint").select(
-        "row", "cell", F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), F.col("role").alias("o_role"))
+        "row", F.explode(ends).alias("cell"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), F.col("role").alias("o_role"))
     near = (F.col("o_start") - F.col("stop") <= scope) & (F.col("start") - F.col("o_stop") <= scope)
     apart = (F.col("o_start") >= F.col("stop")) | (F.col("start") >= F.col("o_stop"))
     found = weak.join(other, ["row", "cell"]).filter(near & apart & (F.col("role") != F.col("o_role")))

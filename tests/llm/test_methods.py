@@ -45,6 +45,14 @@ def test_weak_parts_need_complements(spark):
     assert kinds == {0: ["identifier", "token"], 1: [], 2: [], 3: ["assign", "endpoint", "identifier"], 4: [], 5: []}
 
 
+def test_long_parts_are_linked_in_either_order(spark):
+    prepare(spark)
+    texts = [t for n in (150, 170, 330, 400, 2000) for t in (f"secret={'k' * n} user=bob123", f"user=bob123 secret={'k' * n}")]
+    texts += [f"secret={'k' * 400} {'. ' * 100}user=bob123", f"user=bob123 {'. ' * 100}secret={'k' * 400}"]
+    found = {r["doc_id"]: "identifier" in r["spans"] for r in secrets.secret_spans(documents(spark, texts)).collect()}
+    assert found == {i: i < 10 for i in range(12)}
+
+
 def test_frequent_lines_go_and_depleted_documents_fail(spark):
     prepare(spark)
     rng = random.Random(2)
