@@ -6,7 +6,7 @@ as far as the corpus lets one conclude e from t, measured in bits by
 
     PMI(e; t) = log2(N * n(e, t) / (n(e) * n(t)))   against   IC(e) = log2(N / n(e))
 
-with N documents, n(t) documents holding t, n(e) distinct contexts of e and n(e, t) of them
+with N distinct texts, n(t) of them holding t, n(e) distinct contexts of e and n(e, t) of them
 holding t.  PMI equals IC where t occurs with e alone.  Words whose PMI reaches
 ``generalise`` times IC become their class, those that reach ``remove`` times IC are taken
 out, both only in contexts of that entity.  A context is the entity's surroundings of
@@ -14,7 +14,7 @@ out, both only in contexts of that entity.  A context is the entity's surroundin
 context, and fewer than ``MIN_CONTEXTS`` of them are no evidence.
 
 Only documents with base spans have contexts; the words of all other documents are only
-counted, after map-side aggregation.
+counted, once for each distinct text and after map-side aggregation.
 
 Cases: null and empty texts have no spans and stay as they are; null ids are kept; repeated
 rows are sanitised each for itself; an empty table gives no rows; other columns of
@@ -102,9 +102,12 @@ def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(term, n_t): documents that hold a term; repeats in a document count once."""
-    terms = F.array_distinct(F.transform(words(F.lower(text_or_empty(text_col))), lambda w: F.regexp_replace(w, EDGES, "")))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    """(term, n_t): distinct texts that hold a term; repeats in a text count once."""
+    text = text_or_empty(text_col)
+    terms = F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, EDGES, "")))
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), terms.alias("terms")).groupBy("text_hash").agg(
+        F.first("terms").alias("terms"))
+    return texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, min_contexts: int = MIN_CONTEXTS,
@@ -117,7 +120,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, min_conte
     joint = joint.filter(F.col("n_et") >= min_contexts).join(per_entity, "entity")
     counted = joint.join(document_counts(docs, text_col), "term", "left")
     n_t = F.greatest(F.coalesce("n_t", "n_et"), F.col("n_et"))
-    top = F.greatest(F.lit(found.count()), F.col("n_e"), n_t)
+    top = F.greatest(F.lit(found.select("text_hash").distinct().count()), F.col("n_e"), n_t)
     pmi, ic = F.log2(top * F.col("n_et") / (F.col("n_e") * n_t)), F.log2(top / F.col("n_e"))
     share = F.try_divide(pmi, ic)  # null where every document is about the entity
     kind = F.when(F.col("share") >= remove, REMOVED).when(F.col("share") >= generalise, GENERALISED)

@@ -35,6 +35,15 @@ def test_words_that_reveal_an_entity_are_taken_out(spark):
     assert all("Onlycopied" in clean[i] and "c.c@" not in clean[i] for i in range(66, 74))  # one context is no evidence
 
 
+def test_copies_do_not_hide_a_disclosing_word(spark):
+    prepare(spark)
+    rng = random.Random(15)
+    texts = [f"{filler(rng, 20)} ask Zebulon at z.k@mail.example or call {filler(rng, 20)}" for _ in range(4)]
+    texts += [texts[0]] * 60 + [f"{filler(rng, 20)} ask anyone or call {filler(rng, 20)}" for _ in range(60)]
+    clean = [r["text"] for r in pii.sanitise(documents(spark, texts)).collect()]
+    assert not any("Zebulon" in t for t in clean) and all(" or call " in t for t in clean)
+
+
 def test_weak_parts_need_complements(spark):
     prepare(spark)
     token = "Ab3dEf6hIj9lMn2pQr"
