@@ -6,14 +6,15 @@ as far as the corpus lets one conclude e from t, measured in bits by
 
     PMI(e; t) = log2(N * n(e, t) / (n(e) * n(t)))   against   IC(e) = log2(N / n(e))
 
-with N distinct texts, n(t) of them holding t, n(e) distinct contexts of e and n(e, t) of them
-holding t.  PMI equals IC where t occurs with e alone.  Words whose PMI reaches
-``generalise`` times IC become their class, those that reach ``remove`` times IC are taken
-out, both only in contexts of that entity.  A context is the entity's surroundings of
-``CONTEXT`` code points on either side; equal surroundings, as in copies of a text, are one
-context, and fewer than ``MIN_CONTEXTS`` of them are no evidence.
-
-Only documents with base spans have contexts; the words of all other documents are only
+with N distinct texts, n(t) of them holding t, n(e) holding e and n(e, t) holding both, at any
+distance.  PMI equals IC where t occurs with e alone.  Words whose PMI reaches ``generalise``
+times IC become their class, those that reach ``remove`` times IC are taken out, both wherever
+they stand in documents that hold the entity.  A context is the entity's surroundings of
+``CONTEXT`` code points on either side; equal surroundings, as in near copies of a text, are
+one context, and texts with fewer than ``MIN_CONTEXTS`` of them are no evidence.
+
+Only documents with base spans have contexts, and only entities in enough contexts are paired
+with the terms of their documents; the words of all other documents are only
 counted, once for each distinct text and after map-side aggregation.
 
 Cases: null and empty texts have no spans and stay as they are; null ids are kept; repeated
@@ -82,8 +83,14 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind.cast("string"), F.when(kind.isin(CARD, PHONE), digits(value)).otherwise(F.lower(value)))
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM_PATTERN), 0), F.lower))
+
+
 def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, base spans, contexts) of every document, fixed in the shared folder."""
+    """(id, row, base spans, contexts) of every document, with the terms and the text of those
+    that have base spans; fixed in the shared folder."""
     text = text_or_empty(text_col)
     spans = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("t"),
                         base_spans(text).alias("base"))
@@ -91,14 +98,12 @@ def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def context(s: Column) -> Column:
         start = F.greatest(s["start"] - CONTEXT, F.lit(0))
         around = F.substr(F.col("t"), start + 1, s["stop"] - start + CONTEXT)
-        terms = F.transform(S.find(around, TERM_PATTERN, GENERALISED), lambda w: S.span(
-            GENERALISED, w["start"] + start, w["stop"] + start, F.lower(w["value"])))
-        apart = F.filter(terms, lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-        return F.struct(entity(s["kind"], s["value"]).alias("entity"), F.xxhash64(F.lower(around)).alias("context"),
-                        apart.alias("terms"))
+        return F.struct(entity(s["kind"], s["value"]).alias("entity"), F.xxhash64(F.lower(around)).alias("context"))
 
+    bearing = F.size("base") > 0
     return written(spans.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), "base",
-                                F.transform("base", context).alias("contexts")), "pii")
+                                F.transform("base", context).alias("contexts"), F.when(bearing, terms_of(F.col("t"))).alias("terms"),
+                                F.when(bearing, F.col("t")).alias("t")), "pii")
 
 
 def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -113,14 +118,17 @@ def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, min_contexts: int = MIN_CONTEXTS,
                      generalise: float = GENERALISE_SHARE, remove: float = REMOVE_SHARE) -> DataFrame:
     """(entity, term, kind): the words that disclose an entity and what becomes of them."""
-    contexts = found.filter(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).select("c.*")
-    per_entity = contexts.groupBy("entity").agg(F.countDistinct("context").alias("n_e"))
-    joint = contexts.select("entity", "context", F.explode(F.array_distinct(F.transform("terms", lambda w: w["value"])))
-                            .alias("term")).groupBy("entity", "term").agg(F.countDistinct("context").alias("n_et"))
-    joint = joint.filter(F.col("n_et") >= min_contexts).join(per_entity, "entity")
-    counted = joint.join(document_counts(docs, text_col), "term", "left")
+    bearing = found.filter(F.size("contexts") > 0)
+    # one context stands for all of an entity's contexts in a text, so near copies of a text stay one context
+    texts = bearing.select("row", "text_hash", F.explode("contexts").alias("c")).groupBy("c.entity", "text_hash").agg(
+        F.min("c.context").alias("context"), F.min("row").alias("row"))
+    per_entity = texts.groupBy("entity").agg(F.count("*").alias("n_e"), F.countDistinct("context").alias("n_contexts"))
+    repeated = texts.join(per_entity.filter(F.col("n_contexts") >= min_contexts).drop("n_contexts"), "entity")
+    held_terms = repeated.join(bearing.select("row", "terms"), "row").select("entity", "n_e", "context", F.explode("terms").alias("term"))
+    joint = held_terms.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et"), F.countDistinct("context").alias("n_contexts"))
+    counted = joint.filter(F.col("n_contexts") >= min_contexts).join(document_counts(docs, text_col), "term", "left")
     n_t = F.greatest(F.coalesce("n_t", "n_et"), F.col("n_et"))
-    top = F.greatest(F.lit(found.select("text_hash").distinct().count()), F.col("n_e"), n_t)
+    top = F.lit(found.select("text_hash").distinct().count())
     pmi, ic = F.log2(top * F.col("n_et") / (F.col("n_e") * n_t)), F.log2(top / F.col("n_e"))
     share = F.try_divide(pmi, ic)  # null where every document is about the entity
     kind = F.when(F.col("share") >= remove, REMOVED).when(F.col("share") >= generalise, GENERALISED)
@@ -129,12 +137,19 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, min_conte
 
 
 def disclosing_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, extra spans): where disclosing terms stand in contexts of their entity."""
-    places = found.filter(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select(
-        "row", "c.entity", F.explode("c.terms").alias("w")).select(
-        "row", "entity", F.col("w.start").alias("start"), F.col("w.stop").alias("stop"), F.col("w.value").alias("term"))
-    hits = places.join(terms, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("kind").alias("kind"))
-    return hits.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("extra"))
+    """(row, extra spans): where disclosing terms stand in documents that hold their entity."""
+    bearing = found.filter(F.size("contexts") > 0)
+    holders = bearing.select("row", "terms", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
+    holders = holders.join(terms.select("entity").distinct(), "entity", "left_semi")
+    hits = holders.select("row", "entity", F.explode("terms").alias("term")).join(terms, ["entity", "term"])
+    kinds = hits.groupBy("row", "term").agg(F.max("kind").alias("kind")).groupBy("row").agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
+    placed = bearing.select("row", "base", "t").join(kinds, "row").select(
+        "row", "base", "kinds", S.find(F.col("t"), TERM_PATTERN, GENERALISED).alias("places"))
+    marked = F.transform("places", lambda w: F.struct(F.try_element_at("kinds", F.lower(w["value"])).alias("kind"),
+                                                      w["start"].alias("start"), w["stop"].alias("stop")))
+    apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"]))
+    return placed.select("row", F.filter(marked, lambda w: w["kind"].isNotNull() & apart(w)).alias("extra"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:

@@ -44,6 +44,20 @@ def test_copies_do_not_hide_a_disclosing_word(spark):
     assert not any("Zebulon" in t for t in clean) and all(" or call " in t for t in clean)
 
 
+def test_disclosing_words_go_at_any_distance(spark):
+    prepare(spark)
+    rng = random.Random(16)
+    texts = [f"{filler(rng, 20)} z.k@mail.example {filler(rng, 60)} Zebulon {filler(rng, 60)} zebulon {filler(rng, 2)}" for _ in range(5)]
+    texts += [f"{filler(rng, 20)} w.w@mail.example {filler(rng, 60)} Wanda" for _ in range(2)]
+    near = filler(rng, 30)
+    texts += [f"{near} n.n@mail.example {near} Nearcopied {i}" for i in range(10)]
+    texts += [filler(rng, 40) for _ in range(60)]
+    clean = [r["text"] for r in pii.sanitise(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert not any("zebulon" in t.lower() for t in clean[:5]) and all("[EMAIL]" in t for t in clean[:17])
+    assert all("Wanda" in t for t in clean[5:7]) and all("Nearcopied" in t for t in clean[7:17])  # too few contexts
+    assert clean[17:] == texts[17:]
+
+
 def test_weak_parts_need_complements(spark):
     prepare(spark)
     token = "Ab3dEf6hIj9lMn2pQr"
