@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm import spans as S
-from assay.llm.common import held, text_or_empty, unfolded, words, written
+from assay.llm.common import held, text_or_empty, unfolded, written
 
 KINDS = ["email", "ip", "card", "phone", "generalised", "removed"]
 EMAIL, IP, CARD, PHONE, GENERALISED, REMOVED = range(6)
@@ -47,8 +47,6 @@ CARD_PATTERN = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE_PATTERN = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM_PATTERN = r"\p{L}[\p{L}\p{N}'-]{2,}+"
-# Characters around a word that don't belong to it when documents are counted.
-EDGES = r"^[^\p{L}]+|[^\p{L}\p{N}]+$"
 
 
 def digits(value: Column) -> Column:
@@ -109,8 +107,7 @@ def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, n_t): distinct texts that hold a term; repeats in a text count once."""
     text = text_or_empty(text_col)
-    terms = F.array_distinct(F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, EDGES, "")))
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), terms.alias("terms")).groupBy("text_hash").agg(
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), terms_of(text).alias("terms")).groupBy("text_hash").agg(
         F.first("terms").alias("terms"))
     return texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
@@ -126,10 +123,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, min_conte
     repeated = texts.join(per_entity.filter(F.col("n_contexts") >= min_contexts).drop("n_contexts"), "entity")
     held_terms = repeated.join(bearing.select("row", "terms"), "row").select("entity", "n_e", "context", F.explode("terms").alias("term"))
     joint = held_terms.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et"), F.countDistinct("context").alias("n_contexts"))
-    counted = joint.filter(F.col("n_contexts") >= min_contexts).join(document_counts(docs, text_col), "term", "left")
-    n_t = F.greatest(F.coalesce("n_t", "n_et"), F.col("n_et"))
+    counted = joint.filter(F.col("n_contexts") >= min_contexts).join(document_counts(docs, text_col), "term")
     top = F.lit(found.select("text_hash").distinct().count())
-    pmi, ic = F.log2(top * F.col("n_et") / (F.col("n_e") * n_t)), F.log2(top / F.col("n_e"))
+    pmi, ic = F.log2(top * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log2(top / F.col("n_e"))
     share = F.try_divide(pmi, ic)  # null where every document is about the entity
     kind = F.when(F.col("share") >= remove, REMOVED).when(F.col("share") >= generalise, GENERALISED)
     return counted.withColumn("share", share).withColumn("kind", kind).filter("kind is not null").select(

@@ -58,6 +58,15 @@ def test_disclosing_words_go_at_any_distance(spark):
     assert clean[17:] == texts[17:]
 
 
+def test_words_in_signs_are_counted_like_others(spark):
+    prepare(spark)
+    rng = random.Random(17)
+    texts = [f"{filler(rng, 20)} Contact:z.k@mail.example key=value it's' {filler(rng, 20)}" for _ in range(4)]
+    texts += [f"{filler(rng, 20)} Contact:nobody key=value it's' {filler(rng, 20)}" for _ in range(60)]
+    clean = [r["text"] for r in pii.sanitise(documents(spark, texts)).collect()]
+    assert all("Contact:" in t and "key=value it's'" in t for t in clean)
+
+
 def test_weak_parts_need_complements(spark):
     prepare(spark)
     token = "Ab3dEf6hIj9lMn2pQr"
