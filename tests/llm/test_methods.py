@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assay.llm import bpe, chat, mtree, packing, partenum, pii, quality, secrets, sharding, toxicity
+import brute
+from assay.llm import bpe, caps, chat, mtree, packing, partenum, pii, quality, repair, secrets, sharding, toxicity, whitening
 from assay.llm.common import prepare
 
 
@@ -300,3 +301,65 @@ def test_tree_bounds_save_work_and_lose_nothing():
         order = sorted((-int(scores[j, q]), j) for j in range(1500) if j != q)[:10]
         assert sorted(found[q]) == order
     assert sum(computed) < 0.6 * 40 * 1500
+
+
+@pytest.mark.parametrize("chunk_bits", [0, 2, 12])
+def test_chunks_of_any_size_give_the_same_repair(spark, chunk_bits):
+    prepare(spark)
+    rng = random.Random(5)
+    rows = []
+    for conv in [None, *range(30)]:
+        roles = rng.choice([["user"], ["user", "assistant"], ["assistant", "system"], ["user", "assistant", "system", "tool", None, ""]])
+        for i in range(rng.randrange(1, 40)):
+            text = rng.choice(["a.", "b", "hi!", "", " ", None, f"x {rng.random()}", f"y {rng.random()}.", f"z {rng.random()}? \n"])
+            rows.append((conv, rng.choice([None, i, i, i, i // 2, 2 * i]), rng.choice(roles), text))
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    found = Counter(tuple(r) for r in repair.repaired_conversations(talk, chunk_bits).collect())
+    assert found == Counter(brute.repaired(rows))
+
+
+def test_guesses_span_every_true_cost_vector():
+    rng = random.Random(6)
+    for _ in range(200):
+        costs = repair.END
+        for _ in range(rng.randrange(30)):
+            costs = repair.before(rng.randrange(4) + (rng.randrange(4) << repair.FAULT_SHIFT), costs)
+        assert all(costs[q] <= costs[t] + most for (q, t), most in repair.BOUNDS.items())
+        spanned = tuple(min(costs[t] + g[q] for t, g in enumerate(repair.generators())) for q in range(repair.STATES))
+        assert spanned == costs
+
+
+def test_cross_products_are_exact_beyond_64_bits():
+    rng = random.Random(7)
+    for high in (1, 200, 2 ** 40, 2 ** 63 - 1):
+        x = np.array([[rng.randint(-high - 1, high) for _ in range(5)] for _ in range(130)], np.int64)
+        ones = [[*map(int, row), 1] for row in x]
+        expected = [[sum(r[i] * r[j] for r in ones) for j in range(6)] for i in range(6)]
+        assert whitening.cross_products(x).tolist() == expected
+        assert all(sum(d << (whitening.LIMB_BITS * k) for k, d in enumerate(whitening.limbs(v))) == v for row in expected for v in row)
+
+
+def test_whitening_of_large_entries_and_constant_dimensions(spark):
+    prepare(spark)
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([-1e15, 1e15, 3.0]), 2.0, float(i)]) for i in range(50)] + [(50, [1e300, 2.0, 0.0])]
+    found = whitening.whitening_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["n"] for r in found} == {51} and {r["vec_id"] for r in found} == set(range(51))
+    assert all(r["deviation"] is None for r in found) and all(r["identity_error"] < 1e-4 for r in found)
+    one = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert whitening.whitening_rows(one).count() == 0
+
+
+def test_caps_find_all_links_and_blocks_none_twice(spark, monkeypatch):
+    prepare(spark)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((4, 24))
+    vectors = np.concatenate([c / np.linalg.norm(c) + 0.07 * rng.standard_normal((60, 24)) for c in centres] + [rng.standard_normal((200, 24))])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*vectors, *[vectors[0]] * 90, *vectors[:20] * 3.0])]
+    monkeypatch.setattr(caps.cells, "__defaults__", (16,))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in caps.near_duplicate_rows(table).collect()}
+    counts, first = brute.cosine_links([v for _, v in rows])
+    recall = sum(n for n, _ in found.values()) / sum(counts)
+    assert 0.99 < recall <= 1 and all(found[i][0] <= n for i, n in enumerate(counts))
+    assert [found[i][1] for i in range(len(rows))] == first

@@ -172,6 +172,42 @@ def test_search(spark, edge_dir, results):
     same_bag([(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in results(9)], expected)
 
 
+def test_whitening(spark, edge_dir, results):
+    kept = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{edge_dir}/embeddings.parquet").collect()]
+    kept = [(i, v) for i, v in kept if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    x = np.array([np.pad(np.floor(256 * np.array(v, float)), (0, 64 - len(v))) for _, v in kept]) + 0.0
+    once = np.unique(x, axis=0)
+    n, total = len(once), once.sum(0)
+    covariance = np.cov(once.T, bias=True)
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = values[::-1][:4], vectors.T[::-1][:4]
+    rows = results(11)
+    same_bag([(r["vec_id"], r["component"], r["n"], r["deviation"]) for r in rows],
+             [(i, k, n, int(((n * v - total) ** 2).sum())) for (i, _), v in zip(kept, x) for k in (1, 2, 3, 4)])
+    found = {(r["vec_id"], r["component"]): r for r in rows if r["vec_id"] is not None}
+    for k in range(4):
+        own = np.array([found[i, k + 1]["whitened"] for i, _ in kept if i is not None])
+        expected = np.array([(v - total / n) @ vectors[k] / np.sqrt(values[k]) for (i, _), v in zip(kept, x) if i is not None])
+        assert np.allclose(own, expected * np.sign(own @ expected), atol=1e-9)
+        assert abs(found[kept[0][0], k + 1]["explained"] / (values[k] / np.trace(covariance)) - 1) < 1e-9
+    assert max(r["identity_error"] for r in rows) < 1e-9
+
+
+def test_repair(spark, edge_dir, results):
+    talk = [tuple(r) for r in spark.read.parquet(f"{edge_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    names = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    same_bag([tuple(r[n] for n in names) for r in results(12)], brute.repaired(talk))
+
+
+def test_vector_copies(spark, edge_dir, results):
+    rows = sorted(((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{edge_dir}/embeddings.parquet").collect()),
+                  key=lambda r: (r[0] is None, r[0] or 0))
+    counts, first = brute.cosine_links([v for _, v in rows])
+    expected = [(i, n, rows[f][0], i == rows[f][0]) for (i, _), n, f in zip(rows, counts, first)]
+    same_bag([(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in results(13)], expected)
+    assert max(counts) >= 3
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty_dir, name):
     rows = QUERIES[name](spark, empty_dir).collect()
