@@ -21,12 +21,16 @@ from pyspark.sql import functions as F
 from assay.session import checkpoint_dir
 
 
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends, and Spark knows its size."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slice_by_order(df: DataFrame, cols: Sequence[str], slices: int, out: str = "_slice") -> DataFrame:
     """Add ``out`` = number of the range partition that holds the composite order key ``cols``."""
-    path = os.path.join(checkpoint_dir(df.sparkSession), f"slices-{uuid.uuid4().hex}")
-    sliced = df.repartitionByRange(max(1, slices), *cols).withColumn(out, F.spark_partition_id())
-    sliced.write.parquet(path)
-    return df.sparkSession.read.schema(sliced.schema).parquet(path)
+    return materialised(df.repartitionByRange(max(1, slices), *cols).withColumn(out, F.spark_partition_id()), "slices")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,

@@ -157,7 +157,7 @@ def _closure(names) -> list[str]:
     return out
 
 
-def oracle(views, body: str, ctes: str = "") -> str:
+def oracle(views, body: str, ctes: str = "", recursive: bool = False) -> str:
     """DuckDB text: the needed fixture views as CTEs, then optional extra CTEs, then the body."""
     parts = []
     for n in _closure(views):
@@ -165,4 +165,4 @@ def oracle(views, body: str, ctes: str = "") -> str:
         parts.append(f"{n} AS ({VIEWS[n].format(**deps).strip()})")
     if ctes.strip():
         parts.append(ctes.strip())
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    return (("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" if parts else "") + body.strip()

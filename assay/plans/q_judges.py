@@ -100,40 +100,91 @@ def q_summary_stats(fx):
     return stats.summary_stats(fx.judge_results, ["judge_id"], "score")
 
 
-def _draws_sql(source: str, tag: str | None, sfx: str = "") -> str:
-    label = "g" if tag is None else f"'{tag}'"
+def _horner_sql(x: str, coefficients, one: bool) -> str:
+    out = f"CAST({coefficients[0]!r} AS DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+    return f"({out} * {x} + 1.0::DOUBLE)" if one else out
+
+
+def _low_sql(v: str) -> str:
+    t = f"sqrt(-2.0::DOUBLE * ln({v}))"
+    return f"({_horner_sql(t, stats.QUANTILE_C, False)} / {_horner_sql(t, stats.QUANTILE_D, True)})"
+
+
+QUANTILE_SQL = f"""CASE WHEN u < {stats.QUANTILE_LOW} THEN {_low_sql('u')} WHEN u > {1.0 - stats.QUANTILE_LOW} THEN -{_low_sql('(1.0::DOUBLE - u)')}
+  ELSE {_horner_sql('((u - 0.5::DOUBLE) * (u - 0.5::DOUBLE))', stats.QUANTILE_A, False)} * (u - 0.5::DOUBLE)
+   / {_horner_sql('((u - 0.5::DOUBLE) * (u - 0.5::DOUBLE))', stats.QUANTILE_B, True)} END"""
+
+
+def _splits_sql(source: str, tag: str | None, sfx: str = "") -> str:
+    """CTEs up to means(g, b, m): n draws split down the tree of value counts, as ``stats.bootstrap_means`` does."""
+    label = "d.g" if tag is None else f"'{tag}'"
+    digits = stats.UNIFORM_BITS // 4
+    return f"""
+ hist{sfx} AS (SELECT g, v, count(*) AS c, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS idx FROM {source} WHERE v IS NOT NULL GROUP BY g, v),
+ heights{sfx} AS (SELECT length(bin(greatest(max(idx), 1)::BIGINT)) AS top FROM hist{sfx}),
+ nodes{sfx} AS (SELECT g, k, idx >> k AS i, sum(c)::BIGINT AS c FROM hist{sfx}, heights{sfx}, range(0, top + 1) t(k) GROUP BY 1, 2, 3),
+ draws{sfx} AS (
+  SELECT g, b, k, i, c AS m FROM nodes{sfx}, heights{sfx}, range(0, {B}) b(b) WHERE k = top
+  UNION ALL SELECT g, b, k - 1, 2 * i + side, CASE side WHEN 0 THEN x ELSE m - x END FROM (
+   SELECT g, b, k, i, m, CASE WHEN share = 1.0 THEN m WHEN share <= 0.5 THEN least(greatest(y, 0), m) ELSE m - least(greatest(y, 0), m) END AS x FROM (
+    SELECT *, CASE WHEN mean < {stats.SMALL_MEAN} THEN list_reduce(list_prepend(
+      {{'k': 0::BIGINT, 'f': pow(1.0::DOUBLE - r, m), 'c': pow(1.0::DOUBLE - r, m), 'x': CASE WHEN u > pow(1.0::DOUBLE - r, m) THEN 1::BIGINT ELSE 0::BIGINT END}},
+      list_transform(range(1, least(m, ceil(mean + 8.0::DOUBLE * sqrt(mean) + 12.0::DOUBLE)::BIGINT) + 1), lambda j: {{'k': j, 'f': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'x': 0::BIGINT}})),
+      lambda a, e: {{'k': e.k, 'f': a.f * ((m::DOUBLE - e.k + 1) / e.k) * (r / (1.0::DOUBLE - r)), 'c': a.c + a.f * ((m::DOUBLE - e.k + 1) / e.k) * (r / (1.0::DOUBLE - r)),
+       'x': a.x + CASE WHEN u > a.c + a.f * ((m::DOUBLE - e.k + 1) / e.k) * (r / (1.0::DOUBLE - r)) THEN 1::BIGINT ELSE 0::BIGINT END}}).x
+     ELSE floor(mean + sqrt(mean * (1.0::DOUBLE - r)) * z + (z * z - 1.0::DOUBLE) * (1.0::DOUBLE - 2.0::DOUBLE * r) / 6.0::DOUBLE + 0.5::DOUBLE)::BIGINT END AS y FROM (
+     SELECT *, m::DOUBLE * r AS mean, {QUANTILE_SQL} AS z FROM (
+      SELECT *, least(share, 1.0::DOUBLE - share) AS r FROM (
+       SELECT d.g, d.b, d.k, d.i, d.m, l.c::DOUBLE / p.c::DOUBLE AS share,
+        (('0x' || substr(md5(concat_ws(':', '42', {label}, CAST(d.b AS VARCHAR), CAST(d.k AS VARCHAR), CAST(d.i AS VARCHAR))), 1, {digits}))::BIGINT + 0.5::DOUBLE)
+         / {float(2 ** stats.UNIFORM_BITS)!r}::DOUBLE AS u
+       FROM draws{sfx} d JOIN nodes{sfx} p ON p.g = d.g AND p.k = d.k AND p.i = d.i JOIN nodes{sfx} l ON l.g = d.g AND l.k = d.k - 1 AND l.i = 2 * d.i
+       WHERE d.k > 0 AND d.m > 0))))) t, range(0, 2) s(side)),
+ means{sfx} AS (SELECT d.g, d.b, sum(d.m * h.v) / any_value(n) AS m FROM draws{sfx} d JOIN hist{sfx} h ON h.g = d.g AND h.idx = d.i
+  JOIN (SELECT g, sum(c) AS n FROM hist{sfx} GROUP BY g) s ON s.g = d.g WHERE d.k = 0 GROUP BY d.g, d.b)"""
+
+
+def _interval_sql(confidence: float) -> str:
+    lo, hi = stats.quantile_index(confidence, B)
     return f"""
- ranked{sfx} AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v, id) - 1 AS idx FROM {source}),
- sizes{sfx} AS (SELECT g, count(*) AS n FROM {source} GROUP BY g),
- draws{sfx} AS (SELECT s.g, b.b, (('0x' || substr(md5(concat_ws(':', '42', {label}, CAST(b.b AS VARCHAR), CAST(j.j AS VARCHAR))), 1, 8))::BIGINT) % s.n AS idx
-   FROM sizes{sfx} s, range(0, {B}) b(b), range(0, s.n) j(j)),
- means{sfx} AS (SELECT d.g, d.b, avg(r.v) AS m FROM draws{sfx} d JOIN ranked{sfx} r ON r.g = d.g AND r.idx = d.idx GROUP BY d.g, d.b)"""
-
-
-@register("bootstrap_ci", oracle(["judge_results"], f"""
-SELECT s.g AS judge_id, s.n AS sample_size, round(s.mean, 6) AS mean,
- round(CASE WHEN s.n = 1 THEN s.only ELSE e.ms[{int((0.05 / 2.0) * B) + 1}] END, 6) AS ci_lower,
- round(CASE WHEN s.n = 1 THEN s.only ELSE e.ms[{min(int((1.0 - 0.05 / 2.0) * B), B - 1) + 1}] END, 6) AS ci_upper,
- CAST(0.95 AS DOUBLE) AS confidence_level, round(CASE WHEN s.n = 1 THEN 0.0 ELSE coalesce(s.sd, 0.0) END, 6) AS std_dev,
+FROM (SELECT g, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, any_value(v) AS only FROM vals WHERE v IS NOT NULL GROUP BY g) s
+LEFT JOIN (SELECT g, ms[{lo + 1}] AS lo, ms[{hi + 1}] AS hi FROM (SELECT g, list_sort(list(m)) AS ms FROM means GROUP BY g)) e ON e.g = s.g"""
+
+
+def _bootstrap_sql(group: str) -> str:
+    return f"""
+SELECT s.g AS {group}, s.n AS sample_size, round(s.mean, 6) AS mean, round(CASE WHEN s.n = 1 THEN s.only ELSE e.lo END, 6) AS ci_lower,
+ round(CASE WHEN s.n = 1 THEN s.only ELSE e.hi END, 6) AS ci_upper, CAST(0.95 AS DOUBLE) AS confidence_level,
+ round(CASE WHEN s.n = 1 THEN 0.0 ELSE coalesce(s.sd, 0.0) END, 6) AS std_dev,
  CASE WHEN s.n < 10 THEN 'Small sample size (' || s.n || ' < 10); confidence intervals may be wide or unstable.' ELSE '' END AS warning,
- 'hash' AS mode
-FROM (SELECT g, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, any_value(v) AS only FROM vals GROUP BY g) s
-LEFT JOIN (SELECT g, list_sort(list(m)) AS ms FROM means GROUP BY g) e ON e.g = s.g""",
-    "vals AS (SELECT judge_id AS g, score AS v, subject_id AS id FROM judge_results)," + _draws_sql("vals", None)))
+ 'hash' AS mode{_interval_sql(0.95)}"""
+
+
+@register("bootstrap_ci", oracle(["judge_results"], _bootstrap_sql("judge_id"),
+          "vals AS (SELECT judge_id AS g, score AS v FROM judge_results)," + _splits_sql("vals", None), recursive=True))
 def q_bootstrap_ci(fx):
     """A9 + L7: hash-seeded percentile bootstrap of the mean score per judge (B = 1000)."""
     return stats.bootstrap_ci(fx.judge_results, "judge_id", "score", "subject_id", 0.95, B, 42, "hash")
 
 
+@register("bootstrap_ci_latency", oracle(["executions"], _bootstrap_sql("provider"),
+          "vals AS (SELECT provider AS g, CAST(latency_ms AS DOUBLE) AS v FROM executions)," + _splits_sql("vals", None), recursive=True))
+def q_bootstrap_ci_latency(fx):
+    """A9 over many distinct values: bootstrap interval of the mean latency per provider (B = 1000)."""
+    return stats.bootstrap_ci(fx.executions, "provider", "latency_ms", "execution_id", 0.95, B, 42, "hash")
+
+
 @register("pairwise_delta_ci", oracle(["judge_results"], f"""
 SELECT 'quality' AS sample_a, 'toxicity' AS sample_b,
  round((SELECT avg(score) FROM judge_results WHERE judge_id = 'quality')
   - (SELECT avg(score) FROM judge_results WHERE judge_id = 'toxicity'), 6) AS delta_mean,
  round(d.ds[{int((0.05 / 2.0) * B) + 1}], 6) AS ci_lower, round(d.ds[{min(int((1.0 - 0.05 / 2.0) * B), B - 1) + 1}], 6) AS ci_upper
 FROM (SELECT list_sort(list(a.m - b.m)) AS ds FROM means_a a JOIN means_b b ON a.b = b.b) d""",
-    "va AS (SELECT judge_id AS g, score AS v, subject_id AS id FROM judge_results WHERE judge_id = 'quality'),"
-    "vb AS (SELECT judge_id AS g, score AS v, subject_id AS id FROM judge_results WHERE judge_id = 'toxicity'),"
-    + _draws_sql("va", "a", "_a") + "," + _draws_sql("vb", "b", "_b")))
+    "va AS (SELECT judge_id AS g, score AS v FROM judge_results WHERE judge_id = 'quality'),"
+    "vb AS (SELECT judge_id AS g, score AS v FROM judge_results WHERE judge_id = 'toxicity'),"
+    + _splits_sql("va", "a", "_a") + "," + _splits_sql("vb", "b", "_b"), recursive=True))
 def q_pairwise_delta_ci(fx):
     """A10: bootstrap interval of mean(quality) - mean(toxicity)."""
     return stats.pairwise_delta_ci(fx.judge_results, "judge_id", "score", "subject_id", "quality", "toxicity",

@@ -14,7 +14,7 @@ from assay.operators import costs, judges, metrics, stats, verdicts
 from assay.plans.catalog import register
 from assay.plans.fixtures import oracle
 from assay.plans.q_costs import PRICE_CTE
-from assay.plans.q_judges import JUDGE_WEIGHTS, _draws_sql
+from assay.plans.q_judges import JUDGE_WEIGHTS, _interval_sql, _splits_sql
 from assay.plans.q_metrics import LEADER_SQL, VERDICT_CTE, exec_verdicts
 from assay.sources import dims
 from assay.sources.tables import lookup, scan_decision_stream
@@ -84,10 +84,8 @@ def q_longest_match(fx):
 
 
 @register("bootstrap_quantile", oracle(["judge_results"], f"""
-SELECT g AS judge_id, round(ms[{int((0.10 / 2.0) * 1000) + 1}], 6) AS ci_lower,
- round(ms[{min(int((1.0 - 0.10 / 2.0) * 1000), 999) + 1}], 6) AS ci_upper
-FROM (SELECT g, list_sort(list(m)) AS ms FROM means GROUP BY g) e""",
-    "vals AS (SELECT judge_id AS g, score AS v, subject_id AS id FROM judge_results)," + _draws_sql("vals", None)))
+SELECT s.g AS judge_id, round(e.lo, 6) AS ci_lower, round(e.hi, 6) AS ci_upper{_interval_sql(0.90)}""",
+    "vals AS (SELECT judge_id AS g, score AS v FROM judge_results)," + _splits_sql("vals", None), recursive=True))
 def q_bootstrap_quantile(fx):
     """The percentile picks of the sorted bootstrap means at 90% (indices 49 and 950 of 1000)."""
     return stats.bootstrap_ci(fx.judge_results, "judge_id", "score", "subject_id", 0.90, 1000, 42, "hash").select(
