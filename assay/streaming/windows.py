@@ -3,6 +3,11 @@
 Every function takes a DataFrame that may be batch or streaming: the same plan runs as a
 backfill over the table or incrementally under Structured Streaming (``withWatermark`` +
 event-time ``window``; the watermark bounds state, it is a no-op in batch).
+
+Sliding windows are rolled up from panes: rows are first aggregated once per slide step, and
+the few pane rows, not the requests, are copied into the windows that cover them.  As a stream
+these are two chained aggregations, which Spark runs in append mode: a window is emitted when
+the watermark has passed its end.
 """
 
 from __future__ import annotations
@@ -22,12 +27,17 @@ def event_time(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def _windowed(df: DataFrame, ts: str, size: str, slide: str | None, watermark: str | None) -> tuple[DataFrame, Column]:
+def _watched(df: DataFrame, ts: str, watermark: str | None) -> DataFrame:
     d = event_time(df, ts)
-    if watermark:
-        d = d.withWatermark(ts, watermark)
-    w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return d, w
+    return d.withWatermark(ts, watermark) if watermark else d
+
+
+def rolled_up(df: DataFrame, ts: str, keys: Sequence[str], sums: dict[str, Column], size: str, slide: str,
+              watermark: str | None) -> DataFrame:
+    """Sums per key over windows of ``size`` sliding by ``slide`` (which divides it), by way of one pane per slide step."""
+    panes = _watched(df, ts, watermark).groupBy(F.window(ts, slide).alias("pane"), *keys).agg(
+        *(F.sum(c.cast("bigint")).alias(n) for n, c in sums.items()))
+    return panes.groupBy(F.window("pane", size, slide).alias("window"), *keys).agg(*(F.sum(n).alias(n) for n in sums))
 
 
 def _start(c: str = "window") -> Column:
@@ -38,8 +48,7 @@ def request_rate(df: DataFrame, ts: str = "request_ts", keys: Sequence[str] = ("
                  size: str = "5 minutes", slide: str = "1 minute", watermark: str | None = "10 minutes",
                  seconds: float = 300.0) -> DataFrame:
     """STR-1: requests per second per key over sliding windows (count / window seconds)."""
-    d, w = _windowed(df, ts, size, slide, watermark)
-    agg = d.groupBy(w.alias("window"), *keys).agg(F.count(F.lit(1)).alias("requests"))
+    agg = rolled_up(df, ts, keys, {"requests": F.lit(1)}, size, slide, watermark)
     return agg.select(_start(), *keys, "requests", F.round(F.col("requests") / F.lit(seconds), 6).alias("rate_per_s"))
 
 
@@ -48,9 +57,7 @@ def error_rate(df: DataFrame, ts: str = "request_ts", keys: Sequence[str] = ("pr
                watermark: str | None = "10 minutes") -> DataFrame:
     """STR-2: 100 * non-success / all per key and window."""
     okc = ok if ok is not None else (F.col("status") == "completed")
-    d, w = _windowed(df.withColumn("_ok", okc), ts, size, slide, watermark)
-    agg = d.groupBy(w.alias("window"), *keys).agg(F.count(F.lit(1)).alias("requests"),
-                                                  F.count_if(~F.col("_ok")).alias("errors"))
+    agg = rolled_up(df, ts, keys, {"requests": F.lit(1), "errors": F.coalesce((~okc).cast("int"), F.lit(0))}, size, slide, watermark)
     return agg.select(_start(), *keys, "requests", "errors",
                       F.round(F.col("errors") * 100.0 / F.col("requests"), 6).alias("error_pct"))
 
@@ -79,10 +86,9 @@ def p95_latency(df: DataFrame, ts: str = "request_ts", keys: Sequence[str] = ("p
                 latency_ms: str = "latency_ms", q: float = 0.95, size: str = "5 minutes",
                 slide: str = "1 minute", watermark: str | None = "10 minutes") -> DataFrame:
     """STR-3: quantile of latency (seconds) per key and window from the A17 buckets."""
-    d, w = _windowed(df, ts, size, slide, watermark)
     secs = F.col(latency_ms).cast("double") / F.lit(1000.0)
-    aggs = [F.count_if(secs <= F.lit(float(b))).alias(f"_b{i}") for i, b in enumerate(LATENCY_BUCKETS_S)]
-    agg = d.groupBy(w.alias("window"), *keys).agg(*aggs, F.count(F.lit(1)).alias("_inf"))
+    sums = {f"_b{i}": F.coalesce((secs <= F.lit(float(b))).cast("int"), F.lit(0)) for i, b in enumerate(LATENCY_BUCKETS_S)}
+    agg = rolled_up(df, ts, keys, {**sums, "_inf": F.lit(1)}, size, slide, watermark)
     cum = [F.col(f"_b{i}") for i in range(len(LATENCY_BUCKETS_S))] + [F.col("_inf")]
     return agg.select(_start(), *keys, F.col("_inf").alias("requests"),
                       F.round(histogram_quantile(q, cum), 6).alias("latency_p95_s"))
@@ -91,16 +97,14 @@ def p95_latency(df: DataFrame, ts: str = "request_ts", keys: Sequence[str] = ("p
 def cost_window(df: DataFrame, ts: str = "request_ts", keys: Sequence[str] = ("provider",),
                 size: str = "24 hours", slide: str = "1 hour", watermark: str | None = "1 hour") -> DataFrame:
     """STR-4: cost increase per key over 24 h windows sliding by 1 h (plain sum, exact money)."""
-    d, w = _windowed(df.withColumn("_u", usd_exact("cost_usd")), ts, size, slide, watermark)
-    agg = d.groupBy(w.alias("window"), *keys).agg(F.sum("_u").alias("_s"))
+    agg = rolled_up(df, ts, keys, {"_s": usd_exact("cost_usd")}, size, slide, watermark)
     return agg.select(_start(), *keys, usd_round("_s").alias("cost_usd"))
 
 
 def rpm_breach(df: DataFrame, limits: dict[str, int], ts: str = "request_ts", key: str = "provider",
                watermark: str | None = "2 minutes") -> DataFrame:
     """STR-8: requests per minute per provider against its configured ceiling (literal map)."""
-    d, w = _windowed(df, ts, "1 minute", None, watermark)
-    agg = d.groupBy(w.alias("window"), key).agg(F.count(F.lit(1)).alias("requests"))
+    agg = _watched(df, ts, watermark).groupBy(F.window(ts, "1 minute").alias("window"), key).agg(F.count(F.lit(1)).alias("requests"))
     lim = F.create_map(*[x for k, v in sorted(limits.items()) for x in (F.lit(k), F.lit(int(v)))])[F.col(key)]
     return agg.select(_start(), key, "requests", lim.cast("bigint").alias("rpm_limit"),
                       F.coalesce(F.col("requests") > lim, F.lit(False)).alias("breach"))

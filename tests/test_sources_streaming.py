@@ -163,13 +163,25 @@ SCHEMA = ("execution_id string, run_id string, request_ts timestamp, provider st
 
 def test_window_metrics_stream_equals_batch(spark):
     src = spark.createDataFrame(_exec_rows(), SCHEMA)
-    for build in (lambda d: windows.request_rate(d, keys=["provider"]),
-                  lambda d: windows.p95_latency(d),
-                  lambda d: windows.cost_window(d)):
-        batch = sorted(tuple(r) for r in build(src).collect())
-        streamed = sorted(tuple(r) for r in stateful.run_available(
-            spark, src.repartition(4), build, "win", files_per_trigger=1, output_mode="complete").collect())
-        assert batch == streamed
+    # a request a year on lets the watermark pass the end of every other window
+    last = src.limit(1).withColumn("provider", F.lit("later")).withColumn("request_ts", F.expr("request_ts + INTERVAL 1 YEAR"))
+    in_order = src.unionByName(last).orderBy("request_ts").coalesce(1)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "150")  # several files, so several micro-batches
+    try:
+        for build in (lambda d: windows.request_rate(d, keys=["provider"]),
+                      lambda d: windows.error_rate(d),
+                      lambda d: windows.p95_latency(d),
+                      lambda d: windows.cost_window(d)):
+            batch = sorted(tuple(r) for r in build(src).collect())
+            streamed = stateful.run_available(spark, in_order, build, "win", files_per_trigger=1).where("provider <> 'later'")
+            assert batch and batch == sorted(tuple(r) for r in streamed.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_sliding_windows_copy_panes_not_rows(spark):
+    plan = windows.cost_window(spark.createDataFrame(_exec_rows(), SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.rindex("Aggregate")  # printed from the top: the pane aggregate is below the copies
 
 
 def test_budget_stream_equals_batch_fold(spark):
