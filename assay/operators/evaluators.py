@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from assay.functions import text as T
+from assay.operators.cumulative import materialised
 
 SCORE_COLUMNS = ["execution_id", "evaluator_name", "evaluator_version", "score_pos", "metric_name",
                  "numeric_score", "pass_threshold", "passed", "confidence", "explanation"]
@@ -304,11 +305,13 @@ def needle_matches(haystack: DataFrame, needles: DataFrame, hay_id: str, hay_tex
     the whole document (case-insensitive), without comparing all pairs.
 
     Anchored-gram join: with gram size g, documents emit the g-character substrings that
-    start at multiples of g (len/g rows each) and needles emit their g substrings starting
-    at offsets 0..g-1.  Any occurrence of a needle of length >= 2g-1 fully covers one
-    aligned document gram, so the equi-join on the gram finds every candidate (document,
-    needle, start); candidates are verified by an exact substring compare.  Each needle uses
-    the largest tier g with length >= 2g-1, so long passages cost len/32 rows per document.
+    start at multiples of g (len/g rows each).  An occurrence of a needle of length >= 2g-1
+    covers at least one of them, whose offset in the needle is one of g residues; per needle
+    and residue the gram that documents hold least often is the anchor (counted, not guessed),
+    so a line that a third of all documents share is not a join key unless a needle consists
+    of nothing else, and then it is salted.  The equi-join on the anchors finds every candidate
+    (document, needle, start), verified by an exact substring compare.  Each needle uses the
+    largest tier g with length >= 2g-1, so long passages cost len/32 rows per document.
     """
     docs = haystack.select(F.col(hay_id).alias("_hid"), F.lower(F.col(hay_text)).alias("_ht"))
     nd = needles.select(F.col(needle_id).alias("_nid"), F.lower(F.col(needle_text)).alias("_nt")).where(
@@ -331,19 +334,55 @@ def needle_matches(haystack: DataFrame, needles: DataFrame, hay_id: str, hay_tex
     return out.distinct().withColumnRenamed("_hid", hay_id).withColumnRenamed("_nid", needle_id)
 
 
-def _tier_matches(docs: DataFrame, nd: DataFrame, g: int) -> DataFrame:
-    # Grams are cut inside the array (``transform``) before exploding, so the exploded rows carry
-    # only (offset, gram) - never a copy of the whole text per row.
-    n_grams = nd.select("_nid", "_nt", F.explode(F.transform(
-        F.sequence(F.lit(0), F.least(F.lit(g - 1), F.length("_nt") - F.lit(g))),
-        lambda o: F.struct(o.alias("_off"), F.col("_nt").substr(o + 1, F.lit(g)).alias("_gram")))).alias("_x")
-    ).select("_nid", "_nt", "_x._off", "_x._gram")
+# Salts of the needle grams in the first join, and rows of one gram beyond which the second join splits it.
+GRAM_SALTS = 16
+HOT_GRAM_ROWS = 100_000
+
+
+def _needle_grams(nd: DataFrame, g: int) -> DataFrame:
+    """(_nid, _off, _gram): every substring of g characters of every needle."""
+    cuts = F.transform(F.sequence(F.lit(0), F.length("_nt") - F.lit(g)),
+                       lambda o: F.struct(o.alias("_off"), F.col("_nt").substr(o + 1, F.lit(g)).alias("_gram")))
+    return nd.select("_nid", F.explode(cuts).alias("_x")).select("_nid", "_x._off", "_x._gram")
+
+
+def _gram_hits(docs: DataFrame, n_grams: DataFrame, g: int) -> DataFrame:
+    """(_hid, _q, _gram): the aligned document grams that some needle has; written."""
     # Aligned document grams in one linear regex pass: consecutive g-character chunks
     # (``substr`` at a character offset re-walks UTF-8 from the start - quadratic in text length).
     chunks = F.regexp_extract_all(F.col("_ht"), F.lit(f"(?s).{{1,{g}}}"), 0)
-    d_grams = docs.select("_hid", F.posexplode(chunks).alias("_k", "_gram")).where(
-        F.length("_gram") == F.lit(g)).select("_hid", (F.col("_k") * F.lit(g)).alias("_q"), "_gram")
-    cand = d_grams.join(n_grams.drop("_nt"), "_gram").select("_hid", "_nid", (F.col("_q") - F.col("_off")).alias("_p"))
+    d_grams = docs.select("_hid", F.posexplode(chunks).alias("_k", "_gram")).where(F.length("_gram") == F.lit(g))
+    salted = d_grams.select("_hid", (F.col("_k") * F.lit(g)).alias("_q"), "_gram",
+                            F.pmod(F.xxhash64("_hid", "_k"), F.lit(GRAM_SALTS)).cast("int").alias("_salt"))
+    wanted = n_grams.select("_gram").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1))))
+    return materialised(salted.join(wanted, ["_gram", "_salt"], "left_semi").drop("_salt"), "gram-hits")
+
+
+def _anchors(n_grams: DataFrame, counts: DataFrame, g: int) -> DataFrame:
+    """(_nid, _off, _gram, _count): per needle and residue of the offset, the gram that documents hold least often.
+
+    An occurrence at p covers every aligned gram whose offset has the residue -p mod g, so any
+    one of them finds it; a residue with a gram that no document holds has no occurrence.
+    """
+    known = n_grams.join(counts, "_gram", "left").withColumn("_count", F.coalesce("_count", F.lit(0).cast("bigint")))
+    rarest = known.groupBy("_nid", F.pmod("_off", F.lit(g)).alias("_residue")).agg(
+        F.min(F.struct("_count", "_off", "_gram")).alias("_x"))
+    return rarest.select("_nid", "_x._off", "_x._gram", "_x._count").where("_count > 0")
+
+
+def _tier_matches(docs: DataFrame, nd: DataFrame, g: int, hot_rows: int = HOT_GRAM_ROWS) -> DataFrame:
+    n_grams = materialised(_needle_grams(nd, g), "needle-grams")
+    hits = _gram_hits(docs, n_grams, g)
+    counts = materialised(hits.groupBy("_gram").agg(F.count(F.lit(1)).alias("_count")), "gram-counts")
+    anchors = _anchors(n_grams, counts, g)
+    # a gram that stays frequent (a needle in very many documents) is dealt to several join keys
+    hot = materialised(counts.where(F.col("_count") > hot_rows).select(
+        "_gram", F.ceil(F.col("_count") / F.lit(hot_rows)).alias("_salts")), "hot-grams")
+    salts = F.coalesce("_salts", F.lit(1).cast("bigint"))
+    left = hits.join(hot, "_gram", "left").withColumn("_salt", F.pmod(F.xxhash64("_hid", "_q"), salts))
+    right = anchors.join(hot, "_gram", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    cand = left.drop("_salts").join(right.drop("_salts", "_count"), ["_gram", "_salt"]).select(
+        "_hid", "_nid", (F.col("_q") - F.col("_off")).alias("_p"))
     cand = cand.where(F.col("_p") >= 0).distinct()
     # Verification needs the document text at each candidate.  Candidates are few when needles
     # are specific: Spark then broadcasts them by their measured size and the documents stream

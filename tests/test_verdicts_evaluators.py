@@ -142,3 +142,25 @@ def test_needle_matches_short_and_long(spark):
                   for n, nt in [(10, "QUICK brown fox jumps over the lazy dog the quick brown"), (11, "ox"),
                                 (12, "lazy dog"), (13, "absent needle")] if nt.lower() in dt.lower())
     assert got == want
+
+
+def test_a_line_that_many_documents_share_is_no_anchor(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = "this footer stands in a third of all documents, word for word and at any offset."
+    texts = [word(150 + i % 37) + (shared if i % 3 == 0 else "") + word(60) for i in range(90)]
+    needles = [(1, texts[0][100:150] + shared[:70]), (2, shared), (3, shared[10:] + word(40)), (4, texts[3][20:120])]
+    needles = [(i, n) for i, n in needles if len(n) >= 63]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_hid long, _ht string")
+    nd = spark.createDataFrame(needles, "_nid long, _nt string")
+    want = sorted((d, i) for d, t in enumerate(texts) for i, n in needles if n in t)
+    for hot_rows in (100_000, 2):
+        assert sorted(tuple(r) for r in ev._tier_matches(docs, nd, 32, hot_rows).distinct().collect()) == want
+    grams = ev._needle_grams(nd, 32)
+    counts = ev._gram_hits(docs, grams, 32).groupBy("_gram").count().withColumnRenamed("count", "_count")
+    found = [r for r in ev._anchors(grams, counts, 32).collect()]
+    assert max(r["_count"] for r in found if r["_nid"] == 1) <= 3  # its footer grams are held by some 30 documents
+    assert not [r for r in found if r["_nid"] == 3] or max(r["_count"] for r in found if r["_nid"] == 3) < 30
+    assert [i for _, i in want].count(2) == 30
