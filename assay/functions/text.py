@@ -6,12 +6,11 @@ not have; that one step is an Arrow-batched pandas UDF.
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -178,31 +177,90 @@ def redact_map(m) -> Column:
                               .otherwise(redact_text(v)))
 
 
-_compiled_rules = [(re.compile(p), r) for _, p, r in REDACTION_RULES]
-_sensitive = {n.lower() for n in SENSITIVE_FIELD_NAMES}
+# A JSON text as tokens: strings, brackets and marks, and other scalars; white space is dropped.  Escaped
+# backslashes and quotes are set aside first, as control characters, which valid JSON can't hold.
+JSON_TOKEN = r'"[^"]*+"|[\[\]{},:]|[^\s\[\]{},:"]++'
+SET_ASIDE = (("\\\\", "\x01"), ('\\"', "\x02"))
 
 
-def _redact_value(v):
-    if isinstance(v, dict):
-        return {k: (REDACTED if str(k).lower() in _sensitive else _redact_value(x)) for k, x in v.items()}
-    if isinstance(v, list):
-        return [_redact_value(x) for x in v]
-    if isinstance(v, str):
-        for rx, rep in _compiled_rules:
-            v = rx.sub(rep, v)
-        return v
-    return v
+def _json_tokens(text: Column) -> Column:
+    for escape, mark in SET_ASIDE:
+        text = F.replace(text, F.lit(escape), F.lit(mark))
 
+    def restored(token: Column) -> Column:
+        for escape, mark in SET_ASIDE:
+            token = F.replace(token, F.lit(mark), F.lit(escape))
+        return token
 
-@F.pandas_udf(StringType())
-def redact_json(s: pd.Series) -> pd.Series:
-    """SCL-7 on free-form JSON text, any depth (Arrow batch); unparsable text is pattern-redacted."""
-    def one(v):
-        if v is None:
-            return None
-        try:
-            return json.dumps(_redact_value(json.loads(v)))
-        except ValueError:
-            return _redact_value(v)
-
-    return s.map(one)
+    return F.transform(F.regexp_extract_all(text, F.lit(JSON_TOKEN), 0), restored)
+
+
+def _decoded(token: Column) -> Column:
+    """The text of a JSON string token."""
+    plain = F.substring(token, F.lit(2), F.length(token) - 2)
+    return F.when(F.contains(token, F.lit("\\")), F.try_variant_get(F.try_parse_json(token), "$", "string")).otherwise(plain)
+
+
+def _encoded(text: Column) -> Column:
+    """A text as a JSON string token."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _is_text(token: Column) -> Column:
+    return F.startswith(token, F.lit('"'))
+
+
+def _names_secret(token: Column) -> Column:
+    return F.coalesce(_is_text(token) & F.lower(_decoded(token)).isin(*(n.lower() for n in SENSITIVE_FIELD_NAMES)), F.lit(False))
+
+
+def _redacted_tokens(tokens: Column) -> Column:
+    """(token, secret) per token: values redacted, and whether the token is the value of a sensitive key."""
+    def one(t: Column, i: Column) -> Column:
+        secret = (F.get(tokens, i - 1) == ":") & _names_secret(F.get(tokens, i - 2))
+        is_value = _is_text(t) & F.coalesce(F.get(tokens, i + 1) != ":", F.lit(True))
+        text = _decoded(t)
+        clean = redact_text(text)
+        token = F.when(is_value & (clean != text), _encoded(clean)).otherwise(t)
+        return F.struct(token.alias("token"), F.coalesce(secret, F.lit(False)).alias("secret"))
+
+    return F.transform(tokens, one)
+
+
+def redact_json(df: DataFrame, col: str, out: str) -> DataFrame:
+    """SCL-7 on free-form JSON text of any depth: add ``out``, the JSON without white space in which values of
+    sensitive keys (whole containers too) are ``[REDACTED]`` and other strings are pattern-redacted; keys keep
+    their order.  Text that isn't JSON is pattern-redacted as it stands.
+
+    JVM functions only.  Most rows are settled in one array expression; only rows in which a
+    sensitive key holds a container have their tokens numbered, matched by depth and put together again.
+    """
+    held = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    parsed = df.select(held, F.col(f"`{col}`").alias("_text")).withColumn("_valid", F.try_parse_json("_text").isNotNull())
+    cut = parsed.withColumn("_t", F.when(F.col("_valid"), _json_tokens(F.col("_text"))))
+    marked = cut.withColumn("_m", _redacted_tokens(F.col("_t")))
+    opens = lambda m: m["secret"] & m["token"].isin("{", "[")
+    nested = F.coalesce(F.exists("_m", opens), F.lit(False))
+    flat = F.array_join(F.transform("_m", lambda m: F.when(m["secret"], F.lit(f'"{REDACTED}"')).otherwise(m["token"])), "")
+    settled = marked.where(~nested).select("_row", F.coalesce(flat, redact_text("_text")).alias(out))
+    return settled.unionByName(_without_secret_containers(marked.where(nested).select("_row", "_m"), out)).select("_row.*", out)
+
+
+def _without_secret_containers(rows: DataFrame, out: str) -> DataFrame:
+    """The rows whose tokens need matching brackets: a container under a sensitive key becomes one token."""
+    numbered = rows.withColumn("_id", F.struct(F.xxhash64("_row"), F.monotonically_increasing_id()))
+    token = numbered.select("_id", F.posexplode("_m").alias("_at", "_x")).select("_id", "_at", "_x.token", "_x.secret")
+    opener, closer = F.col("token").isin("{", "["), F.col("token").isin("}", "]")
+    in_order = Window.partitionBy("_id").orderBy("_at")
+    deep = token.withColumn("_depth", F.sum(F.when(opener, 1).when(closer, -1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    level = F.when(opener, F.col("_depth")).when(closer, F.col("_depth") + 1)
+    # brackets of one level alternate: a closer's opener is the one before it
+    paired = deep.withColumn("_level", level).withColumn("_begun", F.lag("secret").over(Window.partitionBy("_id", "_level").orderBy("_at")))
+    step = F.when(opener & F.col("secret"), 1).when(closer & F.col("_begun"), -1).otherwise(0)
+    inside = paired.withColumn("_step", step).withColumn("_open", F.sum("_step").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = inside.where(F.coalesce("_open", F.lit(0)) == 0)
+    shown = kept.select("_id", "_at", F.when(F.col("secret"), F.lit(f'"{REDACTED}"')).otherwise(F.col("token")).alias("token"))
+    texts = shown.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_at", "token"))).alias("_s")).select(
+        "_id", F.array_join("_s.token", "").alias(out))
+    return numbered.select("_id", "_row").join(texts, "_id").select("_row", out)

@@ -92,3 +92,36 @@ def q_redact_fields(fx):
                      F.lit("kind"), F.col("event_type"))
     r = T.redact_map(m)
     return fx.events.select("event_id", r["API_Key"].alias("api_key"), r["note"].alias("note"), r["kind"].alias("kind"))
+
+
+# Documents as JSON: nested below as many brackets as the id says, a sensitive key with a container, one with a
+# text in a list, escaped characters; every 13th text is no JSON but 100 000 brackets.
+NESTED = "CASE WHEN doc_id % 13 = 0 THEN 'deep' WHEN doc_id % 13 = 1 THEN 'broken' ELSE 'json' END"
+
+
+def nested_documents(fx):
+    body = F.struct(
+        F.col("doc_id").alias("id"), F.struct(F.array(F.col("text"), F.lit("x")).alias("parts"), F.col("lang").alias("Token")).alias("API_Key"),
+        F.struct(F.col("text").alias("note"), F.array(F.struct(F.col("source").alias("Password"), F.col("text").alias("body"))).alias("list")).alias("in"))
+    depth = (F.col("doc_id") % 40).cast("int")
+    whole = F.concat(F.repeat(F.lit("[ "), depth), F.to_json(body, {"ignoreNullFields": "false"}), F.repeat(F.lit(" ]"), depth))
+    kind = F.expr(NESTED)
+    text = F.when(kind == "deep", F.repeat(F.lit("["), F.lit(100_000))).when(kind == "broken", F.concat(F.lit('{"note": '), "text")).otherwise(whole)
+    return fx.documents.select("doc_id", kind.alias("kind"), text.alias("raw"))
+
+
+@register("redact_nested_fields", oracle([], f"""
+SELECT doc_id, kind, CASE kind WHEN 'deep' THEN md5(repeat('[', 100000)) WHEN 'broken' THEN md5({_redact_sql("'{\"note\": ' || text")}) END AS whole_md5,
+ CASE WHEN kind = 'json' THEN doc_id END AS id, CASE WHEN kind = 'json' THEN '[REDACTED]' END AS api_key, CASE WHEN kind = 'json' THEN '[REDACTED]' END AS password,
+ CASE WHEN kind = 'json' THEN md5({_redact_sql("text")}) END AS note_md5, CASE WHEN kind = 'json' THEN md5({_redact_sql("text")}) END AS body_md5
+FROM (SELECT *, {NESTED} AS kind FROM documents) d"""))
+def q_redact_nested_fields(fx):
+    """SCL-7 on JSON nested at any depth: sensitive containers and texts replaced, other strings pattern-redacted."""
+    r = T.redact_json(nested_documents(fx), "raw", "clean").drop("raw")
+    is_json = F.col("kind") == "json"
+    inner = F.when(is_json, F.try_parse_json(F.regexp_replace("clean", r"^\[*+|\]*+$", "")))
+    text = lambda path: F.try_variant_get(F.col("_v"), path, "string")
+    return r.withColumn("_v", inner).select(
+        "doc_id", "kind", F.when(~is_json, F.md5("clean")).alias("whole_md5"), F.try_variant_get("_v", "$.id", "bigint").alias("id"),
+        text("$.API_Key").alias("api_key"), text("$.in.list[0].Password").alias("password"),
+        F.md5(text("$.in.note")).alias("note_md5"), F.md5(text("$.in.list[0].body")).alias("body_md5"))

@@ -170,19 +170,32 @@ def test_redaction_samples(spark):
 
 
 def test_redact_fields_and_json(spark):
-    df = spark.createDataFrame([({"API_KEY": "secret_key_123", "public_field": "public_data",
-                                  "note": "Bearer secret_token_xyz_1234567890"},
-                                 '{"meta": {"token": "x"}, "headers": ["Bearer secret_token_xyz_1234567890", '
-                                 '{"api-key": "sk-1234567890abcdefghijklmnopqrstuvwxyz123456"}]}')],
-                               "m map<string,string>, j string")
-    r = df.select(T.redact_map("m").alias("m"), T.redact_json("j").alias("j")).first()
-    assert r["m"]["API_KEY"] == "[REDACTED]" and r["m"]["public_field"] == "public_data"
-    assert r["m"]["note"] == "Bearer [TOKEN-REDACTED]"
     import json
 
-    j = json.loads(r["j"])
-    assert j["meta"]["token"] == "[REDACTED]" and j["headers"][1]["api-key"] == "[REDACTED]"
-    assert j["headers"][0] == "Bearer [TOKEN-REDACTED]"
+    bearer, key = "Bearer " + "q7" * 12, "sk-" + "w4" * 14
+    m = spark.createDataFrame([({"API_KEY": "hush-1", "colour": "green", "note": bearer},)], "m map<string,string>")
+    r = m.select(T.redact_map("m").alias("m")).first()["m"]
+    assert r == {"API_KEY": "[REDACTED]", "colour": "green", "note": "Bearer [TOKEN-REDACTED]"}
+    deep = '{"a": ' * 60 + '{"secret": {"b": [1, {"c": 2}], "token": {"d": "]"}}, "e": "x@y.org"}' + "}" * 60
+    cases = {
+        '{"meta": {"token": "x"}, "headers": ["' + bearer + '", {"api-key": "' + key + '"}]}':
+            {"meta": {"token": "[REDACTED]"}, "headers": ["Bearer [TOKEN-REDACTED]", {"api-key": "[REDACTED]"}]},
+        '{"Password": [1, [2, {"z": "}"}]], "k": [true, null, 1.50, "a\\\\\\"b me@x.org"], "secret": null}':
+            {"Password": "[REDACTED]", "k": [True, None, 1.5, 'a\\"b [EMAIL-REDACTED]'], "secret": "[REDACTED]"},
+        '"mail me@x.org"': "mail [EMAIL-REDACTED]", "[]": [], "7": 7,
+        '{"x": "\\u0061@b.org \\\\", "authorization": {}}': {"x": "[EMAIL-REDACTED] \\", "authorization": "[REDACTED]"},
+        '["' + "\\n\\\\" * 20_000 + '"]': ["\n\\" * 20_000]}
+    broken = {'{"a": "me@x.org"': '{"a": "[EMAIL-REDACTED]"', "[" * 100_000: "[" * 100_000, "": "", None: None}
+    rows = [*cases, *broken, deep]
+    df = spark.createDataFrame(list(enumerate(rows)), "out_ long, j string").repartition(3)
+    found = {r["j"]: r["clean"] for r in T.redact_json(df, "j", "clean").collect()}
+    assert len(found) == len(rows)
+    assert all(json.loads(found[j]) == want for j, want in cases.items())
+    assert all(found[j] == want for j, want in broken.items())
+    inner = json.loads(found[deep])
+    for _ in range(60):
+        inner = inner["a"]
+    assert inner == {"secret": "[REDACTED]", "e": "[EMAIL-REDACTED]"}
 
 
 def test_text_normalisers(spark):

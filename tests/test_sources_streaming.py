@@ -88,9 +88,9 @@ def test_reports_and_artifacts(spark, scratch):
     _write(f"{scratch}/rep/extra.json", json.dumps(dict(rep, extra=1)))
     out = {os.path.basename(r["file_path"]): r["status"] for r in FS.scan_integrity_reports(spark, f"{scratch}/rep").collect()}
     assert out == {"ok.json": "ok", "bad.json": "malformed", "extra.json": "schema_mismatch"}
-    _write(f"{scratch}/art/a.log", "key sk-1234567890abcdefghijklmnopqrstuvwxyz")
+    _write(f"{scratch}/art/a.log", "key sk-" + "w4" * 16)
     _write(f"{scratch}/art/sub/b.md", "clean text")
-    _write(f"{scratch}/art/c.bin", "sk-1234567890abcdefghijklmnopqrstuvwxyz")
+    _write(f"{scratch}/art/c.bin", "sk-" + "w4" * 16)
     hits = [(os.path.basename(r["path"]), r["pattern"]) for r in FS.scan_artifacts(spark, f"{scratch}/art").collect()]
     assert hits == [("a.log", "openai_key")]
 
