@@ -53,13 +53,23 @@ def window_hashes(tokens: Column) -> Column:
     return F.when(F.size(tokens) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words covered by windows whose hash occurs twice or more; ``hashes`` must hold repeats."""
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    alike = F.zip_with(placed, F.slice(placed, 2, F.size(placed)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    at = F.array_sort(F.array_distinct(F.flatten(F.filter(alike, lambda p: p.isNotNull()))))
-    steps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
-    return F.aggregate(steps, F.lit(0), lambda acc, n: acc + n)
+def with_repeated_words(df: DataFrame, hashes: str, out: str) -> DataFrame:
+    """Add ``out``: words covered by windows whose hash occurs twice or more.
+
+    Each sorted array is a column of its own that is read several times, so Spark keeps it and
+    sorts once; texts without a repeat aren't sorted at all.
+    """
+    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("_placed", F.when(repeats, placed))
+    alike = F.zip_with("_placed", F.slice("_placed", 2, F.greatest(F.size("_placed"), F.lit(0))),
+                       lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    at = F.sort_array(F.array_distinct(F.flatten(F.filter(alike, lambda p: p.isNotNull()))))
+    df = df.withColumn("_at", at)
+    steps = F.zip_with("_at", F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(0))),
+                       lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    covered = F.aggregate(steps, F.lit(0), lambda acc, n: acc + n)
+    return df.withColumn(out, F.coalesce(covered, F.lit(0))).drop("_placed", "_at")
 
 
 def normalised(line: Column) -> Column:
@@ -77,25 +87,25 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
                         F.xxhash64(text).alias("text_hash"), text.alias("t"), words(text).alias("w"))
     hashed = split.withColumn("h", window_hashes(F.col("w")))
     lines = F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
-    apart = hashed.withColumn("lines", lines).withColumn("n_distinct", F.size(F.array_distinct("h")))
-    repeats = F.when(F.col("n_distinct") < F.size("h"), repeated_words(F.col("h"))).otherwise(F.lit(0))
+    apart = with_repeated_words(hashed.withColumn("lines", lines), "h", "repeats")
     length = F.length("t")
     of_line = lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words"))
     apart = apart.withColumn("bare", F.transform(F.transform("lines", normalised), of_line))
-    # where each line's first word stands among the words of the text
+    # where each line's first word stands among the words of the text: the words' line numbers, and where they change
     apart = apart.withColumn("of_word", F.flatten(F.transform("bare", lambda x, i: F.array_repeat(i, x["words"]))))
-    at = F.filter(F.sequence(F.lit(0), F.size("of_word") - 1), lambda p: (p == 0) | (F.get("of_word", p) != F.get("of_word", p - 1)))
-    apart = apart.withColumn("at", F.when(F.size("of_word") > 0, at))
-    windows = lambda x, i: F.slice("h", F.get("at", i) + 1, F.greatest(x["words"] - WINDOW + 1, F.lit(0)))
-    placed = lambda x, i: F.struct(x["line"], x["words"], F.coalesce(F.array_min(windows(x, i)), x["line"]).alias("least"))
+    changes = F.zip_with("of_word", F.concat(F.array(F.lit(-1)), "of_word"), lambda own, prior: own != prior)
+    at = F.filter(F.transform(changes, lambda new, p: F.when(new, p)), lambda p: p.isNotNull())
+    # both arrays are arguments of the zip, so each is built once and not once a line
+    windows = lambda x, start: F.slice("h", start + 1, F.greatest(x["words"] - WINDOW + 1, F.lit(0)))
+    placed = lambda x, start: F.struct(x["line"], x["words"], F.coalesce(F.array_min(windows(x, start)), x["line"]).alias("least"))
     rows = apart.select(
         "doc_id", "host", "text_hash", F.monotonically_increasing_id().alias("row"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
         (length - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeats.cast("long").alias("n_repeat_words"),
-        F.transform("bare", placed).alias("lines"))
+        F.col("repeats").cast("long").alias("n_repeat_words"),
+        F.zip_with("bare", at, placed).alias("lines"))
     return written(rows, "quality")
 
 

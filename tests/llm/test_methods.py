@@ -363,3 +363,13 @@ def test_caps_find_all_links_and_blocks_none_twice(spark, monkeypatch):
     recall = sum(n for n, _ in found.values()) / sum(counts)
     assert 0.99 < recall <= 1 and all(found[i][0] <= n for i, n in enumerate(counts))
     assert [found[i][1] for i in range(len(rows))] == first
+
+
+def test_thousands_of_lines_in_one_document(spark):
+    prepare(spark)
+    rng = random.Random(10)
+    text = "\n".join(filler(rng, 5) if i % 4 else "the same line stands here" for i in range(8000))
+    row = quality.quality_rows(documents(spark, [text])).first()
+    base = brute.quality_base(text)
+    assert tuple(row[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == base
+    assert not row["kept"] and row["base_failed"]
