@@ -168,8 +168,9 @@ def passed(nodes: DataFrame, filters: Filters) -> DataFrame:
 def cells(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows dealt to (cap, left, right): every two nodes of a cap meet in one cell, which holds two blocks at most."""
     counts = rows.groupBy("cap").count().filter(F.col("count") > block)
-    # at most n * filters / block rows; Spark measures them and picks the join
-    split = rows.join(counts.select("cap", F.ceil(F.col("count") / block).alias("blocks")), "cap", "left")
+    # written, so that Spark knows its size when it picks the join: small ones leave the rows in place
+    large = written(counts.select("cap", F.ceil(F.col("count") / block).alias("blocks")), "large-caps")
+    split = rows.join(large, "cap", "left")
     blocks = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64("node"), blocks).cast("long")
     met = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
