@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -68,6 +69,12 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
 
 
+def bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` over values that are computed once, however often it reads them (also inside lambdas)."""
+    fields = F.struct(*(v.alias(k) for k, v in values.items()))
+    return F.get(F.transform(F.array(fields), body), F.lit(0))
+
+
 def strip_control(text) -> Column:
     return F.regexp_replace(_c(text), CONTROL_CHARS, "")
 
@@ -170,11 +177,11 @@ def has_unsafe_markup(text) -> Column:
 
 # --- SCL-7: field redaction ------------------------------------------------------------
 
-def redact_map(m) -> Column:
+def redact_map(m, rules=REDACTION_RULES, field_names=SENSITIVE_FIELD_NAMES) -> Column:
     """SCL-7 on a MAP<STRING,STRING>: sensitive keys -> [REDACTED], other values pattern-redacted."""
-    names = [n.lower() for n in SENSITIVE_FIELD_NAMES]
+    names = [n.lower() for n in field_names]
     return F.transform_values(_c(m), lambda k, v: F.when(F.lower(k).isin(*names), F.lit(REDACTED))
-                              .otherwise(redact_text(v)))
+                              .otherwise(redact_text(v, rules)))
 
 
 # A JSON text as tokens: strings, brackets and marks, and other scalars; white space is dropped.  Escaped
@@ -211,56 +218,62 @@ def _is_text(token: Column) -> Column:
     return F.startswith(token, F.lit('"'))
 
 
-def _names_secret(token: Column) -> Column:
-    return F.coalesce(_is_text(token) & F.lower(_decoded(token)).isin(*(n.lower() for n in SENSITIVE_FIELD_NAMES)), F.lit(False))
+def _names_secret(token: Column, field_names) -> Column:
+    return F.coalesce(_is_text(token) & F.lower(_decoded(token)).isin(*(n.lower() for n in field_names)), F.lit(False))
 
 
-def _redacted_tokens(tokens: Column) -> Column:
+def _redacted_tokens(tokens: Column, rules, field_names) -> Column:
     """(token, secret) per token: values redacted, and whether the token is the value of a sensitive key."""
     def one(t: Column, i: Column) -> Column:
-        secret = (F.get(tokens, i - 1) == ":") & _names_secret(F.get(tokens, i - 2))
+        secret = (F.get(tokens, i - 1) == ":") & _names_secret(F.get(tokens, i - 2), field_names)
         is_value = _is_text(t) & F.coalesce(F.get(tokens, i + 1) != ":", F.lit(True))
-        text = _decoded(t)
-        clean = redact_text(text)
-        token = F.when(is_value & (clean != text), _encoded(clean)).otherwise(t)
-        return F.struct(token.alias("token"), F.coalesce(secret, F.lit(False)).alias("secret"))
+        clean = bound({"own": t, "text": _decoded(t)}, lambda s: bound(
+            {"own": s["own"], "text": s["text"], "clean": redact_text(s["text"], rules)},
+            lambda v: F.when(v["clean"] != v["text"], _encoded(v["clean"])).otherwise(v["own"])))
+        return F.struct(F.when(is_value, clean).otherwise(t).alias("token"), F.coalesce(secret, F.lit(False)).alias("secret"))
 
     return F.transform(tokens, one)
 
 
-def redact_json(df: DataFrame, col: str, out: str) -> DataFrame:
+def redact_json(df: DataFrame, col: str, out: str, rules=REDACTION_RULES, field_names=SENSITIVE_FIELD_NAMES) -> DataFrame:
     """SCL-7 on free-form JSON text of any depth: add ``out``, the JSON without white space in which values of
     sensitive keys (whole containers too) are ``[REDACTED]`` and other strings are pattern-redacted; keys keep
     their order.  Text that isn't JSON is pattern-redacted as it stands.
 
     JVM functions only.  Most rows are settled in one array expression; only rows in which a
-    sensitive key holds a container have their tokens numbered, matched by depth and put together again.
+    sensitive key may hold a container have their tokens numbered, matched by depth and put together again.
     """
     held = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
-    parsed = df.select(held, F.col(f"`{col}`").alias("_text")).withColumn("_valid", F.try_parse_json("_text").isNotNull())
-    cut = parsed.withColumn("_t", F.when(F.col("_valid"), _json_tokens(F.col("_text"))))
-    marked = cut.withColumn("_m", _redacted_tokens(F.col("_t")))
-    opens = lambda m: m["secret"] & m["token"].isin("{", "[")
-    nested = F.coalesce(F.exists("_m", opens), F.lit(False))
-    flat = F.array_join(F.transform("_m", lambda m: F.when(m["secret"], F.lit(f'"{REDACTED}"')).otherwise(m["token"])), "")
-    settled = marked.where(~nested).select("_row", F.coalesce(flat, redact_text("_text")).alias(out))
-    return settled.unionByName(_without_secret_containers(marked.where(nested).select("_row", "_m"), out)).select("_row.*", out)
+    # a plain search on the raw text: it may send a row the longer way, never the shorter one wrongly
+    names = "|".join(re.escape(n) for n in field_names)
+    may_hold = F.coalesce(F.col("_text").rlike(f'(?i)"(?:{names})"\\s*:\\s*[\\[{{]') | F.contains("_text", F.lit("\\u")), F.lit(False))
+    rows = df.select(held, F.col(f"`{col}`").alias("_text"))
+    short = rows.where(~may_hold).withColumn("_t", F.when(F.try_parse_json("_text").isNotNull(), _json_tokens(F.col("_text"))))
+    long = rows.where(may_hold).withColumn("_t", F.when(F.try_parse_json("_text").isNotNull(), _json_tokens(F.col("_text"))))
+    replaced = lambda m: F.when(m["secret"], F.lit(f'"{REDACTED}"')).otherwise(m["token"])
+    flat = F.array_join(F.transform(_redacted_tokens(F.col("_t"), rules, field_names), replaced), "")
+    settled = short.select("_row", F.coalesce(flat, redact_text("_text", rules)).alias(out))
+    # a row that isn't JSON is one token of its own
+    whole = F.array(F.struct(redact_text("_text", rules).alias("token"), F.lit(False).alias("secret")))
+    marked = long.select("_row", F.coalesce(_redacted_tokens(F.col("_t"), rules, field_names), whole).alias("_m"))
+    return settled.unionByName(_without_secret_containers(marked, out)).select("_row.*", out)
 
 
 def _without_secret_containers(rows: DataFrame, out: str) -> DataFrame:
     """The rows whose tokens need matching brackets: a container under a sensitive key becomes one token."""
-    numbered = rows.withColumn("_id", F.struct(F.xxhash64("_row"), F.monotonically_increasing_id()))
-    token = numbered.select("_id", F.posexplode("_m").alias("_at", "_x")).select("_id", "_at", "_x.token", "_x.secret")
+    listed = rows.withColumn("_id", F.monotonically_increasing_id()).select("_id", "_row", F.posexplode("_m").alias("_at", "_x"))
+    token = listed.select("_id", F.when(F.col("_at") == 0, F.col("_row")).alias("_row"), "_at", "_x.token", "_x.secret")
     opener, closer = F.col("token").isin("{", "["), F.col("token").isin("}", "]")
     in_order = Window.partitionBy("_id").orderBy("_at")
-    deep = token.withColumn("_depth", F.sum(F.when(opener, 1).when(closer, -1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    change = F.when(opener, 1).when(closer, -1).otherwise(0)
+    deep = token.withColumn("_depth", F.sum(change).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     level = F.when(opener, F.col("_depth")).when(closer, F.col("_depth") + 1)
     # brackets of one level alternate: a closer's opener is the one before it
     paired = deep.withColumn("_level", level).withColumn("_begun", F.lag("secret").over(Window.partitionBy("_id", "_level").orderBy("_at")))
     step = F.when(opener & F.col("secret"), 1).when(closer & F.col("_begun"), -1).otherwise(0)
     inside = paired.withColumn("_step", step).withColumn("_open", F.sum("_step").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
-    kept = inside.where(F.coalesce("_open", F.lit(0)) == 0)
-    shown = kept.select("_id", "_at", F.when(F.col("secret"), F.lit(f'"{REDACTED}"')).otherwise(F.col("token")).alias("token"))
-    texts = shown.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_at", "token"))).alias("_s")).select(
-        "_id", F.array_join("_s.token", "").alias(out))
-    return numbered.select("_id", "_row").join(texts, "_id").select("_row", out)
+    shown = inside.where(F.coalesce("_open", F.lit(0)) == 0).select(
+        "_id", "_row", "_at", F.when(F.col("secret"), F.lit(f'"{REDACTED}"')).otherwise(F.col("token")).alias("token"))
+    return shown.groupBy("_id").agg(
+        F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.collect_list(F.struct("_at", "token"))).alias("_s")).select(
+        "_row", F.array_join("_s.token", "").alias(out))

@@ -4,12 +4,12 @@ spend summaries (A11), running spend (W8) and exact budget admission (W8b)."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.money import request_cost, usd_exact, usd_round, usd_sum
-from assay.operators.cumulative import running_sums
+from assay.operators.cumulative import materialised, running_sums
 from assay.sources.dims import Budget
 
 
@@ -81,6 +81,33 @@ def reprice_executions(executions: DataFrame, pricing: DataFrame) -> DataFrame:
     )
 
 
+def backfill_costs(spark: SparkSession, path: str, pricing: DataFrame, dry_run: bool = False,
+                   cost_col: str = "estimated_cost_usd", model_col: str = "returned_model") -> DataFrame:
+    """A13 with write-back: re-price the completed executions stored at ``path`` (Parquet by ``run_id``) by the
+    current prices and store the costs that changed.  Returns the report per run.
+
+    Only partitions of runs with a changed cost are written again (dynamic partition overwrite), all
+    others keep their files.  The new rows are materialised first, so the table is never read
+    while it is replaced; ``dry_run`` gives the same report and writes nothing.
+    """
+    stored = spark.read.parquet(path)
+    done = F.col("status") == "completed"
+    priced = with_cost(stored, pricing, model_col, "_new").withColumn("_changed", F.coalesce(done & ~F.col(cost_col).eqNullSafe(F.col("_new")), F.lit(False)))
+    unmatched = F.collect_set(F.when(F.col("_changed") & (F.col("_new") == 0.0), F.col(model_col)))
+    report = materialised(priced.groupBy("run_id").agg(
+        F.count_if(done).alias("rows_evaluated"), F.count_if("_changed").alias("rows_changed"),
+        usd_round(F.sum(F.when(done, usd_exact(F.coalesce(F.col(cost_col), F.lit(0.0)))).otherwise(0))).alias("old_total_usd"),
+        usd_round(F.sum(F.when(done, usd_exact("_new")).otherwise(0))).alias("new_total_usd"),
+        F.concat_ws(",", F.array_sort(unmatched)).alias("unmatched_models")), "backfill-report")
+    if not dry_run:
+        runs = report.where("rows_changed > 0").select("run_id")
+        new = F.when(F.col("_changed"), F.col("_new")).otherwise(F.col(cost_col))
+        rows = priced.join(runs, "run_id", "left_semi").withColumn(cost_col, new).select(*stored.columns)
+        materialised(rows, "backfill-rows").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "run_id").parquet(path)
+    return report
+
+
 def preflight_estimate(plan: DataFrame, models: DataFrame, budget: Budget,
                        avg_input_tokens: int = 500, max_output_tokens: int = 800,
                        attempts: int = 2) -> DataFrame:

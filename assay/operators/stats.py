@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.functions.text import bound
 from assay.operators.cumulative import materialised, running_sum
 
 
@@ -95,12 +96,6 @@ def normal_quantile(u: Column) -> Column:
     return F.when(u < QUANTILE_LOW, low(u)).when(u > 1.0 - QUANTILE_LOW, -low(F.lit(1.0) - u)).otherwise(middle)
 
 
-def bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
-    """``body`` over values that are computed once, however often it reads them."""
-    fields = F.struct(*(v.alias(k) for k, v in values.items()))
-    return F.get(F.transform(F.array(fields), body), F.lit(0))
-
-
 def binomial_quantile(n: Column, p: Column, u: Column) -> Column:
     """The u-quantile of Binomial(n, p): by summing the mass function where the smaller side's mean is
     below ``SMALL_MEAN``, else from the normal quantile with the skewness term (error below one draw)."""

@@ -122,6 +122,43 @@ def q_record_digest(fx):
     return r.select("stream_id", "pos", H.record_digest(r).alias("record_digest"))
 
 
+# The record that is spoilt in each stream, and how the streams are spoilt; stream-0 is left whole.
+SPOILT_AT = 37
+SPOILT = ("", "digest_mismatch", "signature_mismatch", "secret_in_record", "unknown_signing_key", "sequence_break",
+          "duplicate_decision_id", "unsupported_algorithm", "unsupported_schema_version", "chain_broken")
+
+
+def spoilt_chains(fx):
+    """Signed chains of all decisions, one record of each stream spoilt in its own way."""
+    keys = H.key_table(fx.spark, FIXTURE_KEYS)
+    way = F.when(F.col("pos") == SPOILT_AT, F.element_at(F.array(*map(F.lit, SPOILT)), F.substring("stream_id", 8, 9).cast("int") + 1)).otherwise("")
+    r = decision_records(fx).withColumn("_way", way).withColumn("decision_id", F.concat(
+        F.lit("d-"), "stream_id", F.lit("-"), F.when(F.col("_way") == "duplicate_decision_id", F.col("pos") - 1).otherwise(F.col("pos"))))
+    before = {"user_id": ("secret_in_record", "Bearer hush.hush"), "signing_key_id": ("unknown_signing_key", "key_retired"),
+              "algorithm": ("unsupported_algorithm", "HMAC-MD5"), "schema_version": ("unsupported_schema_version", "0.9")}
+    r = r.withColumns({c: F.when(F.col("_way") == w, F.lit(v)).otherwise(F.col(c)) for c, (w, v) in before.items()}).drop("_way")
+    chain = audit.build_chain(r, ["pos"]).withColumn("pos", F.col("stream_sequence")).withColumn("_way", way)
+    relinked = F.col("_way") == "chain_broken"
+    chain = chain.withColumn("previous_record_digest", F.when(relinked, F.lit("elsewhere")).otherwise(F.col("previous_record_digest")))
+    chain = chain.withColumn("current_record_digest", F.when(relinked, H.record_digest(chain)).otherwise(F.col("current_record_digest")))
+    signed = H.sign_records(chain, keys)
+    after = {"verdict": ("digest_mismatch", "changed"), "signature": ("signature_mismatch", "0" * 64)}
+    out = signed.withColumns({c: F.when(F.col("_way") == w, F.lit(v)).otherwise(F.col(c)) for c, (w, v) in after.items()})
+    return out.where(F.col("_way") != "sequence_break"), keys
+
+
+@register("verify_signed_chain", oracle(D, f"""
+SELECT stream_id, count(*) FILTER (WHERE NOT (spoilt AND reason = 'sequence_break')) AS records,
+ CASE WHEN bool_or(spoilt AND reason <> '') THEN {SPOILT_AT} END AS first_failure_rank,
+ max(CASE WHEN spoilt AND reason <> '' THEN reason END) AS reason, NOT bool_or(spoilt AND reason <> '') AS valid
+FROM (SELECT stream_id, pos = {SPOILT_AT} AS spoilt, {list(SPOILT)}[CAST(substr(stream_id, 8) AS INT) + 1] AS reason FROM decisions) d
+GROUP BY stream_id"""))
+def q_verify_signed_chain(fx):
+    """STR-10 with record checks: digests, signatures, secrets, keys and versions ranked with the link checks."""
+    chain, keys = spoilt_chains(fx)
+    return audit.verify_chain(chain, "pos", keys=keys).select("stream_id", "records", "first_failure_rank", "reason", "valid")
+
+
 _IP, _OP = _pads_hex(FIXTURE_KEYS["key_hmac_v1"])
 
 

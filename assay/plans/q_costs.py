@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
+from assay.functions.money import usd_exact, usd_round
 from assay.operators import costs
+from assay.operators.cumulative import materialised
 from assay.plans.catalog import register
 from assay.plans.fixtures import oracle
+from assay.session import checkpoint_dir
 from assay.sources import dims
 
 # Oracle helpers: longest-prefix price per distinct model name, and costed executions.
@@ -93,6 +99,42 @@ def q_reprice_executions(fx):
     return costs.reprice_executions(fx.executions, _pricing(fx))
 
 
+# Runs of even number were stored before the price list changed: at the configured model's prices.
+STALE_RUN = "CAST(substr(run_id, 5) AS INT) % 2 = 0"
+
+
+@register("backfill_costs", oracle(["executions"], f"""
+SELECT run_id, count(*) FILTER (WHERE status = 'completed') AS rows_evaluated,
+ count(*) FILTER (WHERE status = 'completed' AND stale AND old_cost <> cost) AS rows_changed,
+ CAST((coalesce(sum(CASE WHEN status = 'completed' THEN CAST(round((CASE WHEN stale THEN old_cost ELSE cost END) * 100000000.0) AS BIGINT) END), 0) + 50) // 100 AS DOUBLE) / 1000000.0 AS old_total_usd,
+ CAST((coalesce(sum(CASE WHEN status = 'completed' THEN CAST(round(cost * 100000000.0) AS BIGINT) END), 0) + 50) // 100 AS DOUBLE) / 1000000.0 AS stored_total_usd,
+ count(*) AS stored_rows, count(*) FILTER (WHERE status = 'completed' AND stale AND old_cost <> cost) > 0 AS rewritten
+FROM (SELECT x.*, {STALE_RUN} AS stale, round(CAST(x.input_tokens AS DOUBLE) / 1000000.0 * coalesce(o.pin, 0.0)
+  + CAST(x.output_tokens AS DOUBLE) / 1000000.0 * coalesce(o.pout, 0.0), 8) AS old_cost
+ FROM costed x LEFT JOIN price o ON o.model = x.configured_model) t GROUP BY run_id""", PRICE_CTE))
+def q_backfill_costs(fx):
+    """A13 with write-back: stored costs re-priced, only changed runs' partitions written, the table read back."""
+    spark = fx.spark
+    root = os.path.join(checkpoint_dir(spark), f"backfill-{uuid.uuid4().hex}")
+    both = costs.with_cost(costs.with_cost(fx.executions, _pricing(fx), "configured_model", "_old"), _pricing(fx), "returned_model", "_new")
+    stored = both.withColumn("estimated_cost_usd", F.when(F.col("status") == "completed", F.when(F.expr(STALE_RUN), F.col("_old")).otherwise(F.col("_new"))))
+    stored.drop("_old", "_new").write.partitionBy("run_id").parquet(root)
+
+    def files():
+        return spark.read.parquet(root).select("run_id", "_metadata.file_path").distinct()
+
+    before = materialised(files(), "files-before")
+    preview = costs.backfill_costs(spark, root, _pricing(fx), dry_run=True)
+    report = costs.backfill_costs(spark, root, _pricing(fx))
+    kept = files().join(before, ["run_id", "file_path"], "left_semi").select("run_id").distinct().withColumn("_kept", F.lit(True))
+    total = F.sum(F.when(F.col("status") == "completed", usd_exact("estimated_cost_usd")).otherwise(0))
+    now = spark.read.parquet(root).groupBy("run_id").agg(usd_round(total).alias("stored_total_usd"), F.count(F.lit(1)).alias("stored_rows"))
+    same = preview.select("run_id", F.col("rows_changed").alias("_previewed"))  # the dry run reports the same and writes nothing
+    told = report.join(now, "run_id").join(kept, "run_id", "left").join(same, "run_id").where(F.col("_previewed") == F.col("rows_changed"))
+    return told.select("run_id", "rows_evaluated", "rows_changed", "old_total_usd", "stored_total_usd", "stored_rows",
+                       F.col("_kept").isNull().alias("rewritten"))
+
+
 @register("preflight_estimate", oracle(["executions"], """
 SELECT c.run_id, c.provider, f.first_model, c.num_cases,
  round(round(CAST(500 AS DOUBLE) / 1000000.0 * coalesce(p.pin, 0.0) + CAST(800 AS DOUBLE) / 1000000.0 * coalesce(p.pout, 0.0), 8) * c.num_cases * 2, 6) AS estimated_usd,

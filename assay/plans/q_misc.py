@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from assay.operators import requests as R
 from assay.plans.catalog import register
 from assay.plans.fixtures import oracle
+from assay.plans.q_files import _scratch
+from assay.sources.config import load_models
 
 CATEGORIES = ["tool_use_boundaries", "prompt_robustness", "context_isolation", "long_context_behavior",
               "content_integrity", "guardrail_consistency"]
@@ -51,6 +55,25 @@ def q_supports_capability(fx):
         F.count(F.lit(1)).alias("executions"))
 
 
+MODEL_FILE = {"openai": {"gpt-4o": {"supports_json_schema": True, "context_limit": 128000}, "gpt-4o-mini": None},
+              "anthropic": {"claude-sonnet-4-6": {"supports_tools": True, "supports_json_schema": True}}}
+
+
+@register("capabilities_by_file", oracle(["executions"], """
+SELECT x.provider, x.configured_model, m.context_limit, m.max_output_tokens, m.capabilities, count(*) AS executions FROM executions x
+JOIN (VALUES ('gpt-4o', 128000, 800, 'text,json'), ('gpt-4o-mini', 4096, 800, 'text'), ('claude-sonnet-4-6', 4096, 800, 'text,tools,json')) m(name, context_limit, max_output_tokens, capabilities)
+ ON m.name = x.configured_model GROUP BY ALL"""))
+def q_capabilities_by_file(fx):
+    """SRC-4 + P4b: executions per model of a capability registry loaded from a file, with its defaults."""
+    path = _scratch(fx.spark, "models")
+    fx.spark.createDataFrame([(json.dumps(MODEL_FILE),)], "value string").coalesce(1).write.text(path)
+    known = load_models(fx.spark, path)
+    m = known.select("provider", F.col("model_name").alias("configured_model"), F.col("context_limit").cast("int").alias("context_limit"),
+                     F.col("max_output_tokens").cast("int").alias("max_output_tokens"), F.array_join(R.model_capabilities(known), ",").alias("capabilities"))
+    return fx.executions.join(m, ["provider", "configured_model"]).groupBy(
+        "provider", "configured_model", "context_limit", "max_output_tokens", "capabilities").agg(F.count(F.lit(1)).alias("executions"))
+
+
 @register("build_requests", oracle(["test_cases", "models"], """
 SELECT sha256(concat_ws(chr(1), m.provider, m.model_name, c.id)) AS execution_id, m.provider, m.model_name,
  CAST(0.0 AS DOUBLE) AS temperature, CAST(m.max_output_tokens AS BIGINT) AS max_output_tokens

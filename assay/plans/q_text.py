@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from assay.functions import text as T
 from assay.plans.catalog import register
 from assay.plans.fixtures import oracle
+from assay.plans.q_files import _scratch
+from assay.sources.config import Redaction
 
 
 def _q(s: str) -> str:
@@ -125,3 +129,22 @@ def q_redact_nested_fields(fx):
         "doc_id", "kind", F.when(~is_json, F.md5("clean")).alias("whole_md5"), F.try_variant_get("_v", "$.id", "bigint").alias("id"),
         text("$.API_Key").alias("api_key"), text("$.in.list[0].Password").alias("password"),
         F.md5(text("$.in.note")).alias("note_md5"), F.md5(text("$.in.list[0].body")).alias("body_md5"))
+
+
+REDACTION_FILE = {"sensitive_field_names": ["lang"], "value_patterns": [
+    {"pattern": "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}", "replacement": "<mail $1>"},
+    {"pattern": "[0-9]{1,3}(?:\\.[0-9]{1,3}){3}", "replacement": "<address>"}]}
+FILE_REDACT_SQL = "text"
+for _rule in REDACTION_FILE["value_patterns"]:
+    FILE_REDACT_SQL = f"regexp_replace({FILE_REDACT_SQL}, {_q(_rule['pattern'])}, {_q(_rule['replacement'])}, 'g')"
+
+
+@register("redact_by_file", oracle([], f"""
+SELECT doc_id, '[REDACTED]' AS lang, md5({FILE_REDACT_SQL}) AS text_md5 FROM documents"""))
+def q_redact_by_file(fx):
+    """SRC-4 + SCL-7: fields redacted by rules and key names that are loaded from a file."""
+    path = _scratch(fx.spark, "redaction")
+    fx.spark.createDataFrame([(json.dumps(REDACTION_FILE),)], "value string").coalesce(1).write.text(path)
+    by = Redaction.load(fx.spark, path)
+    fields = T.redact_map(F.create_map(F.lit("Lang"), F.col("lang"), F.lit("text"), F.col("text")), by.rules, by.field_names)
+    return fx.documents.select("doc_id", fields["Lang"].alias("lang"), F.md5(fields["text"]).alias("text_md5"))
