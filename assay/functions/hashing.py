@@ -94,17 +94,27 @@ def verify_records(df: DataFrame, keys: DataFrame) -> DataFrame:
     return j.withColumn("record_error", err).drop("_ipad", "_opad")
 
 
+def _per_json(s: pd.Series, fn) -> pd.Series:
+    """``fn`` of each parsed JSON text; null for null, for text that isn't JSON and for JSON nested too deep."""
+    def one(v):
+        try:
+            return None if v is None else fn(json.loads(v))
+        except (ValueError, RecursionError):
+            return None
+
+    return s.map(one)
+
+
 @F.pandas_udf(StringType())
 def canonical_json_text(s: pd.Series) -> pd.Series:
-    """SCL-9 for free-form JSON text with byte parity: sorted keys, compact, non-ASCII escaped."""
-    return s.map(lambda v: None if v is None else json.dumps(json.loads(v), sort_keys=True, separators=(",", ":")))
+    """SCL-9 for free-form JSON text with byte parity: sorted keys, compact, non-ASCII escaped; null for a bad row."""
+    return _per_json(s, lambda d: json.dumps(d, sort_keys=True, separators=(",", ":")))
 
 
 @F.pandas_udf(StringType())
 def config_hash(s: pd.Series) -> pd.Series:
-    """SCL-19: SHA-256 of sorted-key JSON with the default (spaced) separators."""
-    return s.map(lambda v: None if v is None else hashlib.sha256(
-        json.dumps(json.loads(v), sort_keys=True).encode("utf-8")).hexdigest())
+    """SCL-19: SHA-256 of sorted-key JSON with the default (spaced) separators; null for a bad row."""
+    return _per_json(s, lambda d: hashlib.sha256(json.dumps(d, sort_keys=True).encode("utf-8")).hexdigest())
 
 
 def scenario_fingerprint(json_text) -> Column:
@@ -114,11 +124,4 @@ def scenario_fingerprint(json_text) -> Column:
 
 @F.pandas_udf(StringType())
 def _drop_fingerprint(s: pd.Series) -> pd.Series:
-    def one(v):
-        if v is None:
-            return None
-        d = json.loads(v)
-        d.pop("fingerprint", None)
-        return json.dumps(d)
-
-    return s.map(one)
+    return _per_json(s, lambda d: json.dumps({k: x for k, x in d.items() if k != "fingerprint"} if isinstance(d, dict) else d))

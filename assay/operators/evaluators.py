@@ -165,7 +165,7 @@ def json_kind(s: pd.Series) -> pd.Series:
             return None
         try:
             parsed = json.loads(v)
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
         return "container" if isinstance(parsed, (dict, list)) else "scalar"
 

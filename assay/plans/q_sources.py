@@ -72,12 +72,16 @@ def q_adapt_legacy_jsonl(fx):
                        F.to_json(F.struct(F.col("_m.source").alias("source"))).alias("metadata"))
 
 
+# The same of every document, unsound ones as they are: without a category, or of another version.
+ANY_CANONICAL = CANONICAL.replace('{"category":"c",', """{' || CASE WHEN doc_id % 7 = 0 THEN '' ELSE '"category":"c",' END || '""").replace(
+    '"version":"1.0"', """"version":"' || CASE WHEN doc_id % 11 = 0 THEN '2.0' ELSE '1.0' END || '\"""")
+
+
 @register("scenario_fingerprint", oracle([], f"""
-SELECT doc_id, sha256({CANONICAL}) AS fingerprint FROM ({SCENARIO_PARTS}) p WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0"""))
+SELECT doc_id, sha256({ANY_CANONICAL}) AS fingerprint FROM ({SCENARIO_PARTS}) p"""))
 def q_scenario_fingerprint(fx):
     """SCL-12 on JSON whose fields come in another order and carry an old fingerprint."""
-    sound = _scenario_json(fx).where("doc_id % 7 <> 0 and doc_id % 11 <> 0")
-    return sound.select("doc_id", H.scenario_fingerprint(F.col("document")).alias("fingerprint"))
+    return _scenario_json(fx).select("doc_id", H.scenario_fingerprint(F.col("document")).alias("fingerprint"))
 
 
 @register("canonical_json", oracle([], """
@@ -211,14 +215,14 @@ def q_execution_event_source(fx):
 
 @register("judge_api", oracle([], """
 SELECT doc_id AS subject_id, coalesce(ok AND score >= 0.8, FALSE) AS passed, CASE WHEN ok THEN score ELSE CAST(0.0 AS DOUBLE) END AS score,
- md5(CASE WHEN ok THEN text ELSE 'reason_too_long' END) AS reason_md5
-FROM (SELECT doc_id, text, length(text) <= 2000 AS ok, CAST((doc_id % 11) / 10.0 AS DOUBLE) AS score FROM documents
- WHERE NOT contains(text, '```')) t"""))
+ md5(CASE WHEN ok THEN text WHEN fenced THEN 'markdown_fence' ELSE 'reason_too_long' END) AS reason_md5
+FROM (SELECT doc_id, text, contains(text, '```') AS fenced, length(text) <= 2000 AND NOT contains(text, '```') AS ok,
+  CAST((doc_id % 11) / 10.0 AS DOUBLE) AS score FROM documents) t"""))
 def q_judge_api(fx):
     """UDF-3 + SCL-10: judge texts whose reason is a whole document; invalid ones fail closed."""
     score = ((F.col("doc_id") % 11) / F.lit(10.0)).cast("double")
     raw = F.to_json(F.struct(F.lit("1.0").alias("schema_version"), score.alias("score"), F.col("text").alias("reason")))
-    judged = contracts.judge_from_raw(fx.documents.where(~F.contains("text", F.lit("```"))).select(F.col("doc_id").alias("subject_id"), raw.alias("raw")), "j")
+    judged = contracts.judge_from_raw(fx.documents.select(F.col("doc_id").alias("subject_id"), raw.alias("raw")), "j")
     return judged.select("subject_id", "passed", "score", F.md5("reason").alias("reason_md5"))
 
 

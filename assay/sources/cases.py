@@ -1,16 +1,17 @@
 """SRC-1 case files (JSONL per category) and P1 case-file validation.
 
-Case files are small configuration files; each is read whole (``binaryFile``) so line
-numbers are exact, then split into lines with ``posexplode`` - parsing and validation
+Files are read with the splittable text source, so a file may be of any size and a line is the
+largest unit a task holds.  A line's number is its place in its block plus the lines of the
+file's earlier blocks: one count per block, prefix-summed per file.  Parsing and validation
 are JSON functions in the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assay.sources.tables import read_whole_files
+from assay.operators.cumulative import materialised
 
 CASE_SCHEMA = (
     "id string, version int, category string, subcategory string, description string, "
@@ -22,14 +23,26 @@ CASE_SCHEMA = (
 REQUIRED_FIELDS = ("category", "expected", "id", "messages", "subcategory", "version")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, line_no, value) of every line of the text files at ``path``, numbered from 1 per file."""
+    # rows of a block are read in order by one task, so row numbers within it differ by line
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        "value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = rows.groupBy("file_path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select("file_path", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # one row per block, written so that Spark knows how few they are: the lines stay where they were read
+    joined = rows.join(materialised(placed, "file-blocks"), ["file_path", "_block"])
+    return joined.select("file_path", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_no"), "value")
+
+
 def case_lines(spark: SparkSession, root: str, pattern: str = "*/*.jsonl") -> DataFrame:
-    """(category_dir, file_name, line_no, line) for every non-blank, non-comment line, in load order."""
-    files = read_whole_files(spark, f"{root.rstrip('/')}/{pattern}").select(
-        "file_path", F.regexp_extract("file_path", r"([^/]+)$", 1).alias("file_name"), "value")
-    lines = files.select("file_path", "file_name", F.posexplode(F.split("value", "\n")).alias("_i", "raw"))
+    """(category_dir, file_name, line_no, line) for every non-blank, non-comment line."""
+    lines = numbered_lines(spark, f"{root.rstrip('/')}/{pattern}")
     out = lines.select(
-        F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1).alias("category_dir"), "file_name",
-        (F.col("_i") + 1).alias("line_no"), F.trim(F.regexp_replace("raw", "\r$", "")).alias("line"))
+        F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1).alias("category_dir"),
+        F.regexp_extract("file_path", r"([^/]+)$", 1).alias("file_name"), "line_no",
+        F.trim(F.regexp_replace("value", "\r$", "")).alias("line"))
     return out.where((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 

@@ -222,3 +222,13 @@ def test_attribute_hygiene(spark):
     assert set(env.select(scrub_secret_keys(F.col("m"))).first()[0]) == {"PATH", "HOME"}
     p = spark.createDataFrame([(" OpenAI, gemini ,,google,xai,openai",)], "c string")
     assert p.select(normalise_providers(F.col("c"))).first()[0] == ["openai", "google", "xai"]
+
+
+def test_bad_json_rows_give_null_and_the_job_goes_on(spark):
+    from assay.functions import hashing as H
+
+    rows = [('{"b": 1, "a": "\u00e9"}',), ('{"a": ',), ("[" * 100_000,), ("[1, 2]",), (None,)]
+    df = spark.createDataFrame(rows, "j string")
+    found = df.select(H.canonical_json_text("j"), H.config_hash("j"), H.scenario_fingerprint("j")).collect()
+    assert found[0][0] == '{"a":"\\u00e9","b":1}' and found[3][0] == "[1,2]"
+    assert all(found[i][k] is None for i in (1, 2, 4) for k in range(3)) and all(found[i][k] for i in (0, 3) for k in (1, 2))

@@ -216,3 +216,24 @@ def test_gauge_stream_equals_batch(spark):
     ev = windows.gauge_events(src).orderBy("_t", "delta", "execution_id").coalesce(1)
     streamed = stateful.run_available(spark, ev, stateful.active_executions_stream, "gauge", files_per_trigger=1)
     assert sorted(tuple(r) for r in streamed.collect()) == batch
+
+
+def test_line_numbers_of_files_read_in_blocks(spark, tmp_path):
+    from assay.sources.cases import numbered_lines
+
+    want = {}
+    for name, n in (("a.txt", 900), ("b.txt", 1), ("c.txt", 333)):
+        lines = [f"{name} {i} " + "\u00e9x" * (i % 40) if i % 5 != 1 else "" for i in range(n)]
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if n > 1 else ""), encoding="utf-8")
+        want |= {(name, i + 1): line for i, line in enumerate(lines)}
+    settings = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "100"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = numbered_lines(spark, f"{tmp_path}/*.txt")
+        assert rows.rdd.getNumPartitions() > 10
+        found = [(r["file_path"].rsplit("/", 1)[1], r["line_no"], r["value"]) for r in rows.collect()]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert len(found) == len(want) and {(f, n): v for f, n, v in found} == want
