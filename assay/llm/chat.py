@@ -132,6 +132,8 @@ def turns_of(record, layouts: dict[str, Mapping]) -> tuple[str, str | None, int
     renamed = lambda r: layout.roles.get(text_of(r), text_of(r))
     key = None if not layout.key or record[layout.key] is None else text_of(record[layout.key])
     position = record[layout.position] if layout.position else 0
+    if not (position is None or isinstance(position, int) and -2 ** 63 <= position < 2 ** 63):
+        return "unknown", None, None, []  # a place that is no number can't be sorted by
     if layout.each:
         turns = [(renamed(m.get(layout.role)), text_of(m.get(layout.text))) for m in record[layout.each]]
     elif layout.turns:
@@ -154,9 +156,9 @@ def formatted_turns(records: DataFrame, record_col: str = "record", mappings: li
             for value in column(batch, record_col):
                 try:
                     record = json.loads(value.as_py() or "null")
-                except ValueError:
-                    record = None
-                name, key, position, turns = turns_of(record, layouts)
+                    name, key, position, turns = turns_of(record, layouts)
+                except (ValueError, RecursionError):  # not JSON, or nested too deep to read
+                    name, key, position, turns = turns_of(None, layouts)
                 rows += [(name, key, position, i, *block_of(role, text)) for i, (role, text) in enumerate(turns)] or [
                     (name, key, position, None, None, None, None)]
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]

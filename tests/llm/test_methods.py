@@ -373,3 +373,12 @@ def test_thousands_of_lines_in_one_document(spark):
     base = brute.quality_base(text)
     assert tuple(row[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == base
     assert not row["kept"] and row["base_failed"]
+
+
+def test_records_that_cannot_be_read_are_of_unknown_layout(spark):
+    prepare(spark)
+    good = json.dumps({"conv_id": 1, "turn": 0, "role": "user", "text": "hello"})
+    records = [good, "[" * 100_000, '{"a":' * 50_000, good.replace('"turn": 0', '"turn": "first"'), good.replace('"turn": 0', f'"turn": {2 ** 70}'), "{", None, ""]
+    rows = chat.formatted_turns(spark.createDataFrame([(r,) for r in records], "record string")).collect()
+    assert [r["layout"] == "unknown" for r in rows] == [False] + [True] * 7
+    assert chat.read_back(chat.formatted_turns(spark.createDataFrame([(r,) for r in records], "record string"))).count() == 1
