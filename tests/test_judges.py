@@ -1,6 +1,7 @@
 """Strict judge parsing against hand-written outcomes, ensembles, statistics."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,25 @@ def test_pairwise_delta(spark):
                                "g string, id long, v double")
     r = stats.pairwise_delta_ci(df, "g", "v", "id", "a", "b", iterations=100).first()
     assert r["ci_lower"] <= r["delta_mean"] <= r["ci_upper"] and math.isclose(r["delta_mean"], 1.5)
+
+
+def test_multinomial_resamples_have_the_right_moments(spark):
+    import statistics
+
+    rng = random.Random(12)
+    groups = {"two": [0.0] * 900 + [1.0] * 100, "rare": [5.0] + [0.0] * 1999, "many": [rng.random() ** 3 for _ in range(1500)], "few": [1.0, 2.0, 4.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    found = {}
+    for r in stats.bootstrap_means(df, "g", "v", iterations=400).collect():
+        found.setdefault(r["_g"], []).append(r["_mean"])
+    for g, vs in groups.items():
+        own, n = found[g], len(vs)
+        assert len(own) == 400
+        error = statistics.pstdev(vs) / n ** 0.5
+        assert abs(statistics.mean(own) - statistics.mean(vs)) < 4 * error / 400 ** 0.5
+        assert 0.85 < statistics.pstdev(own) / error < 1.15
+        assert min(vs) <= min(own) and max(own) <= max(vs)
+    # whole draws: the rare value is drawn a whole number of times, about e**-1 of the time never
+    times = [round(m * 2000 / 5.0, 6) for m in found["rare"]]
+    assert all(t == int(t) for t in times) and 0.28 < times.count(0.0) / 400 < 0.46
