@@ -247,7 +247,7 @@ def manifest_drift(manifests: DataFrame, environment: DataFrame, key: str = "ben
     """
     env = environment.select(key, *[F.col(c).alias(f"env_{c}") for c in
                                     ("git_commit", "python_version", "benchmark_fingerprint", "config_hash")])
-    j = manifests.join(F.broadcast(env), key, "left")
+    j = manifests.join(env, key, "left")
     gc, egc = F.col("git_commit"), F.coalesce(F.col("env_git_commit"), F.lit("unknown"))
     w = F.array_compact(F.array(
         F.when((gc != "unknown") & ~F.col("env_git_commit").eqNullSafe(gc), F.concat(

@@ -127,7 +127,7 @@ def preflight_estimate(plan: DataFrame, models: DataFrame, budget: Budget,
         .alias("per_request_usd"))
     cases = plan.groupBy("run_id", "provider").agg(F.count(F.lit(1)).alias("num_cases"))
     # per_req has one row per configured provider: bounded by configuration.
-    est = cases.join(F.broadcast(per_req), "provider").withColumn(
+    est = cases.join(per_req, "provider").withColumn(
         "estimated_usd", F.round(F.col("per_request_usd") * F.col("num_cases") * F.lit(attempts), 6))
     return est.select(
         "run_id", "provider", "first_model", "num_cases", "estimated_usd",

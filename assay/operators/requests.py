@@ -40,12 +40,12 @@ def capability_filter(plan: DataFrame, tags: str = "tags", supports_tools: str =
 def build_plan(cases: DataFrame, models: DataFrame) -> DataFrame:
     """J4 + P4: every (provider, model, case) triple that passes the capability filter.
 
-    The model catalogue is configuration (bounded), so it is broadcast and each case row
-    is paired with the eligible models inside the broadcast join - the filter is the
+    The model catalogue is configuration; Spark broadcasts it where it measures it small, and
+    each case row is paired with the eligible models inside the join - the filter is the
     join condition, so ineligible pairs are never materialised.  The execution id is a
     deterministic hash of the triple.
     """
-    m = F.broadcast(models.select("provider", "model_name", "supports_tools", "max_output_tokens"))
+    m = models.select("provider", "model_name", "supports_tools", "max_output_tokens")
     eligible = ~(F.coalesce(F.array_contains(cases["tags"], "tool-use"), F.lit(False)) & ~m["supports_tools"])
     plan = cases.join(m, eligible, "inner")
     return plan.withColumn(
@@ -70,7 +70,7 @@ def build_requests(plan: DataFrame, models: DataFrame) -> DataFrame:
     """Case x model -> request row; temperature / output cap from the model row, defaults 0.0 / 800."""
     m = models.select("provider", "model_name",
                       *[c for c in ("temperature", "max_output_tokens") if c in models.columns])
-    m = F.broadcast(m.withColumnsRenamed({c: f"_m_{c}" for c in m.columns if c not in ("provider", "model_name")}))
+    m = m.withColumnsRenamed({c: f"_m_{c}" for c in m.columns if c not in ("provider", "model_name")})
     j = plan.drop(*[c for c in ("temperature", "max_output_tokens") if c in plan.columns]).join(
         m, ["provider", "model_name"], "left")
     temp = F.col("_m_temperature") if "_m_temperature" in j.columns else F.lit(None)

@@ -18,10 +18,10 @@ VERDICT_COLUMNS = ["execution_id", "status", "severity", "confidence", "requires
 def score_with_rule(scores: DataFrame, rules: DataFrame) -> DataFrame:
     """Attach weight / invert by (category, metric); no rule -> weight 1.0, invert false.
 
-    ``rules`` is the scoring configuration (bounded), so it is broadcast.
+    ``rules`` is the scoring configuration; Spark picks the join by its measured size.
     """
     r = rules.select("category", "metric_name", F.col("weight").alias("_w"), F.col("invert").alias("_inv"))
-    j = scores.join(F.broadcast(r), ["category", "metric_name"], "left")
+    j = scores.join(r, ["category", "metric_name"], "left")
     return j.withColumn("weight", F.coalesce("_w", F.lit(1.0))).withColumn(
         "invert", F.coalesce("_inv", F.lit(False))).drop("_w", "_inv")
 

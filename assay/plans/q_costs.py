@@ -76,11 +76,11 @@ SELECT x.execution_id, x.provider, x.configured_model, m.context_limit, m.max_ou
 FROM executions x JOIN models m ON m.provider = x.provider AND m.model_name = x.configured_model
 WHERE x.status = 'completed'"""))
 def q_executions_with_models(fx):
-    """Executions joined to the model dimension (broadcast: bounded by configuration)."""
+    """Executions joined to the model dimension (bounded by configuration)."""
     m = fx.models.select(F.col("provider"), F.col("model_name").alias("configured_model"),
                          "context_limit", "max_output_tokens", "supports_tools")
     return (fx.executions.where(F.col("status") == "completed")
-            .join(F.broadcast(m), ["provider", "configured_model"])
+            .join(m, ["provider", "configured_model"])
             .select("execution_id", "provider", "configured_model", "context_limit", "max_output_tokens",
                     "supports_tools"))
 

@@ -39,7 +39,7 @@ def q_capability_filter(fx):
     x = fx.executions.select("execution_id", "provider", "configured_model",
                              F.when(F.col("category") == "tool_use_boundaries", F.array(F.lit("tool-use")))
                              .otherwise(F.array().cast("array<string>")).alias("tags"))
-    return R.capability_filter(x.join(F.broadcast(m), ["provider", "configured_model"])).select(
+    return R.capability_filter(x.join(m, ["provider", "configured_model"])).select(
         "execution_id", "provider", "configured_model")
 
 
@@ -51,7 +51,7 @@ def q_supports_capability(fx):
     m = fx.models.select("provider", F.col("model_name").alias("configured_model"),
                          R.model_capabilities(fx.models).alias("capabilities"))
     capable = R.supports_capability(m, "json")
-    return fx.executions.join(F.broadcast(capable), ["provider", "configured_model"]).groupBy("provider").agg(
+    return fx.executions.join(capable, ["provider", "configured_model"]).groupBy("provider").agg(
         F.count(F.lit(1)).alias("executions"))
 
 

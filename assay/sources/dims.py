@@ -1,8 +1,8 @@
 """SRC-4: small configuration dimensions (pricing, budgets, provider limits, scoring rules).
 
 Each dimension is built once from a dict (or a YAML file with the same shape) with
-``spark.createDataFrame``.  Their size is bounded by the configuration, which is what
-makes an explicit ``F.broadcast`` on them safe.
+``spark.createDataFrame``.  Their size is bounded by the configuration and known to Spark,
+which broadcasts them without a hint.
 """
 
 from __future__ import annotations
