@@ -176,16 +176,22 @@ def q_scan_integrity_reports(fx):
     return found.select(F.regexp_extract("file_path", "/s=([^/]+)/", 1).alias("source"), "status", "total", "passed")
 
 
-ANY_RULE = " OR ".join("regexp_matches(text, '" + p.replace("'", "''") + "')" for _, p, _ in T.REDACTION_RULES)
+# Number of the first rule that a text matches.
+FIRST_RULE = "CASE " + " ".join(
+    "WHEN regexp_matches(text, '" + p.replace("'", "''") + f"') THEN {i + 1}" for i, (_, p, _) in enumerate(T.REDACTION_RULES)) + " END"
+ARTIFACT_DOCS = 500
 
 
-@register("scan_artifacts", oracle([], f"SELECT DISTINCT source FROM documents WHERE {ANY_RULE}"))
+@register("scan_artifacts", oracle([], f"""
+SELECT source, 'g=' || CAST(floor(doc_id / {ARTIFACT_DOCS}) AS BIGINT) AS folder, {[n for n, _, _ in T.REDACTION_RULES]}[min(rule)] AS pattern
+FROM (SELECT *, {FIRST_RULE} AS rule FROM documents) d WHERE rule IS NOT NULL GROUP BY ALL"""))
 def q_scan_artifacts(fx):
-    """SRC-11: artifact files with a secret; whole documents written as text files below a folder per source."""
+    """SRC-11: artifact files with a secret and the first rule each matches; a file per source and some 500 whole documents."""
     root = _scratch(fx.spark, "artifacts")
-    fx.documents.select(F.col("source").alias("s"), F.col("text").alias("value")).write.partitionBy("s").text(root)
+    rows = fx.documents.select(F.col("source").alias("s"), F.floor(F.col("doc_id") / ARTIFACT_DOCS).alias("g"), F.col("text").alias("value"))
+    rows.repartition("s", "g").write.partitionBy("s", "g").text(root)
     found = files.scan_artifacts(fx.spark, root)
-    return found.select(F.regexp_extract("path", "/s=([^/]+)/", 1).alias("source")).distinct()
+    return found.select(F.regexp_extract("path", "/s=([^/]+)/", 1).alias("source"), F.regexp_extract("path", "/(g=[^/]+)/", 1).alias("folder"), "pattern")
 
 
 @register("load_dims", oracle(["executions"], """
