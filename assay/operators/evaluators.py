@@ -334,8 +334,7 @@ def needle_matches(haystack: DataFrame, needles: DataFrame, hay_id: str, hay_tex
     return out.distinct().withColumnRenamed("_hid", hay_id).withColumnRenamed("_nid", needle_id)
 
 
-# Salts of the needle grams in the first join, and rows of one gram beyond which the second join splits it.
-GRAM_SALTS = 16
+# Rows of one gram beyond which the join on anchors splits it.
 HOT_GRAM_ROWS = 100_000
 
 
@@ -352,10 +351,10 @@ def _gram_hits(docs: DataFrame, n_grams: DataFrame, g: int) -> DataFrame:
     # (``substr`` at a character offset re-walks UTF-8 from the start - quadratic in text length).
     chunks = F.regexp_extract_all(F.col("_ht"), F.lit(f"(?s).{{1,{g}}}"), 0)
     d_grams = docs.select("_hid", F.posexplode(chunks).alias("_k", "_gram")).where(F.length("_gram") == F.lit(g))
-    salted = d_grams.select("_hid", (F.col("_k") * F.lit(g)).alias("_q"), "_gram",
-                            F.pmod(F.xxhash64("_hid", "_k"), F.lit(GRAM_SALTS)).cast("int").alias("_salt"))
-    wanted = n_grams.select("_gram").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1))))
-    return materialised(salted.join(wanted, ["_gram", "_salt"], "left_semi").drop("_salt"), "gram-hits")
+    placed = d_grams.select("_hid", (F.col("_k") * F.lit(g)).alias("_q"), "_gram")
+    # the needles' grams are a stored table: Spark broadcasts it where it is small, and splits hot partitions
+    # of the document side where it isn't
+    return materialised(placed.join(n_grams.select("_gram").distinct(), "_gram", "left_semi"), "gram-hits")
 
 
 def _anchors(n_grams: DataFrame, counts: DataFrame, g: int) -> DataFrame:

@@ -197,7 +197,7 @@ def bootstrap_means(df: DataFrame, group: str, value: str, iterations: int = 100
             F.array_sort(F.collect_list(F.struct("_k", "_c", "_v"))).alias("_s")).select(
             "_g", "_p", F.col("_s._c").alias("_s"), F.col("_s._v").alias("_v")).select(
             "_g", "_p", _pyramid(F.col("_s"), levels).alias("_t"), "_v")
-        split = draws.join(materialised(blocks, "value-blocks"), ["_g", "_p"]).select(
+        split = draws.join(blocks, ["_g", "_p"]).select(
             "_g", "_b", "_p", "_v", _split(F.col("_m"), F.col("_t"), seed, label, F.col("_b"), F.col("_p"), base, levels).alias("_x"))
         if base:
             child = split.select("_g", "_b", "_p", F.posexplode("_x").alias("_i", "_m")).where("_m > 0")
