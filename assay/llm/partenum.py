@@ -11,12 +11,14 @@ puts signatures of shingles that are frequent in a bounded sample of documents l
 order gives the same result, this one avoids buckets of unrelated documents that share a
 passage.
 
-Equal sets are one node.  Sharing a signature makes candidates; first the neighbours in each
-bucket, in a few orders, are compared exactly and linked sets are merged into components,
-then every pair of a
+Equal sets are one node.  Signatures carry 64 bits of its 128-bit key; where sets share these,
+all but one are renamed and are candidates too.  Sharing a signature makes candidates.  Buckets of the same
+members count once.  First the neighbours in each bucket, in a few orders, are compared and linked
+sets are merged into components, then every pair of a
 bucket that is still in different components and whose sizes and parity sketches allow
 similarity.  A pair inside one component needs no check, so nothing is lost and no bucket of
-copies is expanded into pairs.  Components come from
+copies is expanded into pairs.  Distinct pairs meet a second sketch whose length follows the size
+of the set, so nearly only similar pairs are compared exactly.  Components come from
 alternating large-star and small-star steps, with a written table between them.
 
 Cases: null and empty texts and texts of white space have an empty set, size 0 and stand
@@ -42,7 +44,7 @@ SHINGLE = 5
 THRESHOLD = 75
 # Documents whose shingles tell frequent ones; how often in the sample makes one frequent,
 # and how many of these are told to the tasks.  None of them changes a result.
-SAMPLE = 8192
+SAMPLE = 32768
 FREQUENT = 2
 FREQUENT_ENTRIES = 1 << 17
 # Words of a set's parity sketch; see ``sketch``.
@@ -99,6 +101,20 @@ def sketch(hashes: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A sketch of more cells than the set has elements.  Cells are a power of two in number and a
+    cell is the low bits of a hash, so a longer sketch folds into a shorter one by XOR."""
+    cells = 1 << max(9, len(hashes).bit_length())
+    return np.packbits((np.bincount((mixed(hashes + MIX) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def apart_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of the elements that stand in one of two sets only, from their parities."""
+    cells = min(len(a), len(b))
+    fold = lambda x: np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, cells // 8), axis=0)
+    return int(np.bitwise_count(fold(a) ^ fold(b)).sum())
+
+
 def may_be_similar(a: str, b: str, threshold: int):
     """Whether sizes and sketches of two sets (columns ``size_x`` and ``sketch_x``) allow similarity."""
     size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
@@ -149,21 +165,35 @@ def text_key(text_col: str):
     return F.unhex(F.md5(text_or_empty(text_col)))
 
 
-def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, size, sketch, node, set_key) of every document; equal sets share node and set_key."""
+def nodes_of(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, text_key, size, node, set_key, sketch, parity, sigs) of every document; equal sets share node and
+    set_key.  A task sketches and signs equal sets once: the last three are null in their other rows."""
+    frequent, counts = frequent_shingles(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, seen = Signer(frequent, counts, threshold), set()
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in column(batch, "text")]
-            keys = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+            sizes, keys, sketches, parities, sigs = [], [], [], [], []
+            for t in column(batch, "text"):
+                own = shingles(t.as_py())
+                key = xxhash.xxh128_digest(own.tobytes())
+                new = key not in seen
+                seen.add(key)
+                sizes.append(len(own))
+                keys.append(key)
+                sketches.append(sketch(own) if new else None)
+                parities.append(parity(own) if new else None)
+                sigs.append(signer.sign(own).view(np.int64) if new else None)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "text_key"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([node_name(k) for k in keys], pa.int64()), pa.array(keys, pa.binary())],
-                names=["doc_id", "text_key", "size", "sketch", "node", "set_key"])
+                [column(batch, "doc_id"), column(batch, "text_key"), pa.array(sizes, pa.int64()),
+                 pa.array([node_name(k) for k in keys], pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(sketches, pa.list_(pa.int64())), pa.array(parities, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "size", "node", "set_key", "sketch", "parity", "sigs"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"),
                        F.col(text_col).alias("text"))
-    return written(rows.mapInArrow(run, "doc_id long, text_key binary, size long, sketch array<bigint>, node long, set_key binary"), "nodes")
+    return written(rows.mapInArrow(run, "doc_id long, text_key binary, size long, node long, set_key binary, "
+                                        "sketch array<bigint>, parity binary, sigs array<bigint>"), "nodes")
 
 
 def node_name(set_key: bytes) -> int:
@@ -188,36 +218,31 @@ def frequent_shingles(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> t
     return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
 
 
-def signatures(docs: DataFrame, text_col: str, threshold: int = THRESHOLD) -> DataFrame:
-    """(sig, node): a task signs equal sets once."""
-    frequent, counts = frequent_shingles(docs, text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer, seen = Signer(frequent, counts, threshold), set()
-        for batch in batches:
-            sigs, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for t in column(batch, "text"):
-                own = shingles(t.as_py())
-                key = xxhash.xxh128_digest(own.tobytes())
-                if len(own) and key not in seen:
-                    seen.add(key)
-                    sigs.append(signer.sign(own))
-                    nodes.append(np.full(len(sigs[-1]), node_name(key)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))],
-                                             names=["sig", "node"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "sig long, node long")
+def distinct_sets(nodes: DataFrame) -> DataFrame:
+    """(set_key, node, name, text_key, size, sketch, parity): one row per set; ``name`` is its node
+    unless another set has that node, and the hash of its key then."""
+    firsts = (F.first(c, ignorenulls=True).alias(c) for c in ("node", "size", "sketch", "parity"))
+    one = nodes.filter("size > 0").groupBy("set_key").agg(F.min("text_key").alias("text_key"), *firsts)
+    first = F.lag("set_key").over(Window.partitionBy("node").orderBy("set_key")).isNull()
+    return written(one.withColumn("name", F.when(first, F.col("node")).otherwise(F.xxhash64("set_key"))), "sets")
 
 
-def buckets(docs: DataFrame, text_col: str, threshold: int = THRESHOLD) -> DataFrame:
-    """(sig, node, before): members of buckets of two nodes at least, with the node before them."""
+def shared_signatures(nodes: DataFrame) -> DataFrame:
+    """(sig, node): members of buckets of two nodes at least; of buckets with the same members one."""
     in_bucket = Window.partitionBy("sig").orderBy("node")
-    rows = signatures(docs, text_col, threshold).withColumns({
+    rows = nodes.select(F.explode("sigs").alias("sig"), "node").withColumns({
         "before": F.lag("node").over(in_bucket), "after": F.lead("node").over(in_bucket)})
-    # a node that several tasks signed stands in a row; its last row has what comes after it
+    # a node that several tasks signed stands in a row
     apart = (F.col("before") != F.col("node")) | (F.col("after") != F.col("node"))
-    return written(rows.filter(apart).select("sig", "node", F.when(F.col("before") != F.col("node"), F.col("before"))
-                                             .alias("before")), "buckets")
+    members = written(rows.filter(apart).groupBy("sig", "node").agg(F.lit(True).alias("_")).select("sig", "node"), "buckets")
+    names = (F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2))
+    chosen = members.groupBy("sig").agg(F.count("*").alias("n"), *names).groupBy("n", "x0", "x1").agg(F.min("sig").alias("sig"))
+    return members.join(chosen.select("sig"), "sig", "left_semi")
+
+
+def renamed(sets: DataFrame) -> DataFrame:
+    """The sets whose node another set has."""
+    return sets.filter("name <> node").select("set_key", "node", "name")
 
 
 def candidate_texts(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
@@ -231,17 +256,22 @@ def candidate_texts(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFr
         F.first("text").alias("text"))
 
 
-def distinct_sets(nodes: DataFrame) -> DataFrame:
-    """(node, text_key, size, sketch): one row per set."""
-    return nodes.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-
+def similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, threshold: int = THRESHOLD) -> DataFrame:
+    """The (a, b) whose sets are similar: those that their parities allow, by exact comparison of their shingle sets."""
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, threshold: int = THRESHOLD) -> DataFrame:
-    """The (a, b) whose sets are similar, by exact comparison of their shingle sets."""
-    one = distinct_sets(nodes)
-    named = lambda n: one.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("text_key", "size", "sketch")))
-    checked = written(pairs.join(named("a"), "a").join(named("b"), "b").filter(may_be_similar("a", "b", threshold)).select(
-        "a", "b", F.col("text_key_a").alias("key_a"), F.col("text_key_b").alias("key_b")), "pairs")
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (column(batch, f"parity_{n}").to_pylist() for n in "ab")
+            total = column(batch, "total").to_pylist()
+            fit = [apart_at_least(x, y) * (100 + threshold) <= n * (100 - threshold) for x, y, n in zip(a, b, total)]
+            kept = batch.filter(pa.array(fit, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([column(kept, n) for n in ("a", "b", "key_a", "key_b")], names=["a", "b", "key_a", "key_b"])
+
+    side = lambda n: sets.select(F.col("name").alias(n), F.col("text_key").alias(f"key_{n}"),
+                                 F.col("parity").alias(f"parity_{n}"), F.col("size").alias(f"size_{n}"))
+    named = pairs.join(side("a"), "a").join(side("b"), "b").select(
+        "a", "b", "key_a", "key_b", "parity_a", "parity_b", (F.col("size_a") + F.col("size_b")).alias("total"))
+    checked = written(named.mapInArrow(fits, "a long, b long, key_a binary, key_b binary"), "pairs")
     needed = checked.select(F.explode(F.array("key_a", "key_b")).alias("text_key")).distinct()
     texts = written(candidate_texts(docs, needed, text_col), "texts")
     of = lambda n: texts.select(F.col("text_key").alias(f"key_{n}"), F.col("text").alias(f"text_{n}"))
@@ -296,16 +326,16 @@ def digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def open_buckets(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sig, node, root, size, sketch) of the buckets with nodes of different components."""
-    placed = members.select("sig", "node").distinct().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``members``, with their roots, of the buckets with nodes of different components."""
+    placed = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_up = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    return written(placed.join(mixed_up, "sig", "left_semi").join(distinct_sets(nodes).drop("text_key"), "node"), "open")
+    return written(placed.join(mixed_up, "sig", "left_semi"), "open")
 
 
-def neighbours(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs next to each other in one of ORDERS orders, by signature."""
-    order = Window.partitionBy("sig").orderBy(F.xxhash64("node", F.pmod("sig", F.lit(ORDERS))), "node")
+def neighbours(rows: DataFrame, threshold: int, orders: int = ORDERS) -> DataFrame:
+    """Pairs next to each other in one of some orders, by signature."""
+    order = Window.partitionBy("sig").orderBy(F.xxhash64("node", F.pmod("sig", F.lit(orders))), "node")
     cells = F.struct("node", "root", "size", "sketch")
     pairs = rows.select(cells.alias("y"), F.lag(cells).over(order).alias("x")).filter("x is not null")
     sided = pairs.select(*(F.col(f"{s}.{c}").alias(n) for s, t in (("x", "a"), ("y", "b"))
@@ -323,22 +353,24 @@ def all_pairs(rows: DataFrame, threshold: int) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    nodes = nodes_of(docs, id_col, text_col)
-    clash = nodes.groupBy("node").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y")
-    if not clash.isEmpty():
-        raise ValueError("two sets share a 64-bit node name")
-    members = buckets(docs, text_col, threshold)
-    near = members.filter("before is not null").select(F.col("before").alias("a"), F.col("node").alias("b")).distinct()
-    links = similar_pairs(near, nodes, docs, text_col, threshold)
-    found = components(links)
+    nodes = nodes_of(docs, id_col, text_col, threshold)
+    sets = distinct_sets(nodes)
+    described = sets.select("node", "name", "size", "sketch")
+    members = written(shared_signatures(nodes).join(described, "node").drop("node").withColumnRenamed("name", "node"), "members")
+    twins = renamed(sets)
+    near = neighbours(members.withColumn("root", F.col("node")), threshold, 1)
+    near = written(near.unionByName(twins.select(F.least("node", "name").alias("a"), F.greatest("node", "name").alias("b"))), "near")
+    found = components(similar_pairs(near, sets, docs, text_col, threshold))
     # buckets that hold different components still: neighbours in several other orders, then all pairs
-    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for pairs_of in (neighbours, all_pairs):
-        pairs = pairs_of(open_buckets(members, found, nodes), threshold)
-        more = similar_pairs(pairs.join(tried, ["a", "b"], "left_anti"), nodes, docs, text_col, threshold)
+        pairs = pairs_of(open_buckets(members, found), threshold)
+        more = similar_pairs(pairs.join(near, ["a", "b"], "left_anti"), sets, docs, text_col, threshold)
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("doc_id", "text_key", "size", "node", "set_key")
+    if not twins.isEmpty():
+        named = named.join(twins.drop("node"), "set_key", "left").withColumn("node", F.coalesce("name", "node"))
+    rooted = named.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.filter("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = rooted.join(least, "root", "left")
     alone = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
