@@ -244,6 +244,32 @@ def test_similar_sets_share_a_signature():
                     assert set(signer.sign(a)) & set(signer.sign(b)), (size, gone, new)
 
 
+def test_parity_is_a_lower_bound_that_tells_sets_apart():
+    rng = np.random.default_rng(11)
+    for size in (1, 5, 500, 511, 512, 600, 3000):
+        a = np.unique(rng.integers(1, 1 << 62, size).astype(np.uint64))
+        for gone in (0, 1, size // 8, size // 2, size):
+            b = np.unique(np.concatenate([rng.permutation(a)[:len(a) - gone], rng.integers(1, 1 << 62, gone + size // 4).astype(np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            assert partenum.apart_at_least(partenum.parity(a), partenum.parity(b)) <= apart, (size, gone)
+    a, b = (np.unique(rng.integers(1, 1 << 62, 3000).astype(np.uint64)) for _ in range(2))
+    assert partenum.apart_at_least(partenum.parity(a), partenum.parity(b)) > partenum.most_apart(3000, 3000, 75)
+
+
+def test_buckets_of_the_same_members_count_once_and_shared_names_differ(spark):
+    prepare(spark)
+    rows = [([10, 11, 12, 13], 1), ([10, 11, 12], 2), ([13, 14], 3), ([10, 11, 12, 13], 1), (None, 4)]
+    nodes = spark.createDataFrame(rows, "sigs array<bigint>, node long")
+    found = {(r["sig"], r["node"]) for r in partenum.shared_signatures(nodes).collect()}
+    assert found == {(10, 1), (10, 2), (13, 1), (13, 3)}
+    sets = partenum.distinct_sets(spark.createDataFrame(
+        [(b"a", 7, b"x", 3, [0], b"p"), (b"b", 7, b"y", 4, None, None), (b"b", 7, b"w", 4, [1], b"q"), (b"c", 8, b"z", 0, [0], b"r")],
+        "set_key binary, node long, text_key binary, size long, sketch array<bigint>, parity binary"))
+    names = {bytes(r["set_key"]): (r["node"], r["name"], bytes(r["text_key"]), bytes(r["parity"])) for r in sets.collect()}
+    assert names[b"a"] == (7, 7, b"x", b"p") and names[b"b"][0] == 7 != names[b"b"][1] and names[b"b"][2:] == (b"w", b"q") and len(names) == 2
+    assert [bytes(r["set_key"]) for r in partenum.renamed(sets).collect()] == [b"b"]
+
+
 def test_components_of_chains_and_stars(spark):
     prepare(spark)
     chain = [(i, i + 1) for i in range(60)]
