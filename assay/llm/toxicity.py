@@ -138,11 +138,13 @@ def fold_part(id_col: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``sample`` labelled documents outside the held-out fold, chosen by a hash."""
+    """(text, toxic) of at most ``sample`` labelled documents outside the held-out fold, chosen by a hash;
+    of rows that share an id the least text."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_part(F.col("doc_id")) != 0))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def counted(sample: DataFrame, of_text, name: str) -> DataFrame:

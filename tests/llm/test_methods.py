@@ -279,6 +279,14 @@ def test_components_of_chains_and_stars(spark):
     assert all(found[i] == 0 for i in range(1, 61)) and all(found[1000 + i] == 1000 for i in range(1, 40)) and found[5000] == 4000
 
 
+def test_toxicity_sample_is_bounded_where_ids_repeat(spark):
+    prepare(spark)
+    docs = spark.createDataFrame([(i % 7, f"text {i}") for i in range(700)] + [(8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] * 3, "doc_id long, toxic long")
+    rows = toxicity.labelled_sample(docs, labels, 5).collect()
+    assert 0 < len(rows) <= 5 and {r["text"] for r in rows} <= {*(min(f"text {i}" for i in range(k, 700, 7)) for k in range(7)), None}
+
+
 def test_folding_and_exceptions():
     model = toxicity.Model({" idiot ": 2.0, " mor": 3.0}, (" village idiot ",), (-1.0, 2.0, 0.0))
     automaton = model.automaton()
