@@ -123,7 +123,7 @@ def q_redact_nested_fields(fx):
     """SCL-7 on JSON nested at any depth: sensitive containers and texts replaced, other strings pattern-redacted."""
     r = T.redact_json(nested_documents(fx), "raw", "clean").drop("raw")
     is_json = F.col("kind") == "json"
-    inner = F.when(is_json, F.try_parse_json(F.regexp_replace("clean", r"^\[*+|\]*+$", "")))
+    inner = F.when(is_json, F.try_parse_json(F.rtrim(F.ltrim("clean", F.lit("[")), F.lit("]"))))
     text = lambda path: F.try_variant_get(F.col("_v"), path, "string")
     return r.withColumn("_v", inner).select(
         "doc_id", "kind", F.when(~is_json, F.md5("clean")).alias("whole_md5"), F.try_variant_get("_v", "$.id", "bigint").alias("id"),

@@ -198,6 +198,18 @@ def test_redact_fields_and_json(spark):
     assert inner == {"secret": "[REDACTED]", "e": "[EMAIL-REDACTED]"}
 
 
+def test_secret_containers_are_taken_out_within_their_row(spark, capsys):
+    import json
+
+    texts = {'{"token": {"a": {"secret": [1]}}, "b": [{"API_KEY": []}, {"password": {}}], "secret": [[2], [3]]}':
+             {"token": "[REDACTED]", "b": [{"API_KEY": "[REDACTED]"}, {"password": "[REDACTED]"}], "secret": "[REDACTED]"},
+             '[{"secret": {"x": 1}, "y": [{}]}, {"secret": [1]}, [2]]': [{"secret": "[REDACTED]", "y": [{}]}, {"secret": "[REDACTED]"}, [2]]}
+    clean = T.redact_json(spark.createDataFrame([(t,) for t in texts], "j string"), "j", "clean")
+    clean.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert {r["j"]: json.loads(r["clean"]) for r in clean.collect()} == texts
+
+
 def test_text_normalisers(spark):
     df = spark.createDataFrame([("été\x00\x07ok\tline\n",), ("x" * 70,)], "t string")
     a, b = [r[0] for r in df.select(T.normalise_text("t", max_chars=64)).collect()]
