@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,15 @@ def slice_by_order(df: DataFrame, cols: Sequence[str], slices: int, out: str = "
     return materialised(df.repartitionByRange(max(1, slices), *cols).withColumn(out, F.spark_partition_id()), "slices")
 
 
+def order_slices(df: DataFrame, cols: Sequence, rows: int) -> Iterator[DataFrame]:
+    """``df`` in pieces of about ``rows`` rows, written to the shared folder, in the order of ``cols``; rows with equal
+    ``cols`` stay together."""
+    slices = max(1, -(-df.count() // rows))
+    sliced = slice_by_order(df, cols, slices)
+    for i in range(slices):
+        yield sliced.where(F.col("_slice") == i).drop("_slice")
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
                 slices: int | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` per ``keys`` in ``order`` (rows up to and including the current).

@@ -105,7 +105,7 @@ def q_budget_admission_stream(fx):
     src = c.select("run_id", "execution_id", "provider", "cost_usd", F.col("request_ts").cast("timestamp"))
     return stateful.run_available(
         fx.spark, src, lambda s: stateful.budget_admission_stream(s, b.caps, b.effective_global_cap),
-        "budget", files_per_trigger=100000)
+        "budget", arrival=["request_ts", "execution_id"])
 
 
 @register("append_decisions")
@@ -114,7 +114,7 @@ def q_append_decisions(fx):
     src = fx.decisions.select("stream_id", "decision_id", "stream_sequence", "previous_record_digest",
                               "current_record_digest", "pos")
     return stateful.run_available(fx.spark, src, lambda s: stateful.append_decisions(s, arrival="pos"),
-                                  "decisions", files_per_trigger=100000)
+                                  "decisions", arrival=["pos", "stream_sequence", "decision_id"])
 
 
 @register("active_executions_stream")

@@ -3,7 +3,8 @@
 Both keep a few numbers of state per key (``applyInPandasWithState``): the budget gate
 keeps provider and global spend per run, the decision log keeps the stream head
 (sequence, digest).  Rows of a key inside one micro-batch are processed in event order;
-micro-batches arrive in order, so the result equals the batch fold.
+micro-batches arrive in order, so the result equals the batch fold.  A Python worker holds a
+key's rows of one micro-batch, so the size of a micro-batch bounds its memory (``arrivals``).
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from assay.operators.cumulative import order_slices
 from assay.session import checkpoint_dir
 
+# Rows of one micro-batch; changes no result.
+BATCH_ROWS = 1 << 21
+
 ADMIT_OUT = ("run_id string, execution_id string, provider string, cost_usd double, admitted boolean, reason string, "
              "provider_spend_usd double, global_spend_usd double")
 ADMIT_STATE = "spend_json string"
@@ -70,22 +76,23 @@ def _append_fn(key, pdfs, state):
     if state.exists:
         head_seq, head_digest = state.get
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["_arrival", "stream_sequence", "decision_id"],
-                                                                kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        seq = int(r.stream_sequence)
+                                                                kind="stable", ignore_index=True)
+    reasons = []
+    for seq, previous, current in zip(rows["stream_sequence"], rows["previous_record_digest"], rows["current_record_digest"]):
+        seq = int(seq)
         if head_seq == 0 and seq != 1:
-            ok, why = False, "first_sequence_must_be_1"
+            why = "first_sequence_must_be_1"
         elif seq != head_seq + 1:
-            ok, why = False, "sequence_gap"
-        elif r.previous_record_digest != head_digest:
-            ok, why = False, "broken_link"
+            why = "sequence_gap"
+        elif previous != head_digest:
+            why = "broken_link"
         else:
-            ok, why = True, None
-            head_seq, head_digest = seq, r.current_record_digest
-        out.append((key[0], r.decision_id, seq, ok, why))
+            why = None
+            head_seq, head_digest = seq, current
+        reasons.append(why)
     state.update((head_seq, head_digest))
-    yield pd.DataFrame(out, columns=["stream_id", "decision_id", "stream_sequence", "accepted", "reason"])
+    yield pd.DataFrame({"stream_id": key[0], "decision_id": rows["decision_id"], "stream_sequence": rows["stream_sequence"].astype("int64"),
+                        "accepted": [why is None for why in reasons], "reason": pd.Series(reasons, dtype=object)})
 
 
 def append_decisions(records: DataFrame, watermark_col: str | None = None, watermark: str = "1 day",
@@ -108,19 +115,32 @@ def append_decisions(records: DataFrame, watermark_col: str | None = None, water
         _append_fn, APPEND_OUT, APPEND_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def arrivals(source: DataFrame, order: Sequence[str], path: str) -> None:
+    """Write ``source`` below ``path`` in ``order`` (nulls last): files of about ``BATCH_ROWS`` rows, one after the
+    other, so that a stream which takes a file per micro-batch, oldest first, gets the rows in that order."""
+    by = [F.col(c).asc_nulls_last() for c in order]
+    for part in order_slices(source, by, BATCH_ROWS):
+        part.coalesce(1).sortWithinPartitions(*by).write.mode("append").parquet(path)
+
+
 def run_available(spark: SparkSession, source: DataFrame, build, name: str, files_per_trigger: int = 1,
-                  output_mode: str = "append") -> DataFrame:
+                  output_mode: str = "append", arrival: Sequence[str] | None = None) -> DataFrame:
     """Run ``build(stream_df)`` over ``source`` as a Structured Streaming job to completion.
 
     The source rows are written as parquet files under the shared checkpoint folder, read
     back with ``readStream`` (``maxFilesPerTrigger`` -> several micro-batches), processed with
     ``trigger(availableNow=True)`` into a parquet sink (exactly-once with the checkpoint), and
     the sink is returned as a batch DataFrame.  ``output_mode="complete"`` (aggregations) uses the
-    memory sink and returns the final result table.
+    memory sink and returns the final result table.  With ``arrival`` (order columns) the rows come in
+    that order in micro-batches of ``BATCH_ROWS`` rows, whatever ``files_per_trigger``.
     """
     base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")
     src, sink, ckpt = (os.path.join(base, p) for p in ("source", "sink", "checkpoint"))
-    source.write.mode("overwrite").parquet(src)
+    if arrival:
+        arrivals(source, arrival, src)
+        files_per_trigger = 1
+    else:
+        source.write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     if output_mode == "complete":
         table = f"assay_{name}_{uuid.uuid4().hex[:8]}"
@@ -140,13 +160,10 @@ GAUGE_STATE = "active bigint"
 
 def _gauge_fn(key, pdfs, state):
     active = int(state.get[0]) if state.exists else 0
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "delta", "execution_id"], kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        active += int(r.delta)
-        out.append((key[0], r.execution_id, r.kind, active))
-    state.update((active,))
-    yield pd.DataFrame(out, columns=["provider", "execution_id", "kind", "active"])
+    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "delta", "execution_id"], kind="stable", ignore_index=True)
+    gauge = rows["delta"].astype("int64").cumsum() + active
+    state.update((int(gauge.iloc[-1]),))
+    yield pd.DataFrame({"provider": key[0], "execution_id": rows["execution_id"], "kind": rows["kind"], "active": gauge})
 
 
 def active_executions_stream(events: DataFrame) -> DataFrame:

@@ -218,6 +218,45 @@ def test_gauge_stream_equals_batch(spark):
     assert sorted(tuple(r) for r in streamed.collect()) == batch
 
 
+def _batches(spark, name):
+    """Rows of each micro-batch of the last stream of that name, from its source files in order of age."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    base = max(glob.glob(os.path.join(spark.sparkContext.getCheckpointDir().removeprefix("file:"), "..", f"stream-{name}-*")),
+               key=os.path.getmtime)
+    commits = [f for f in os.listdir(os.path.join(base, "checkpoint", "commits")) if f.isdigit()]
+    files = sorted(glob.glob(os.path.join(base, "source", "*.parquet")), key=os.path.getmtime)
+    return len(commits), [pq.read_metadata(f).num_rows for f in files]
+
+
+def test_gauge_in_bounded_batches_equals_batch(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "BATCH_ROWS", 100)
+    src = spark.createDataFrame(_exec_rows(300), SCHEMA).select("provider", "execution_id", "request_ts", "latency_ms")
+    want = sorted(tuple(r) for r in windows.active_executions(src).collect())
+    ev = windows.gauge_events(src).repartition(5)
+    streamed = stateful.run_available(spark, ev, stateful.active_executions_stream, "gauges",
+                                      arrival=["_t", "delta", "execution_id"])
+    assert sorted(tuple(r) for r in streamed.collect()) == want
+    commits, sizes = _batches(spark, "gauges")
+    assert commits == 6 and sum(sizes) == 600 and max(sizes) <= 200
+
+
+def test_appended_decisions_come_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(stateful, "BATCH_ROWS", 40)
+    rows = [(f"s{k}", f"s{k}-{i}", i, "GENESIS" if i == 1 else "bad" if i == 90 else f"h{k}-{i - 1}", f"h{k}-{i}", i)
+            for i in range(1, 101) for k in range(3)]
+    src = spark.createDataFrame(rows[::-1] + rows[150:160], "stream_id string, decision_id string, stream_sequence long, "
+                                "previous_record_digest string, current_record_digest string, pos long").repartition(4)
+    out = {r["decision_id"]: r for r in stateful.run_available(
+        spark, src, lambda s: stateful.append_decisions(s, arrival="pos"), "bounded", arrival=["pos", "decision_id"]).collect()}
+    assert len(out) == 300 and all(r["accepted"] == (r["stream_sequence"] < 90) for r in out.values())
+    assert {r["reason"] for r in out.values() if not r["accepted"]} == {"broken_link", "sequence_gap"}
+    commits, sizes = _batches(spark, "bounded")
+    assert commits == 8 and sum(sizes) == 310 and max(sizes) <= 80
+
+
 def test_line_numbers_of_files_read_in_blocks(spark, tmp_path):
     from assay.sources.cases import numbered_lines
 
