@@ -121,5 +121,5 @@ def q_append_decisions(fx):
 def q_active_executions_stream(fx):
     """STR-5 online: the in-flight gauge per provider as a stateful stream over start / end events."""
     ev = windows.gauge_events(fx.executions.select("provider", "execution_id", "request_ts", "latency_ms"))
-    return stateful.run_available(fx.spark, ev.orderBy("_t", "delta", "execution_id"),
-                                  stateful.active_executions_stream, "gauge", files_per_trigger=100000)
+    return stateful.run_available(fx.spark, ev, stateful.active_executions_stream, "gauge",
+                                  arrival=["_t", "delta", "execution_id"])
