@@ -9,6 +9,8 @@ aggregate - no window holds a whole stream, however hot.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
@@ -17,9 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions import hashing as H
+from assay.operators.cumulative import materialised, order_slices
 from assay.operators.stats import dense_index
+from assay.session import checkpoint_dir
 
 GENESIS = "GENESIS"
+# Rows of all streams that are chained at a time; changes no result.
+CHAIN_ROWS = 1 << 21
 
 
 def with_rank(decisions: DataFrame, order_col: str = "stream_sequence", tie: str | None = None,
@@ -34,8 +40,6 @@ def with_rank(decisions: DataFrame, order_col: str = "stream_sequence", tie: str
     order = [order_col] + ([tie] if tie else [])
     ranked = dense_index(decisions, ["stream_id"], order, "_rk0").withColumn("rank", F.col("_rk0") + 1).drop("_rk0")
     if materialize:
-        from assay.session import checkpoint_dir
-
         checkpoint_dir(ranked.sparkSession)
         ranked = ranked.checkpoint(eager=True)
     return ranked
@@ -120,8 +124,12 @@ def _chain_fold(batches):
 
     stream, prev, seq = object(), GENESIS, 0
     for pdf in batches:
+        heads = pdf["current_record_digest"].notna()
         digests, prevs, seqs = [], [], []
-        for rec in pdf.to_dict("records"):
+        for rec, is_head in zip(pdf.to_dict("records"), heads):
+            if is_head:  # where an earlier piece of the stream ended
+                stream, prev, seq = rec["stream_id"], rec["current_record_digest"], rec["stream_sequence"]
+                continue
             if rec["stream_id"] != stream:
                 stream, prev, seq = rec["stream_id"], GENESIS, 0
             seq += 1
@@ -132,7 +140,9 @@ def _chain_fold(batches):
             prevs.append(prev)
             seqs.append(seq)
             prev = d
-        out = pdf.copy()
+        if not digests:
+            continue
+        out = pdf[~heads].copy()
         out["stream_sequence"], out["previous_record_digest"], out["current_record_digest"] = seqs, prevs, digests
         yield out[[f.name for f in _CHAIN_SCHEMA.fields]]
 
@@ -140,18 +150,29 @@ def _chain_fold(batches):
 def build_chain(records: DataFrame, order: Sequence[str]) -> DataFrame:
     """STR-9: assign sequence numbers and chained digests per stream, in ``order``.
 
-    Each digest covers the previous one, so a stream is inherently sequential: rows are
-    hash-partitioned by stream, sorted, and folded in one streaming pass per partition with
-    O(1) state (streams in parallel; a huge stream is a linear scan, never collected).
+    Each digest covers the previous one, so a stream is inherently sequential.  The rows are cut into
+    pieces of ``CHAIN_ROWS`` rows along ``order``, which are folded one after another: each is
+    hash-partitioned by stream, sorted, and folded in one streaming pass per partition with O(1)
+    state from the streams' heads so far.  So streams run in parallel, and a task never reads more
+    than a piece, however long a stream is or however many share a partition.
     Records must carry the digest fields other than stream_sequence / previous_record_digest.
     """
     cols = [c for c in H.DIGEST_FIELDS if c not in ("stream_sequence", "previous_record_digest")]
     base = records.select("stream_id", *cols, *[c for c in order if c not in cols and c != "stream_id"])
-    base = (base.withColumn("stream_sequence", F.lit(0).cast("long"))
-            .withColumn("previous_record_digest", F.lit(None).cast("string"))
-            .withColumn("current_record_digest", F.lit(None).cast("string")))
-    ordered = base.repartition("stream_id").sortWithinPartitions("stream_id", *order)
-    return ordered.mapInPandas(_chain_fold, _CHAIN_SCHEMA)
+    path = os.path.join(checkpoint_dir(base.sparkSession), f"chain-{uuid.uuid4().hex}")
+    heads = None
+    for i, piece in enumerate(order_slices(base, order, CHAIN_ROWS)):
+        rows = piece.withColumns({"stream_sequence": F.lit(0).cast("long"), "previous_record_digest": F.lit(None).cast("string"),
+                                  "current_record_digest": F.lit(None).cast("string")})
+        if heads is not None:
+            rows = rows.unionByName(heads, allowMissingColumns=True)
+        ordered = rows.repartition("stream_id").sortWithinPartitions("stream_id", F.col("current_record_digest").isNull(), *order)
+        ordered.mapInPandas(_chain_fold, _CHAIN_SCHEMA).write.parquet(os.path.join(path, f"piece={i}"))
+        done = base.sparkSession.read.schema(_CHAIN_SCHEMA).parquet(os.path.join(path, f"piece={i}"))
+        ends = done if heads is None else heads.unionByName(done.select(heads.columns))
+        heads = materialised(stream_head(ends.select("stream_id", "stream_sequence", "current_record_digest")).select(
+            "stream_id", F.col("head_sequence").alias("stream_sequence"), F.col("head_digest").alias("current_record_digest")), "heads")
+    return base.sparkSession.read.schema(_CHAIN_SCHEMA).option("recursiveFileLookup", True).parquet(path)
 
 
 # --- access decisions ------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from assay.functions import hashing as H
 from assay.functions import text as T
 from assay.operators import audit, costs
-from assay.operators.cumulative import running_sum
+from assay.operators.cumulative import order_slices, running_sum
 from assay.sources.dims import Budget
 
 KEY = {"key_hmac_v1": b"k" * 32}
@@ -28,6 +28,27 @@ def _signed_chain(spark, rows):
     return H.sign_records(chain, H.key_table(spark, KEY))
 
 
+def test_chains_longer_than_a_piece_go_on_from_their_heads(spark, monkeypatch):
+    import hashlib
+    import json
+
+    monkeypatch.setattr(audit, "CHAIN_ROWS", 25)
+    pieces = []
+    monkeypatch.setattr(audit, "order_slices", lambda *a: (pieces.append(p.count()) or p for p in order_slices(*a)))
+    rows = [(s, f"{s}-{i}", "allow", i) for s, first, last in (("a", 0, 60), ("b", 40, 90), (None, 5, 55), ("d", 0, 3)) for i in range(first, last)]
+    records = _records(spark, rows).repartition(4)
+    got = {r["decision_id"]: r for r in audit.build_chain(records, ["ord"]).collect()}
+    assert len(got) == len(rows) and len(pieces) == 7 and sum(pieces) == len(rows) and max(pieces) < 60
+    heads = {}
+    for r in sorted(records.collect(), key=lambda r: r["ord"]):
+        seq, prev = heads.get(r["stream_id"], (0, "GENESIS"))
+        payload = {**{k: r[k] for k in H.DIGEST_FIELDS if k in r}, "stream_sequence": seq + 1, "previous_record_digest": prev}
+        digest = hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        heads[r["stream_id"]] = (seq + 1, digest)
+        found = got[r["decision_id"]]
+        assert (found["stream_sequence"], found["previous_record_digest"], found["current_record_digest"]) == (seq + 1, prev, digest)
+
+
 def test_chain_build_and_verify(spark):
     signed = _signed_chain(spark, [("s1", "d1", "allow", 1), ("s1", "d2", "deny", 2), ("s2", "d3", "allow", 1)]).cache()
     rows = {(r["stream_id"], r["decision_id"]): r for r in signed.collect()}
