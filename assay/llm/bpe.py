@@ -242,9 +242,10 @@ class Codec:
     def _block(self, block: str) -> bytes:
         first, *rest = block.split(" ")
         if first and not first[-1].isspace() or not rest:
-            ids = [self.pretokens(first), *map(self.memo.__getitem__, rest)]
-            if None not in ids:
-                return b"".join(ids)
+            try:
+                return b"".join([self.pretokens(first), *map(self.memo.__getitem__, rest)])
+            except TypeError:  # a piece is None: the block can't be cut at every space
+                pass
         return self.pretokens(block)
 
     def _plain(self, text: str) -> Iterator[bytes]:
@@ -259,8 +260,10 @@ class Codec:
         """A block after the first begins with the space before its first piece."""
         if start and (found := self.cut.search(block, 1)):
             head = self.pretokens(block[:found.start()])
-            rest = list(map(self.memo.__getitem__, block[found.start() + 1:].split(" ")))
-            return head + b"".join(rest) if None not in rest else self.pretokens(block)
+            try:
+                return head + b"".join(map(self.memo.__getitem__, block[found.start() + 1:].split(" ")))
+            except TypeError:
+                return self.pretokens(block)
         return self._block(block)
 
     def encode_blocks(self, text: str) -> Iterator[bytes]:
