@@ -13,9 +13,10 @@ passage.
 
 Equal sets are one node.  Signatures carry 64 bits of its 128-bit key; where sets share these,
 all but one are renamed and are candidates too.  Sharing a signature makes candidates.  Buckets of the same
-members count once.  First the neighbours in each bucket, in a few orders, are compared and linked
+members count once, and before all pairs of a bucket are compared, buckets of nearly the same members become
+their union, so a pair of large sets is met in a few groups and not in each of the signatures it shares.  First the neighbours in each bucket, in a few orders, are compared and linked
 sets are merged into components, then every pair of a
-bucket that is still in different components and whose sizes and parity sketches allow
+group that is still in different components and whose sizes and parity sketches allow
 similarity.  A pair inside one component needs no check, so nothing is lost and no bucket of
 copies is expanded into pairs.  Distinct pairs meet a second sketch whose length follows the size
 of the set, so nearly only similar pairs are compared exactly.  Components come from
@@ -54,6 +55,8 @@ SLOTS = 1 << 20
 HELD_SETS = 256
 # Orders in which the neighbours of a bucket are compared before all its pairs are.
 ORDERS = 16
+# How often buckets of nearly the same members are merged.
+MERGES = 2
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -344,9 +347,27 @@ def neighbours(rows: DataFrame, threshold: int, orders: int = ORDERS) -> DataFra
     return fitting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def merged_buckets(rows: DataFrame, merges: int = MERGES) -> DataFrame:
+    """(sig, node): each bucket or a union that holds it, so no two nodes are parted.  Buckets whose least member
+    by a hash is the same become one, but only where the union has no more pairs than they have together."""
+    rows = rows.select("sig", "node")
+    pairs = F.col("n").cast("double") * (F.col("n") - 1)
+    for i in range(merges):
+        buckets = rows.groupBy("sig").agg(F.min(F.xxhash64("node", F.lit(i))).alias("least"), F.count("*").alias("n"))
+        keyed = rows.join(buckets.select("sig", "least"), "sig")
+        union = keyed.select("least", "node").distinct().groupBy("least").agg(F.count("*").alias("n"))
+        apart = buckets.groupBy("least").agg(F.sum(pairs).alias("apart"))
+        worth = union.join(apart, "least").filter(pairs <= F.col("apart")).select("least", F.lit(True).alias("worth"))
+        sig = F.when(F.col("worth"), F.col("least")).otherwise(F.col("sig"))
+        rows = written(keyed.join(worth, "least", "left").select(sig.alias("sig"), "node").distinct(), "merged")
+    return rows
+
+
 def all_pairs(rows: DataFrame, threshold: int) -> DataFrame:
     """Every pair of a bucket whose components differ and whose sizes and sketches fit."""
-    side = lambda n: rows.select("sig", F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("root", "size", "sketch")))
+    described = rows.dropDuplicates(["node"]).drop("sig")
+    grouped = merged_buckets(rows).join(described, "node")
+    side = lambda n: grouped.select("sig", F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("root", "size", "sketch")))
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
     return side("a").join(side("b"), "sig").filter(apart & may_be_similar("a", "b", threshold)).select("a", "b").distinct()
 

@@ -270,6 +270,28 @@ def test_buckets_of_the_same_members_count_once_and_shared_names_differ(spark):
     assert [bytes(r["set_key"]) for r in partenum.renamed(sets).collect()] == [b"b"]
 
 
+def test_buckets_of_nearly_the_same_members_become_one_and_lose_no_pair(spark):
+    prepare(spark)
+    rng = random.Random(21)
+    rows = [(s, n) for s in range(100) for n in rng.sample(range(30), 27)]  # large sets of one family
+    rows += [(1000 + s, n) for s in range(40) for n in (50 + s % 10, 100 * s + 100, 100 * s + 101)]
+    buckets = spark.createDataFrame([(s, n, n, 100, [0] * 8) for s, n in rows], "sig long, node long, root long, size long, sketch array<bigint>")
+
+    def pairs(found):
+        held = {}
+        for s, n in found:
+            held.setdefault(s, set()).add(n)
+        return [(a, b) for own in held.values() for a in own for b in own if a < b]
+
+    merged = pairs((r["sig"], r["node"]) for r in partenum.merged_buckets(buckets).collect())
+    assert set(pairs(rows)) <= set(merged)
+    assert len(merged) < len(pairs(rows)) / 10  # 100 buckets of 351 pairs were compared one by one
+    assert {(r["a"], r["b"]) for r in partenum.all_pairs(buckets, 75).collect()} == set(merged)
+    one = [(s, n) for s in range(40) for n in (7, 1000 + s)]  # unlike buckets that share a node: a union has more pairs
+    apart = spark.createDataFrame(one, "sig long, node long")
+    assert len(pairs((r["sig"], r["node"]) for r in partenum.merged_buckets(apart).collect())) == 40
+
+
 def test_components_of_chains_and_stars(spark):
     prepare(spark)
     chain = [(i, i + 1) for i in range(60)]
