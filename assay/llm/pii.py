@@ -15,7 +15,7 @@ one context, and texts with fewer than ``MIN_CONTEXTS`` of them are no evidence.
 
 Only documents with base spans have contexts, and only entities in enough contexts are paired
 with the terms of their documents; the words of all other documents are only
-counted, once for each distinct text and after map-side aggregation.
+counted, after map-side aggregation, and the repeats of a text are taken off again.
 
 Cases: null and empty texts have no spans and stay as they are; null ids are kept; repeated
 rows are sanitised each for itself; an empty table gives no rows; other columns of
@@ -36,6 +36,8 @@ LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""]
 
 CONTEXT = 80
 MIN_CONTEXTS = 3
+# Repeated texts are found by a bitmap of so many slots, which bounds the broadcast.
+SLOTS = 1 << 20
 GENERALISE_SHARE = 0.85
 REMOVE_SHARE = 0.95
 
@@ -105,11 +107,20 @@ def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(term, n_t): distinct texts that hold a term; repeats in a text count once."""
+    """(term, n_t): distinct texts that hold a term; repeats in a text count once.  All documents are counted
+    where they are; only the terms of texts that are repeated are shuffled, to take their repeats off again."""
     text = text_or_empty(text_col)
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), terms_of(text).alias("terms")).groupBy("text_hash").agg(
-        F.first("terms").alias("terms"))
-    return texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("t"))
+    counts = texts.groupBy("text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = written(counts.select("text_hash", (F.col("n") - 1).alias("more")), "repeated")
+    slot = F.pmod("text_hash", F.lit(SLOTS))
+    # at most SLOTS numbers; keeps most texts that aren't repeated out of the shuffle
+    near = texts.withColumn("slot", slot).join(F.broadcast(repeated.select(slot.alias("slot")).distinct()), "slot")
+    one = near.join(repeated.select("text_hash"), "text_hash", "left_semi").select(
+        "text_hash", terms_of(F.col("t")).alias("terms")).groupBy("text_hash").agg(F.first("terms").alias("terms"))
+    again = one.join(repeated, "text_hash").select(F.explode("terms").alias("term"), (-F.col("more")).alias("n"))
+    every = texts.select(F.explode(terms_of(F.col("t"))).alias("term"), F.lit(1).cast("long").alias("n"))
+    return every.unionByName(again).groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str, min_contexts: int = MIN_CONTEXTS,

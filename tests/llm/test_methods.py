@@ -59,6 +59,16 @@ def test_disclosing_words_go_at_any_distance(spark):
     assert clean[17:] == texts[17:]
 
 
+def test_only_repeated_texts_are_shuffled_to_count_words(spark):
+    prepare(spark)
+    texts = ["alpha beta beta", "alpha gamma", "alpha gamma", "alpha gamma", "", "none", "none", "Beta delta", "delta Delta"]
+    docs = documents(spark, texts).withColumn("text", F.when(F.col("text") != "none", F.col("text")))
+    counts = pii.document_counts(docs, "text")
+    assert {r["term"]: r["n_t"] for r in counts.collect()} == {"alpha": 2, "beta": 2, "gamma": 1, "delta": 2}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan.split("first(terms")[1]  # before: the terms of every text
+
+
 def test_words_in_signs_are_counted_like_others(spark):
     prepare(spark)
     rng = random.Random(17)
