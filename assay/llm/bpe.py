@@ -10,7 +10,8 @@ the right of q.  For merge ``u+v`` of rank r the right-hand need is
 because only an earlier merge that takes a suffix token of ``v`` across its right end can
 keep ``v`` from forming.  A boundary with ``lookahead`` bytes behind it is final, so the
 tokens before it are emitted and their bytes forgotten: memory is a constant number of
-bytes whatever the length of the text.  Pieces of a few words are remembered in a bounded table.
+bytes whatever the length of the text.  Short pieces are remembered in a bounded table; those of a
+batch of texts that it does not hold are merged together, a merge of each in every round.
 
 Decoding.  Token ids become bytes, and an incremental UTF-8 state machine turns bytes into
 text, carrying at most three bytes of an open character between blocks; invalid sequences
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import codecs
 import functools
+import gc
 import heapq
 import json
 import struct
@@ -48,6 +50,8 @@ BLOCK_CHARS = 1 << 16
 MEMO_PIECE_CHARS = 64
 MEMO_ENTRIES = 1 << 20
 MEMO_PRETOKENS = 1 << 16
+# Pieces that are merged together.
+LEARN_PIECES = 1 << 15
 SHORT_BYTES = 64
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
@@ -80,6 +84,8 @@ class MergeTable:
         # (left id, right id) -> rank and merged id in one integer; NO_MERGE for pairs without a merge
         self.merges = {vocab[a] << ID_BITS | vocab[b]: rank << ID_BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         self.lookahead = sufficient_lookahead(pairs)
+        self.sorted_pairs = np.array(sorted(self.merges), np.int64)
+        self.sorted_merges = np.array([self.merges[p] for p in self.sorted_pairs.tolist()], np.int64)
 
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one byte string (lowest rank first, leftmost first)."""
@@ -99,6 +105,58 @@ class MergeTable:
                 ranks[i - 1] = get(ids[i - 1] << ID_BITS | ids[i], NO_MERGE)
         return ids
 
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.sorted_pairs):
+            return np.full(len(left), NO_MERGE)
+        pair = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(self.sorted_pairs, pair), len(self.sorted_pairs) - 1)
+        return np.where(self.sorted_pairs[at] == pair, self.sorted_merges[at], NO_MERGE)
+
+    def merge_all(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of many short texts that are not empty: in each round every one merges its best
+        pair, the same steps as ``merge``."""
+        out: list[bytes] = [b""] * len(pieces)
+        data = "".join(pieces).encode()
+        chars = np.array([len(p) for p in pieces], np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        if len(raw) == chars.sum():
+            sizes = chars
+        else:  # bytes of each text from the bytes that begin a character
+            begins = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+            sizes = np.diff(begins[np.append(0, np.cumsum(chars))])
+        ids = np.array(self.byte_id, np.int64)[raw]
+        names = np.arange(len(pieces))
+        ranks = np.append(self._ranked(ids[:-1], ids[1:]), NO_MERGE)
+        ranks[np.cumsum(sizes) - 1] = NO_MERGE  # a pair never spans two texts
+        while len(names):
+            first = np.cumsum(sizes) - sizes
+            best = np.minimum.reduceat(ranks, first)
+            going = best != NO_MERGE
+            if not going.all():
+                done, packed = ~going, ids.astype("<i4").tobytes()
+                start = 4 * first[done]
+                for name, i, j in zip(names[done].tolist(), start.tolist(), (start + 4 * sizes[done]).tolist()):
+                    out[name] = packed[i:j]
+                stays = np.repeat(going, sizes)
+                ids, ranks, names, sizes, best = ids[stays], ranks[stays], names[going], sizes[going], best[going]
+                if not len(names):
+                    break
+            piece = np.repeat(np.arange(len(names)), sizes)
+            found = np.flatnonzero(ranks == best[piece])
+            at = found[np.append(True, np.diff(piece[found]) > 0)]  # the leftmost of each text
+            ids[at] = best & ID_MASK
+            left = np.ones(len(ids), bool)
+            left[at + 1] = False
+            ids, ranks, piece, sizes = ids[left], ranks[left], piece[left], sizes - 1
+            at = at - np.arange(len(at))  # each text before has lost an id
+            # the pairs that the new ids are part of
+            near = np.concatenate([at, at[(at > 0) & (piece[at - 1] == piece[at])] - 1])
+            ranks[near] = NO_MERGE
+            near = near[near + 1 < len(ids)]
+            near = near[piece[near] == piece[near + 1]]
+            ranks[near] = self._ranked(ids[near], ids[near + 1])
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of (rank and merged id, position, pair) over a linked list."""
         get, n = self.merges.get, len(ids)
@@ -219,6 +277,39 @@ class Codec:
     def pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}i", *ids)
 
+    def learn(self, texts: list[str]) -> None:
+        """Fill the table of short pieces with those of some texts that it does not hold, merged together."""
+        pieces: set[str] = set()
+        for text in texts:
+            for at in range(0, len(text), BLOCK_CHARS):
+                pieces.update(text[at:at + BLOCK_CHARS].split(" "))
+                if len(pieces) >= LEARN_PIECES:
+                    self._learn(pieces)
+                    pieces.clear()
+        self._learn(pieces)
+
+    def _learn(self, pieces: set[str]) -> None:
+        memo, others = self.memo, self.others
+        if len(memo) + 2 * len(pieces) > MEMO_ENTRIES:
+            memo.clear()
+        fresh = [p for p in pieces
+                 if p not in memo and p and len(p) <= MEMO_PIECE_CHARS and not p[0].isspace() and not p[-1].isspace()]
+        mixed = [p for p in fresh if not p.isalpha()]
+        # a cut before each of these spaces never changes the pre-tokens
+        parts = self.pretoken.findall(" " + " ".join(mixed)) if mixed else []
+        words = {p for p in fresh if p.isalpha()}
+        words.update(w for t in parts if t[0] == " " and (w := t[1:]).isalpha())
+        words = [w for w in words if w not in memo]
+        memo.update(zip(words, self.table.merge_all([" " + w for w in words])))
+        signs = list({t for t in parts if t not in others and (t[0] != " " or not t[1:].isalpha())})
+        if len(others) + len(signs) > MEMO_PRETOKENS:
+            others.clear()
+        others.update(zip(signs, self.table.merge_all(signs)))
+        starts = [i for i, t in enumerate(parts) if t[0] == " "]
+        coded = [memo[t[1:]] if t[0] == " " and t[1:].isalpha() else others[t] for t in parts]
+        for piece, i, j in zip(mixed, starts, [*starts[1:], len(parts)]):
+            memo[piece] = b"".join(coded[i:j])
+
     def pretokens(self, text: str) -> bytes:
         """Packed ids of a text, one pre-token after the other."""
         out = []
@@ -290,7 +381,9 @@ class Codec:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    tool = Codec(path)
+    gc.freeze()  # collections need not walk its tables
+    return tool
 
 
 def default_path() -> str:
@@ -312,7 +405,9 @@ def encode_documents(df: DataFrame, text_col: str = "text", ids_col: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            ids = [tool.encode(t.as_py()) for t in column(batch, text_col)]
+            texts = column(batch, text_col).to_pylist()
+            tool.learn([t for t in texts if t])
+            ids = [tool.encode(t) for t in texts]
             offsets = np.zeros(len(ids) + 1, "i4")
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, "i4"), pa.int32())

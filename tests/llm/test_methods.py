@@ -232,6 +232,32 @@ def test_lookahead_of_a_small_merge_list():
     assert bpe.sufficient_lookahead([("c", "d"), ("b", "c"), ("a", "b")]) == 3
 
 
+def test_new_pieces_are_merged_together_as_one_by_one(monkeypatch):
+    tool = bpe.Codec(bpe.default_path())
+    library = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
+    rng = random.Random(22)
+    letters = "etaoinshrdlu.,'é漢\U0001f6000123-\n\x1c\u00a0"
+    pieces = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(500)})
+    assert tool.table.merge_all(pieces) == [tool.pack(tool.table.merge(p.encode())) for p in pieces]
+    assert tool.table.merge_all([]) == []
+    texts = [" ".join(rng.choice(pieces) for _ in range(40)) for _ in range(30)]
+    texts += ["", "a", " ", "a  b", "<|endoftext|> x<|endoftext|>", "x" * 200, "it's 'tis don't"]
+    tool.learn(texts)
+    assert [tool.encode(t).tolist() for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    words = [" ".join(["q"] + ["".join(rng.choice("etaoins") for _ in range(12)) for _ in range(50)]) for _ in range(5)]
+    tool.learn(words)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in words]
+    monkeypatch.setattr(tool.table, "merge", lambda data: pytest.fail("a piece was merged alone") if len(data) > 1 else [tool.table.byte_id[data[0]]])
+    assert [tool.encode(t).tolist() for t in words] == expected
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 10)  # a table that is full begins anew
+    monkeypatch.setattr(bpe, "MEMO_PRETOKENS", 3)
+    small = bpe.Codec(bpe.default_path())
+    for at in range(0, len(texts), 5):
+        small.learn(texts[at:at + 5])
+        assert [small.encode(t).tolist() for t in texts[at:at + 5]] == [
+            library.encode(t, add_special_tokens=False).ids for t in texts[at:at + 5]]
+
+
 def test_decoder_carries_open_characters():
     tool = bpe.codec(bpe.default_path())
     library = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
