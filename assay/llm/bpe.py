@@ -10,8 +10,9 @@ the right of q.  For merge ``u+v`` of rank r the right-hand need is
 because only an earlier merge that takes a suffix token of ``v`` across its right end can
 keep ``v`` from forming.  A boundary with ``lookahead`` bytes behind it is final, so the
 tokens before it are emitted and their bytes forgotten: memory is a constant number of
-bytes whatever the length of the text.  Short pieces are remembered in a bounded table; those of a
-batch of texts that it does not hold are merged together, a merge of each in every round.
+bytes whatever the length of the text.  Short pieces are remembered in a table of two generations,
+so a worker's memory is bounded and frequent pieces stay; those of a group of texts that it does not
+hold are merged together, a merge of each in every round.
 
 Decoding.  Token ids become bytes, and an incremental UTF-8 state machine turns bytes into
 text, carrying at most three bytes of an open character between blocks; invalid sequences
@@ -29,11 +30,14 @@ import functools
 import gc
 import heapq
 import json
+import string
 import struct
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,14 +52,16 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 SAFE_CUT = r"(?<=\S) (?=\S)"
 BLOCK_CHARS = 1 << 16
 MEMO_PIECE_CHARS = 64
-MEMO_ENTRIES = 1 << 20
+# Of a generation; a worker holds two.
+MEMO_ENTRIES = 1 << 18
 MEMO_PRETOKENS = 1 << 16
-# Pieces that are merged together.
-LEARN_PIECES = 1 << 15
+# Characters of the texts whose pieces are merged together.
+GROUP_CHARS = 1 << 21
 SHORT_BYTES = 64
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
 NO_MERGE = 1 << 62
+NO_RANK = np.int32((1 << 31) - 1)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -85,7 +91,12 @@ class MergeTable:
         self.merges = {vocab[a] << ID_BITS | vocab[b]: rank << ID_BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         self.lookahead = sufficient_lookahead(pairs)
         self.sorted_pairs = np.array(sorted(self.merges), np.int64)
-        self.sorted_merges = np.array([self.merges[p] for p in self.sorted_pairs.tolist()], np.int64)
+        merges = [self.merges[p] for p in self.sorted_pairs.tolist()]
+        self.sorted_ranks = np.array([m >> ID_BITS for m in merges], np.int32)
+        self.merged = np.array([m & ID_MASK for m in sorted(merges)], np.int32)  # by rank
+        # ranks of the pairs of bytes
+        one = np.array(self.byte_id, np.int32)
+        self.byte_ranks = self._ranked(np.repeat(one, 256), np.tile(one, 256))
 
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one byte string (lowest rank first, leftmost first)."""
@@ -107,10 +118,10 @@ class MergeTable:
 
     def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if not len(self.sorted_pairs):
-            return np.full(len(left), NO_MERGE)
-        pair = left << ID_BITS | right
+            return np.full(len(left), NO_RANK, np.int32)
+        pair = left.astype(np.int64) << ID_BITS | right
         at = np.minimum(np.searchsorted(self.sorted_pairs, pair), len(self.sorted_pairs) - 1)
-        return np.where(self.sorted_pairs[at] == pair, self.sorted_merges[at], NO_MERGE)
+        return np.where(self.sorted_pairs[at] == pair, self.sorted_ranks[at], NO_RANK)
 
     def merge_all(self, pieces: list[str]) -> list[bytes]:
         """The packed ids of many short texts that are not empty: in each round every one merges its best
@@ -124,14 +135,14 @@ class MergeTable:
         else:  # bytes of each text from the bytes that begin a character
             begins = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
             sizes = np.diff(begins[np.append(0, np.cumsum(chars))])
-        ids = np.array(self.byte_id, np.int64)[raw]
-        names = np.arange(len(pieces))
-        ranks = np.append(self._ranked(ids[:-1], ids[1:]), NO_MERGE)
-        ranks[np.cumsum(sizes) - 1] = NO_MERGE  # a pair never spans two texts
+        ids = np.array(self.byte_id, np.int32)[raw]
+        names = np.arange(len(pieces), dtype=np.int32)
+        ranks = np.append(self.byte_ranks[raw[:-1].astype(np.int32) << 8 | raw[1:]], NO_RANK)
+        ranks[np.cumsum(sizes) - 1] = NO_RANK  # a pair never spans two texts
         while len(names):
             first = np.cumsum(sizes) - sizes
             best = np.minimum.reduceat(ranks, first)
-            going = best != NO_MERGE
+            going = best != NO_RANK
             if not going.all():
                 done, packed = ~going, ids.astype("<i4").tobytes()
                 start = 4 * first[done]
@@ -141,17 +152,17 @@ class MergeTable:
                 ids, ranks, names, sizes, best = ids[stays], ranks[stays], names[going], sizes[going], best[going]
                 if not len(names):
                     break
-            piece = np.repeat(np.arange(len(names)), sizes)
+            piece = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
             found = np.flatnonzero(ranks == best[piece])
             at = found[np.append(True, np.diff(piece[found]) > 0)]  # the leftmost of each text
-            ids[at] = best & ID_MASK
+            ids[at] = self.merged[best]
             left = np.ones(len(ids), bool)
             left[at + 1] = False
             ids, ranks, piece, sizes = ids[left], ranks[left], piece[left], sizes - 1
             at = at - np.arange(len(at))  # each text before has lost an id
             # the pairs that the new ids are part of
             near = np.concatenate([at, at[(at > 0) & (piece[at - 1] == piece[at])] - 1])
-            ranks[near] = NO_MERGE
+            ranks[near] = NO_RANK
             near = near[near + 1 < len(ids)]
             near = near[piece[near] == piece[near + 1]]
             ranks[near] = self._ranked(ids[near], ids[near + 1])
@@ -230,22 +241,29 @@ class _Memo(dict):
     A piece is what stands between two single spaces; the space before it belongs to it.  A
     cut before a space with no white space beside it never changes the pre-tokens, so pieces
     are encoded one by one.  A piece that is empty or has white space at an end gives None.
+    ``MEMO_ENTRIES`` pieces are a generation; the one before is kept for what is used again.
     """
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
+
+    def renew(self, most: int) -> None:
+        """A table of ``most`` pieces becomes the older generation."""
+        if len(self) >= most:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, piece: str) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if piece.isalpha() and len(piece) <= MEMO_PIECE_CHARS:  # one pre-token of letters
-            ids = self.codec.pack(self.codec.table.merge(b" " + piece.encode()))
-        else:
-            ids = self.codec.pretokens(" " + piece)
+        if (ids := self.older.get(piece)) is None:
+            if piece.isalpha() and len(piece) <= MEMO_PIECE_CHARS:  # one pre-token of letters
+                ids = self.codec.pack(self.codec.table.merge(b" " + piece.encode()))
+            else:
+                ids = self.codec.pretokens(" " + piece)
         if len(piece) <= MEMO_PIECE_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
+            self.renew(2 * MEMO_ENTRIES)
             self[piece] = ids
         return ids
 
@@ -279,27 +297,29 @@ class Codec:
 
     def learn(self, texts: list[str]) -> None:
         """Fill the table of short pieces with those of some texts that it does not hold, merged together."""
-        pieces: set[str] = set()
-        for text in texts:
-            for at in range(0, len(text), BLOCK_CHARS):
-                pieces.update(text[at:at + BLOCK_CHARS].split(" "))
-                if len(pieces) >= LEARN_PIECES:
-                    self._learn(pieces)
-                    pieces.clear()
-        self._learn(pieces)
-
-    def _learn(self, pieces: set[str]) -> None:
+        self._known(list({p for text in texts for p in text.split(" ")}))
+
+    def _known(self, pieces: list[str]) -> list[bytes | None]:
+        """The packed ids of distinct pieces; None where a text can't be cut at the piece."""
+        memo = self.memo
+        memo.renew(MEMO_ENTRIES)
+        found = list(map(memo.get, pieces))
+        fresh = [p for p, ids in zip(pieces, found) if ids is None]
+        if older := memo.older:
+            known = list(filter(older.__contains__, fresh))
+            memo.update(zip(known, map(older.__getitem__, known)))
+            fresh = list(filterfalse(older.__contains__, fresh))
+        self._learn(fresh)
+        return [memo[p] if ids is None else ids for p, ids in zip(pieces, found)]
+
+    def _learn(self, fresh: list[str]) -> None:
         memo, others = self.memo, self.others
-        if len(memo) + 2 * len(pieces) > MEMO_ENTRIES:
-            memo.clear()
-        fresh = [p for p in pieces
-                 if p not in memo and p and len(p) <= MEMO_PIECE_CHARS and not p[0].isspace() and not p[-1].isspace()]
-        mixed = [p for p in fresh if not p.isalpha()]
+        words = {p for p in fresh if p.isalpha() and len(p) <= MEMO_PIECE_CHARS}
+        mixed = [p for p in filterfalse(words.__contains__, fresh)
+                 if p and len(p) <= MEMO_PIECE_CHARS and not p[0].isspace() and not p[-1].isspace()]
         # a cut before each of these spaces never changes the pre-tokens
         parts = self.pretoken.findall(" " + " ".join(mixed)) if mixed else []
-        words = {p for p in fresh if p.isalpha()}
-        words.update(w for t in parts if t[0] == " " and (w := t[1:]).isalpha())
-        words = [w for w in words if w not in memo]
+        words.update(w for t in parts if t[0] == " " and (w := t[1:]).isalpha() and w not in memo)
         memo.update(zip(words, self.table.merge_all([" " + w for w in words])))
         signs = list({t for t in parts if t not in others and (t[0] != " " or not t[1:].isalpha())})
         if len(others) + len(signs) > MEMO_PRETOKENS:
@@ -370,6 +390,55 @@ class Codec:
         """Ids of a text (int32); none for null."""
         return np.frombuffer(b"".join(self.encode_blocks(text or "")), "<i4")
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Packed ids of each text; texts are taken in groups of bounded size."""
+        group, chars = [], 0
+        for text in texts:
+            group.append(text or "")
+            chars += len(group[-1])
+            if chars >= GROUP_CHARS:
+                yield from self._group(group)
+                group, chars = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        """Texts of one block without special tokens are cut into pieces and put together again as columns."""
+        special = list(self.table.special)
+        plain = [len(t) <= BLOCK_CHARS and not any(map(t.__contains__, special)) for t in texts]
+        split = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.string()), " ")
+        bounds, pieces = split.offsets.to_numpy(), split.values.dictionary_encode()
+        of, pieces = pieces.indices.to_numpy(), pieces.dictionary
+        # letters and the signs behind them are two pre-tokens
+        stems = pc.ascii_rtrim(pieces, string.punctuation)
+        ended = pc.and_(pc.ascii_is_alpha(stems), pc.less_equal(pc.binary_length(pieces), MEMO_PIECE_CHARS))
+        words = pc.if_else(ended, stems, pieces).dictionary_encode()
+        signs = pc.if_else(ended, pc.ascii_ltrim(pieces, string.ascii_letters), "").dictionary_encode()
+        known = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        apart = np.fromiter((ids is None for ids in known), bool, len(known))
+        known = [b"" if ids is None else ids for ids in known]
+        two = np.stack([words.indices.to_numpy(), signs.indices.to_numpy() + len(known)])[:, of]
+        known += [self.others[t] if t else b"" for t in signs.dictionary.to_pylist()]
+        whole = np.append(0, np.cumsum(apart[two[0]]))
+        two[:, bounds[:-1]] = len(known)  # no space stands before a text's first piece
+        sizes = np.fromiter(map(len, [*known, b""]), np.int64, len(known) + 1) // 4
+        two = two.T.ravel()
+        starts, sizes = (np.cumsum(sizes) - sizes)[two], sizes[two]
+        ends = np.append(0, np.cumsum(sizes))
+        flat = np.frombuffer(b"".join(known), "<i4")
+        coded = flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        at, ends, whole = 0, (4 * ends[2 * bounds]).tolist(), whole[np.stack([bounds[:-1] + 1, bounds[1:]])].T.tolist()
+        for text, p in zip(texts, plain):
+            if not p:
+                yield b"".join(self.encode_blocks(text))
+                continue
+            first, space, _ = text.partition(" ")
+            (before, after), i, j = whole[at], ends[at], ends[at + 1]
+            at += 1
+            if space and (before != after or not first or first[-1].isspace()):
+                yield self.pretokens(text)  # it can't be cut at every space
+            else:
+                yield self.pretokens(first) + coded[i:j]
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids, special ones included."""
         machine, lookup, out = codecs.getincrementaldecoder("utf-8")("replace"), self.table.token_bytes, []
@@ -406,11 +475,10 @@ def encode_documents(df: DataFrame, text_col: str = "text", ids_col: str = "ids"
         tool = codec(path)
         for batch in batches:
             texts = column(batch, text_col).to_pylist()
-            tool.learn([t for t in texts if t])
-            ids = [tool.encode(t) for t in texts]
+            ids = list(tool.encode_all(texts))
             offsets = np.zeros(len(ids) + 1, "i4")
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, "i4"), pa.int32())
+            np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
             kept = [n for n in batch.schema.names if n not in (text_col, ids_col)]
             yield extended(batch, kept, {ids_col: pa.ListArray.from_arrays(pa.array(offsets), flat)})
 

@@ -11,7 +11,7 @@ Context sizes are tiers, each a power of two.  In every task, a batch of documen
 4. At the end of the task's input the waiting window is cut into powers of two, so no
    sequence needs padding.
 
-Memory of a task: one Arrow batch and less than one window; nothing is shuffled, so a hot
+Memory of a task: a few Arrow batches, ``bpe.GROUP_CHARS`` in all or one batch, and less than one window; nothing is shuffled, so a hot
 source or group of copies costs nothing.  ``balance_steps`` then deals the sequences of each
 tier into training steps of equal token counts, from counts per task and tier.
 
@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm import bpe
-from assay.llm.common import written
+from assay.llm.common import column, written
 
 TIERS = (128, 256, 512, 1024, 2048)
 END_ID = 1
+ID_BYTES = 4
 # Tokens of one training step.
 STEP_TOKENS = 1 << 19
 # sequence_id = task * 2**TASK_SHIFT + number within the task
@@ -114,44 +115,82 @@ class TierPacker:
             yield window
 
 
+def packed(batches: Iterator[list[tuple]], tiers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a task's documents, each its name and its packed ids (little-endian 32-bit)."""
+    task, packer = TaskContext.get().partitionId(), TierPacker(tiers)
+    ranks: dict[int, int] = {}
+    sequences = 0
+
+    def rows(windows) -> Iterator[tuple]:
+        nonlocal sequences
+        for window in windows:
+            size, offset = sum(p[0] for p in window), 0
+            rank = ranks[size] = ranks.get(size, -1) + 1
+            for length, (name, ids), start in window:
+                yield (name, start, length, len(ids) // ID_BYTES, (task << TASK_SHIFT) + sequences, offset, size, task, rank,
+                       ids[ID_BYTES * start:ID_BYTES * (start + length)])
+                offset += length
+            sequences += 1
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*found) if found else [[] for _ in PIECES]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, ARROW_TYPES)],
+                                          names=PIECES.names)
+
+    for batch in batches:
+        out = []
+        for name, ids in batch:
+            out += rows(packer.add((name, ids), len(ids) // ID_BYTES))
+        out += rows(packer.fill())
+        yield batch_of(out)
+    yield batch_of(list(rows(packer.finish())))
+
+
+def packed_end(end_id: int | None) -> bytes:
+    return b"" if end_id is None else np.array([end_id], "<i4").tobytes()
+
+
 def pack(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tiers: tuple[int, ...] = TIERS,
          end_id: int | None = END_ID) -> DataFrame:
     """Pieces of all documents with their place and their token ids (little-endian 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, packer = TaskContext.get().partitionId(), TierPacker(tiers)
-        ranks: dict[int, int] = {}
-        sequences = 0
-
-        def rows(windows) -> Iterator[tuple]:
-            nonlocal sequences
-            for window in windows:
-                size, offset = sum(p[0] for p in window), 0
-                rank = ranks[size] = ranks.get(size, -1) + 1
-                for length, (name, ids), start in window:
-                    yield (name, start, length, len(ids), (task << TASK_SHIFT) + sequences, offset, size, task, rank,
-                           ids[start:start + length].tobytes())
-                    offset += length
-                sequences += 1
-
-        def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            columns = zip(*found) if found else [[] for _ in PIECES]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, ARROW_TYPES)],
-                                              names=PIECES.names)
-
-        end = np.array([] if end_id is None else [end_id], "<i4")
-        for batch in batches:
-            out = []
-            for name, ids in zip(batch.column("doc"), batch.column("ids")):
-                flat = end if ids.values is None else np.concatenate([ids.values.to_numpy(), end]).astype("<i4")
-                out += rows(packer.add((name.as_py(), flat), len(flat)))
-            out += rows(packer.fill())
-            yield batch_of(out)
-        yield batch_of(list(rows(packer.finish())))
+        end = packed_end(end_id)
+        coded = lambda ids: end if ids.values is None else ids.values.to_numpy().astype("<i4").tobytes() + end
+        yield from packed(([(name, coded(ids)) for name, ids in zip(column(batch, "doc").to_pylist(), column(batch, "ids"))]
+                           for batch in batches), tiers)
 
     return tokens.select(F.col(id_col).cast("long").alias("doc"), F.col(ids_col).alias("ids")).mapInArrow(run, PIECES)
 
 
+def encode_and_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS,
+                    end_id: int | None = END_ID, tokenizer_path: str | None = None) -> DataFrame:
+    """The pieces that ``pack`` makes of the encoded texts, by one Python worker a task."""
+    path = tokenizer_path or bpe.default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, end = bpe.codec(path), packed_end(end_id)
+
+        def coded(group: list[pa.RecordBatch]) -> Iterator[list[tuple]]:
+            ids = tool.encode_all([t for batch in group for t in column(batch, "text").to_pylist()])
+            for batch in group:
+                yield [(name, next(ids) + end) for name in column(batch, "doc").to_pylist()]
+
+        def documents() -> Iterator[list[tuple]]:
+            group, size = [], 0
+            for batch in batches:
+                group.append(batch)
+                size += batch.nbytes
+                if size >= bpe.GROUP_CHARS:
+                    yield from coded(group)
+                    group, size = [], 0
+            yield from coded(group)
+
+        yield from packed(documents(), tiers)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+
+
 ARROW_TYPES = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
 
 
@@ -172,8 +211,7 @@ def balance_steps(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFram
 
 def packed_documents(docs: DataFrame, tokenizer_path: str | None = None, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """Encode, pack and deal out ``documents``: the contract's rows."""
-    ids = bpe.encode_documents(docs.select("doc_id", "text"), tokenizer_path=tokenizer_path)
-    pieces = pack(ids, tiers=tiers)
+    pieces = encode_and_pack(docs, tiers=tiers, tokenizer_path=tokenizer_path)
     slim = pieces.withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
     return balance_steps(slim).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
                                       "tier", "step")

@@ -474,3 +474,47 @@ def test_records_that_cannot_be_read_are_of_unknown_layout(spark):
     rows = chat.formatted_turns(spark.createDataFrame([(r,) for r in records], "record string")).collect()
     assert [r["layout"] == "unknown" for r in rows] == [False] + [True] * 7
     assert chat.read_back(chat.formatted_turns(spark.createDataFrame([(r,) for r in records], "record string"))).count() == 1
+
+
+def test_groups_of_texts_are_encoded_as_by_the_library_and_remembered_within_bounds(monkeypatch):
+    library = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
+    rng = random.Random(5)
+    letters = "etaoin sh  rdlu.,'é漢\U0001f6000123-\n\x1c \t\"_("
+    for entries, group, block in [(10, 300, 200), (1 << 18, 1 << 21, 1 << 16), (50, 40, 1 << 16)]:
+        monkeypatch.setattr(bpe, "MEMO_ENTRIES", entries)
+        monkeypatch.setattr(bpe, "GROUP_CHARS", group)
+        monkeypatch.setattr(bpe, "BLOCK_CHARS", block)
+        tool = bpe.Codec(bpe.default_path())
+        for _ in range(10):
+            texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(rng.choice([4, 30, 400])))) for _ in range(40)]
+            texts += ["", None, " ", "a ", "abc ", " a", "a  b", "x<|endoftext|>y a", "word. word, 'tis don't's it's.", "w" * 100 + " a.",
+                      " ".join(["dog's"] * 30), "a'. b's, c'll; d . e."]
+            rng.shuffle(texts)
+            assert [np.frombuffer(x, "<i4").tolist() for x in tool.encode_all(texts)] == [
+                library.encode(t or "", add_special_tokens=False).ids for t in texts]
+            most = max(len((t or "").split(" ")) for t in texts) * len(texts)
+            assert max(len(tool.memo), len(tool.memo.older)) <= 2 * entries + most
+    assert list(tool.encode_all([])) == [] and list(tool.encode_all([None])) == [b""]
+
+
+def test_pieces_used_again_outlive_a_full_table(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 40)
+    tool = bpe.Codec(bpe.default_path())
+    rng, merged = random.Random(9), []
+    merge_all = tool.table.merge_all
+    monkeypatch.setattr(tool.table, "merge_all", lambda pieces: merged.extend(pieces) or merge_all(pieces))
+    for _ in range(20):
+        list(tool.encode_all(["x often " + " ".join("".join(rng.choice("etaoins") for _ in range(12)) for _ in range(30))]))
+        assert len(tool.memo) + len(tool.memo.older) < 200
+    assert merged.count(" often") == 1
+
+
+def test_texts_are_encoded_and_packed_in_one_pass(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["tion", "the.", "a,", "é漢", "x\ny"]) for _ in range(rng.randrange(900)))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, None), (7, ""), (7, "")], "doc_id long, text string").coalesce(1)
+    whole = packing.encode_and_pack(docs)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, packing.pack(bpe.encode_documents(docs)).collect()))
+    # encoded and packed by one Python worker a task
+    assert whole._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert packing.packed_documents(docs).count() == whole.count()
