@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,12 @@ def extended(batch: pa.RecordBatch, keep: list[str], added: dict[str, pa.Array])
     return pa.RecordBatch.from_arrays([*(column(batch, n) for n in keep), *added.values()], names=[*keep, *added])
 
 
+def at_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task.  Behind them, memory that Arrow holds unused goes back: workers outlive tasks and stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def held(docs: DataFrame) -> Column:
     """All columns of a row as one struct, so that no name can clash with a helper column."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm import bpe
-from assay.llm.common import column, written
+from assay.llm.common import at_rest, column, written
 
 TIERS = (128, 256, 512, 1024, 2048)
 END_ID = 1
@@ -186,7 +186,7 @@ def encode_and_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     group, size = [], 0
             yield from coded(group)
 
-        yield from packed(documents(), tiers)
+        yield from at_rest(packed(documents(), tiers))
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import brute
 from assay.llm import bpe, caps, chat, mtree, packing, partenum, pii, quality, repair, secrets, sharding, toxicity, whitening
-from assay.llm.common import prepare
+from assay.llm.common import at_rest, prepare
 
 
 def documents(spark, texts, source="s"):
@@ -518,3 +518,17 @@ def test_texts_are_encoded_and_packed_in_one_pass(spark):
     # encoded and packed by one Python worker a task
     assert whole._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert packing.packed_documents(docs).count() == whole.count()
+
+
+def test_unused_memory_goes_back_behind_a_tasks_batches():
+    import pyarrow as pa
+
+    def batches():
+        yield pa.RecordBatch.from_arrays([pa.array([1])], names=["a"])
+
+    released = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("assay.llm.common.pa.default_memory_pool", lambda: type("P", (), {"release_unused": lambda self: released.append(1)})())
+        got = at_rest(batches())
+        assert next(got).num_rows == 1 and not released
+        assert list(got) == [] and released == [1]
