@@ -1,21 +1,24 @@
 """Exact top-k by inner product with M-trees and best-first search.
 
 The vectors are dealt into cells by the nearest of a few pivots (a bounded sample), and a
-cell into blocks of at most about ``BLOCK`` rows, however many rows it holds.  Every block is
+cell into blocks of at most about ``TREE_BYTES``, however many rows it holds.  Every block is
 bulk-loaded into an M-tree: pages hold a routing vector, the covering radius around it, its
-distance to the parent's routing vector and the largest norm below it; leaf pages hold
-vectors with their distances to the routing vector.
+distance to the parent's routing vector, the largest norm and the smallest id below it; leaf
+pages hold vectors with their distances to the routing vector.
 
 With d the Euclidean distance, ``q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2``, so a lower bound of
 the distance bounds the score from above.  The triangle inequality gives such bounds from
 stored distances alone: ``|d(q, p) - d(c, p)| - r`` for a page c with parent p, and
 ``|d(q, c) - d(x, c)|`` for a vector x of leaf c; pages and vectors whose bound is below a
-query's k-th best score are not computed.  Queries go through a tree in blocks, the page
-with the best bound first.  A query starts with the k-th best score among a bounded sample
-of all vectors; that is a lower bound of its final one, so nothing is lost.
+query's k-th best score are not computed, nor are ties with it where all ids are larger.
+Queries go through a tree in blocks, the page with the best bound first.  A query starts with
+the k-th best score among a bounded sample of all vectors; that is a lower bound of its final
+one, so nothing is lost.
 
-Every block of queries meets every block of vectors; results of a task are cut to the k best
-of each query before they are shuffled.
+Every query meets every tree.  A task holds a tile of the queries, at most ``TILE_BYTES`` with
+their results, and reads its part of the trees as a stream, one tree at a time; tiles and
+trees are moved as rows of at most about ``TREE_BYTES``, so a task's memory doesn't grow with
+the table.  Results of a task are the k best of each query; they are shuffled.
 
 Cases: vectors that are null or hold null or non-finite components, and rows without id,
 take no part; shorter vectors count as filled up with zeros; with fewer than k candidates
@@ -29,6 +32,7 @@ from __future__ import annotations
 import heapq
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,22 +40,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import column, written
+from assay.llm.common import at_rest, column, extended, written
 from assay.llm.sharding import number_slots
 
 SCALE = 64
 TOP = 20
-BLOCK = 512
-QUERY_BLOCK = 256
-LEAF = 32
-FANOUT = 16
+# Vectors of a tree or a packed row of queries: Arrow batches hold 256 of these rows.
+TREE_BYTES = 1 << 16
+# Queries of a task with their results.
+TILE_BYTES = 1 << 26
+# Queries that go through a tree together.
+QUERY_BLOCK = 4096
+LEAF = 256
+FANOUT = 4
 MAX_PIVOTS = 64
 # Vectors whose scores give the queries their first thresholds.
 SAMPLE = 4096
-# Query blocks whose running results a task holds at once.
-HELD = 64
+# Tasks of the search for each that runs at once.
+WAVES = 2
+# Intervals of a leaf's distances over which a bound of all queries is taken.
+STEPS = 4
 SLACK = 1e-7
 NEVER = np.iinfo(np.int64).min
+# What a page holds of the pages below it, by their own names.
+OF_PAGES = {"radii": "radius", "parent_distances": "parent_distance", "squares": "square", "leasts": "least"}
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -64,16 +76,42 @@ def integer_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                                whole.alias("v")), "vectors")
 
 
-def matrix(vectors, width: int) -> np.ndarray:
-    """int64 rows, short ones filled up with zeros."""
-    out = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, :len(v)] = v
-    return out
+@dataclass(frozen=True)
+class Shape:
+    """Width of the vectors and the least and largest of their components."""
+
+    width: int
+    least: int
+    largest: int
+
+    @property
+    def stored(self) -> np.dtype:
+        """The smallest type that holds the components."""
+        return next(np.dtype(t) for t in (np.int8, np.int16, np.int32, np.int64)
+                    if np.iinfo(t).min <= self.least and self.largest <= np.iinfo(t).max)
+
+    @property
+    def computed(self) -> np.dtype:
+        """The smallest type whose inner products are exact: in floating point while all sums stay in the mantissa."""
+        most = max(abs(self.least), abs(self.largest)) ** 2 * max(1, self.width)
+        return np.dtype(np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64)
+
+    def rows(self, size: int, more: int, computed: bool = False) -> int:
+        """Vectors that fit ``size`` bytes with ``more`` bytes each beside them."""
+        return max(1, size // (self.width * (self.computed if computed else self.stored).itemsize + more))
+
+    def matrix(self, vectors: pa.ListArray) -> np.ndarray:
+        """Rows of the vectors, short ones filled up with zeros."""
+        out = np.zeros((len(vectors), self.width), self.stored)
+        sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        out[np.arange(self.width) < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+        return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point while all sums stay below 2**53."""
+    """Exact inner products.  Vectors in floating point are known to fit (``Shape.computed``)."""
+    if a.dtype.kind == "f":
+        return a @ b.T
     most = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
     if float(most) ** 2 * max(1, a.shape[1]) < 2.0 ** 53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
@@ -90,25 +128,34 @@ def bulk_load(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, center: np
               parent_distance: float = 0.0) -> dict:
     """A page over the vectors and the pages below it."""
     if center is None:
-        center = np.rint(vectors.mean(0)).astype(np.int64)
+        center = np.rint(vectors.mean(0)).astype(vectors.dtype)
     to_center = distances(vectors, center[None])[:, 0]
-    page = {"center": center, "radius": float(to_center.max()), "parent_distance": parent_distance,
-            "square": float((vectors.astype(float) ** 2).sum(1).max())}
-    if len(ids) > LEAF and to_center.max() > to_center.min():
-        chosen = [int(to_center.argmax())]  # routing vectors far from each other
-        nearest = distances(vectors, vectors[chosen])[:, 0]
-        owner = np.zeros(len(ids), int)
-        while len(chosen) < FANOUT and nearest.max() > 0:
-            chosen.append(int(nearest.argmax()))
-            d = distances(vectors, vectors[chosen[-1:]])[:, 0]
-            owner[d < nearest] = len(chosen) - 1
-            nearest = np.minimum(nearest, d)
-        if len(chosen) > 1:
-            page["pages"] = [bulk_load(rows[part], ids[part], vectors[part], vectors[c], float(to_center[c]))
-                             for k, c in enumerate(chosen) if (part := owner == k).any()]
-            return page
     square = (vectors.astype(float) ** 2).sum(1)
-    return page | {"rows": rows, "ids": ids, "vectors": vectors, "distances": to_center, "squares": square}
+    page = {"center": center, "radius": float(to_center.max()), "parent_distance": parent_distance,
+            "square": float(square.max()), "least": int(ids.min())}
+    if len(ids) <= LEAF:
+        return page | {"rows": rows, "ids": ids, "vectors": vectors, "distances": to_center, "squares": square}
+    chosen = [int(to_center.argmax())]  # routing vectors far from each other
+    nearest = distances(vectors, vectors[chosen])[:, 0]
+    owner = np.zeros(len(ids), int)
+    while len(chosen) < FANOUT and nearest.max() > 0:
+        chosen.append(int(nearest.argmax()))
+        d = distances(vectors, vectors[chosen[-1:]])[:, 0]
+        owner[d < nearest] = len(chosen) - 1
+        nearest = np.minimum(nearest, d)
+    if not owner.any():  # equal vectors: pages of rising ids
+        owner[np.lexsort((rows, ids))] = np.arange(len(ids)) // LEAF
+        chosen = chosen[:1] * (int(owner.max()) + 1)
+    pages = [bulk_load(rows[part], ids[part], vectors[part], vectors[c], float(to_center[c]))
+             for k, c in enumerate(chosen) if (part := owner == k).any()]
+    return page | {"pages": pages, "centers": np.stack([p["center"] for p in pages])} | {
+        n: np.array([p[own] for p in pages]) for n, own in OF_PAGES.items()}
+
+
+def loaded(page: dict, computed: np.dtype) -> dict:
+    """The page with its vectors in the type that they are computed in."""
+    own = {n: page[n].astype(computed) for n in ("center", "centers", "vectors") if n in page}
+    return page | own | ({"pages": [loaded(p, computed) for p in page["pages"]]} if "pages" in page else {})
 
 
 class Queries:
@@ -116,151 +163,210 @@ class Queries:
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray, k: int):
         self.rows, self.ids, self.vectors, self.k = rows, ids, vectors, k
+        self.real = vectors if vectors.dtype.kind == "f" else vectors.astype(float)
         self.square = (vectors.astype(float) ** 2).sum(1)
         self.threshold = floor.copy()
-        self.best: list[list[tuple[int, int, int]]] = [[] for _ in ids]  # heaps of (score, -id, row)
+        self.last = np.full(len(ids), np.iinfo(np.int64).max)  # id of the k-th best
+        self.count = np.zeros(len(ids), np.int64)
+        self.scores, self.found = (np.zeros((len(ids), k), np.int64) for _ in range(2))
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (query, score, id) not among the best yet
+        self.waits = 0
+
+    def distances(self, centers: np.ndarray) -> np.ndarray:
+        square = self.square[:, None] + (centers.astype(float) ** 2).sum(1) - 2.0 * (self.real @ centers.T)
+        return np.sqrt(np.maximum(square, 0))
 
     def bound(self, low: np.ndarray, square) -> np.ndarray:
         """Largest possible score at a distance of ``low`` at least."""
         most = (self.square[:, None] + square - np.maximum(low, 0) ** 2) / 2
         return most + SLACK * (1 + self.square[:, None] + square)
 
-    def open(self, bound: np.ndarray) -> np.ndarray:
-        return bound >= self.threshold[:, None]
-
-    def offer(self, which: np.ndarray, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        for i, j in zip(*np.nonzero(scores >= self.threshold[which][:, None])):
-            q, entry = which[i], (int(scores[i, j]), -int(ids[j]), int(rows[j]))
-            if entry[2] == self.rows[q]:
-                continue
-            heap = self.best[q]
-            if len(heap) < self.k:
-                heapq.heappush(heap, entry)
-            elif entry > heap[0]:
-                heapq.heapreplace(heap, entry)
-            if len(heap) == self.k:
-                self.threshold[q] = max(self.threshold[q], heap[0][0])
+    def needed(self, least) -> np.ndarray:
+        """Score that a candidate whose id is ``least`` or more needs; scores are whole numbers."""
+        return self.threshold + (least > self.last)
+
+    def useful(self, active: np.ndarray, page: dict, to_page: np.ndarray, needed: np.ndarray) -> np.ndarray:
+        """Places in a leaf of the vectors whose bound reaches a query's score.
+
+        Of ``|q|^2 + |x|^2 - (d(q, c) - d(x, c))^2 >= 2 needed`` what depends on q is a line over d(x, c); the
+        largest of all lines is convex, so it lies below its chords.
+        """
+        a, b, square = to_page[active], page["distances"], self.square[active]
+        slack = 2 * SLACK * (1 + square + (1 + a) * (1 + a + b.max()))
+        ends = np.unique(np.linspace(b.min(), b.max(), STEPS + 1))
+        largest = (square - 2.0 * needed - a * a + slack + 2 * ends[:, None] * a).max(1)
+        return np.nonzero(np.interp(b, ends, largest) + (1 + 2 * SLACK) * page["squares"] - b * b >= 0)[0]
+
+    def offer(self, which: np.ndarray, needed: np.ndarray, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        hit = scores >= needed.astype(scores.dtype)[:, None]
+        some = np.flatnonzero(hit.any(1))  # few
+        i, j = np.nonzero(hit[some])
+        i = some[i]
+        other = rows[j] != self.rows[which[i]]
+        i, j = i[other], j[other]
+        if len(i):
+            self.waiting.append((which[i], scores[i, j].astype(np.int64), ids[j]))
+            self.waits += len(i)
+        if self.waits >= len(self.ids) * self.k // 2:
+            self.settle()
+
+    def settle(self) -> None:
+        """What waits joins the best."""
+        if not self.waiting:
+            return
+        some = np.unique(np.concatenate([w[0] for w in self.waiting]))
+        held = np.arange(self.k) < self.count[some][:, None]
+        best = (np.repeat(some, self.count[some]), self.scores[some][held], self.found[some][held])
+        q, score, ids = (np.concatenate(x) for x in zip(best, *self.waiting))
+        self.waiting, self.waits = [], 0
+        order = np.lexsort((ids, -score, q))
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        order, place = order[place < self.k], place[place < self.k]
+        self.scores[q[order], place], self.found[q[order], place] = score[order], ids[order]
+        self.count[some] = np.bincount(q[order], minlength=len(self.ids))[some]
+        full = some[self.count[some] == self.k]
+        self.threshold[full], self.last[full] = self.scores[full, -1], self.found[full, -1]
 
     def search(self, root: dict) -> None:
         """Best-first through one tree."""
         turn = 0
-        to_root = distances(self.vectors, root["center"][None])[:, 0]
-        queue = [(0.0, turn, root, to_root, self.bound((to_root - root["radius"])[:, None], root["square"])[:, 0])]
+        to_root = self.distances(root["center"][None])[:, 0]
+        low = to_root - root["radius"] - SLACK * (1 + to_root)
+        queue = [(0.0, turn, root, to_root, self.bound(low[:, None], root["square"])[:, 0])]
         while queue:
             _, _, page, to_page, bound = heapq.heappop(queue)
-            active = np.nonzero(bound >= self.threshold)[0]
+            needed = self.needed(page["least"])
+            active = np.nonzero(bound >= needed)[0]
             if not len(active):
                 continue
             if "pages" not in page:
-                low = np.abs(to_page[:, None] - page["distances"]) - SLACK * (1 + to_page[:, None])
-                useful = np.nonzero(self.open(self.bound(low, page["squares"]))[active].any(0))[0]
+                useful = self.useful(active, page, to_page, needed[active])
                 if len(useful):
-                    scores = products(self.vectors[active], page["vectors"][useful])
-                    self.offer(active, page["rows"][useful], page["ids"][useful], scores)
+                    own = self.vectors if len(active) == len(self.ids) else self.vectors[active]
+                    rows, ids, vectors = (page[n] if len(useful) == len(page["ids"]) else page[n][useful]
+                                          for n in ("rows", "ids", "vectors"))
+                    self.offer(active, needed[active], rows, ids, products(own, vectors))
                 continue
-            for child in page["pages"]:
-                # before any distance to the child is computed
-                low = np.abs(to_page - child["parent_distance"]) - child["radius"] - SLACK * (1 + to_page)
-                if not (self.bound(low[:, None], child["square"])[:, 0] >= self.threshold)[active].any():
-                    continue
-                to_child = distances(self.vectors, child["center"][None])[:, 0]
-                own = (to_child - child["radius"] - SLACK * (1 + to_child))[:, None]
-                child_bound = np.minimum(bound, self.bound(own, child["square"])[:, 0])
-                if (gain := (child_bound - self.threshold)[active].max()) >= 0:
-                    turn += 1
-                    heapq.heappush(queue, (-float(gain), turn, child, to_child, child_bound))
+            needed = self.needed(page["leasts"][:, None]).T
+            # before any distance to the children is computed
+            low = np.abs(to_page[:, None] - page["parent_distances"]) - page["radii"] - SLACK * (1 + to_page)[:, None]
+            open_ = np.nonzero((self.bound(low, page["squares"]) >= needed)[active].any(0))[0]
+            to_child = self.distances(page["centers"][open_])
+            own = to_child - page["radii"][open_] - SLACK * (1 + to_child)
+            bounds = np.minimum(bound[:, None], self.bound(own, page["squares"][open_]))
+            gains = (bounds - needed[:, open_])[active].max(0, initial=-1.0)
+            for at in np.nonzero(gains >= 0)[0]:
+                turn += 1
+                child = page["pages"][open_[at]]
+                heapq.heappush(queue, (-float(gains[at]), turn, child, to_child[:, at], bounds[:, at]))
+
+    def columns(self) -> list[np.ndarray]:
+        """Query rows, query ids, ids and scores of the best."""
+        self.settle()
+        held = np.arange(self.k) < self.count[:, None]
+        return [np.repeat(self.rows, self.count), np.repeat(self.ids, self.count), self.found[held], self.scores[held]]
 
     def results(self) -> Iterator[tuple[int, int, int, int]]:
-        for row, q, heap in zip(self.rows, self.ids, self.best):
-            for score, minus_id, _ in heap:
-                yield int(row), int(q), -minus_id, score
+        yield from zip(*(x.tolist() for x in self.columns()))
 
 
-def to_blocks(vectors: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
-    """(row, id, v, cell, block): nearest pivot and a part of its cell of at most about ``block`` rows."""
+def to_blocks(vectors: DataFrame, shape: Shape, block: int) -> DataFrame:
+    """(row, id, v, cell, block): nearest pivot and a part of its cell of at most about ``block`` rows; v as bytes."""
     n = vectors.count()
-    pivots = [r["v"] for r in vectors.orderBy(F.xxhash64("row"), "row").limit(max(1, min(MAX_PIVOTS, n // (2 * block)))).collect()]
-    centers = matrix(pivots, width)
+    chosen = vectors.orderBy(F.xxhash64("row"), "row").limit(max(1, min(MAX_PIVOTS, n // (2 * block))))
+    centers = shape.matrix(pa.array([r["v"] for r in chosen.select("v").collect()], pa.list_(pa.int64())))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = matrix([v.values.to_numpy() for v in column(batch, "v")], width)
+            own = shape.matrix(column(batch, "v"))
             cell = distances(own, centers).argmin(1) if len(own) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
+            yield extended(batch, ["row", "id"], {"v": pa.array([v.tobytes() for v in own], pa.binary()),
+                                                  "cell": pa.array(cell, pa.int32())})
 
-    celled = vectors.mapInArrow(nearest, "row long, id long, v array<bigint>, cell int")
+    celled = vectors.mapInArrow(nearest, "row long, id long, v binary, cell int")
     parts = celled.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
     part = F.pmod(F.xxhash64("row"), F.col("parts"))
     # one row per cell, at most MAX_PIVOTS
     return celled.join(F.broadcast(parts), "cell").withColumn("block", F.col("cell") * F.lit(1 << 32) + part)
 
 
-def trees(vectors: DataFrame, width: int) -> DataFrame:
-    """(number, tree): one M-tree per block, numbered from 0."""
+def trees(vectors: DataFrame, shape: Shape) -> DataFrame:
+    """(number, data): one M-tree per block, numbered from 0."""
 
     def build(block: pd.DataFrame) -> pd.DataFrame:
-        root = bulk_load(block["row"].to_numpy(), block["id"].to_numpy(), matrix(block["v"], width))
-        return pd.DataFrame({"block": block["block"].iloc[:1], "tree": [pickle.dumps(root)]})
+        own = np.frombuffer(b"".join(block["v"]), shape.stored).reshape(len(block), shape.width)
+        root = bulk_load(block["row"].to_numpy(), block["id"].to_numpy(), own)
+        return pd.DataFrame({"block": block["block"].iloc[:1], "data": [pickle.dumps(root)]})
 
-    built = to_blocks(vectors, width).groupBy("block").applyInPandas(build, "block long, tree binary")
-    return number_slots(built.withColumn("forest", F.lit(0)), "forest", "number").select("number", "tree")
+    # 32 bytes of a vector are its row, id, norm and distance
+    built = to_blocks(vectors, shape, shape.rows(TREE_BYTES, 32)).groupBy("block").applyInPandas(build, "block long, data binary")
+    return number_slots(built.withColumn("forest", F.lit(0)), "forest", "number").select("number", "data")
 
 
-def query_blocks(vectors: DataFrame, is_query, width: int, k: int) -> DataFrame:
-    """(rows, ids, vectors, floor) of up to ``QUERY_BLOCK`` queries a row, packed."""
+def query_blocks(vectors: DataFrame, is_query, shape: Shape, k: int) -> DataFrame:
+    """(number, data): rows, ids, vectors and first thresholds of queries, packed, numbered from 0."""
     sample = vectors.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("row", "v").collect()
-    sample_rows, sample_vectors = np.array([r["row"] for r in sample], np.int64), matrix([r["v"] for r in sample], width)
+    sample_rows = np.array([r["row"] for r in sample], np.int64)
+    sample_vectors = shape.matrix(pa.array([r["v"] for r in sample], pa.list_(pa.int64())))
+    size = shape.rows(TREE_BYTES, 24)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, ids = (column(batch, n).to_numpy() for n in ("row", "id"))
-            own = matrix([v.values.to_numpy() for v in column(batch, "v")], width)
-            scores = products(own, sample_vectors)
+            own = shape.matrix(column(batch, "v"))
+            scores = products(own.astype(shape.computed), sample_vectors.astype(shape.computed))
             scores[rows[:, None] == sample_rows] = NEVER
-            floor = np.partition(scores, -k, 1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), NEVER)
-            for at in range(0, len(ids), QUERY_BLOCK):
-                part = slice(at, at + QUERY_BLOCK)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[part].astype("<i8").tobytes()], pa.binary()) for x in (rows, ids, own, floor)],
-                    names=["rows", "ids", "vectors", "floor"])
+            floor = np.partition(scores, -k, 1)[:, -k].astype(np.int64) if scores.shape[1] >= k else np.full(len(ids), NEVER)
+            packed = [pickle.dumps(tuple(x[at:at + size] for x in (rows, ids, own, floor))) for at in range(0, len(ids), size)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["data"])
 
-    return written(vectors.filter(is_query).mapInArrow(pack, "rows binary, ids binary, vectors binary, floor binary"), "queries")
+    packed = vectors.filter(is_query).mapInArrow(pack, "data binary")
+    return number_slots(packed.withColumn("asked", F.lit(0)), "asked", "number").select("number", "data")
 
 
 def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = TOP) -> DataFrame:
     """(query_id, rank, id, score): the k best other rows of every row for which ``is_query(id column)`` holds."""
     vectors = integer_vectors(df, id_col, vec_col)
-    width = vectors.agg(F.max(F.size("v"))).first()[0] or 1
-    forest = trees(vectors, width)
-    asked = query_blocks(vectors, is_query(F.col("id")), width, k).withColumn("asked", F.xxhash64("rows"))
-    last = max(0, forest.count() - 1)
-    visits = asked.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    asks = is_query(F.col("id"))
+    width, least, largest, queries = vectors.agg(
+        F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v")), F.count_if(asks)).first()
+    shape = Shape(width or 1, min(0, least or 0), max(0, largest or 0))
+    forest = trees(vectors, shape)
+    asked = query_blocks(vectors, asks, shape, k)
+    # 16 bytes of a query for each result, 64 for its row, id, norm, threshold and the like
+    tiles = max(1, -(-queries // shape.rows(TILE_BYTES, 16 * k + 64, computed=True)))
+    parts = max(1, min(forest.count(), -(-WAVES * df.sparkSession.sparkContext.defaultParallelism // tiles)))
+
+    def sent(rows: DataFrame, number, first, last, step: int) -> DataFrame:
+        return rows.select(F.explode(F.sequence(first.cast("int"), last.cast("int"), F.lit(step))).alias("task"),
+                           number.cast("long").alias("number"), "data")
+
+    # task t has tile t // parts of the queries and part t % parts of the trees; the queries come first
+    tile, part = F.col("number") % tiles, F.col("number") % parts
+    visits = sent(asked, F.lit(-1), tile * parts, (tile + 1) * parts - 1, 1).unionByName(
+        sent(forest, F.col("number"), part, part + (tiles - 1) * parts, parts))
+    dealt = visits.repartitionById(tiles * parts, F.col("task")).sortWithinPartitions("number")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Queries] = {}
-
-        def given() -> pa.RecordBatch:
-            found = [r for q in held.values() for r in q.results()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(4)],
-                                              names=["query_row", "query_id", "id", "score"])
-
-        known, root = None, None
+        packed, blocks = [], []
         for batch in batches:
-            for i in range(batch.num_rows):
-                name, number = column(batch, "asked")[i].as_py(), column(batch, "number")[i].as_py()
-                if number != known:
-                    known, root = number, pickle.loads(column(batch, "tree")[i].as_py())
-                if name not in held:
-                    if len(held) >= HELD:
-                        yield given()
-                    rows, ids, own, floor = (np.frombuffer(column(batch, n)[i].as_py(), "<i8")
-                                             for n in ("rows", "ids", "vectors", "floor"))
-                    held[name] = Queries(rows, ids, own.reshape(len(ids), width), floor, k)
-                held[name].search(root)
-        yield given()
-
-    found = visits.join(forest, "number").mapInArrow(search, "query_row long, query_id long, id long, score long")
+            for number, data in zip(column(batch, "number").to_pylist(), column(batch, "data")):
+                if number < 0:
+                    packed.append(pickle.loads(data.as_buffer()))
+                    continue
+                if packed:
+                    rows, ids, own, floor = (np.concatenate(x) for x in zip(*packed))
+                    packed, cuts = [], [slice(at, at + QUERY_BLOCK) for at in range(0, len(ids), QUERY_BLOCK)]
+                    blocks = [Queries(rows[c], ids[c], own[c].astype(shape.computed), floor[c], k) for c in cuts]
+                if blocks:
+                    root = loaded(pickle.loads(data.as_buffer()), shape.computed)
+                    for block in blocks:
+                        block.search(root)
+        for block in blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in block.columns()],
+                                             names=["query_row", "query_id", "id", "score"])
+
+    found = dealt.mapInArrow(lambda batches: at_rest(search(batches)), "query_row long, query_id long, id long, score long")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "id", "score")

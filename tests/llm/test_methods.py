@@ -395,6 +395,52 @@ def test_tree_bounds_save_work_and_lose_nothing():
     assert sum(computed) < 0.6 * 40 * 1500
 
 
+def table_of_vectors(spark, vectors):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
+
+
+def test_rows_that_the_search_reads_stay_small(spark, monkeypatch):
+    prepare(spark)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(4000, 64))
+    vectors[:1500] = vectors[0]
+    df, read = table_of_vectors(spark, vectors / 8), []
+    kind, plain = type(df), type(df).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: read.append(self) or plain(self, *a, **b))
+    mtree.top_k(df, lambda i: i % 20 == 0)
+    searched = read[-1]
+    size = sum(F.octet_length(c) for c, t in searched.dtypes if t == "binary")
+    assert searched.agg(F.max(size)).first()[0] < 100_000
+
+
+@pytest.mark.parametrize("size", [0.5, 1e4, 1e6])  # computed in 32 and 64 bits of floating point and as integers
+def test_tiles_of_queries_and_parts_of_trees_find_the_same(spark, monkeypatch, size):
+    prepare(spark)
+    rng = np.random.default_rng(5)
+    centers = rng.uniform(-size, size, (6, 8))
+    vectors = (centers[rng.integers(0, 6, 1200)] + rng.uniform(-size, size, (1200, 8)) / 4).astype(np.float32)
+    vectors[::3] = vectors[0]
+    for name, value in {"TREE_BYTES": 8_000, "TILE_BYTES": 16_000, "QUERY_BLOCK": 16, "SAMPLE": 50}.items():
+        monkeypatch.setattr(mtree, name, value)
+    whole = np.floor(vectors.astype(float) * mtree.SCALE).astype(np.int64)
+    shape = mtree.Shape(8, int(whole.min()), int(whole.max()))
+    assert shape.computed == {0.5: np.float32, 1e4: np.float64, 1e6: np.int64}[size]
+    found = mtree.top_k(table_of_vectors(spark, vectors), lambda i: i % 5 == 0, k=7)
+    expected = []
+    for q in range(0, 1200, 5):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:7]
+        expected += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_equal_vectors_fill_pages_of_rising_ids():
+    ids = np.random.default_rng(6).permutation(2000)
+    for vectors in (np.full((2000, 4), 3), np.full((2000, 4), (1 << 62) + 1)):
+        pages = mtree.bulk_load(ids, ids, vectors)["pages"]
+        assert max(len(p["ids"]) for p in pages) <= mtree.LEAF
+        assert all(a["ids"].max() < b["least"] for a, b in zip(pages, pages[1:]))
+
+
 @pytest.mark.parametrize("chunk_bits", [0, 2, 12])
 def test_chunks_of_any_size_give_the_same_repair(spark, chunk_bits):
     prepare(spark)
