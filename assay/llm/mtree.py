@@ -270,11 +270,17 @@ class Queries:
         yield from zip(*(x.tolist() for x in self.columns()))
 
 
-def to_blocks(vectors: DataFrame, shape: Shape, block: int) -> DataFrame:
+def drawn(vectors: DataFrame, n: int, size: int, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and vectors of least hash, ``size`` of all n; hashes that are hardly among them don't go to the driver."""
+    key, share = F.xxhash64("row"), (2 * size + 100) / max(1, n)
+    some = vectors.filter(key < int(share * 2.0 ** 64) - (1 << 63)) if share < 1 else vectors
+    found = some.orderBy(key, "row").limit(size).select("row", "v").collect()
+    return np.array([r["row"] for r in found], np.int64), shape.matrix(pa.array([r["v"] for r in found], pa.list_(pa.int64())))
+
+
+def to_blocks(vectors: DataFrame, n: int, shape: Shape, block: int) -> DataFrame:
     """(row, id, v, cell, block): nearest pivot and a part of its cell of at most about ``block`` rows; v as bytes."""
-    n = vectors.count()
-    chosen = vectors.orderBy(F.xxhash64("row"), "row").limit(max(1, min(MAX_PIVOTS, n // (2 * block))))
-    centers = shape.matrix(pa.array([r["v"] for r in chosen.select("v").collect()], pa.list_(pa.int64())))
+    _, centers = drawn(vectors, n, max(1, min(MAX_PIVOTS, n // (2 * block))), shape)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +296,7 @@ def to_blocks(vectors: DataFrame, shape: Shape, block: int) -> DataFrame:
     return celled.join(F.broadcast(parts), "cell").withColumn("block", F.col("cell") * F.lit(1 << 32) + part)
 
 
-def trees(vectors: DataFrame, shape: Shape) -> DataFrame:
+def trees(vectors: DataFrame, n: int, shape: Shape) -> DataFrame:
     """(number, data): one M-tree per block, numbered from 0."""
 
     def build(block: pd.DataFrame) -> pd.DataFrame:
@@ -299,15 +305,14 @@ def trees(vectors: DataFrame, shape: Shape) -> DataFrame:
         return pd.DataFrame({"block": block["block"].iloc[:1], "data": [pickle.dumps(root)]})
 
     # 32 bytes of a vector are its row, id, norm and distance
-    built = to_blocks(vectors, shape, shape.rows(TREE_BYTES, 32)).groupBy("block").applyInPandas(build, "block long, data binary")
+    blocks = to_blocks(vectors, n, shape, shape.rows(TREE_BYTES, 32))
+    built = blocks.groupBy("block").applyInPandas(build, "block long, data binary")
     return number_slots(built.withColumn("forest", F.lit(0)), "forest", "number").select("number", "data")
 
 
-def query_blocks(vectors: DataFrame, is_query, shape: Shape, k: int) -> DataFrame:
+def query_blocks(vectors: DataFrame, n: int, is_query, shape: Shape, k: int) -> DataFrame:
     """(number, data): rows, ids, vectors and first thresholds of queries, packed, numbered from 0."""
-    sample = vectors.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("row", "v").collect()
-    sample_rows = np.array([r["row"] for r in sample], np.int64)
-    sample_vectors = shape.matrix(pa.array([r["v"] for r in sample], pa.list_(pa.int64())))
+    sample_rows, sample_vectors = drawn(vectors, n, SAMPLE, shape)
     size = shape.rows(TREE_BYTES, 24)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,11 +333,11 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embed
     """(query_id, rank, id, score): the k best other rows of every row for which ``is_query(id column)`` holds."""
     vectors = integer_vectors(df, id_col, vec_col)
     asks = is_query(F.col("id"))
-    width, least, largest, queries = vectors.agg(
-        F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v")), F.count_if(asks)).first()
+    n, width, least, largest, queries = vectors.agg(
+        F.count("*"), F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v")), F.count_if(asks)).first()
     shape = Shape(width or 1, min(0, least or 0), max(0, largest or 0))
-    forest = trees(vectors, shape)
-    asked = query_blocks(vectors, asks, shape, k)
+    forest = trees(vectors, n, shape)
+    asked = query_blocks(vectors, n, asks, shape, k)
     # 16 bytes of a query for each result, 64 for its row, id, norm, threshold and the like
     tiles = max(1, -(-queries // shape.rows(TILE_BYTES, 16 * k + 64, computed=True)))
     parts = max(1, min(forest.count(), -(-WAVES * df.sparkSession.sparkContext.defaultParallelism // tiles)))
